@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_quality_rules": quality.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,

@@ -115,15 +115,13 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     that a third of all rows share is spread over all tasks.
     """
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", dict(docs.dtypes)["doc_id"])
-    keep = index.add(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    columns = [F.col(f"_d.`{c}`") for c in docs.columns]
-    marked = docs.alias("_d").withColumn("_digest", text_digest(F.col("_d.text")))
-    found = marked.join(
-        keep.hint("merge"), F.col("_d.doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi"
-    )
+    key = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key"), F.col(c).isNull().alias("_none")]
+    keep = index.add(docs).where("kept").select(*key("doc_id"), F.col("digest").alias("_digest"))
+    marked = docs.select("*", *key("doc_id"), text_digest(F.col("text")).alias("_digest"))
+    found = marked.join(keep.hint("merge"), ["_key", "_none", "_digest"], "left_semi")
     # Repeated rows meet in one task here already; a row number among them needs no other shuffle.
-    order = Window.partitionBy("_d.doc_id", "_digest").orderBy(F.lit(1))
-    return found.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*columns)
+    order = Window.partitionBy("_key", "_none", "_digest").orderBy(F.lit(1))
+    return found.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
