@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, mixing, quality, token_counts
+from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": ngram_join.query,
     "op2_token_counts": token_counts.query,
     "op4_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_language_id": langid.query,
     "op8_quality_rules": quality.query,
     "op9_html_text": html_text.query,
     "op10_bpe_round_trip": bpe.query,
