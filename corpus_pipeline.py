@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup
+from tessera.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from tessera.llm.shared import Scratch, read_table
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the likelihood ratio keep."""
+    return quality.keep_good(spark, docs, read_table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
     return exact_dedup.drop_duplicates(spark, docs)
 
 
-STAGES = [("exact_dedup", deduplicate)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, similarity 0.8 or more)."""
+    return ngram_join.one_of_each(spark, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.draw(spark, docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of the text decoded from them."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard", near_copies),
+    ("mix_sources", mix_sources),
+    ("bpe_round_trip", encode),
+]
 
-#: Mixing copies documents by pseudo-random numbers, which SQL cannot express.
+#: Hashed likelihood ratios, components and pseudo-random rounding are beyond SQL.
 ORACLE_SQL = None
 
 

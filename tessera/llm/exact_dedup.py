@@ -117,11 +117,11 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", dict(docs.dtypes)["doc_id"])
     key = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key"), F.col(c).isNull().alias("_none")]
     keep = index.add(docs).where("kept").select(*key("doc_id"), F.col("digest").alias("_digest"))
-    marked = docs.select("*", *key("doc_id"), text_digest(F.col("text")).alias("_digest"))
+    marked = docs.select(F.struct("*").alias("_row"), *key("doc_id"), text_digest(F.col("text")).alias("_digest"))
     found = marked.join(keep.hint("merge"), ["_key", "_none", "_digest"], "left_semi")
     # Repeated rows meet in one task here already; a row number among them needs no other shuffle.
     order = Window.partitionBy("_key", "_none", "_digest").orderBy(F.lit(1))
-    return found.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def draw(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     )
     key = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull()]
-    left = docs.alias("_d").select("_d.*", *[k.alias(n) for k, n in zip(key("_d.doc_id"), ("_key", "_none"), strict=True)])
+    left = docs.select(F.struct("*").alias("_row"), *[k.alias(n) for k, n in zip(key("doc_id"), ("_key", "_none"), strict=True)])
     right = taken.select("_copies", "_rows", *[k.alias(n) for k, n in zip(key("doc_id"), ("_key", "_none"), strict=True)])
     same_id = Window.partitionBy("_key", "_none").orderBy(F.lit(1))
     share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")
@@ -178,7 +178,7 @@ def draw(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
         left.join(right.where("_copies > 0"), ["_key", "_none"])
         .withColumn("_nth", F.row_number().over(same_id))
         .withColumn("_take", F.explode(F.array_repeat(F.lit(0), share.cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select("_row.*")
     )
 
 

@@ -151,6 +151,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(spark, base_counts(docs), model)
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    return judge(spark, packed, labels).where("kept").select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(spark, docs, read_table(spark, sf_dir, "labels")).select(
