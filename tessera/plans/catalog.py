@@ -1,6 +1,762 @@
-"""Queries of the reference's operators and the SQL that expresses them."""
+"""Queries of the reference's operators over the given tables, and the SQL that expresses them.
+
+The tables stand in for folders: documents are captions, pages and parts are named files, labels
+are the images that some captions have, embeddings are scores and hashes, and boxes come from
+integers of parts. All run over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry, text
+from ..operators import boxes, masks, neighbors, pairing, quality, scores, tags
+from ..sources.tables import table
+
+#: Terms that occur in the given tables, in place of vocabularies that do not.
+KEYWORDS = ("license", "idiot", "The", "CC BY")
+HIGH, MEDIUM, LOW = ("idiot", "scum"), ("licensed under", "loser"), ("of the", "et")
+FIXED = ("the", "Extra Tag")
+PART_WORDS = {"brass": "metal", "promo": "offer", "plated": "surface", "steel": "metal"}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _in(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+TAG_ROWS = """
+tag_rows AS (
+  SELECT doc_id, o AS ord, trim(p[o]) AS tag, replace(lower(trim(p[o])), ' ', '_') AS tag_normalized
+  FROM (SELECT doc_id, string_split(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10))[1], ',') AS p FROM documents),
+       LATERAL (SELECT unnest(range(1, len(p) + 1)) AS o)
+  WHERE trim(p[o]) <> ''
+)"""
+
+
+@query(
+    f"""WITH {TAG_ROWS.strip()}
+SELECT tag_normalized, arg_min(tag, (doc_id, ord)) AS tag, count(DISTINCT doc_id) AS count FROM tag_rows GROUP BY 1"""
+)
+def tag_inventory(spark, d):
+    return tags.inventory(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH {TAG_ROWS.strip()} SELECT DISTINCT tag_normalized, doc_id AS key FROM tag_rows""")
+def tag_index(spark, d):
+    return tags.inventory_keys(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(
+    f"""SELECT doc_id, list_filter([{_in(KEYWORDS)}], lambda k: contains(lower(text), lower(k))) AS hits FROM documents
+WHERE len(list_filter([{_in(KEYWORDS)}], lambda k: contains(lower(text), lower(k)))) > 0"""
+)
+def keyword_hits(spark, d):
+    hits = text.keyword_hits(F.col("text"), KEYWORDS)
+    return table(spark, d, "documents").select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
+
+
+def _refusal_sql(source: str, keys: str) -> str:
+    has = lambda words: f"len(list_filter([{_in(words)}], lambda k: contains(lower(text), k)))"
+    pick = lambda words: f"list_filter([{_in(words)}], lambda k: contains(lower(text), k))"
+    return f"""SELECT {keys},
+  CASE WHEN {has(HIGH)} > 0 THEN '高' WHEN {has(MEDIUM)} > 0 THEN '中' ELSE '低' END AS level,
+  CASE WHEN {has(HIGH)} > 0 THEN {pick(HIGH)} WHEN {has(MEDIUM)} > 0 THEN {pick(MEDIUM)} ELSE {pick(LOW)} END AS patterns
+FROM {source}"""
+
+
+@query(_refusal_sql("conversations", "conv_id, turn"))
+def refusal_scan(spark, d):
+    r = text.refusal(F.col("text"), HIGH, MEDIUM, LOW)
+    return table(spark, d, "conversations").select("conv_id", "turn", r["level"].alias("level"), r["patterns"].alias("patterns"))
+
+
+@query(
+    f"""SELECT level, count(*) AS texts, count(*) FILTER (WHERE len(patterns) > 0) AS refused
+FROM ({_refusal_sql("documents", "doc_id")}) GROUP BY level"""
+)
+def refusal_report(spark, d):
+    return quality.refusal_report(table(spark, d, "documents"), "text", high=HIGH, medium=MEDIUM, low=LOW)
+
+
+@query(
+    """SELECT doc_id, substr(text, strpos(lower(text), 'license')) AS kept_from,
+  substr(text, 1, strpos(lower(text), 'license') - 1) AS kept_before,
+  substr(text, strpos(lower(text), 'license') + 7) AS kept_after,
+  substr(text, 1, strpos(lower(text), 'license') + 6) AS kept_to
+FROM documents WHERE contains(lower(text), 'license')"""
+)
+def keyword_trim(spark, d):
+    cut = lambda before, include: text.trim_at_keyword(F.col("text"), "license", before, include)
+    rows = table(spark, d, "documents").select(
+        "doc_id",
+        cut(True, False).alias("kept_from"),
+        cut(False, True).alias("kept_before"),
+        cut(True, True).alias("kept_after"),
+        cut(False, False).alias("kept_to"),
+    )
+    return rows.where("kept_from IS NOT NULL")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS s, text FROM documents),
+h AS (SELECT doc_id, list_filter(list_transform(string_split(s[1], ','), lambda t: trim(t)), lambda t: t <> '') AS have,
+        CASE WHEN len(s) > 1 THEN substr(text, length(s[1]) + 3) ELSE '' END AS rest FROM p),
+m AS (SELECT *, list_filter([{_in(FIXED)}], lambda t: NOT list_contains(list_transform(have, lambda x: replace(lower(x), ' ', '_')), replace(lower(t), ' ', '_'))) AS missing FROM h)
+SELECT doc_id, array_to_string(list_concat(missing, have), ', ') || CASE WHEN rest <> '' THEN chr(10) || chr(10) || rest ELSE '' END AS text
+FROM m WHERE len(missing) > 0"""
+)
+def insert_tags(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", text.insert_tags(F.col("text"), FIXED).alias("text"))
+    return rows.where("text IS NOT NULL")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, trim(text) AS s FROM documents)
+SELECT doc_id AS key, unnest(CASE WHEN s = '' THEN ['empty'] WHEN length(s) < 20 AND contains(lower(s), 'the') THEN ['short', 'apology']
+  WHEN length(s) < 20 THEN ['short'] WHEN contains(lower(s), 'the') THEN ['apology'] ELSE [] END) AS type FROM t"""
+)
+def caption_quality(spark, d):
+    return quality.caption_issues(table(spark, d, "documents"), "doc_id", "text", refusals=("the",))
+
+
+@query("""SELECT md5(text) AS hash, min(doc_id) AS first_key, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_dups(spark, d):
+    return quality.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""SELECT md5(text) AS hash, doc_id AS key FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)""")
+def dup_members(spark, d):
+    return quality.duplicate_members(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _hashes(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), neighbors.difference_hash(F.col("embedding")).alias("hash"))
+
+
+HASHES = """h AS (SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: (embedding[i] > embedding[i + 1])::BIGINT)),
+  lambda a, b: a * 2 + b) AS hash FROM embeddings)"""
+PAIRS = f"""{HASHES}, p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.hash, y.hash))::INT AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 16)"""
+
+
+@query(f"""WITH {HASHES} SELECT id, hash FROM h""")
+def diff_hash(spark, d):
+    return _hashes(spark, d)
+
+
+@query(f"""WITH {PAIRS} SELECT a, b, distance FROM p""")
+def near_dups(spark, d):
+    return neighbors.near_pairs(_hashes(spark, d), 16, 63)
+
+
+COMPONENTS = f"""{PAIRS},
+e AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT u AS id, u AS seen FROM e UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.seen),
+c AS (SELECT id, min(seen) AS component FROM r GROUP BY id)"""
+
+
+@query(f"""WITH RECURSIVE {COMPONENTS} SELECT id, component FROM c""")
+def dup_components(spark, d):
+    return neighbors.components(neighbors.near_pairs(_hashes(spark, d), 16, 63))
+
+
+@query(
+    f"""WITH RECURSIVE {COMPONENTS},
+n AS (SELECT *, count(*) OVER (PARTITION BY component) AS group_size, row_number() OVER (PARTITION BY component ORDER BY md5('0' || id), id) AS place FROM c)
+SELECT id, component, group_size, least(greatest(2, round_even(group_size * 0.3, 0)::INT), group_size)::INT AS keep_count,
+  place <= least(greatest(2, round_even(group_size * 0.3, 0)::INT), group_size) AS keep FROM n"""
+)
+def thin_groups(spark, d):
+    return neighbors.thin(dup_components(spark, d))
+
+
+def _captions(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), "text")
+
+
+def _images(spark, d):
+    ext = F.when(F.col("quality") == 1, ".png").otherwise(".jpg")
+    return pairing.with_names(table(spark, d, "labels").select(F.concat(F.col("doc_id").cast("string"), ext).alias("file")))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM labels) AS images, (SELECT count(*) FROM documents) AS captions,
+  (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS paired,
+  (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS without_caption,
+  (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS without_image"""
+)
+def pairing_stats(spark, d):
+    return pairing.folder_stats(_images(spark, d), _captions(spark, d))
+
+
+@query("""SELECT CASE WHEN quality = 1 THEN '.png' ELSE '.jpg' END AS ext, count(*) AS files FROM labels GROUP BY 1""")
+def extension_histogram(spark, d):
+    return pairing.extension_histogram(_images(spark, d))
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS stem, min(doc_id::VARCHAR || CASE WHEN quality = 1 THEN '.png' ELSE '.jpg' END) AS image
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"""
+)
+def caption_images(spark, d):
+    return pairing.with_image(_captions(spark, d), _images(spark, d)).select("stem", "image")
+
+
+@query("""SELECT doc_id::VARCHAR AS stem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def captions_without_image(spark, d):
+    return pairing.unpaired(_captions(spark, d), _images(spark, d))
+
+
+@query("""SELECT doc_id::VARCHAR AS stem, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def paired_captions(spark, d):
+    return pairing.paired(_captions(spark, d), _images(spark, d)).select("stem", F.char_length("text").cast("long").alias("n"))
+
+
+@query("""SELECT doc_id::VARCHAR || CASE WHEN quality = 1 THEN '.png' ELSE '.jpg' END AS file, doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS has_txt FROM labels""")
+def caption_flags(spark, d):
+    english = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("stem"))
+    return pairing.with_caption_flag(_images(spark, d), english).select("file", "has_txt")
+
+
+@query("""SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def all_peers(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("stem"), "n_name")
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("stem"))
+    return pairing.all_images(nations, customers).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("""SELECT p_partkey, replace(lower(trim(p_brand)), ' ', '_') AS tag, coalesce(n_name, '') AS zh FROM part LEFT JOIN nation ON p_size = n_nationkey""")
+def tag_translate(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", text.normal_tag(F.col("p_brand")).alias("tag"), F.col("p_size").alias("size"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("tag"), F.col("n_name").alias("alias"))
+    return tags.translate(parts, nations, "size").select("p_partkey", "tag", "zh")
+
+
+@query(
+    """WITH r AS (SELECT p_type AS tag, p_name || ',x' AS alias, p_partkey AS at FROM part)
+SELECT tag, arg_max(trim(string_split(alias, ',')[1]), at) AS alias FROM r GROUP BY tag"""
+)
+def alias_dictionary(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_type").alias("tag"), F.concat("p_name", F.lit(",x")).alias("alias"), F.col("p_partkey").alias("at"))
+    return tags.alias_dictionary(rows, "at")
+
+
+def _scores(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("idx", "logit"))
+    kind = F.when(F.col("idx") < 40, "general").when(F.col("idx") < 60, "character").otherwise("rating")
+    words = spark.range(64).select(F.col("id").cast("int").alias("idx")).select("idx", F.concat(F.lit("tag"), F.col("idx")).alias("tag"), kind.alias("category"))
+    return scores.named(e.withColumn("logit", F.col("logit").cast("double") * 8), words)
+
+
+SCORES = """s AS (SELECT vec_id AS image, (i - 1)::INT AS idx, 'tag' || (i - 1) AS tag,
+  CASE WHEN i - 1 < 40 THEN 'general' WHEN i - 1 < 60 THEN 'character' ELSE 'rating' END AS category,
+  1 / (1 + exp(-greatest(least(embedding[i]::DOUBLE * 8, 30), -30))) AS probability
+  FROM embeddings, LATERAL (SELECT unnest(range(1, 65)) AS i))"""
+
+
+@query(
+    f"""WITH {SCORES} SELECT image, idx, tag, category, round(probability, 6) AS probability FROM s
+WHERE probability >= CASE WHEN category = 'character' THEN 0.85 ELSE 0.8 END"""
+)
+def score_threshold(spark, d):
+    return scores.above(_scores(spark, d), 0.8, 0.85).select("image", "idx", "tag", "category", F.round("probability", 6).alias("probability"))
+
+
+@query(f"""WITH {SCORES} SELECT image, arg_min(tag, (-probability, idx)) AS tag, round(max(probability), 6) AS probability FROM s WHERE category = 'rating' GROUP BY image""")
+def top1_label(spark, d):
+    return scores.best(_scores(spark, d), "rating").select("image", "tag", F.round("probability", 6).alias("probability"))
+
+
+@query(
+    f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY image, category ORDER BY probability DESC, idx) AS place FROM s)
+SELECT image, category, place, tag FROM r WHERE place <= 3"""
+)
+def topk(spark, d):
+    return scores.top(_scores(spark, d), 3).select("image", "category", "place", "tag")
+
+
+@query(
+    f"""WITH {SCORES}, k AS (SELECT * FROM s WHERE probability >= CASE WHEN category = 'character' THEN 0.85 ELSE 0.8 END)
+SELECT image, category, list(tag ORDER BY probability DESC, idx) AS tags FROM k GROUP BY image, category"""
+)
+def tag_lists(spark, d):
+    return scores.tag_lists(_scores(spark, d), {"general": 0.8, "character": 0.85})
+
+
+HEALTH = """checks AS (
+  SELECT 'caption_quality' AS "check", 'critical' AS severity, (SELECT count(*) FROM documents) AS total_checked,
+    (SELECT count(*) FROM documents WHERE length(trim(text)) < 20) AS count
+  UNION ALL SELECT 'duplicates', 'high', (SELECT count(*) FROM documents), (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY md5(text) HAVING count(*) > 1))
+  UNION ALL SELECT 'watermark_tags', 'medium', (SELECT count(*) FROM labels), (SELECT count(*) FROM labels WHERE toxic = 1))"""
+
+
+def _checks(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    hits = quality.union(
+        [
+            quality.caption_issues(docs, "doc_id", "text", refusals=()).select(F.lit("caption_quality").alias("check")),
+            quality.exact_duplicates(docs, "doc_id", "text").select(F.lit("duplicates").alias("check")),
+            labels.where("toxic = 1").select(F.lit("watermark_tags").alias("check")),
+        ]
+    )
+    n = F.count(F.lit(1)).alias("total_checked")
+    totals = quality.union(
+        [docs.agg(n).select(F.lit("caption_quality").alias("check"), "total_checked"), docs.agg(n).select(F.lit("duplicates").alias("check"), "total_checked"), labels.agg(n).select(F.lit("watermark_tags").alias("check"), "total_checked")]
+    )
+    return quality.summary(hits, totals)
+
+
+@query(f"""WITH {HEALTH} SELECT "check", severity, total_checked, count, round_even(count * 100 / greatest(total_checked, 1), 1) AS pct FROM checks""")
+def check_summary(spark, d):
+    return _checks(spark, d)
+
+
+@query(
+    f"""WITH {HEALTH} SELECT greatest(0, round_even(100 - sum(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 30 WHEN 'medium' THEN 20 ELSE 10 END * least(count / total_checked, 1)), 0))::INT AS health_score,
+  sum(CASE WHEN severity IN ('high', 'critical') THEN count ELSE 0 END)::BIGINT AS total_issues FROM checks"""
+)
+def health_score(spark, d):
+    return quality.health(_checks(spark, d))
+
+
+@query()
+def natural_order(spark, d):
+    """Pages in natural order of their urls, with their place."""
+    return pairing.numbered(table(spark, d, "pages").select(F.concat_ws("", "url", F.lit("#"), "page_id").alias("file")), "", 1)
+
+
+@query(
+    """WITH f AS (SELECT 'sup' || s_suppkey || '.png' AS file, s_suppkey FROM supplier)
+SELECT file, 'img_' || lpad((row_number() OVER (ORDER BY s_suppkey) + 4)::VARCHAR, 6, '0') || '.png' AS new_file FROM f"""
+)
+def renumber(spark, d):
+    files = table(spark, d, "supplier").select(F.concat(F.lit("sup"), "s_suppkey", F.lit(".png")).alias("file"))
+    return pairing.numbered(files, "img_", 5, 6)
+
+
+TOKENS = "list_distinct(list_filter(list_transform(string_split(lower(replace(p_name || ' ' || p_type, ' ', ',')), ','), lambda t: trim(t)), lambda t: t <> ''))"
+
+
+def _part_captions(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.translate(F.concat_ws(" ", "p_name", "p_type"), " ", ",").alias("tags"))
+
+
+@query(
+    f"""WITH t AS (SELECT {TOKENS} AS t FROM part)
+SELECT CASE WHEN list_contains(t, 'brass') THEN 'metal' WHEN list_contains(t, 'promo') THEN 'offer' WHEN list_contains(t, 'plated') THEN 'surface'
+  WHEN list_contains(t, 'steel') THEN 'metal' ELSE 'untagged' END AS label, count(*) AS captions FROM t GROUP BY 1"""
+)
+def composition(spark, d):
+    return tags.composition(_part_captions(spark, d), "tags", PART_WORDS)
+
+
+@query(
+    f"""WITH t AS (SELECT {TOKENS} AS t FROM part)
+SELECT count(*) AS total_checked, count(*) FILTER (WHERE list_has_any(t, ['brass', 'steel'])) AS hits,
+  round_even(count(*) FILTER (WHERE list_has_any(t, ['brass', 'steel'])) * 100 / greatest(count(*), 1), 1) AS pct FROM t"""
+)
+def tag_share(spark, d):
+    return tags.share_with(_part_captions(spark, d), "tags", ["brass", "steel"])
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {TOKENS} AS t FROM part) SELECT p_partkey, list_sort(t) AS tokens FROM t""")
+def token_sets(spark, d):
+    return _part_captions(spark, d).select("p_partkey", F.sort_array(text.tokens(F.col("tags"))).alias("tokens"))
+
+
+#: Tags of three kinds of persons from a part's key.
+PERSONS = "['solo', '2girls', '1girl,1boy', '3boys,multiple girls', '2boys,2girls', 'watermark,logo', 'comic,text']"
+
+
+def _tagged(spark, d):
+    kinds = ["solo", "2girls", "1girl,1boy", "3boys,multiple girls", "2boys,2girls", "watermark,logo", "comic,text"]
+    body = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("p_partkey", F.lit(7)) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", body.alias("body"))
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey AS key, {PERSONS}[p_partkey % 7 + 1] AS b FROM part)
+SELECT key, CASE WHEN contains(b, '3boys') THEN 3 ELSE 2 END AS person_count,
+  CASE b WHEN '2girls' THEN '2girls' WHEN '1girl,1boy' THEN '1girl+1boy' WHEN '2boys,2girls' THEN '2girls' ELSE '3boys' END AS matched_tag,
+  CASE WHEN contains(b, '3boys') THEN 'high' ELSE 'medium' END AS risk
+FROM t WHERE b IN ('2girls', '1girl,1boy', '3boys,multiple girls', '2boys,2girls')"""
+)
+def person_tags(spark, d):
+    return quality.person_hits(_tagged(spark, d), "p_partkey", "body")
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey AS key, {PERSONS}[p_partkey % 7 + 1] AS b FROM part)
+SELECT 'caption_quality' AS "check", key, 'short' AS detail FROM t WHERE length(b) < 20
+UNION ALL SELECT 'multi_person', key, CASE b WHEN '2girls' THEN '2girls' WHEN '1girl,1boy' THEN '1girl+1boy' WHEN '2boys,2girls' THEN '2girls' ELSE '3boys' END
+  FROM t WHERE b IN ('2girls', '1girl,1boy', '3boys,multiple girls', '2boys,2girls')
+UNION ALL SELECT 'watermark_tags', key, CASE b WHEN 'comic,text' THEN 'text' ELSE 'watermark' END FROM t WHERE b IN ('watermark,logo', 'comic,text')
+UNION ALL SELECT 'multiple_views', key, 'comic' FROM t WHERE b = 'comic,text'"""
+)
+def caption_checks(spark, d):
+    return quality.caption_hits(_tagged(spark, d), "p_partkey", "body")
+
+
+SIZES = "(p_size * 40 + 100) AS width, ((p_partkey * 37) % 2000 + 60) AS height"
+
+
+def _sized(spark, d):
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("image"),
+        (F.col("p_size") * 40 + 100).cast("long").alias("width"),
+        (F.pmod(F.col("p_partkey") * 37, F.lit(2000)) + 60).alias("height"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS image, {SIZES} FROM part) SELECT image, width::BIGINT AS width, height, least(width, height) AS short_side FROM s WHERE least(width, height) < 768""")
+def low_resolution(spark, d):
+    return quality.small_images(_sized(spark, d))
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS image, {SIZES} FROM part), r AS (SELECT image, round_even(width / height, 3) AS aspect_ratio FROM s)
+SELECT image, aspect_ratio, CASE WHEN aspect_ratio < 0.4 THEN 'narrow' ELSE 'wide' END AS reason FROM r WHERE aspect_ratio < 0.4 OR aspect_ratio > 2.5"""
+)
+def extreme_aspect(spark, d):
+    return quality.odd_shapes(_sized(spark, d))
+
+
+def _part_boxes(spark, d):
+    x, y = F.pmod(F.col("p_partkey") * 13, F.lit(80)).cast("int"), F.pmod(F.col("p_partkey") * 29, F.lit(80)).cast("int")
+    b = geometry.box(x, y, x + 5 + F.pmod("p_partkey", F.lit(17)).cast("int"), y + 4 + F.col("p_size"))
+    label = F.concat(F.lit("l"), F.pmod("p_partkey", F.lit(3)))
+    score = F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / F.lit(10007.0)
+    return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("image"), F.col("p_partkey").alias("part"), label.alias("label"), b.alias("bbox"), score.alias("score"))
+
+
+BOXES = """b AS (SELECT p_partkey // 10 AS image, p_partkey AS part, 'l' || (p_partkey % 3) AS label, (p_partkey * 7919) % 10007 / 10007.0::DOUBLE AS score,
+  (p_partkey * 13) % 80 AS x1, (p_partkey * 29) % 80 AS y1, (p_partkey * 13) % 80 + 5 + p_partkey % 17 AS x2, (p_partkey * 29) % 80 + 4 + p_size AS y2 FROM part)"""
+INTER = "(greatest(0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0, least(a.y2, c.y2) - greatest(a.y1, c.y1)))"
+AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
+
+
+@query(
+    f"""WITH {BOXES}, q AS (SELECT a.image, a.part, c.part AS other, {INTER} AS i, {AREA.format('a')} AS u, {AREA.format('c')} AS w FROM b a JOIN b c ON a.image = c.image AND a.part < c.part)
+SELECT image, part, other, round(i / (u + w - i), 6) AS iou FROM q WHERE i > 0"""
+)
+def box_iou(spark, d):
+    b = _part_boxes(spark, d)
+    x, y = b.alias("x"), b.alias("y")
+    pairs = x.join(y, (F.col("x.image") == F.col("y.image")) & (F.col("x.part") < F.col("y.part")))
+    rows = pairs.select("x.image", "x.part", F.col("y.part").alias("other"), geometry.iou(F.col("x.bbox"), F.col("y.bbox")).alias("iou"))
+    return rows.where("iou > 0").withColumn("iou", F.round("iou", 6))
+
+
+def _people(spark, d):
+    return _part_boxes(spark, d).where("part % 5 = 0").select("image", F.pmod("part", F.lit(10)).cast("int").alias("person_id"), "bbox")
+
+
+MATCHES = f"""{BOXES}, c AS (SELECT *, (part % 10)::INT AS person_id FROM b WHERE part % 5 = 0),
+m AS (SELECT a.image, a.part, c.person_id, 0.4::DOUBLE * {INTER} / ({AREA.format('a')} + {AREA.format('c')} - {INTER})
+  + 0.3::DOUBLE * greatest(0, 1 - sqrt(((a.x1 + a.x2) / 2 - (c.x1 + c.x2) / 2) ** 2 + ((a.y1 + a.y2) / 2 - (c.y1 + c.y2) / 2) ** 2) / sqrt((c.x2 - c.x1) ** 2 + (c.y2 - c.y1) ** 2))
+  + 0.3::DOUBLE * {INTER} / {AREA.format('a')} AS score FROM b a JOIN c ON a.image = c.image)"""
+
+
+@query(f"""WITH {MATCHES} SELECT image, part, person_id, round(score, 6) AS score FROM m""")
+def box_scores(spark, d):
+    return boxes.box_matches(_part_boxes(spark, d), _people(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY image, part ORDER BY score DESC, person_id) AS place,
+  0.15 * CASE WHEN min(person_id) OVER (PARTITION BY image) <> max(person_id) OVER (PARTITION BY image) THEN 0.7 ELSE 1 END AS least_ FROM m)
+SELECT image, part, person_id, round(score, 6) AS score FROM r WHERE place = 1 AND score >= least_"""
+)
+def box_assign(spark, d):
+    return boxes.assign(boxes.box_matches(_part_boxes(spark, d), _people(spark, d))).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {BOXES}
+SELECT part, round_even((x1 + x2) / 2 - (x2 - x1) * 0.65 / 2, 0)::INT AS x1, round_even((y1 + y2) / 2 - (y2 - y1) * 0.65 / 2, 0)::INT AS y1,
+  greatest(round_even((x1 + x2) / 2 + (x2 - x1) * 0.65 / 2, 0)::INT, round_even((x1 + x2) / 2 - (x2 - x1) * 0.65 / 2, 0)::INT + 1) AS x2,
+  greatest(round_even((y1 + y2) / 2 + (y2 - y1) * 0.65 / 2, 0)::INT, round_even((y1 + y2) / 2 - (y2 - y1) * 0.65 / 2, 0)::INT + 1) AS y2 FROM b"""
+)
+def box_shrink(spark, d):
+    b = _part_boxes(spark, d).select("part", geometry.shrink(F.col("bbox"), 0.65).alias("s"))
+    return b.select("part", "s.*")
+
+
+@query()
+def box_nms(spark, d):
+    """Boxes that survive greedy suppression within image and label (no plain join expresses it)."""
+    return boxes.suppress(_part_boxes(spark, d), 0.3).select("image", "part", "label", "score")
+
+
+@query(
+    f"""WITH {BOXES}, a AS (SELECT image, part, (x2 - x1) * (y2 - y1) AS area, score FROM b), g AS (SELECT * FROM a WHERE area >= 100 * 100 * 0.02),
+r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY area DESC, score DESC) - 1 AS person_id FROM g)
+SELECT image, person_id::INT AS person_id, area FROM r WHERE person_id < 4
+UNION ALL SELECT DISTINCT image, 0, 10000 FROM b WHERE image NOT IN (SELECT image FROM g)"""
+)
+def persons(spark, d):
+    found = _part_boxes(spark, d)
+    images = found.select("image").distinct().select("image", F.lit(100).alias("width"), F.lit(100).alias("height"))
+    return boxes.persons(found, images, 0.02, 4).select("image", "person_id", "area")
+
+
+def _pixels(spark, d, offset: int, name: str):
+    key = F.col("p_partkey")
+    at = [
+        F.floor(key / 50).alias("image"),
+        F.pmod(key * (3 + offset), F.lit(11)).cast("int").alias("y"),
+        F.pmod(key * 7 + offset, F.lit(13)).cast("int").alias("x"),
+    ]
+    v = F.max((F.pmod(key + offset, F.lit(2)) * 155 + 100).cast("int")).alias("v")
+    return table(spark, d, "part").groupBy(*at).agg(v).withColumn("mask_id", F.lit(name))
+
+
+def _pixel_sql(offset: int, name: str) -> str:
+    return f"""{name} AS (SELECT p_partkey // 50 AS image, ((p_partkey * {3 + offset}) % 11)::INT AS y, ((p_partkey * 7 + {offset}) % 13)::INT AS x,
+  max(((p_partkey + {offset}) % 2 * 155 + 100)::INT) AS v FROM part GROUP BY 1, 2, 3)"""
+
+
+ALL = "k AS (SELECT image, y, x FROM a UNION SELECT image, y, x FROM m UNION SELECT image, y, x FROM i)"
+WIDE = f"""{_pixel_sql(0, 'a')}, {_pixel_sql(1, 'm')}, {_pixel_sql(2, 'i')}, {ALL},
+w AS (SELECT image, y, x, coalesce(a.v, 0) AS a, coalesce(m.v, 0) AS m, coalesce(i.v, 0) AS i
+  FROM k LEFT JOIN a USING (image, y, x) LEFT JOIN m USING (image, y, x) LEFT JOIN i USING (image, y, x))"""
+
+
+@query(f"""WITH {WIDE} SELECT image, y, x, greatest(a, m) AS v FROM w WHERE greatest(a, m) > 0""")
+def mask_union(spark, d):
+    both = _pixels(spark, d, 0, "a").unionByName(_pixels(spark, d, 1, "m"))
+    return masks.merge(both, "image", 2)
+
+
+@query(f"""WITH {WIDE} SELECT image, y, x, least(a, m) AS v FROM w WHERE least(a, m) > 0""")
+def mask_intersection(spark, d):
+    both = _pixels(spark, d, 0, "a").unionByName(_pixels(spark, d, 1, "m"))
+    return masks.merge(both, "image", 2, "intersection")
+
+
+@query(f"""WITH {WIDE}, f AS (SELECT image, y, x, greatest(a, CASE WHEN i > 127 THEN 0 ELSE m END) AS v FROM w) SELECT * FROM f WHERE v > 0""")
+def mask_layers(spark, d):
+    return masks.layered(*[_pixels(spark, d, k, n) for k, n in enumerate("ami")])
+
+
+@query(f"""WITH {WIDE}, f AS (SELECT image, y, x, CASE WHEN i > 127 THEN 0 ELSE m END AS v FROM w) SELECT * FROM f WHERE v > 0""")
+def mask_replace(spark, d):
+    return masks.layered(*[_pixels(spark, d, k, n) for k, n in enumerate("ami")], mode="replace")
+
+
+@query(f"""WITH {_pixel_sql(0, 'a')} SELECT image, count(*) FILTER (WHERE v > 127) AS pixels, round(count(*) FILTER (WHERE v > 127) / 143, 6) AS ratio FROM a GROUP BY image""")
+def mask_ratio(spark, d):
+    return masks.area_ratio(_pixels(spark, d, 0, "a"), "image", F.lit(143)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT DISTINCT image AS mask_id, y, x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x))
+SELECT mask_id, count(*) AS pixels FROM p GROUP BY 1""")
+def box_masks(spark, d):
+    b = _part_boxes(spark, d).select(F.col("image").alias("mask_id"), "bbox.*")
+    return masks.box_pixels(b).groupBy("mask_id").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query(
+    """SELECT p_partkey, '<tags>' || chr(10) || '  <general>' || p_type || ', ' || p_brand || '</general>' || chr(10)
+  || CASE WHEN p_size > 25 THEN '  <character>' || p_name || '</character>' || chr(10) ELSE '' END || '</tags>' AS xml FROM part"""
+)
+def xml_tags(spark, d):
+    none = F.array().cast("array<string>")
+    rows = table(spark, d, "part")
+    xml = text.tags_xml(F.array("p_type", "p_brand"), F.when(F.col("p_size") > 25, F.array("p_name")).otherwise(none), none, none)
+    return rows.select("p_partkey", xml.alias("xml"))
+
+
+@query("""SELECT p_partkey, array_to_string(CASE WHEN p_size > 25 THEN [p_brand, p_name, p_type] ELSE [p_name, p_type] END, ', ') AS text FROM part""")
+def tag_text(spark, d):
+    rating = F.when(F.col("p_size") > 25, F.col("p_brand"))
+    made = text.tag_text(rating, F.lit(None).cast("string"), F.array("p_name"), F.lit(None).cast("array<string>"), F.array("p_type"))
+    return table(spark, d, "part").select("p_partkey", made.alias("text"))
+
+
+@query(
+    r"""WITH f AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'danbooru_' || page_id || '.jpg' WHEN 1 THEN (1000000 + page_id) || '_p0.png' ELSE url END AS file FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN (1000000 + page_id)::VARCHAR END AS post_id FROM f"""
+)
+def post_ids(spark, d):
+    k = F.pmod("page_id", F.lit(3))
+    file = F.when(k == 0, F.concat(F.lit("danbooru_"), "page_id", F.lit(".jpg"))).when(k == 1, F.concat(F.col("page_id") + 1000000, F.lit("_p0.png"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", text.post_id(file).alias("post_id"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, list_distinct(list(role)) AS a, list_distinct(list(substr(text, 1, 5))) AS b FROM conversations GROUP BY conv_id)
+SELECT conv_id, list_sort(list_distinct(list_concat(a, b))) AS tags FROM t"""
+)
+def merge_tags(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("a"), F.collect_set(F.left("text", F.lit(5))).alias("b"))
+    return rows.select("conv_id", tags.merged(F.col("a"), F.col("b")).alias("tags"))
+
+
+@query("""SELECT n_regionkey AS image, list_sort(list_distinct(list(r_name || n_nationkey % 3))) AS ips FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def character_sources(spark, d):
+    characters = table(spark, d, "nation").select(F.col("n_regionkey").alias("image"), F.col("n_nationkey").alias("character"))
+    mapping = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    mapping = mapping.select(F.col("n_nationkey").alias("character"), F.concat("r_name", F.col("n_nationkey") % 3).alias("ip"))
+    return tags.sources_of(characters, mapping)
+
+
+@query(
+    r"""WITH n AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS m FROM documents),
+p AS (SELECT *, string_split(m, ', ') AS parts, list_transform(string_split(m, ', '), lambda s: list_filter(string_split(s, ' '), lambda w: w <> '')) AS ws FROM n),
+a AS (SELECT *, coalesce(list_position(list_transform(ws, lambda w: len(w) > 5), true), 0) AS k FROM p),
+c AS (SELECT *, CASE WHEN k > 0 THEN ws[k] END AS w FROM a),
+u AS (SELECT *, coalesce(list_position(list_transform(range(1, len(w) + 1), lambda j: j > 1 AND regexp_matches(w[j], '^\p{Lu}')), true), 0) AS j FROM c),
+r AS (SELECT doc_id, text, CASE WHEN k = 0 THEN array_to_string(parts, ', ') WHEN j > 0 AND len(w) - (j - 1) > 3 THEN array_to_string(list_append(parts[1:k - 1], array_to_string(w[1:j - 1], ' ')), ', ')
+    ELSE array_to_string(parts[1:k - 1], ', ') END AS tags,
+  CASE WHEN k = 0 THEN '' WHEN j > 0 AND len(w) - (j - 1) > 3 THEN array_to_string(list_prepend(array_to_string(w[j:], ' '), parts[k + 1:]), ', ')
+    ELSE array_to_string(parts[k:], ', ') END AS told FROM u),
+f AS (SELECT doc_id, text AS old, CASE WHEN tags <> '' AND told <> '' THEN tags || chr(10) || chr(10) || told ELSE tags || told END AS text FROM r)
+SELECT doc_id, text FROM f WHERE text <> old"""
+)
+def normal_format(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normal_format(F.col("text")).alias("text")).where("text IS NOT NULL")
+
+
+@query()
+def split_captions(spark, d):
+    """Tags and captions of texts that mix both (look-behind patterns, which the oracle's engine lacks)."""
+    s = text.split_caption(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", s.alias("s"))
+    return rows.select("doc_id", "s.tags_text", "s.caption_text", "s.mode", "s.confidence")
+
+
+@query()
+def split_report(spark, d):
+    return quality.split_summary(table(spark, d, "documents"), "text")
+
+
+@query(
+    """SELECT count(*) AS total_txt, count(*) FILTER (WHERE starts_with(trim(text), '```xml') AND ends_with(trim(text), '```')) AS ok,
+  count(*) FILTER (WHERE NOT (starts_with(trim(text), '```xml') AND ends_with(trim(text), '```'))) AS failed,
+  count(*) FILTER (WHERE contains(lower(text), 'license')) AS with_keyword FROM documents"""
+)
+def integrity_report(spark, d):
+    return quality.integrity_report(table(spark, d, "documents"), "text", ["license"])
+
+
+@query("""SELECT n_name AS name, n_regionkey IN (1, 3) AS has_mask, CASE WHEN n_regionkey IN (1, 3) THEN n_name || '_mask.png' END AS file FROM nation""")
+def auto_masks(spark, d):
+    n = table(spark, d, "nation")
+    bases = n.select(F.col("n_name").alias("base"))
+    files = n.where("n_regionkey IN (1, 3)").select(F.explode(F.array(F.concat("n_name", F.lit("_merged.png")), F.concat("n_name", F.lit("_mask.png")))).alias("file"))
+    found = pairing.first_candidate(bases, files, [".png", "_mask.png", "_merged.png"])
+    return found.select(F.col("base").alias("name"), F.col("file").isNotNull().alias("has_mask"), "file")
+
+
+@query(
+    """SELECT n_name AS image, max(CASE WHEN r_name < 'B' THEN r_name || n_nationkey END) AS auto, max(CASE WHEN n_nationkey % 2 = 0 THEN r_name END) AS manual
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"""
+)
+def layer_files(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    auto = n.where("r_name < 'B'").select(F.col("n_name").alias("image"), F.lit("auto").alias("layer"), F.concat("r_name", "n_nationkey").alias("file"))
+    manual = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("image"), F.lit("manual").alias("layer"), F.col("r_name").alias("file"))
+    return pairing.layers(n.select(F.col("n_name").alias("image")), auto.unionByName(manual), ["auto", "manual"])
+
+
+@query(
+    """SELECT doc_id AS key, CASE WHEN b > g AND b >= 0.5 THEN 'male' ELSE 'female' END AS gender,
+  CASE WHEN b > g AND b >= 0.5 THEN b WHEN g >= 0.5 THEN g ELSE greatest(0.5, g) END AS confidence
+FROM (SELECT doc_id, quality * 0.75::DOUBLE AS b, toxic * 0.9::DOUBLE AS g FROM labels)"""
+)
+def gender_rule(spark, d):
+    row = lambda t, c: table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.lit(t).alias("tag"), c.alias("probability"))
+    both = row("1boy", F.col("quality") * 0.75).unionByName(row("1girl", F.col("toxic") * 0.9))
+    return boxes.gender(both, ["1girl"], ["1boy"])
+
+
+@query(
+    """WITH p AS (SELECT p_partkey // 10 AS image, (p_partkey % 10)::INT AS person_id, CASE WHEN p_size % 3 = 0 THEN 'male' WHEN p_size % 3 = 1 THEN 'Female ' ELSE 'robot' END AS gender, p_size FROM part),
+h AS (SELECT *, CASE WHEN p_size % 4 = 0 THEN [] WHEN p_size % 4 = 1 THEN ['face'] ELSE ['face', 'hand'] END AS have FROM p)
+SELECT image, person_id, unnest(CASE WHEN gender = 'male' THEN CASE WHEN len(have) = 0 THEN ['person_bbox'] ELSE have END
+  WHEN list_contains(have, 'hand') THEN ['hand'] WHEN len(have) > 0 THEN have ELSE ['person_bbox'] END) AS part FROM h"""
+)
+def strategies(spark, d):
+    p = table(spark, d, "part").select(
+        F.floor(F.col("p_partkey") / 10).alias("image"),
+        F.pmod("p_partkey", F.lit(10)).cast("int").alias("person_id"),
+        F.element_at(F.array(F.lit("male"), F.lit("Female "), F.lit("robot")), F.col("p_size") % 3 + 1).alias("gender"),
+        "p_size",
+    )
+    have = F.when(F.col("p_size") % 4 == 1, F.array(F.lit("face"))).when(F.col("p_size") % 4 > 1, F.array(F.lit("face"), F.lit("hand")))
+    parts = p.select("image", "person_id", F.explode(have).alias("part"))
+    return boxes.apply_strategy(p, parts, {"male": ("full_body", []), "female": ("custom", ["hand", "neck"])})
+
+
+@query(
+    """SELECT l_orderkey AS image, count(*) FILTER (WHERE l_returnflag = 'R') AS total_parts_detected, 7 AS total_parts_enabled,
+  round_even(count(*) FILTER (WHERE l_returnflag = 'R') * 100 / 7, 2) AS detection_rate_percent,
+  coalesce(sum(CASE WHEN l_returnflag = 'R' THEN l_partkey END), 0)::BIGINT AS total_mask_pixels,
+  round_even(coalesce(sum(CASE WHEN l_returnflag = 'R' THEN l_partkey END), 0) * 100 / 1000000, 4) AS total_mask_ratio_percent FROM lineitem GROUP BY 1"""
+)
+def part_statistics(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("image"), (F.col("l_returnflag") == "R").alias("has_detection"), F.col("l_partkey").alias("mask_pixels"), F.lit(1000).alias("width"), F.lit(1000).alias("height")
+    )
+    return boxes.statistics(rows, 7)
+
+
+@query("""SELECT p_partkey, lower(trim(p_brand)) IN ('brand#11', 'brand#12') OR p_size % 2 = 0 AS truthy FROM part""")
+def truthy(spark, d):
+    value = F.when(F.lower("p_brand").isin("brand#11", "brand#12"), F.lit(" Yes ")).when(F.col("p_size") % 2 == 0, F.lit("ON")).otherwise(F.lit("0"))
+    return table(spark, d, "part").select("p_partkey", text.truthy(value).alias("truthy"))
+
+
+# Extensions that the reference does not have: ordinary SQL over the star schema and the event table.
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"""
+)
+def ext_pricing(spark, d):
+    rows = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), revenue.alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT r_name, o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, o_orderpriority)"""
+)
+def ext_rollup(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return o.rollup("r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    """SELECT event_id, user_id, row_number() OVER w AS n, round(sum(value) OVER w, 4) AS running, lag(event_type) OVER w AS before
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def ext_windows(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    run = F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4)
+    return table(spark, d, "events").select("event_id", "user_id", F.row_number().over(w).alias("n"), run.alias("running"), F.lag("event_type").over(w).alias("before"))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def ext_hourly(spark, d):
+    return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
