@@ -103,7 +103,6 @@ class _Join:
         classes = classes.select("digest", "class_id", "n", "prefix", group)
         leads = F.col("class_id") == F.col("group_id")
         self.classes = save(classes.withColumn("prefix", F.when(leads, F.col("prefix"))), "classes")
-        self.verified = 0
 
     def alike(self, a: Column, b: Column, an: Column, bn: Column) -> Column:
         """Whether groups that meet at places a and b of their prefixes can be similar enough."""
@@ -117,35 +116,59 @@ class _Join:
         counted = all_rows.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token")))
         return self.scratch.save(counted.where("groups > 1").drop("groups"), "postings")
 
+    def plausible(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Distinct pairs (a, b) of classes whose groups share enough of their prefixes.
+
+        Whichever prefix ends first in the common order, what lies beyond it in its set bounds
+        the rest of the intersection.
+        """
+        pairs = self.scratch.save(pairs.distinct(), f"{name}-candidates")
+        few = pairs.count() <= BROADCAST_ROWS
+        some = F.broadcast(pairs) if few else pairs
+        lead = self.classes.where("prefix IS NOT NULL").select("group_id", "n", "prefix")
+        of = self.classes.select("class_id", "group_id")
+        needed = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
+        groups = of.join(F.broadcast(needed) if few else needed, "class_id")
+        known = self.scratch.save(lead.join(F.broadcast(groups) if few else groups, "group_id").select("class_id", "n", "prefix"), f"{name}-prefixes")
+        x, y = [known.select(F.col("class_id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab"]
+        common = F.size(F.array_intersect("pa", "pb"))
+        rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        need = _ceil_share(F.col("na") + F.col("nb"), self.num, self.num + self.den)
+        kept = x.join(some, "a").join(y, "b").where(common + rest >= need).select("a", "b").distinct()
+        kept = self.scratch.save(kept, f"{name}-pairs")
+        self.scratch.drop(f"{name}-candidates", f"{name}-prefixes")
+        return kept
+
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of classes that are links, by their whole sets."""
-        pairs = self.scratch.save(pairs.distinct(), f"{name}-pairs")
-        count = pairs.count()
-        self.verified += count
+        pairs = self.plausible(pairs, name)
+        few = pairs.count() <= BROADCAST_ROWS
+        some = F.broadcast(pairs) if few else pairs
         needed = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-        needed = self.scratch.save(needed.join(self.classes.select("class_id", "digest"), "class_id"), f"{name}-needed")
-        small = needed.count() <= BROADCAST_ROWS
-        sets = self.scratch.save(_sets(self.docs, F.broadcast(needed) if small else needed, self.width), f"{name}-sets")
+        of = self.classes.select("class_id", "digest")
+        needed = self.scratch.save(of.join(F.broadcast(needed) if few else needed, "class_id"), f"{name}-needed")
+        sets = self.scratch.save(_sets(self.docs, F.broadcast(needed) if few else needed, self.width), f"{name}-sets")
         left = sets.select(F.col("class_id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("class_id").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
-        links = pairs.join(left, "a").join(right, "b").where(self.den * both >= self.num * union).select("a", "b").distinct()
+        links = left.join(some, "a").join(right, "b").where(self.den * both >= self.num * union).select("a", "b").distinct()
         links = self.scratch.save(links, f"{name}-links")
         self.scratch.drop(f"{name}-sets", f"{name}-needed", f"{name}-pairs")
         return links
 
     def run(self) -> DataFrame:
-        """(class_id, component_id) of the classes that have a link to another."""
+        """(node, component) of the classes that have a link to another."""
         save = self.scratch.save
         postings = self.postings()
         degree = postings.groupBy("group_id").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = save(postings.join(degree, "group_id"), "ranked")
+        ranked = postings.join(degree, "group_id")
         as_hub = [F.col(c).alias(f"hub_{c}") for c in ("degree", "group_id", "n", "place")]
         hub = ranked.groupBy("token").agg(F.max(F.struct(*as_hub)).alias("h")).select("token", "h.*")
-        met = ranked.join(hub, "token").where("group_id <> hub_group_id")
+        met = postings.join(hub, "token").where("group_id <> hub_group_id")
         met = met.where(self.alike(F.col("place"), F.col("hub_place"), F.col("n"), F.col("hub_n")))
-        first = met.groupBy("group_id").agg(F.max(F.struct("hub_degree", "hub_group_id")).alias("h"))
+        met = met.groupBy("group_id", "hub_group_id").agg(F.count(F.lit(1)).alias("shared"))
+        first = met.groupBy("group_id").agg(F.max(F.struct("shared", "hub_group_id")).alias("h"))
         first = first.select(F.col("group_id").alias("a"), F.col("h.hub_group_id").alias("b"))
         within = self.classes.where("class_id <> group_id").select(F.col("class_id").alias("a"), F.col("group_id").alias("b"))
         links = self.verify(first.unionByName(within), "first")
