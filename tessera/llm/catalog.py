@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, quality, token_counts
+from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, quality, substrings, token_counts, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.query,
     "op2_token_counts": token_counts.query,
+    "op3_substring_dedup": substrings.query,
     "op4_mix_sources": mixing.query,
+    "op5_url_lists": url_lists.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_language_id": langid.query,
     "op8_quality_rules": quality.query,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_round_trip": bpe.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_url_lists": url_lists.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
