@@ -174,130 +174,6 @@ def without_prefix(c: Column) -> Column:
     return strip(F.regexp_replace(strip(c), r"(?iU)^caption\s*:\s*", ""))
 
 
-_STARTER = rf"(?<=[,\s])(?=(?:{'|'.join(vocab.CAPTION_STARTERS)})\b)"
-_VERB = rf"(?iU)\b(?:{'|'.join(vocab.CAPTION_VERBS)})\b"
-#: Up to the last comma or space before the first sentence mark after such a separator.
-_CJK_HEAD = "(?s)^(.[^，, ]*[，, ](?:[^。！？]*[，, ])?)[^，, 。！？]*[。！？]"
-
-
-def caption_boundary(merged: Column) -> Column:
-    """struct(at, confidence): characters of ``merged`` (one line, trimmed) before its caption; null if none.
-
-    In Chinese text the caption starts after the last comma or space before a sentence mark, if
-    5 words or 20 characters follow. Else at the last opening word before the first period that
-    8 words follow from (high), or at the first opening word if 12 words and a verb follow.
-    """
-    head = F.regexp_extract(merged, _CJK_HEAD, 1)
-    tail = strip(F.substr(merged, F.char_length(head) + 1))
-    chinese = F.when((head != "") & ((word_count(tail) >= 5) | (F.char_length(tail) >= 20)), F.char_length(head))
-
-    def starts(c: Column) -> Column:
-        """Characters before each opening word."""
-        parts = F.split(c, _STARTER)
-        sizes = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.char_length)
-        return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda s, n: s + n))
-
-    from_here = lambda at: strip(F.substr(merged, at + 1))
-    period = F.locate(".", merged)
-    early = F.filter(starts(F.left(merged, period - 1)), lambda at: word_count(from_here(at)) >= 8)
-    high = F.when(period > 1, F.get(early, F.size(early) - 1))
-    first = F.get(starts(merged), 0)
-    medium = F.when((word_count(from_here(first)) >= 12) & from_here(first).rlike(_VERB), first)
-    at = F.when(is_cjk(merged), chinese).otherwise(F.coalesce(high, medium))
-    sure = F.when(is_cjk(merged) | high.isNotNull(), "high").otherwise("medium")
-    return F.when(at.isNotNull(), F.struct(at.alias("at"), sure.alias("confidence")))
-
-
-def split_caption(c: Column) -> Column:
-    """struct(tags_text, caption_text, mode, confidence, warnings) of a text that mixes tags and a caption.
-
-    Modes: empty; explicit_prefix (``caption:``); boundary_split; newline_split (a last paragraph
-    with Chinese or sentence marks); tags_only.
-    """
-
-    def made(tags: Column, caption: Column, mode: str, sure, warnings: Sequence[str] = ()) -> Column:
-        return F.struct(
-            tags.alias("tags_text"),
-            caption.alias("caption_text"),
-            F.lit(mode).alias("mode"),
-            (sure if isinstance(sure, Column) else F.lit(sure)).alias("confidence"),
-            literals(warnings).alias("warnings"),
-        )
-
-    text = line_ends(c)
-    merged = one_line(text)
-    before = F.regexp_extract(text, r"(?isU)^(.*?)caption\s*:", 1)
-    explicit = made(strip_commas(strip(before)), without_prefix(F.substr(text, F.char_length(before) + 1)), "explicit_prefix", "high")
-
-    found = caption_boundary(merged)
-    tags = strip_commas(strip(F.left(merged, found["at"])))
-    chunk = strip(F.element_at(F.split(tags, ","), -1))
-    kept = F.regexp_extract(tags, "(?s)^(.+),[^,]*$", 1)
-    move = (kept != "") & (word_count(chunk) > 6)
-    caption = strip(F.substr(merged, found["at"] + 1))
-    boundary = made(
-        F.when(move, strip_commas(strip(kept))).otherwise(tags),
-        without_prefix(F.when(move, F.concat(chunk, F.lit(" "), caption)).otherwise(caption)),
-        "boundary_split",
-        found["confidence"],
-    )
-    paragraphs = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda p: p != "")
-    last = F.element_at(paragraphs, -1)
-    newline = made(
-        strip(F.array_join(F.slice(paragraphs, 1, F.greatest(F.size(paragraphs) - 1, F.lit(0))), " ")),
-        without_prefix(last),
-        "newline_split",
-        "medium",
-        ["split by double newline, last block has sentence punctuation"],
-    )
-    two = F.contains(text, F.lit("\n\n")) & (F.size(paragraphs) >= 2) & (is_cjk(last) | last.rlike("[.!?。！？]"))
-    only = made(merged, F.lit(""), "tags_only", "low", ["no caption boundary found, treated as tags-only"])
-    return (
-        F.when(F.coalesce(strip(c) == "", F.lit(True)), made(F.lit(""), F.lit(""), "empty", "high"))
-        .when(text.rlike(r"(?iU)caption\s*:"), explicit)
-        .when(found.isNotNull(), boundary)
-        .when(two, newline)
-        .otherwise(only)
-    )
-
-
-def normal_format(c: Column) -> Column:
-    """Tags, a blank line and the description, from one text that holds both; null if it is so already.
-
-    ``caption:`` opens the description. Else it opens in the first part between ``, `` of more than
-    5 words: at its first capitalised word but the first if over 3 words are left from there, or
-    at the part's start.
-    """
-    merged = one_line(line_ends(c))
-    before = F.regexp_extract(merged, r"(?isU)^(.*?)caption\s*:", 1)
-    marked = merged.rlike(r"(?iU)caption\s*:")
-
-    parts = F.split(merged, ", ")
-    long_at = F.array_position(F.transform(parts, lambda p: word_count(p) > 5), F.lit(True))
-    inside = words(F.get(parts, (long_at - 1).cast("int")))
-    capital = F.array_position(F.transform(inside, lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}")), F.lit(True))
-    cut = (capital > 0) & (F.size(inside) - (capital - 1) > 3)
-    early = F.slice(parts, 1, F.greatest(long_at - 1, F.lit(0)).cast("int"))
-    later = F.slice(parts, F.greatest(long_at + 1, F.lit(1)).cast("int"), F.size(parts))
-    opening = F.array_join(F.slice(inside, 1, F.greatest(capital - 1, F.lit(0)).cast("int")), " ")
-    closing = F.array_join(F.slice(inside, F.greatest(capital, F.lit(1)).cast("int"), F.size(inside)), " ")
-    whole = F.slice(parts, F.greatest(long_at, F.lit(1)).cast("int"), F.size(parts))
-    tags = (
-        F.when(marked, strip(before))
-        .when(long_at == 0, F.array_join(parts, ", "))
-        .when(cut, F.array_join(F.concat(early, F.array(opening)), ", "))
-        .otherwise(F.array_join(early, ", "))
-    )
-    described = (
-        F.when(marked, strip(F.substr(merged, F.char_length(before) + 1)))
-        .when(long_at == 0, F.lit(""))
-        .when(cut, F.array_join(F.concat(F.array(closing), later), ", "))
-        .otherwise(F.array_join(whole, ", "))
-    )
-    joined = F.when((tags != "") & (described != ""), F.concat(tags, F.lit("\n\n"), described)).otherwise(F.concat(tags, described))
-    return F.when(joined != c, joined)
-
-
 # Names
 
 
@@ -361,16 +237,15 @@ def tag_text(rating: Column, quality: Column, character: Column, copyright_: Col
 
 def chat_text(c: Column) -> Column:
     """The text of a chat service's JSON answer, from the first place that holds any; else the answer itself."""
-    json = lambda path: F.get_json_object(c, path)
+    answer = F.try_parse_json(c)
 
     def is_text(path: str) -> Column:
         """The value if it is a JSON string."""
-        parent, _, name = path.rpartition(".")
-        kind = F.from_json(F.when(parent == "$", c).otherwise(json(parent)) if parent == "$" else json(parent), "map<string,string>")
-        return F.when(kind[name].isNotNull() & ~kind[name].rlike(r"^\s*[\[{]"), json(path))
+        found = F.try_variant_get(answer, path, "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(answer, path, "string"))
 
     def parts(path: str, typed: bool) -> Column:
-        items = F.from_json(json(path), "array<struct<type:string,text:string>>")
+        items = F.try_variant_get(answer, path, "array<struct<type:string,text:string>>")
         good = F.filter(items, lambda p: p["text"].isNotNull() & ((p["type"] == "text") if typed else F.lit(True)))
         return F.when(F.size(good) > 0, F.array_join(F.transform(good, lambda p: p["text"]), "\n"))
 

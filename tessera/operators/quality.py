@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions import captions as caption_rules
 from ..functions import text
 from . import tags
 
@@ -119,7 +120,7 @@ def summary(hits: DataFrame, totals: DataFrame) -> DataFrame:
 def health(checks: DataFrame) -> DataFrame:
     """One row: health_score in [0, 100] and total_issues of high and critical checks."""
     weight = F.create_map(*[F.lit(x) for k, v in vocab.SEVERITY_WEIGHTS.items() for x in (k, float(v))])
-    share = F.least(F.col("count") / F.nullif(F.col("total_checked"), F.lit(0)), F.lit(1.0))
+    share = F.when(F.col("total_checked") > 0, F.least(F.col("count") / F.col("total_checked"), F.lit(1.0)))
     lost = F.coalesce(F.sum(weight[F.col("severity")] * share), F.lit(0.0))
     grave = F.sum(F.when(F.col("severity").isin("high", "critical"), F.col("count")).otherwise(0))
     return checks.agg(
@@ -155,7 +156,7 @@ def status_fold(statuses: DataFrame, column: str, mark: str = "✅") -> DataFram
 
 def split_summary(texts: DataFrame, body: str) -> DataFrame:
     """Texts by mode and confidence of the caption split, with those that have tags and a caption."""
-    s = texts.select(text.split_caption(F.coalesce(F.col(body), F.lit(""))).alias("s"))
+    s = texts.select(caption_rules.split_caption(F.col(body)).alias("s"))
     return s.groupBy("s.mode", "s.confidence").agg(
         F.count(F.lit(1)).alias("texts"), F.count_if(F.col("s.tags_text") != "").alias("with_tags"), F.count_if(F.col("s.caption_text") != "").alias("with_caption")
     )

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, text
+from ..functions import captions, geometry, text
 from ..operators import boxes, masks, neighbors, pairing, quality, scores, tags
 from ..sources.tables import table
 
@@ -210,7 +210,7 @@ def extension_histogram(spark, d):
 
 
 @query(
-    """SELECT doc_id::VARCHAR AS stem, min(doc_id::VARCHAR || CASE WHEN quality = 1 THEN '.png' ELSE '.jpg' END) AS image
+    """SELECT doc_id::VARCHAR AS stem, min(doc_id::VARCHAR || CASE quality WHEN 1 THEN '.png' WHEN 0 THEN '.jpg' END) AS image
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"""
 )
 def caption_images(spark, d):
@@ -248,8 +248,8 @@ def tag_translate(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT p_type AS tag, p_name || ',x' AS alias, p_partkey AS at FROM part)
-SELECT tag, arg_max(trim(string_split(alias, ',')[1]), at) AS alias FROM r GROUP BY tag"""
+    """WITH r AS (SELECT p_type AS tag, p_name || ',x' AS alias, p_partkey AS place FROM part)
+SELECT tag, arg_max(trim(string_split(alias, ',')[1]), place) AS alias FROM r GROUP BY tag"""
 )
 def alias_dictionary(spark, d):
     rows = table(spark, d, "part").select(F.col("p_type").alias("tag"), F.concat("p_name", F.lit(",x")).alias("alias"), F.col("p_partkey").alias("at"))
@@ -631,13 +631,13 @@ f AS (SELECT doc_id, text AS old, CASE WHEN tags <> '' AND told <> '' THEN tags
 SELECT doc_id, text FROM f WHERE text <> old"""
 )
 def normal_format(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normal_format(F.col("text")).alias("text")).where("text IS NOT NULL")
+    return table(spark, d, "documents").select("doc_id", captions.normal_format(F.col("text")).alias("text")).where("text IS NOT NULL")
 
 
 @query()
 def split_captions(spark, d):
     """Tags and captions of texts that mix both (look-behind patterns, which the oracle's engine lacks)."""
-    s = text.split_caption(F.col("text"))
+    s = captions.split_caption(F.col("text"))
     rows = table(spark, d, "documents").select("doc_id", s.alias("s"))
     return rows.select("doc_id", "s.tags_text", "s.caption_text", "s.mode", "s.confidence")
 
