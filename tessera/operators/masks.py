@@ -313,3 +313,53 @@ def regions(rasters: DataFrame, least: int = 3) -> DataFrame:
     return rasters.select("mask_id", "width", "height", "raster").mapInPandas(
         run, f"mask_id {kind}, region int, x1 int, y1 int, x2 int, y2 int, area int"
     )
+
+
+def combine(drawn: DataFrame, existing: DataFrame, operation: str = "union") -> DataFrame:
+    """A mask from an annotation with an existing one, both (image, y, x, v).
+
+    ``json_only`` and ``mask_only`` take one side; any other word but ``intersection`` is a union.
+    """
+    if operation in ("json_only", "mask_only"):
+        return (drawn if operation == "json_only" else existing).select("image", "y", "x", "v")
+    both = drawn.select("image", "y", "x", "v", F.lit("drawn").alias("mask_id")).unionByName(
+        existing.select("image", "y", "x", "v", F.lit("existing").alias("mask_id"))
+    )
+    return merge(both, "image", 2, "intersection" if operation == "intersection" else "union")
+
+
+def resize(values: np.ndarray, width: int, height: int, nearest: bool = False) -> np.ndarray:
+    """An array at another size, by pixel centres; bilinear unless ``nearest``."""
+    h, w = values.shape
+    y, x = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
+    if nearest:
+        rows, cols = (np.arange(height) * h // height), (np.arange(width) * w // width)
+        return values[np.ix_(rows, cols)]
+    y, x = y.clip(0, h - 1), x.clip(0, w - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    v = values.astype(float)
+    top = v[np.ix_(y0, x0)] * (1 - fx) + v[np.ix_(y0, x1)] * fx
+    low = v[np.ix_(y1, x0)] * (1 - fx) + v[np.ix_(y1, x1)] * fx
+    return top * (1 - fy) + low * fy
+
+
+def from_probabilities(values: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A mask of where a segmentation, brought to the image's size, exceeds a half."""
+    return np.where(resize(values, width, height) > 0.5, 255, 0).astype(np.uint8)
+
+
+def postprocess(mask: np.ndarray, close: int = 0, open_: int = 0, grow: int = 0, blur: int = 0, min_share: float = 0.0, max_share: float | None = None, min_side: int = 0, max_aspect: float | None = None) -> np.ndarray:
+    """A part's chain: regions by shares of the image, closing and opening, growth, smoothing."""
+    size = mask.size
+    most = None if max_share is None else max_share * size
+    mask = keep_regions(mask, min_share * size, most, min_side, min_side, max_aspect)
+    return smooth(dilate(close_open(mask, close, open_), grow), blur)
+
+
+def paint(image: np.ndarray, mask: np.ndarray, colour: Sequence[int] = (0, 0, 0)) -> np.ndarray:
+    """A copy of an image (height, width, 3) with the covered pixels in one colour."""
+    out = image.copy()
+    out[mask > COVERED] = colour
+    return out

@@ -241,3 +241,21 @@ def test_plans(spark):
     assert rows(actions.retry_refused(refused, images)) == [("c.png", "again/c.png", "move"), ("c.txt", None, "delete")]
     exported = rows(actions.split_export(captions, images, "set"))
     assert exported == [("set-caption", "b2.txt", "A cat.", "b2.png"), ("set-tag", "b2.txt", "tag one, tag", "b2.png"), ("set-tag", "c.txt", "only, tags", "c.png")]
+
+
+def test_combining_resizing_and_painting(spark):
+    kind = "image string, y int, x int, v int"
+    a, b_ = spark.createDataFrame([("i", 0, 0, 255), ("i", 0, 1, 255)], kind), spark.createDataFrame([("i", 0, 1, 255), ("i", 2, 2, 255)], kind)
+    count = lambda op: masks.combine(a, b_, op).count()
+    assert [count(op) for op in ("union", "intersection", "json_only", "mask_only", "whatever")] == [3, 1, 2, 2, 3]
+    small = np.array([[0, 255], [255, 0]], np.uint8)
+    assert np.array_equal(masks.resize(small, 4, 4, nearest=True), np.kron(small, np.ones((2, 2), np.uint8)))
+    assert np.allclose(masks.resize(small, 2, 2), small)
+    assert masks.from_probabilities(np.array([[0.9, 0.1]]), 4, 1).tolist() == [[255, 255, 0, 0]]
+    noisy = np.zeros((30, 30), np.uint8)
+    noisy[5:20, 5:20] = 255
+    noisy[10, 10], noisy[28, 28] = 0, 255
+    done = masks.postprocess(noisy, close=3, grow=3, min_share=0.01)
+    assert done[10, 10] == 255 and done[28, 28] == 0 and done.sum() > 225 * 255
+    image = np.ones((30, 30, 3), np.uint8)
+    assert (masks.paint(image, noisy, (9, 8, 7))[6, 6] == (9, 8, 7)).all() and image[6, 6, 0] == 1
