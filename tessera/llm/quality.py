@@ -20,8 +20,8 @@ BUCKETS = 1 << 16
 TRUSTED_ROWS = 16384
 #: Mean log ratio below which a document is rejected.
 THRESHOLD = -0.5
-#: Added to each bucket's count.
-SMOOTHING = 0.5
+#: Added to each bucket's two counts, so that n-grams of a few documents weigh little.
+SMOOTHING = 10.0
 #: Letters and digits, or a run of other visible characters.
 PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 #: The base rules.
@@ -93,10 +93,11 @@ def _grams(h: Column) -> Column:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row ``weights array<double>``: log(trusted / raw) of each bucket.
+    """One row ``weights array<double>``: log of trusted by raw probability of each bucket.
 
     The raw counts cover all rows of ``docs``. Trusted are those labelled quality 1, TRUSTED_ROWS
-    at most. Without any, all weights are 0.
+    at most; their counts are scaled to the raw total before both are smoothed alike. Without
+    any, all weights are 0.
     """
     trusted = (
         labels.where("quality = 1 AND doc_id IS NOT NULL")
@@ -118,10 +119,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     packed = table.agg(
         F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("rows")
     )
-    share = lambda n, of: (n + F.lit(SMOOTHING)) / (of + F.lit(SMOOTHING * BUCKETS))
-    weight = F.transform(
-        "rows", lambda x: F.log(share(x["good"], F.col("all_good")) / share(x["raw"], F.col("all_raw")))
-    )
+    scale = F.col("all_raw") / F.nullif(F.col("all_good"), F.lit(0))
+    weight = F.transform("rows", lambda x: F.log((x["good"] * scale + F.lit(SMOOTHING)) / (x["raw"] + F.lit(SMOOTHING))))
     nothing = F.array_repeat(F.lit(0.0), BUCKETS)
     return packed.select(F.when(F.col("all_good") > 0, weight).otherwise(nothing).alias("weights"))
 
@@ -142,19 +141,25 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, threshold: flo
     return a.withColumn("llr", llr).drop("_h", "_b").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
+def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as the struct ``_row``, doc_id, the base counts, base_failed, llr and kept."""
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    model = Scratch(spark, "quality").save(fit(spark, packed, labels), "model")
+    return score(spark, base_counts(packed), model)
+
+
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the base counts, base_failed, llr and kept; the model is fitted on ``docs`` themselves.
+    """doc_id, the base counts, base_failed, llr and kept; the model is fitted on ``docs`` themselves.
 
-    One row for each row. Null or empty text has no words and so fails; an empty table gives no rows.
+    One row for each row. Null or empty text has no words and so fails; an empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
-    model = Scratch(spark, "quality").save(fit(spark, docs, labels), "model")
-    return score(spark, base_counts(docs), model)
+    return _judged(spark, docs, labels).drop("_row", "text")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    return judge(spark, packed, labels).where("kept").select("_row.*")
+    return _judged(spark, docs, labels).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_quality_against_plain_version(spark):
             raw[b] += 1
             good[b] += i < 20
     s = quality.SMOOTHING
-    weights = np.log((good + s) / (good.sum() + s * quality.BUCKETS)) - np.log((raw + s) / (raw.sum() + s * quality.BUCKETS))
+    weights = np.log((good * raw.sum() / good.sum() + s) / (raw + s))
     by = {}
     for i, t, _ in rows:
         by[i] = t
