@@ -99,8 +99,9 @@ class _Join:
         best = F.min(F.struct("doc_id", "n", "alike", "prefix")).alias("best")
         classes = self.texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(best)
         classes = classes.select("digest", F.col("best.doc_id").alias("class_id"), "best.n", "best.alike", "best.prefix")
-        group = F.min("class_id").over(Window.partitionBy("alike")).alias("group_id")
-        classes = classes.select("digest", "class_id", "n", "prefix", group)
+        same = Window.partitionBy("alike")
+        group, several = F.min("class_id").over(same).alias("group_id"), (F.count(F.lit(1)).over(same) > 1).alias("several")
+        classes = classes.select("digest", "class_id", "n", "prefix", group, several)
         leads = F.col("class_id") == F.col("group_id")
         self.classes = save(classes.withColumn("prefix", F.when(leads, F.col("prefix"))), "classes")
 
@@ -111,10 +112,14 @@ class _Join:
         return (self.den * F.least(an, bn) >= self.num * F.greatest(an, bn)) & (reach >= need)
 
     def postings(self) -> DataFrame:
-        """(token, group_id, n, place) of prefix shingles that two groups or more share."""
-        all_rows = self.classes.where("prefix IS NOT NULL").select("group_id", "n", F.posexplode("prefix").alias("place", "token"))
+        """(token, group_id, n, place) of prefix shingles that two groups or more share.
+
+        The first one of a group of several classes stays too: there its own classes meet each
+        other, which ``alike`` lets pass at place 0 but not always at a later one.
+        """
+        all_rows = self.classes.where("prefix IS NOT NULL").select("group_id", "n", "several", F.posexplode("prefix").alias("place", "token"))
         counted = all_rows.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token")))
-        return self.scratch.save(counted.where("groups > 1").drop("groups"), "postings")
+        return self.scratch.save(counted.where("groups > 1 OR (several AND place = 0)").drop("groups", "several"), "postings")
 
     def plausible(self, pairs: DataFrame, name: str) -> DataFrame:
         """Distinct pairs (a, b) of classes whose groups share enough of their prefixes.

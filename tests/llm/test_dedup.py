@@ -99,6 +99,22 @@ def test_join_finds_the_components(spark, width, num, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows) + 3
 
 
+def test_join_links_within_a_group_beside_its_lead(spark):
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(40)]
+        middle, last = [*base[:19], "m", *base[20:]], [*base[:-1], "l"]
+        rows += [(100 * g, " ".join(middle)), (100 * g + 1, " ".join(base)), (100 * g + 2, " ".join(last))]
+        # What differs is frequent elsewhere, so the three have the same prefix, which no other text has.
+        for k in range(6):
+            own = [f"g{g}x{k}y{j}" for j in range(120)]
+            rows.append((100 * g + 10 + k, " ".join([*own[:60], *base[16:24], *own[60:], *middle[16:24], "z", *base[-4:], "z", *last[-4:]])))
+    want = brute(rows, 3, 90, 100)
+    assert all(want[100 * g][1] == 100 * g and want[100 * g + 2][1] == 100 * g + 1 for g in range(4))
+    got = ngram_join.components(spark, frame(spark, rows), 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_one_of_each(spark):
     rows = corpus(4)
     docs = frame(spark, rows)
