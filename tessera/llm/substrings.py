@@ -1,10 +1,13 @@
-"""Substring dedup by content-defined chunks.
+"""Substring dedup by word grams that are compared exactly wherever two documents may share one.
 
-A gear hash rolls over each text's bytes (32 bytes long); a word end whose hash is the least
-within REACH words on both sides ends a chunk. So a boundary depends on nearby text alone: an
-insertion moves no boundary but those beside it, and a passage is cut alike wherever it stands.
-Chunks are deduplicated by digest across documents, and neighbouring chunks that other
-documents hold too are joined to passages.
+Every gram of ``least_words`` words has a mark, the least hash of the shorter grams within it, so
+equal grams have equal marks, and neighbouring grams mostly have the same. Marks that two
+documents have are gathered in a bitmap of a size by their count; grams whose mark is in it are
+compared by their own hashes, and grams that other documents hold too are joined to passages.
+No passage depends on what surrounds it, on the length of its words or on a period.
+
+``_cut`` ends content-defined chunks: a gear hash rolls over a text's bytes (32 bytes long); a word
+end whose hash is the least within REACH words on both sides ends a chunk.
 """
 
 from __future__ import annotations
@@ -16,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import BLOCK, _splitmix, mixed, span_hashes
+from .pieces import BLOCK, _grow, _splitmix, mixed, span_hashes
 from .shared import Scratch, read_table
 from .shingles import _IS_SPACE
 
 #: Words on each side among which a boundary's hash is the least; chunks have more words than that.
 REACH = 3
-#: Words of whole repeated chunks in a row from which a passage is reported. A passage of 50 words
-#: loses its first and last chunk, which its surroundings share, and keeps about 38 and rarely under 34.
+#: Words in a row that another document holds too from which a passage is reported.
 LEAST_WORDS = 30
+#: Bits of the bitmap of shared marks at most and in one of its slices; a fuller one costs candidates but no passages.
+MOST_BITS, SLICE_BITS = 1 << 27, 1 << 16
 #: Bytes that the rolling hash spans.
 SPAN = 32
 
@@ -74,46 +78,6 @@ def _cut(data: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.nd
     return starts[first], ends[at], at - first + 1
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, begin, end, words, digest) of each chunk of each text, offsets in UTF-8 bytes.
-
-    Texts longer than a block are cut in windows that overlap by more than a boundary can see.
-    Null text and text without words have none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ["doc_id", "place", "begin", "end", "words", "digest"]
-            owner, place, begin, end, words, digest = ([np.zeros(0, np.int64)] for _ in names)
-            held = 0
-
-            def flush():
-                at = pa.array(np.concatenate(owner))
-                cols = [batch.column(0).take(at), *[pa.array(np.concatenate(c).astype(k)) for c, k in ((place, "i4"), (begin, "i8"), (end, "i8"), (words, "i4"), (digest, "i8"))]]
-                return pa.RecordBatch.from_arrays(cols, names)
-
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                if not len(data):
-                    continue
-                b, e, w = _windows(data)
-                owner.append(np.full(len(b), k))
-                place.append(np.arange(len(b)))
-                begin.append(b)
-                end.append(e)
-                words.append(w)
-                digest.append(_digests(data, b, e))
-                held += len(b)
-                if held > BLOCK:
-                    yield flush()
-                    owner, place, begin, end, words, digest = ([np.zeros(0, np.int64)] for _ in names)
-                    held = 0
-            yield flush()
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place int, begin bigint, end bigint, words int, digest bigint")
-
-
 def _windows(data: np.ndarray, block: int = 4 * BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_cut`` of a text of any length. A window starts at a boundary well inside the one before."""
     if len(data) <= block:
@@ -136,43 +100,163 @@ def _windows(data: np.ndarray, block: int = 4 * BLOCK) -> tuple[np.ndarray, np.n
         low = int(e[sure][-1])
 
 
-def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit digests of the chunks' bytes, over parts of the text so that memory stays bounded."""
-    out, k = [], 0
-    while k < len(begin):
-        j = max(k + 1, int(np.searchsorted(end, begin[k] + BLOCK, side="right")))
-        low = begin[k]
-        out.append(mixed(span_hashes(data[low : end[j - 1]], begin[k:j] - low, end[k:j] - low)))
-        k = j
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the grams of ``size`` words, from the words' hashes: one running sum, two look-ups a gram."""
+    power, inverse = _grow(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mixed((total[size:] - total[:-size]) * inverse[: len(words) - size + 1])
 
 
-def passages(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages that other documents hold too: runs of chunks of ``least_words`` words or more.
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        x = np.minimum(x[:-step], x[step:])
+        span += step
+    return x
+
+
+def grams(data: np.ndarray, size: int, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Place of the first, begins, ends, marks and words' hashes of a text's grams of ``size`` words, block by block."""
+    part = (size + 1) // 2
+    starts, ends, words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place = low = 0
+    while low < len(data):
+        high = low
+        while True:
+            high = min(high + block, len(data))
+            spaces = np.flatnonzero(_IS_SPACE[data[low:high]]) if high < len(data) else ()
+            if high == len(data) or len(spaces):
+                break
+        high = low + int(spaces[-1]) + 1 if len(spaces) else high
+        part_of = data[low:high]
+        space = np.concatenate(([True], _IS_SPACE[part_of], [True]))
+        first, last = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        starts, ends = np.concatenate((starts, first + low)), np.concatenate((ends, last + low))
+        words = np.concatenate((words, span_hashes(part_of, first, last)))
+        low = high
+        n = len(words) - size + 1
+        if n > 0:
+            yield place, starts[:n], ends[size - 1 :], _least(_rolled(words, part), size - part + 1), words
+            starts, ends, words = starts[n:], ends[n:], words[n:]
+            place += n
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    for k, text in enumerate(column):
+        if text.is_valid:
+            yield k, np.frombuffer(text.as_buffer(), np.uint8)
+
+
+def _shared_marks(docs: DataFrame, scratch: Scratch, size: int) -> np.ndarray:
+    """Bitmap of the marks that two documents or more have; its size is a power of two."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for k, data in _texts(batch.column(1)):
+                own = [np.unique(g[3]) for g in grams(data, size)]
+                if own:
+                    found.append(np.unique(np.concatenate(own)))
+                    owner.append(np.full(len(found[-1]), k))
+            at = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "mark"])
+
+    held = docs.select("doc_id", "text").mapInArrow(marks, f"doc_id {kind}, mark bigint").groupBy("mark")
+    held = held.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = scratch.save(held.select("mark"), "marks")
+    bits = min(MOST_BITS, max(SLICE_BITS, 1 << (8 * shared.count()).bit_length()))
 
-    doc_id, begin and end (bytes in UTF-8), n_words, n_chunks, first_doc_id (the smallest doc_id
-    that holds a part of it) and repeat_words (words in chunks that a smaller doc_id holds, which
-    dedup takes away). Documents without such a passage have no row. Rows of one doc_id are one
-    document; rows without a doc_id are left out.
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(0).to_numpy()
+            for k in np.unique(slot // SLICE_BITS).tolist():
+                slices.setdefault(k, np.zeros(SLICE_BITS, bool))[slot[slot // SLICE_BITS == k] % SLICE_BITS] = True
+        for k, own in slices.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["slice", "bits"])
+
+    slots = shared.select(F.col("mark").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    slots = slots.repartition(min(64, bits // SLICE_BITS), F.floor(F.col("slot") / SLICE_BITS))
+    out = np.zeros((bits // SLICE_BITS, SLICE_BITS // 8), np.uint8)
+    for k, row in slots.mapInArrow(fill, "slice bigint, bits binary").collect():
+        out[k] |= np.frombuffer(row, np.uint8)
+    scratch.drop("marks")
+    return out.ravel()
+
+
+def held_grams(spark: SparkSession, docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """(doc_id, place, begin, bytes, first_doc_id) of the grams of ``size`` words that another document holds too.
+
+    Rows without a doc_id are left out; null text and shorter texts have none.
     """
-    scratch = Scratch(spark, "substrings")
-    cut = scratch.save(chunks(docs.where(F.col("doc_id").isNotNull())), "chunks")
-    held = cut.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    shared = scratch.save(held.where("first_doc_id < last_doc_id").select("digest", "first_doc_id"), "shared")
-    found = scratch.save(cut.join(shared, "digest").drop("digest"), "found")
-    scratch.drop("chunks", "shared")
-    # Chunks in a row differ in place as in rank; a document's chunks meet by its id, which no hot text shares.
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
-    runs = found.distinct().withColumn("run", F.col("place") - rank)
-    joined = runs.groupBy("doc_id", "run").agg(
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    shared = spark.sparkContext.broadcast(_shared_marks(docs, scratch, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        mask = np.uint64(8 * len(bitmap) - 1)
+        for batch in batches:
+            out, held = [], 0
+
+            def flush():
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                cols = [batch.column(0).take(pa.array(cols[0])), *[pa.array(c.astype(t)) for c, t in zip(cols[1:], ("i4", "i8", "i4", "i8"), strict=True)]]
+                return pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "begin", "bytes", "gram"])
+
+            for k, data in _texts(batch.column(1)):
+                for place, begin, end, marks, words in grams(data, size):
+                    slot = (marks & mask).astype(np.int64)
+                    at = np.flatnonzero((bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+                    if len(at):
+                        out.append((np.full(len(at), k), place + at, begin[at], end[at] - begin[at], _rolled(words, size)[at].view(np.int64)))
+                        held += len(at)
+                    if held > BLOCK // 4:
+                        yield flush()
+                        out, held = [], 0
+            if out:
+                yield flush()
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.mapInArrow(run, f"doc_id {kind}, place int, begin bigint, bytes int, gram bigint")
+    same = Window.partitionBy("gram")
+    found = found.withColumn("first_doc_id", F.min("doc_id").over(same)).withColumn("last_doc_id", F.max("doc_id").over(same))
+    return found.where("first_doc_id < last_doc_id").drop("gram", "last_doc_id")
+
+
+def _joined(held: DataFrame, size: int) -> DataFrame:
+    """The passages of grams that overlap or touch."""
+    by_doc = Window.partitionBy("doc_id").orderBy("place")
+    earlier = F.when(F.col("first_doc_id") < F.col("doc_id"), F.col("place"))
+    step = F.col("place") - F.lag("place").over(by_doc)
+    since = F.col("place") - F.last(earlier, ignorenulls=True).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    rows = held.select("*", step.alias("step"), F.when(earlier.isNotNull(), F.least(F.lit(size), F.coalesce(since, F.lit(size)))).alias("repeats"))
+    apart = F.when(F.col("step") <= size, 0).otherwise(1)
+    runs = rows.withColumn("run", F.sum(apart).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(
         F.min("begin").alias("begin"),
-        F.max("end").alias("end"),
-        F.sum("words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        F.max(F.col("begin") + F.col("bytes")).alias("end"),
+        (F.max("place") - F.min("place") + size).cast("long").alias("n_words"),
+        F.count(F.when(F.coalesce(F.col("step"), F.lit(1)) > 0, 1)).alias("n_chunks"),
         F.min("first_doc_id").alias("first_doc_id"),
-        F.sum(F.when(F.col("first_doc_id") < F.col("doc_id"), F.col("words")).otherwise(0)).alias("repeat_words"),
-    )
-    return joined.where(F.col("n_words") >= least_words).drop("run")
+        F.coalesce(F.sum("repeats"), F.lit(0)).cast("long").alias("repeat_words"),
+    ).drop("run")
+
+
+def passages(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Passages that other documents hold too: runs of grams of ``least_words`` words.
+
+    doc_id, begin and end (bytes in UTF-8), n_words, n_chunks (shared grams), first_doc_id (the
+    smallest doc_id that holds a part of it) and repeat_words (words in grams that a smaller doc_id
+    holds, which dedup takes away). Words are compared, the white space between them is not.
+    Documents without such a passage have no row. Rows of one doc_id are one document; rows
+    without a doc_id are left out.
+    """
+    scratch = Scratch(spark, "substrings")
+    return scratch.save(_joined(held_grams(spark, docs, scratch, least_words), least_words), "passages")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

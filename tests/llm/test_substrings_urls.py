@@ -66,6 +66,44 @@ def test_passages(spark):
     assert substrings.passages(spark, docs.limit(0)).count() == 0
 
 
+def shared_words(rows, size):
+    """Words of each document that lie in a gram of ``size`` words that another document holds too."""
+    held, of = {}, {i: t.split() for i, t in rows}
+    for i, w in of.items():
+        for k in range(len(w) - size + 1):
+            held.setdefault(tuple(w[k : k + size]), set()).add(i)
+    return {i: {j for k in range(len(w) - size + 1) if len(held[tuple(w[k : k + size])]) > 1 for j in range(k, k + size)} for i, w in of.items()}
+
+
+def test_passages_of_short_words_and_short_periods(spark):
+    rng = random.Random(6)
+    fresh = lambda n, m: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=m)) for _ in range(n))
+    rows = []
+    for k in range(120):
+        passage = fresh(51, 2 + k % 4)
+        rows += [(2 * k, f"{fresh(30, 4)} {passage} {fresh(30, 4)}"), (2 * k + 1, f"{fresh(45, 4)} {passage} {fresh(9, 4)}")]
+    for k, period in enumerate(("a b ", "tick tack tock ", "q r s t ")):
+        rows += [(1000 + 2 * k, f"{fresh(40, 4)} {period * 24}{fresh(40, 4)}"), (1001 + 2 * k, f"{fresh(70, 4)} {period * 24}{fresh(20, 4)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text, got = dict(rows), {i: set() for i, _ in rows}
+    for r in substrings.passages(spark, docs).collect():
+        at = len(text[r.doc_id][: r.begin].split())
+        got[r.doc_id] |= set(range(at, at + r.n_words))
+    assert got == shared_words(rows, substrings.LEAST_WORDS) and all(got.values())
+
+
+def test_grams_by_blocks():
+    rng = random.Random(7)
+    data = np.frombuffer(" \n".join("".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(900)).encode(), np.uint8)
+    ((_, *whole, words),) = substrings.grams(data, 12)
+    parts = list(substrings.grams(data, 12, 100))
+    assert len(parts) > 9 and all(np.array_equal(a, np.concatenate(b)) for a, b in zip(whole, list(zip(*parts, strict=True))[1:4], strict=True))
+    assert np.array_equal(substrings._rolled(words, 12), np.concatenate([substrings._rolled(p[-1], 12) for p in parts]))
+    assert [p[0] for p in parts] == np.cumsum([0, *[len(p[1]) for p in parts[:-1]]]).tolist()
+    for odd in (b"", b" ", b"a", b"a " * 11, b"x" * 500):
+        assert not list(substrings.grams(np.frombuffer(odd, np.uint8), 12, 100))
+
+
 def test_temporal_lists(spark):
     rng = random.Random(5)
     day = lambda k: date(2024, 1, 1) + timedelta(days=k)
