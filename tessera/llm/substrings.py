@@ -260,8 +260,12 @@ def passages(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORD
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the passages cut out that a smaller doc_id holds; all columns stay, ids are unique."""
-    spans = passages(spark, docs, least_words).where("first_doc_id < doc_id")
+    """``docs`` with the passages cut out that a smaller doc_id holds; all columns stay, ids are unique.
+
+    Only words of grams that a smaller doc_id holds go, so each stays where it comes first.
+    """
+    held = held_grams(spark, docs, Scratch(spark, "substrings"), least_words)
+    spans = _joined(held.where("first_doc_id < doc_id"), least_words)
     by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cut"))
     both = docs.join(by_doc, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = docs.columns

@@ -92,6 +92,16 @@ def test_passages_of_short_words_and_short_periods(spark):
     assert got == shared_words(rows, substrings.LEAST_WORDS) and all(got.values())
 
 
+def test_cut_leaves_a_passage_where_it_comes_first(spark):
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    a, b = fresh(60), fresh(60)
+    rows = [(1, f"{fresh(50)} {a} {fresh(50)}"), (5, f"{fresh(50)} {a} {b} {fresh(50)}"), (9, f"{fresh(50)} {b} {fresh(50)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = {r.doc_id: r.text for r in substrings.without_repeats(spark, docs).collect()}
+    assert cut[1] == rows[0][1] and cut[5] == rows[1][1].replace(a, "") and cut[9] == rows[2][1].replace(b, "")
+
+
 def test_grams_by_blocks():
     rng = random.Random(7)
     data = np.frombuffer(" \n".join("".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(900)).encode(), np.uint8)
