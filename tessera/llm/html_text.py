@@ -2,8 +2,9 @@
 
 A page is cut into blocks of text; blocks under the same path of block-level tags share their
 statistics: text length, punctuation and number of blocks. Length and punctuation a block are
-fused, smoothed over the blocks' order, and paths below a share of the best are dropped, as are
-blocks under elements whose name, role, class or id marks them as not the article. A page whose
+fused, smoothed over the blocks' order, and paths below a share of the score that half of the
+text reaches are dropped, as are blocks of links. Headings stay with what follows them and inside
+the element that holds most of the content. Dropped are blocks under elements whose name, role, class or id marks them as not the article. A page whose
 article is marked keeps what is inside that element.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import read_table
 
-#: Share of the best path's score from which a path is content.
+#: Share of the typical score from which a path is content.
 THRESHOLD = 0.2
 #: Weights of a block's neighbours, nearest first.
 SMOOTHING = (0.25, 0.1)
@@ -164,6 +165,29 @@ def blocks(page: str) -> Iterator[Block]:
     yield from flush()
 
 
+def _typical(open_blocks: list[Block], score: dict[str, float]) -> float:
+    """The score that blocks with half of the text outside links reach, which one long block cannot raise alone."""
+    size: dict[str, int] = defaultdict(int)
+    for b in open_blocks:
+        size[b.path] += max(0, len(b.text) - b.linked) if b.linked <= LINKED * len(b.text) else 0
+    left = sum(size.values()) / 2
+    for path in sorted(score, key=score.__getitem__, reverse=True):
+        left -= size[path]
+        if left <= 0 and size[path]:
+            return score[path]
+    return max(score.values())
+
+
+def _container(content: list[Block]) -> int:
+    """The innermost element with more than half of the content's text; headings in it are content. 0 if there is none."""
+    size: dict[int, int] = defaultdict(int)
+    for b in content:
+        for e in b.elements[:-1]:
+            size[e] += len(b.text)
+    half = sum(len(b.text) for b in content) / 2
+    return max((e for e, n in size.items() if n > half), default=0)
+
+
 def extract(page: str) -> str:
     """Text of the page's content blocks, joined by line ends; empty if there are none."""
     open_blocks = [b for b in blocks(page) if not b.outside]
@@ -191,24 +215,25 @@ def extract(page: str) -> str:
                     s, w = s + weight * own[j], w + weight
         smooth[b.path].append(s / w)
     score = {p: sum(v) / len(v) for p, v in smooth.items()}
-    least = THRESHOLD * max(score.values())
-    best = max(fused, key=lambda p: (fused[p], p))
-    around = max(set.intersection(*[set(b.elements[:-1]) for b in open_blocks if b.path == best]), default=0)
-    kept = []
+    least = THRESHOLD * _typical(open_blocks, score)
+    enough = []
     for b in open_blocks:
         ratio = score[b.path]
         if articles:
             # The page's own mark is fused in: it lifts a path to the threshold, and the lack of it where others have it sinks one.
             ratio = ratio + least if b.inside in articles else 0.0
-        elif around and around not in b.elements:
-            continue
         elif b.linked > LINKED * len(b.text):
-            continue
-        elif _HEADING.search(b.path.rpartition("/")[2]):
-            ratio += least
-        if ratio >= least:
-            kept.append(b.text)
-    return "\n".join(kept)
+            ratio = 0.0
+        enough.append(ratio >= least)
+    around = _container([b for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough])
+    follows = False
+    for k in range(len(open_blocks) - 1, -1, -1):
+        b = open_blocks[k]
+        if not _HEADING.search(b.path.rpartition("/")[2]):
+            follows = enough[k]
+        elif not articles and b.linked <= LINKED * len(b.text):
+            enough[k] |= follows or around in b.elements
+    return "\n".join(b.text for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

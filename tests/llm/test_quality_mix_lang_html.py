@@ -186,6 +186,17 @@ def test_page_text_with_and_without_a_marked_article():
     assert plain.split("\n")[:4] == WANT.split("\n")[:4] and "cookies" not in plain and "Nice post" not in plain
 
 
+SENTENCE = "A sentence of the text, which is about fifty long. "
+
+
+def test_page_text_beside_a_long_quotation():
+    paragraphs = [f"Paragraph {k}. {SENTENCE * 3}".strip() for k in range(10)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    for inner in (f"<blockquote><p>{SENTENCE * 12}</p></blockquote>", f"<ul><li>{SENTENCE * 12}</li></ul>", f"<table><tr><td>{SENTENCE * 12}</td></tr></table>"):
+        got = html_text.extract(f"<div><h1>Title</h1>{body}{inner}</div>").split("\n")
+        assert got == ["Title", *paragraphs, (SENTENCE * 12).strip()]
+
+
 def test_page_text_of_odd_pages(spark):
     odd = ["", None, "   ", "no tags at all", "<p", "<p>a<p>b", "<!-- open", "<script>never closed", "<a href='x>y\">z", "<p>" * 5000 + "deep", "<article></article>", "&lt;p&gt; &bogus; &#x41;"]
     rows = [(k, f"u{k}", h, "x") for k, h in enumerate(odd)] + [(None, None, "<p>a", "x"), (1, "u1", None, "x")]
