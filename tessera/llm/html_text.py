@@ -4,8 +4,8 @@ A page is cut into blocks of text; blocks under the same path of block-level tag
 statistics: text length, punctuation and number of blocks. Length and punctuation a block are
 fused, smoothed over the blocks' order, and paths below a share of the score that half of the
 text reaches are dropped, as are blocks of links. Headings stay with what follows them and inside
-the element that holds most of the content. Dropped are blocks under elements whose name, role, class or id marks them as not the article. A page whose
-article is marked keeps what is inside that element.
+the element that holds most of the content. Dropped are blocks under elements whose name, role, class or id marks them as not the article. Being
+inside an element that marks an article only adds a part of the threshold to a block's score.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .shared import read_table
 
 #: Share of the typical score from which a path is content.
 THRESHOLD = 0.2
+#: Share of the threshold that is added to the score of blocks inside an article element.
+MARKED = 0.75
 #: Weights of a block's neighbours, nearest first.
 SMOOTHING = (0.25, 0.1)
 #: Share of a block's text inside links from which it is a menu.
@@ -194,16 +196,11 @@ def extract(page: str) -> str:
     if not open_blocks:
         return ""
     total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    marked: dict[int, int] = defaultdict(int)
     for b in open_blocks:
         t = total[b.path]
         t[0] += len(b.text) - min(b.linked, len(b.text))
         t[1] += len(_PUNCTUATION.findall(b.text))
         t[2] += 1
-        if b.inside:
-            marked[b.inside] += len(b.text)
-    # Several marked articles are all content; stray short ones beside a long one are not.
-    articles = {k for k, size in marked.items() if size >= THRESHOLD * max(marked.values())}
     fused = {p: t[0] / t[2] * (1 + t[1] / t[2]) for p, t in total.items()}
     own = [fused[b.path] for b in open_blocks]
     smooth: dict[str, list[float]] = defaultdict(list)
@@ -219,19 +216,16 @@ def extract(page: str) -> str:
     enough = []
     for b in open_blocks:
         ratio = score[b.path]
-        if articles:
-            # The page's own mark is fused in: it lifts a path to the threshold, and the lack of it where others have it sinks one.
-            ratio = ratio + least if b.inside in articles else 0.0
-        elif b.linked > LINKED * len(b.text):
-            ratio = 0.0
-        enough.append(ratio >= least)
+        if b.inside:
+            ratio += MARKED * least
+        enough.append(ratio >= least and b.linked <= LINKED * len(b.text))
     around = _container([b for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough])
     follows = False
     for k in range(len(open_blocks) - 1, -1, -1):
         b = open_blocks[k]
         if not _HEADING.search(b.path.rpartition("/")[2]):
             follows = enough[k]
-        elif not articles and b.linked <= LINKED * len(b.text):
+        elif b.linked <= LINKED * len(b.text):
             enough[k] |= follows or around in b.elements
     return "\n".join(b.text for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough)
 

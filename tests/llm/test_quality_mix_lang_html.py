@@ -197,6 +197,19 @@ def test_page_text_beside_a_long_quotation():
         assert got == ["Title", *paragraphs, (SENTENCE * 12).strip()]
 
 
+def test_page_text_outside_the_mark():
+    paragraphs = [f"Paragraph {k}. {SENTENCE * 3}".strip() for k in range(10)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    cards = "".join(f'<article><h3><a href="/{k}">Teaser number {k}</a></h3></article>' for k in range(4))
+    assert html_text.extract(f"<div>{body}</div>{cards}").split("\n") == paragraphs
+    part = html_text.extract(f"<main><p>{paragraphs[0]}</p></main><div>{body}</div>").split("\n")
+    assert part == [paragraphs[0], *paragraphs]
+    short = html_text.extract(f"<article>{body}</article><article><p>{SENTENCE * 2}</p></article>").split("\n")
+    assert short == [*paragraphs, (SENTENCE * 2).strip()]
+    links = "".join(f'<li><a href="/{k}">Another page of the site, {k}</a></li>' for k in range(5))
+    assert html_text.extract(f"<article>{body}<ul>{links}</ul></article>").split("\n") == paragraphs
+
+
 def test_page_text_of_odd_pages(spark):
     odd = ["", None, "   ", "no tags at all", "<p", "<p>a<p>b", "<!-- open", "<script>never closed", "<a href='x>y\">z", "<p>" * 5000 + "deep", "<article></article>", "&lt;p&gt; &bogus; &#x41;"]
     rows = [(k, f"u{k}", h, "x") for k, h in enumerate(odd)] + [(None, None, "<p>a", "x"), (1, "u1", None, "x")]
