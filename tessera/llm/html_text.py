@@ -60,7 +60,7 @@ SCOPES = frozenset("ul ol dl table thead tbody tfoot select html body".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
-    r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|"
+    r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|"
     r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )

@@ -210,6 +210,13 @@ def test_page_text_outside_the_mark():
     assert html_text.extract(f"<article>{body}<ul>{links}</ul></article>").split("\n") == paragraphs
 
 
+def test_page_text_with_long_attributes():
+    long = "<b>x</b> " * 1000
+    page = f"<div data-a=\"{long}\" data-b='{long}' class=\"sidebar\"><p>{SENTENCE}</p></div><div data-a='{long}'><p>{SENTENCE * 2}</p></div>"
+    assert html_text.extract(page) == (SENTENCE * 2).strip()
+    assert html_text.extract(f"<p>{SENTENCE}</p><p data-a=\"{long}") .startswith(SENTENCE.strip())
+
+
 def test_page_text_of_odd_pages(spark):
     odd = ["", None, "   ", "no tags at all", "<p", "<p>a<p>b", "<!-- open", "<script>never closed", "<a href='x>y\">z", "<p>" * 5000 + "deep", "<article></article>", "&lt;p&gt; &bogus; &#x41;"]
     rows = [(k, f"u{k}", h, "x") for k, h in enumerate(odd)] + [(None, None, "<p>a", "x"), (1, "u1", None, "x")]
