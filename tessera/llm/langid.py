@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 
 from .shared import read_table
 
-#: Documents that the machines are fitted on at most, shared evenly by the languages.
-FIT_ROWS = 1024
+#: Documents that the machines are fitted on, shared evenly by the languages, and the least share of a language.
+FIT_ROWS, FIT_EACH = 1024, 8
 #: Buckets of hashed trigrams.
 BUCKETS = 8192
-#: Languages beyond this many, the rarest, are not learned.
-MOST_LANGUAGES = 128
 #: Strength of the regularisation, and steps of the fit.
 RIDGE, STEPS = 1e-4, 200
 #: Bytes of a text that are hashed at once.
@@ -54,13 +52,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The documents to learn from: FIT_ROWS at most, evenly from the languages, the first by hash."""
+    """The documents to learn from, the first by hash: FIT_ROWS evenly from the languages, but FIT_EACH of each."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.where(F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return usable.limit(0).select("lang", "text")
-    each = max(2, FIT_ROWS // len(sizes))
+    each = max(FIT_EACH, FIT_ROWS // len(sizes))
     # A share of the ids a little above the need, then the first of them: a language's ids never meet in one task.
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (2.0 * each + 50) / r["count"])))])
     ids = usable.where(_spread(F.col("doc_id")) < share[F.col("lang")]).select("doc_id", "lang")
@@ -100,10 +98,16 @@ class Model:
 def families(names: list[str], means: np.ndarray) -> list[list[int]]:
     """Languages by likeness of their mean features: average linkage, to about the root of their number."""
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    like = unit @ unit.T
+    like = (unit @ unit.T).astype(np.float64)  # summed over the members of two groups
+    size = np.ones(len(names))
     groups = [[i] for i in range(len(names))]
     while len(groups) > max(1, round(len(names) ** 0.5)):
-        a, b = max(combinations(range(len(groups)), 2), key=lambda p: like[np.ix_(groups[p[0]], groups[p[1]])].mean())
+        mean = np.where(np.tri(len(groups), dtype=bool), -np.inf, like / np.outer(size, size))
+        a, b = (int(i) for i in np.unravel_index(int(mean.argmax()), mean.shape))
+        like[a] += like[b]
+        like[:, a] += like[:, b]
+        size[a] += size[b]
+        like, size = np.delete(np.delete(like, b, 0), b, 1), np.delete(size, b)
         groups[a] += groups.pop(b)
     return [sorted(g) for g in groups]
 

@@ -167,6 +167,20 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in langid.identify(spark, one, langid.fit(one)).collect()} == {"fr"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    rows, langs = [], 140
+    for k in range(langs):
+        parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)]
+        rows += [(40 * k + i, " ".join("".join(rng.choices(parts, k=2)) for _ in range(30)), f"l{k:03}") for i in range(16 if k < 100 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert sorted(n for f in model.families for n in f) == sorted({r[2] for r in rows})
+    truth = {i: lang for i, _, lang in rows}
+    got = langid.identify(spark, docs, model).collect()
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.95 * len(rows)
+
+
 # Pages
 
 ARTICLE = """<h1>The  title</h1><p>First&nbsp;paragraph, with <a href="/x">a link</a> &amp; more words, to be long.
