@@ -43,6 +43,33 @@ def test_index_persists_over_batches(spark):
     assert second == {3: (1, False), 4: (5, False), 5: (5, True)}
     assert index.rows().count() == 3
     assert exact_dedup.DigestIndex(spark, index.table).buckets == 3
+    index.compact()
+    assert index.rows().count() == 3 and index.add(frame(spark, [(9, "C")])).first().keep_id == 5
+
+
+def test_a_batch_handed_in_again_gets_the_same_answer(spark):
+    index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
+    index.add(frame(spark, [(1, "a")]), batch="one")
+    two = frame(spark, [(2, "A"), (3, "b"), (4, "b")])
+    got = [sorted((r.doc_id, r.keep_id, r.kept) for r in index.add(two, batch="two").collect()) for _ in range(2)]
+    assert got[0] == got[1] == [(2, 1, False), (3, 4, False), (4, 4, True)]
+    assert index.rows().count() == 2
+
+
+def test_the_index_decides_rows_of_later_batches(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i if i % 9 else None, f"t{rng.randint(0, 40)}") for i in range(1, 121)]
+    for batches in (1, 2, 5):
+        monkeypatch.setattr(exact_dedup, "BATCHES", batches)
+        got = exact_dedup.dedup_report(spark, frame(spark, rows)).collect()
+        best, size = {}, {}
+        for i, t in rows:
+            best[t], size[t] = max(best.get(t, -1), -1 if i is None else i), size.get(t, 0) + 1
+        of = {hashlib.sha256(t.encode()).hexdigest(): t for t in best}
+        assert len(got) == len(rows) and sum(r.kept for r in got) == len(best)
+        assert all((r.keep_id, r.group_size) == (max(best[of[r.text_sha256]], 0) or None, size[of[r.text_sha256]]) for r in got)
+        assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 def test_drop_duplicates_keeps_columns(spark):
