@@ -1,13 +1,12 @@
-"""Substring dedup by word grams that are compared exactly wherever two documents may share one.
-
-Every gram of ``least_words`` words has a mark, the least hash of the shorter grams within it, so
-equal grams have equal marks, and neighbouring grams mostly have the same. Marks that two
-documents have are gathered in a bitmap of a size by their count; grams whose mark is in it are
-compared by their own hashes, and grams that other documents hold too are joined to passages.
-No passage depends on what surrounds it, on the length of its words or on a period.
-
-``_cut`` ends content-defined chunks: a gear hash rolls over a text's bytes (32 bytes long); a word
-end whose hash is the least within REACH words on both sides ends a chunk.
+"""Substring dedup by content-defined chunks that are deduplicated by digest.
+
+A gear hash rolls over a text's bytes and spans the last SPAN of them. A word ends a chunk if its
+hash there is the least within REACH words on both sides, so a boundary depends on a few words
+around it only and insertions elsewhere move none. From every boundary a chunk goes on to the
+first boundary at least ``least_words`` words on; it is known by the digest of its words.
+Chunks overlap, so a passage needs no luck with where the one before it began, and a shared
+digest means that many words in a row are shared. Chunks that several documents hold are
+joined to passages.
 """
 
 from __future__ import annotations
@@ -16,113 +15,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pieces import BLOCK, _grow, _splitmix, mixed, span_hashes
 from .shared import Scratch, read_table
 from .shingles import _IS_SPACE
 
-#: Words on each side among which a boundary's hash is the least; chunks have more words than that.
-REACH = 3
-#: Words in a row that another document holds too from which a passage is reported.
-LEAST_WORDS = 30
-#: Bits of the bitmap of shared marks at most and in one of its slices; a fuller one costs candidates but no passages.
-MOST_BITS, SLICE_BITS = 1 << 27, 1 << 16
-#: Bytes that the rolling hash spans.
-SPAN = 32
+#: Words on each side among which a boundary's hash is the least.
+REACH = 2
+#: Words that a chunk has at least. Passages of twice as many words hold a whole one.
+LEAST_WORDS = 24
+#: Bytes that the rolling hash spans: as many as it has bits.
+SPAN = 16
+#: A digest held by at least one row in so many is hot; there can be no more hot digests than this.
+HOT_SHARE = 1000
 
-_GEAR = (_splitmix(512)[256:] >> np.uint64(32)).astype(np.uint32)
-_GEAR[0] = 0
+_GEAR = (_splitmix(512)[256:] >> np.uint64(48)).astype(np.uint16)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = 2h + G[byte] of 32 bits after each byte, by doubling its span."""
+    """The gear hash h = 2h + G[byte] of 16 bits after each byte, by doubling its span."""
     h = _GEAR[data]
     size = 1
     while size < SPAN:
-        h[size:] += h[:-size].copy() << np.uint32(size)
+        h[size:] += h[:-size].copy() << np.uint16(size)
         size *= 2
     return h
 
 
-def _cut(data: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and number of words of the chunks of one text's bytes; words before ``skip`` are context only."""
-    space = _IS_SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[~space[edge]], edge[space[edge]]
-    if not space[0]:
-        starts = np.concatenate(([0], starts))
-    if not space[-1]:
-        ends = np.concatenate((ends, [len(data)]))
-    n = len(starts)
-    if not n:
-        return starts, ends, starts
-    h = (gear(data)[ends - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
-    h ^= h >> 15
-    wide = np.full(n + 2 * REACH, np.iinfo(np.int64).max)
-    wide[REACH : REACH + n] = h
-    last, flat = np.ones(n, bool), np.ones(n, bool)
-    for d in range(1, REACH + 1):
-        left, right = wide[REACH - d : REACH - d + n], wide[REACH + d : REACH + d + n]
-        last &= (h < left) & (h <= right)
-        flat &= (h == left) & (h == right)
-    last |= flat  # in one word said over and over, each is a chunk
-    last[:REACH] = False
-    last[n - REACH :] = False
-    last[-1] = True
-    own = int(np.searchsorted(starts, skip))
-    at = np.flatnonzero(last)
-    at = at[at >= own]
-    first = np.concatenate(([own], at[:-1] + 1))[: len(at)]
-    return starts[first], ends[at], at - first + 1
-
-
-def _windows(data: np.ndarray, block: int = 4 * BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``_cut`` of a text of any length. A window starts at a boundary well inside the one before."""
-    if len(data) <= block:
-        return _cut(data)
-    out, low = [], 0
-    while True:
-        # What is just before the window gives its first hashes and neighbours their context.
-        before = max(0, low - 4 * SPAN - 64 * REACH)
-        high = min(low + block, len(data))
-        b, e, w = _cut(data[before:high], low - before)
-        b, e = b + before, e + before
-        if high == len(data):
-            out.append((b, e, w))
-            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-        sure = e <= high - (high - low) // 4
-        if not sure.any():
-            block *= 2
-            continue
-        out.append((b[sure], e[sure], w[sure]))
-        low = int(e[sure][-1])
-
-
-def _rolled(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the grams of ``size`` words, from the words' hashes: one running sum, two look-ups a gram."""
-    power, inverse = _grow(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * power[: len(words)], out=total[1:])
-    return mixed((total[size:] - total[:-size]) * inverse[: len(words) - size + 1])
+def boundaries(h: np.ndarray) -> np.ndarray:
+    """Whether each word ends a chunk, from the hashes at the words' ends; beyond them nothing is smaller.
 
-
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` neighbours, by doubling."""
-    span = 1
-    while span < width:
-        step = min(span, width - span)
-        x = np.minimum(x[:-step], x[step:])
-        span += step
-    return x
+    Equal hashes are boundaries alike, so words that repeat in short periods have some too.
+    """
+    wide = np.full(len(h) + 2 * REACH, 1 << 16)
+    wide[REACH : REACH + len(h)] = h
+    least = np.ones(len(h), bool)
+    for d in (*range(-REACH, 0), *range(1, REACH + 1)):
+        least &= h <= wide[REACH + d : REACH + d + len(h)]
+    return least
 
 
-def grams(data: np.ndarray, size: int, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Place of the first, begins, ends, marks and words' hashes of a text's grams of ``size`` words, block by block."""
-    part = (size + 1) // 2
+def chunks(data: np.ndarray, least_words: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
+    """Place (first word), words, begin, bytes and digest of a text's chunks, block by block."""
     starts, ends, words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place = low = 0
+    hashes = np.zeros(0, np.int64)
+    place = low = first = 0  # the text's words before the pending ones, bytes read, where the next chunk begins
     while low < len(data):
         high = low
         while True:
@@ -131,17 +71,37 @@ def grams(data: np.ndarray, size: int, block: int = BLOCK) -> Iterator[tuple[int
             if high == len(data) or len(spaces):
                 break
         high = low + int(spaces[-1]) + 1 if len(spaces) else high
-        part_of = data[low:high]
-        space = np.concatenate(([True], _IS_SPACE[part_of], [True]))
-        first, last = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-        starts, ends = np.concatenate((starts, first + low)), np.concatenate((ends, last + low))
-        words = np.concatenate((words, span_hashes(part_of, first, last)))
-        low = high
-        n = len(words) - size + 1
-        if n > 0:
-            yield place, starts[:n], ends[size - 1 :], _least(_rolled(words, part), size - part + 1), words
-            starts, ends, words = starts[n:], ends[n:], words[n:]
-            place += n
+        part, before = data[low:high], min(low, SPAN)
+        space = np.concatenate(([True], _IS_SPACE[part], [True]))
+        begin, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        rolled = gear(data[low - before : high])[before:]
+        starts, ends = np.concatenate((starts, begin + low)), np.concatenate((ends, end + low))
+        words, hashes = np.concatenate((words, span_hashes(part, begin, end))), np.concatenate((hashes, rolled[end - 1]))
+        low, n = high, len(words)
+        if not n:
+            continue
+        least = boundaries(hashes)
+        if low < len(data):
+            least[max(0, n - REACH) :] = False  # what follows may hold smaller ones
+        else:
+            least[-1] = True
+        last = first + np.flatnonzero(least[first:])
+        start = np.concatenate(([first], last + 1))
+        at = np.searchsorted(last, start + least_words - 1)
+        done = int(np.searchsorted(at, len(last)))
+        start, at = start[:done], last[at[:done]]
+        if done:
+            power, inverse = _grow(n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(words * power[:n], out=total[1:])
+            size = at - start + 1
+            digest = mixed((total[at + 1] - total[start]) * inverse[start] + size.astype(np.uint64) * _LENGTH)
+            yield place + start, size, starts[start], ends[at] - starts[start], digest
+            # The next chunk begins after the first boundary beyond the last start.
+            first = int(last[np.searchsorted(last, start[-1])]) + 1
+        gone = max(0, first - REACH)
+        starts, ends, words, hashes = starts[gone:], ends[gone:], words[gone:], hashes[gone:]
+        place, first = place + gone, first - gone
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -150,125 +110,112 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield k, np.frombuffer(text.as_buffer(), np.uint8)
 
 
-def _shared_marks(docs: DataFrame, scratch: Scratch, size: int) -> np.ndarray:
-    """Bitmap of the marks that two documents or more have; its size is a power of two."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for k, data in _texts(batch.column(1)):
-                own = [np.unique(g[3]) for g in grams(data, size)]
-                if own:
-                    found.append(np.unique(np.concatenate(own)))
-                    owner.append(np.full(len(found[-1]), k))
-            at = pa.array(np.concatenate(owner))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "mark"])
-
-    held = docs.select("doc_id", "text").mapInArrow(marks, f"doc_id {kind}, mark bigint").groupBy("mark")
-    held = held.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = scratch.save(held.select("mark"), "marks")
-    bits = min(MOST_BITS, max(SLICE_BITS, 1 << (8 * shared.count()).bit_length()))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            for k in np.unique(slot // SLICE_BITS).tolist():
-                slices.setdefault(k, np.zeros(SLICE_BITS, bool))[slot[slot // SLICE_BITS == k] % SLICE_BITS] = True
-        for k, own in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["slice", "bits"])
+def _document(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """64 bits that stand for a document: its id and its text, since ids may repeat."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
-    slots = shared.select(F.col("mark").bitwiseAND(F.lit(bits - 1)).alias("slot"))
-    slots = slots.repartition(min(64, bits // SLICE_BITS), F.floor(F.col("slot") / SLICE_BITS))
-    out = np.zeros((bits // SLICE_BITS, SLICE_BITS // 8), np.uint8)
-    for k, row in slots.mapInArrow(fill, "slice bigint, bits binary").collect():
-        out[k] |= np.frombuffer(row, np.uint8)
-    scratch.drop("marks")
-    return out.ravel()
 
+def held_chunks(spark: SparkSession, docs: DataFrame, scratch: Scratch, least_words: int) -> DataFrame:
+    """(doc_id, document, place, n, begin, bytes, first_doc_id) of the chunks that another document holds too.
 
-def held_grams(spark: SparkSession, docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """(doc_id, place, begin, bytes, first_doc_id) of the grams of ``size`` words that another document holds too.
-
-    Rows without a doc_id are left out; null text and shorter texts have none.
+    Null text and texts of fewer words have none.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(_shared_marks(docs, scratch, size))
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "document", "place", "n", "begin", "bytes", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        mask = np.uint64(8 * len(bitmap) - 1)
         for batch in batches:
             out, held = [], 0
 
             def flush():
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                cols = [batch.column(0).take(pa.array(cols[0])), *[pa.array(c.astype(t)) for c, t in zip(cols[1:], ("i4", "i8", "i4", "i8"), strict=True)]]
-                return pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "begin", "bytes", "gram"])
-
-            for k, data in _texts(batch.column(1)):
-                for place, begin, end, marks, words in grams(data, size):
-                    slot = (marks & mask).astype(np.int64)
-                    at = np.flatnonzero((bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
-                    if len(at):
-                        out.append((np.full(len(at), k), place + at, begin[at], end[at] - begin[at], _rolled(words, size)[at].view(np.int64)))
-                        held += len(at)
+                owner, *cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                cols = [pa.array(c.astype(t)) for c, t in zip(cols[:-1], ("i4", "i4", "i8", "i4"), strict=True)] + [pa.array(cols[-1].view(np.int64))]
+                owner = pa.array(owner)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *cols], names)
+
+            for k, data in _texts(batch.column(2)):
+                for found in chunks(data, least_words):
+                    out.append((np.full(len(found[0]), k), *found))
+                    held += len(found[0])
                     if held > BLOCK // 4:
                         yield flush()
                         out, held = [], 0
             if out:
                 yield flush()
 
-    kind = dict(docs.dtypes)["doc_id"]
-    found = docs.mapInArrow(run, f"doc_id {kind}, place int, begin bigint, bytes int, gram bigint")
-    same = Window.partitionBy("gram")
-    found = found.withColumn("first_doc_id", F.min("doc_id").over(same)).withColumn("last_doc_id", F.max("doc_id").over(same))
-    return found.where("first_doc_id < last_doc_id").drop("gram", "last_doc_id")
-
-
-def _joined(held: DataFrame, size: int) -> DataFrame:
-    """The passages of grams that overlap or touch."""
-    by_doc = Window.partitionBy("doc_id").orderBy("place")
-    earlier = F.when(F.col("first_doc_id") < F.col("doc_id"), F.col("place"))
-    step = F.col("place") - F.lag("place").over(by_doc)
-    since = F.col("place") - F.last(earlier, ignorenulls=True).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    rows = held.select("*", step.alias("step"), F.when(earlier.isNotNull(), F.least(F.lit(size), F.coalesce(since, F.lit(size)))).alias("repeats"))
-    apart = F.when(F.col("step") <= size, 0).otherwise(1)
-    runs = rows.withColumn("run", F.sum(apart).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(
+    schema = f"doc_id {kind}, document bigint, place int, n int, begin bigint, bytes int, digest bigint"
+    cut = scratch.save(docs.select("doc_id", _document().alias("document"), "text").mapInArrow(run, schema), "chunks")
+    # Folded inside each task before the digests are shuffled, so a chunk of many documents is few rows.
+    same = cut.groupBy("digest").agg(
+        F.min("document").alias("lo"), F.max("document").alias("hi"), F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("rows")
+    )
+    shared = scratch.save(same.where("lo < hi").select("digest", "first_doc_id", "rows"), "shared")
+    # At most HOT_SHARE digests can hold a HOT_SHARE-th of the rows each, so this side is bounded.
+    least = cut.count() / HOT_SHARE
+    hot = F.broadcast(shared.where(F.col("rows") >= least).drop("rows"))
+    cold = shared.where(F.col("rows") < least).drop("rows")
+    rest = cut.join(hot.select("digest"), "digest", "left_anti")
+    return cut.join(hot, "digest").unionByName(rest.join(cold.hint("merge"), "digest")).drop("digest")
+
+
+def _joined(held: DataFrame) -> DataFrame:
+    """The passages of chunks that overlap or touch, with the document they lie in."""
+    by_doc = Window.partitionBy("document", "doc_id").orderBy("place")
+    so_far = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("place") + F.col("n")
+    earlier = F.when(F.col("first_doc_id") < F.col("doc_id"), end)
+    fresh = end - F.greatest(F.col("place"), F.coalesce(F.max(earlier).over(so_far), F.lit(0)))
+    rows = held.select(
+        "*",
+        F.coalesce(F.col("place") > F.max(end).over(so_far), F.lit(True)).alias("apart"),
+        F.coalesce(F.col("place") > F.lag("place").over(by_doc), F.lit(True)).alias("new"),
+        F.when(earlier.isNotNull(), F.greatest(fresh, F.lit(0))).otherwise(0).alias("repeats"),
+    )
+    runs = rows.withColumn("run", F.count_if("apart").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "document", "run").agg(
         F.min("begin").alias("begin"),
         F.max(F.col("begin") + F.col("bytes")).alias("end"),
-        (F.max("place") - F.min("place") + size).cast("long").alias("n_words"),
-        F.count(F.when(F.coalesce(F.col("step"), F.lit(1)) > 0, 1)).alias("n_chunks"),
+        (F.max(end) - F.min("place")).cast("long").alias("n_words"),
+        F.count_if("new").alias("n_chunks"),
         F.min("first_doc_id").alias("first_doc_id"),
-        F.coalesce(F.sum("repeats"), F.lit(0)).cast("long").alias("repeat_words"),
+        F.sum("repeats").cast("long").alias("repeat_words"),
     ).drop("run")
 
 
 def passages(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages that other documents hold too: runs of grams of ``least_words`` words.
-
-    doc_id, begin and end (bytes in UTF-8), n_words, n_chunks (shared grams), first_doc_id (the
-    smallest doc_id that holds a part of it) and repeat_words (words in grams that a smaller doc_id
-    holds, which dedup takes away). Words are compared, the white space between them is not.
-    Documents without such a passage have no row. Rows of one doc_id are one document; rows
-    without a doc_id are left out.
+    """Passages of ``least_words`` words or more that other documents hold too.
+
+    doc_id, begin and end (bytes in UTF-8), n_words, n_chunks, first_doc_id (the smallest doc_id
+    that holds a part of it) and repeat_words (words in chunks that a smaller doc_id holds, which
+    dedup takes away). Words are compared, the white space between them is not. A document is
+    a doc_id with a text: fully repeated rows are one, rows of one id with different texts are
+    two. What only one document repeats is no passage. Documents without a passage have no
+    row; rows without a doc_id are documents too; an empty table gives no rows.
     """
     scratch = Scratch(spark, "substrings")
-    return scratch.save(_joined(held_grams(spark, docs, scratch, least_words), least_words), "passages")
+    found = scratch.save(_joined(held_chunks(spark, docs, scratch, least_words)).drop("document"), "passages")
+    scratch.drop("chunks", "shared")
+    return found
+
+
+def _free(names: list[str], name: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the passages cut out that a smaller doc_id holds; all columns stay, ids are unique.
+    """``docs`` with the passages cut out that a smaller doc_id holds; all columns stay.
 
-    Only words of grams that a smaller doc_id holds go, so each stays where it comes first.
+    Only words of chunks that a smaller doc_id holds go, so each stays where it comes first.
     """
-    held = held_grams(spark, docs, Scratch(spark, "substrings"), least_words)
-    spans = _joined(held.where("first_doc_id < doc_id"), least_words)
-    by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cut"))
-    both = docs.join(by_doc, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    names = docs.columns
+    names, key, cut = docs.columns, _free(docs.columns, "document"), _free(docs.columns, "cut")
+    held = held_chunks(spark, docs, Scratch(spark, "substrings"), least_words)
+    spans = _joined(held.where("first_doc_id < doc_id"))
+    by_doc = spans.groupBy(F.col("document").alias(key)).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("begin", "end")))).alias(cut))
+    both = docs.withColumn(key, _document()).join(by_doc, key, "left").select(*names, cut)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
