@@ -13,10 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, ascii_lower, read_table
+from .shared import Scratch, ascii_lower, join_folded, read_table
 
-#: A digest held by at least one row in so many is hot; there can be no more hot digests than this.
-HOT_SHARE = 1000
 #: Batches in which a table is handed to its index, from the largest ids down.
 BATCHES = 2
 
@@ -112,12 +110,7 @@ def _staged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 def _spread(staged: DataFrame, groups: DataFrame) -> DataFrame:
     """Each staged row with its group's keep_id, group_size and whether it is the row kept."""
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    # At most HOT_SHARE digests can hold a HOT_SHARE-th of the rows each, so this side is bounded.
-    hot = F.broadcast(groups.where(F.col("group_size") * HOT_SHARE >= total))
-    cold = groups.where(F.col("group_size") * HOT_SHARE < total)
-    both = staged.join(hot, "digest").unionByName(
-        staged.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest")
-    )
+    both = join_folded(staged, groups, "digest", "group_size", total)
     kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))
     return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 

@@ -3,14 +3,15 @@
 Texts are sets of hashed word shingles, ordered by rising frequency (a sketch's bound, then the
 hash). Two sets that are as similar as asked share one of their first few shingles, so only
 these prefixes are joined. Equal sets are one class, and classes with equal prefix and size one
-group. Groups that meet in a shingle are filtered by size and by the shingle's place; pairs
-that pass are expanded to their classes and verified on the whole sets.
+group. Pairs of groups that meet in a shingle are filtered by size, by the shingle's place and by
+their whole prefixes; only pairs of groups that pass are expanded to pairs of their classes,
+which are verified on the whole sets.
 
 Links are only needed up to connection, so pairs that earlier links already connect are not
-verified: first each group is held against the most connected group it meets, then one pair
-of any two components that still meet, at last every pair between different components. No
-list of shingles or partners is cut, and a pair of classes is left out only if both are
-connected already.
+verified: first each group is held against the most connected group it meets and each class
+against its group's first, then one pair of any two components whose groups still meet, at last
+every pair of classes of different components. No list of shingles, groups or partners is cut,
+and a pair of classes is left out only if both are connected already.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import Scratch, read_table
-from .shingles import SKETCH_BITS, frequency_sketch, shingle_set, word_hashes
+from .shared import Scratch, join_folded, join_spread, read_table
+from .shingles import frequency_sketch, shingle_set, word_hashes
 
 #: Rows up to which a side that a count has measured is broadcast (16 bytes a row).
 BROADCAST_ROWS = 200_000
+#: Groups of one shingle, and classes of one group, that are paired in one task.
+PAIRED = 512
 
 
 def _ceil_share(n: int | Column, num: int, den: int):
@@ -38,10 +41,10 @@ def _ceil_share(n: int | Column, num: int, den: int):
     return (n * num + den - 1) // den
 
 
-def signatures(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int = SKETCH_BITS) -> DataFrame:
+def signatures(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int | None = None) -> DataFrame:
     """doc_id, n (set size), digest (of the set), alike (of prefix and size) and prefix of each text."""
-    sketch = spark.sparkContext.broadcast(frequency_sketch(spark, docs, width, bits))
-    mask = np.uint64((1 << bits) - 1)
+    counted = frequency_sketch(spark, docs, width, bits)
+    sketch, mask = spark.sparkContext.broadcast(counted), np.uint64(len(counted) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -91,19 +94,19 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 class _Join:
-    def __init__(self, spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int):
+    def __init__(self, spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int | None):
         self.spark, self.docs, self.width, self.num, self.den = spark, docs, width, num, den
         self.scratch = Scratch(spark, "ngram-join")
         save = self.scratch.save
         self.texts = save(signatures(spark, docs, width, num, den, bits), "texts")
         best = F.min(F.struct("doc_id", "n", "alike", "prefix")).alias("best")
         classes = self.texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(best)
-        classes = classes.select("digest", F.col("best.doc_id").alias("class_id"), "best.n", "best.alike", "best.prefix")
-        same = Window.partitionBy("alike")
-        group, several = F.min("class_id").over(same).alias("group_id"), (F.count(F.lit(1)).over(same) > 1).alias("several")
-        classes = classes.select("digest", "class_id", "n", "prefix", group, several)
+        classes = save(classes.select("digest", F.col("best.doc_id").alias("class_id"), "best.n", "best.alike", "best.prefix"), "sets")
+        groups = classes.groupBy("alike").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("size"))
+        found = join_folded(classes, save(groups, "groups"), "alike", "size", classes.count()).drop("alike")
         leads = F.col("class_id") == F.col("group_id")
-        self.classes = save(classes.withColumn("prefix", F.when(leads, F.col("prefix"))), "classes")
+        self.classes = save(found.withColumn("prefix", F.when(leads, F.col("prefix"))), "classes")
+        self.scratch.drop("sets", "groups")
 
     def alike(self, a: Column, b: Column, an: Column, bn: Column) -> Column:
         """Whether groups that meet at places a and b of their prefixes can be similar enough."""
@@ -111,111 +114,150 @@ class _Join:
         reach = 1 + F.least(an - a - 1, bn - b - 1)
         return (self.den * F.least(an, bn) >= self.num * F.greatest(an, bn)) & (reach >= need)
 
-    def postings(self) -> DataFrame:
-        """(token, group_id, n, place) of prefix shingles that two groups or more share.
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """(token, group_id, n, size, place) of prefix shingles that two groups or more share, and their groups by token.
 
         The first one of a group of several classes stays too: there its own classes meet each
         other, which ``alike`` lets pass at place 0 but not always at a later one.
         """
-        all_rows = self.classes.where("prefix IS NOT NULL").select("group_id", "n", "several", F.posexplode("prefix").alias("place", "token"))
-        counted = all_rows.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token")))
-        return self.scratch.save(counted.where("groups > 1 OR (several AND place = 0)").drop("groups", "several"), "postings")
+        of_group = self.classes.where("prefix IS NOT NULL").select("group_id", "n", "size", F.posexplode("prefix").alias("place", "token"))
+        own = F.count_if((F.col("size") > 1) & (F.col("place") == 0))
+        tokens = of_group.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), own.alias("own"))
+        tokens = self.scratch.save(tokens.where("groups > 1 OR own > 0").select("token", "groups"), "tokens")
+        total = tokens.agg(F.sum("groups")).first()[0] or 0
+        rows = join_folded(of_group, tokens, "token", "groups", total)
+        return self.scratch.save(rows.where("groups > 1 OR place = 0"), "postings"), tokens
 
     def plausible(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Distinct pairs (a, b) of classes whose groups share enough of their prefixes.
+        """The distinct pairs (a, b) of groups that share enough of their prefixes.
 
         Whichever prefix ends first in the common order, what lies beyond it in its set bounds
-        the rest of the intersection.
+        the rest of the intersection. A group paired with itself shares all.
         """
-        pairs = self.scratch.save(pairs.distinct(), f"{name}-candidates")
-        few = pairs.count() <= BROADCAST_ROWS
-        some = F.broadcast(pairs) if few else pairs
+        pairs = self.scratch.save(pairs.distinct(), f"{name}-groups")
         lead = self.classes.where("prefix IS NOT NULL").select("group_id", "n", "prefix")
-        of = self.classes.select("class_id", "group_id")
-        needed = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-        groups = of.join(F.broadcast(needed) if few else needed, "class_id")
-        known = self.scratch.save(lead.join(F.broadcast(groups) if few else groups, "group_id").select("class_id", "n", "prefix"), f"{name}-prefixes")
-        x, y = [known.select(F.col("class_id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab"]
-        common = F.size(F.array_intersect("pa", "pb"))
-        rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        count = pairs.count()
+        if not count:
+            return pairs
+        few = count <= BROADCAST_ROWS
+        needed = pairs.select(F.col("a").alias("group_id")).union(pairs.select("b")).distinct()
+        lead = self.scratch.save(lead.join(F.broadcast(needed) if few else needed, "group_id"), f"{name}-prefixes")
+        common = F.size(F.array_intersect("xa", "xb"))
+        rest = F.greatest(F.col("na") - F.size("xa"), F.col("nb") - F.size("xb"))
         need = _ceil_share(F.col("na") + F.col("nb"), self.num, self.num + self.den)
-        kept = x.join(some, "a").join(y, "b").where(common + rest >= need).select("a", "b").distinct()
-        kept = self.scratch.save(kept, f"{name}-pairs")
-        self.scratch.drop(f"{name}-candidates", f"{name}-prefixes")
+        met = self._beside(pairs, lead.select(F.col("group_id").alias("id"), "n", F.col("prefix").alias("x")), few)
+        kept = self.scratch.save(met.where((F.col("a") == F.col("b")) | (common + rest >= need)).select("a", "b"), f"{name}-pairs")
+        self.scratch.drop(f"{name}-groups", f"{name}-prefixes")
         return kept
 
+    def _beside(self, pairs: DataFrame, wide: DataFrame, few: bool) -> DataFrame:
+        """pairs (a, b) with the columns of ``wide`` (id, n, x) of both; no id gathers all its pairs in one task."""
+        left, right = [wide.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("x").alias(f"x{c}")) for c in "ab"]
+        rows = left.join(F.broadcast(pairs), "a") if few else join_spread(pairs, left, "a", "b", pairs)
+        return join_spread(rows, right, "b", "a", pairs)
+
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) of classes that are links, by their whole sets."""
-        pairs = self.plausible(pairs, name)
-        few = pairs.count() <= BROADCAST_ROWS
-        some = F.broadcast(pairs) if few else pairs
+        """The distinct pairs (a, b) of classes that are links, by their whole sets."""
+        pairs = self.scratch.save(pairs.distinct(), f"{name}-asked")
+        count = pairs.count()
+        if not count:
+            return pairs
+        few = count <= BROADCAST_ROWS
         needed = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
         of = self.classes.select("class_id", "digest")
         needed = self.scratch.save(of.join(F.broadcast(needed) if few else needed, "class_id"), f"{name}-needed")
         sets = self.scratch.save(_sets(self.docs, F.broadcast(needed) if few else needed, self.width), f"{name}-sets")
-        left = sets.select(F.col("class_id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("class_id").alias("b"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - both
-        links = left.join(some, "a").join(right, "b").where(self.den * both >= self.num * union).select("a", "b").distinct()
-        links = self.scratch.save(links, f"{name}-links")
-        self.scratch.drop(f"{name}-sets", f"{name}-needed", f"{name}-pairs")
+        sets = sets.groupBy("class_id").agg(F.first("items").alias("items"))
+        met = self._beside(pairs, sets.select(F.col("class_id").alias("id"), F.size("items").alias("n"), F.col("items").alias("x")), few)
+        both = F.size(F.array_intersect("xa", "xb"))
+        union = F.col("na") + F.col("nb") - both
+        links = self.scratch.save(met.where(self.den * both >= self.num * union).select("a", "b"), f"{name}-links")
+        self.scratch.drop(f"{name}-sets", f"{name}-needed", f"{name}-asked", f"{name}-pairs")
         return links
 
     def run(self) -> DataFrame:
         """(node, component) of the classes that have a link to another."""
         save = self.scratch.save
-        postings = self.postings()
+        postings, tokens = self.postings()
         degree = postings.groupBy("group_id").agg(F.count(F.lit(1)).alias("degree"))
         ranked = postings.join(degree, "group_id")
         as_hub = [F.col(c).alias(f"hub_{c}") for c in ("degree", "group_id", "n", "place")]
-        hub = ranked.groupBy("token").agg(F.max(F.struct(*as_hub)).alias("h")).select("token", "h.*")
-        met = postings.join(hub, "token").where("group_id <> hub_group_id")
+        hub = ranked.groupBy("token").agg(F.max(F.struct(*as_hub)).alias("h"), F.count(F.lit(1)).alias("hub_groups"))
+        hub = save(hub.select("token", "hub_groups", "h.*"), "hubs")
+        total = hub.agg(F.sum("hub_groups")).first()[0] or 0
+        met = join_folded(postings, hub, "token", "hub_groups", total).where("group_id <> hub_group_id")
         met = met.where(self.alike(F.col("place"), F.col("hub_place"), F.col("n"), F.col("hub_n")))
         met = met.groupBy("group_id", "hub_group_id").agg(F.count(F.lit(1)).alias("shared"))
         first = met.groupBy("group_id").agg(F.max(F.struct("shared", "hub_group_id")).alias("h"))
-        first = first.select(F.col("group_id").alias("a"), F.col("h.hub_group_id").alias("b"))
+        first = self.plausible(first.select(F.col("group_id").alias("a"), F.col("h.hub_group_id").alias("b")), "first")
         within = self.classes.where("class_id <> group_id").select(F.col("class_id").alias("a"), F.col("group_id").alias("b"))
         links = self.verify(first.unionByName(within), "first")
         labels = connected(self.spark, links, self.scratch, "first")
         for name in ("second", "rest"):
-            pairs = self.apart(postings, labels, name)
-            if name == "second":
-                one = F.min(F.struct("a", "b")).alias("p")
-                pairs = pairs.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(one).select("p.a", "p.b")
-            else:
-                pairs = pairs.select("a", "b")
-            more = self.verify(pairs, name)
+            pairs, members = self.apart(postings, tokens, labels, name)
+            if not pairs.head(1):
+                break
+            more = self.verify(self.expanded(pairs, members, name), name)
             if more.head(1):
                 links = save(links.unionByName(more), f"{name}-all")
                 labels = connected(self.spark, links, self.scratch, name)
+            self.scratch.drop(f"{name}-members")
+        self.scratch.drop("postings", "tokens", "hubs", "first-links", "second-links", "rest-links")
         return labels
 
-    def apart(self, postings: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-        """Pairs of classes in different components whose groups meet, with the components' ids."""
-        members = self.classes.select("group_id", "class_id")
+    def apart(self, postings: DataFrame, tokens: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Plausible pairs (a, b) of groups that are not yet in one component, and (group_id, class_id, size, component)."""
         named = labels.select(F.col("node").alias("class_id"), "component")
-        rows = postings.join(members, "group_id").join(named, "class_id", "left")
-        rows = self.scratch.save(
-            rows.select("token", "n", "place", "class_id", F.coalesce("component", "class_id").alias("component")),
-            f"{name}-rows",
-        )
-        several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        rows = self.scratch.save(rows.join(several, "token", "left_semi"), f"{name}-apart")
-        x, y = rows.alias("x"), rows.alias("y")
+        members = self.classes.select("group_id", "class_id", "size").join(named, "class_id", "left")
+        members = self.scratch.save(members.withColumn("component", F.coalesce("component", "class_id")), f"{name}-members")
+        spans = members.groupBy("group_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        rows = self.scratch.save(postings.join(spans, "group_id"), f"{name}-rows")
+        several = rows.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
+        several = several.join(tokens, "token").withColumn("blocks", F.ceil(F.col("groups") / PAIRED).cast("int"))
+        several = self.scratch.save(several, f"{name}-tokens")
+        total = several.agg(F.sum("groups")).first()[0] or 0
+        if not total:
+            return several.select(F.lit(0).alias("a"), F.lit(0).alias("b")), members
+        rows = join_folded(rows.drop("groups"), several, "token", "groups", total)
+        # A shingle's groups are dealt into blocks, and each pair of blocks is one key.
+        block, every = F.pmod(F.xxhash64("group_id"), "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+        x = rows.withColumn("i", block).withColumn("j", F.explode(every)).alias("x")
+        y = rows.withColumn("j", block).withColumn("i", F.explode(every)).alias("y")
+        one = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
         meet = x.join(
             y,
             (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.class_id") < F.col("y.class_id"))
-            & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.i") == F.col("y.i"))
+            & (F.col("x.j") == F.col("y.j"))
+            & (F.col("x.group_id") <= F.col("y.group_id"))
+            & ~one
             & self.alike(F.col("x.place"), F.col("y.place"), F.col("x.n"), F.col("y.n")),
         )
-        return meet.select(
-            F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")
-        )
-
-
-def components(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int = SKETCH_BITS) -> DataFrame:
+        pairs = self.plausible(meet.select(F.col("x.group_id").alias("a"), F.col("y.group_id").alias("b")), name)
+        self.scratch.drop(f"{name}-rows", f"{name}-tokens")
+        return pairs, members
+
+    def expanded(self, pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) of classes of different components whose groups are paired: one of any two components, at last all."""
+        if name == "second":
+            members = members.groupBy("group_id", "component").agg(F.min("class_id").alias("class_id"), F.first("size").alias("size"))
+        blocks = F.ceil(F.col("size") / PAIRED).cast("int")
+        side = members.withColumn("block", F.pmod(F.xxhash64("class_id"), blocks).cast("int"))
+        every = self.classes.where("class_id = group_id").select("group_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        rows = pairs
+        for end, c in (("a", "x"), ("b", "y")):
+            # Pairs of a large group are copied once a block, so its classes meet them in as many tasks.
+            rows = rows.join(every.select(F.col("group_id").alias(end), F.col("block").alias(f"{c}_block")), end)
+            own = side.select(F.col("group_id").alias(end), F.col("block").alias(f"{c}_block"), F.col("class_id").alias(c), F.col("component").alias(f"{c}_of"))
+            rows = rows.join(own, [end, f"{c}_block"])
+        rows = rows.where("x_of <> y_of AND (a <> b OR x < y)")
+        if name == "second":
+            one = F.min(F.struct("x", "y")).alias("p")
+            rows = rows.groupBy(F.least("x_of", "y_of").alias("lo"), F.greatest("x_of", "y_of").alias("hi")).agg(one).select("p.x", "p.y")
+        return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def components(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``.
 
     Texts link when den * |intersection| >= num * |union| of their sets of ``width``-word
@@ -226,12 +268,12 @@ def components(spark: SparkSession, docs: DataFrame, width: int, num: int, den:
     join = _Join(spark, docs, width, num, den, bits)
     labels = join.run()
     named = labels.select(F.col("node").alias("class_id"), "component")
-    of_class = join.scratch.save(
-        join.classes.select("digest", "class_id").join(named, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id")),
-        "of-class",
-    )
     rows = join.texts.select("doc_id", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest"))
-    linked = rows.where("digest IS NOT NULL").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = rows.where("digest IS NOT NULL")
+    copies = linked.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    of_class = join.classes.select("digest", "class_id").join(named, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
+    of_class = join.scratch.save(of_class.join(copies, "digest"), "of-class")
+    linked = join_folded(linked, of_class, "digest", "copies", linked.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("digest IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: A word is a longest run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key held by at least one row in so many is hot; there can be no more hot keys than this.
+HOT_SHARE = 1000
+#: Rows of one key that meet its row in one task, and tasks that a hot key is spread over at most.
+SPREAD_ROWS, SPREAD_WAYS = 256, 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,3 +77,32 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def join_folded(rows: DataFrame, folded: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of many rows a key with one of ``folded``, whose ``size`` of ``total`` rows the key has.
+
+    At most HOT_SHARE keys have a HOT_SHARE-th of the rows each; these are broadcast, so no key
+    gathers more than that in one task.
+    """
+    hot = F.broadcast(folded.where(F.col(size) * HOT_SHARE >= total))
+    cold = folded.where(F.col(size) * HOT_SHARE < total)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold.hint("merge"), key))
+
+
+def join_spread(rows: DataFrame, wide: DataFrame, key: str, by: str, keys: DataFrame) -> DataFrame:
+    """Inner join of many rows a key with one wide row of ``wide``, too wide to broadcast.
+
+    ``keys`` has the key of every row. The rows of a hot key are dealt by ``by`` over several
+    tasks, each with a copy of its wide row: one for SPREAD_ROWS rows.
+    """
+    total = keys.count()
+    hot = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > SPREAD_ROWS) & (F.col("_rows") * HOT_SHARE >= total))
+    ways = F.least(F.ceil(F.col("_rows") / SPREAD_ROWS), F.lit(SPREAD_WAYS)).cast("int")
+    hot = F.broadcast(hot.select(key, ways.alias("_ways")))
+    own = F.coalesce(F.pmod(F.xxhash64(by), F.col("_ways")), F.lit(0)).cast("int")
+    left = rows.join(hot, key, "left").withColumn("_way", own).drop("_ways")
+    all_ways = F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)
+    right = wide.join(hot, key, "left").withColumn("_way", F.explode(all_ways)).drop("_ways")
+    return left.join(right, [key, "_way"]).drop("_way")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,13 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 _SHORT = np.uint64(0xA0761D6478BD642F)
 
-#: Counters of the frequency sketch, as a power of two; its size is the same for any corpus.
-SKETCH_BITS = 20
+#: Counters of the frequency sketch as powers of two: the least, and the most (16 MB, an eighth of
+#: a map task's input, which is also what the driver sums up and broadcasts).
+LEAST_BITS, MOST_BITS = 20, 22
+#: Bytes of text for one counter between these.
+BYTES_EACH = 384
+#: Sums of counters that one task adds up, a branch of the tree.
+BRANCHES = 256
 #: Counters that travel in one row.
 SLICE = 1 << 14
 
@@ -92,40 +98,58 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
 
 
-def frequency_sketch(spark: SparkSession, docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """Counters for a table by Spark's estimate of its bytes, as a power of two."""
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES_EACH).bit_length()))
+
+
+def frequency_sketch(spark: SparkSession, docs: DataFrame, width: int, bits: int | None = None) -> np.ndarray:
     """Upper bounds, by hash, of how many texts hold a shingle, over all texts.
 
     Each task counts into 2^bits counters; slices of them are summed in parallel tasks, one row
-    of each at a time. What reaches the driver is 4 * 2^bits bytes.
+    of each at a time, in as many levels as there are tasks to sum. What reaches the driver is
+    4 * 2^bits bytes.
     """
+    bits = bits or sketch_bits(docs)
     slices = max(1, (1 << bits) // SLICE)
     size = (1 << bits) // slices
+    kind = "slice int, branch int, counts binary"
+
+    def packed(k: int, branch: int, counts: np.ndarray) -> pa.RecordBatch:
+        rows = [pa.array([k], pa.int32()), pa.array([branch], pa.int32()), pa.array([counts.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(rows, ["slice", "branch", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mask = np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
         for batch in batches:
             for words in word_hashes(batch.column(0)):
                 counts[(shingle_set(words, width) & mask).astype(np.int64)] += 1
+        task = TaskContext.get().partitionId()
         for k in np.flatnonzero(counts.reshape(slices, size).any(1)).tolist():
-            rows = [pa.array([k], pa.int32()), pa.array([counts[k * size : (k + 1) * size].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, ["slice", "counts"])
+            yield packed(k, task, counts[k * size : (k + 1) * size])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, branch, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 part = np.frombuffer(row.as_buffer(), np.int32)
-                if k in sums:
-                    sums[k] += part
+                if (k, branch) in sums:
+                    sums[k, branch] += part
                 else:
-                    sums[k] = part.astype(np.int64)
-        for k, v in sums.items():
-            packed = np.minimum(v, np.iinfo(np.int32).max).astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counts"])
-
-    kind = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind)
+                    sums[k, branch] = part.astype(np.int64)
+        for (k, branch), v in sums.items():
+            yield packed(k, branch, np.minimum(v, np.iinfo(np.int32).max).astype(np.int32))
+
+    texts = docs.select("text")
+    parts, tasks = texts.mapInArrow(count, kind), texts._jdf.queryExecution().toRdd().getNumPartitions()
+    while True:
+        tasks = max(1, -(-tasks // BRANCHES))
+        parts = parts.withColumn("branch", F.floor(F.col("branch") / BRANCHES).cast("int"))
+        parts = parts.repartition(min(slices * tasks, 4096), "slice", "branch").mapInArrow(total, kind)
+        if tasks == 1:
+            break
     out = np.zeros(1 << bits, np.int32)
-    for k, row in parts.repartition(slices, F.col("slice")).mapInArrow(total, kind).collect():
+    for k, _, row in parts.collect():
         out[k * size : (k + 1) * size] = np.frombuffer(row, np.int32)
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pieces import BLOCK, _grow, _splitmix, mixed, span_hashes
-from .shared import Scratch, read_table
+from .shared import Scratch, join_folded, read_table
 from .shingles import _IS_SPACE
 
 #: Words on each side among which a boundary's hash is the least.
@@ -28,8 +28,6 @@ REACH = 2
 LEAST_WORDS = 24
 #: Bytes that the rolling hash spans: as many as it has bits.
 SPAN = 16
-#: A digest held by at least one row in so many is hot; there can be no more hot digests than this.
-HOT_SHARE = 1000
 
 _GEAR = (_splitmix(512)[256:] >> np.uint64(48)).astype(np.uint16)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
@@ -150,12 +148,7 @@ def held_chunks(spark: SparkSession, docs: DataFrame, scratch: Scratch, least_wo
         F.min("document").alias("lo"), F.max("document").alias("hi"), F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("rows")
     )
     shared = scratch.save(same.where("lo < hi").select("digest", "first_doc_id", "rows"), "shared")
-    # At most HOT_SHARE digests can hold a HOT_SHARE-th of the rows each, so this side is bounded.
-    least = cut.count() / HOT_SHARE
-    hot = F.broadcast(shared.where(F.col("rows") >= least).drop("rows"))
-    cold = shared.where(F.col("rows") < least).drop("rows")
-    rest = cut.join(hot.select("digest"), "digest", "left_anti")
-    return cut.join(hot, "digest").unionByName(rest.join(cold.hint("merge"), "digest")).drop("digest")
+    return join_folded(cut, shared, "digest", "rows", cut.count()).drop("digest", "rows")
 
 
 def _joined(held: DataFrame) -> DataFrame:
