@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +13,11 @@ from .. import vocab
 SPACE = r"\s"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without the white space, of all of Unicode, at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -89,13 +94,17 @@ def insert_tags(c: Column, new: Sequence[str], prepend: bool = True) -> Column:
 
     Spellings that differ in case, or in space and underscore, are the same tag.
     """
-    parts = F.split(line_ends(c), "\n\n", 2)
-    have = comma_list(F.element_at(parts, 1))
-    known = F.transform(have, normal_tag)
-    missing = F.filter(literals(new), lambda t: ~F.array_contains(known, normal_tag(t)))
-    merged = F.array_join(F.concat(missing, have) if prepend else F.concat(have, missing), ", ")
-    rest = F.coalesce(F.get(parts, 1), F.lit(""))
-    return F.when(F.size(missing) > 0, F.when(rest != "", F.concat(merged, F.lit("\n\n"), rest)).otherwise(merged))
+
+    def put(p: Column) -> Column:
+        missing = F.filter(literals(new), lambda t: ~F.array_contains(p["known"], normal_tag(t)))
+        return let(missing, lambda m: F.when(F.size(m) > 0, F.concat(F.array_join(F.concat(m, p["have"]) if prepend else F.concat(p["have"], m), ", "), p["rest"])))
+
+    def parted(parts: Column) -> Column:
+        rest = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+        rest = F.when(rest != "", F.concat(F.lit("\n\n"), rest)).otherwise("").alias("rest")
+        return let(comma_list(F.element_at(parts, 1)), lambda have: let(F.struct(have.alias("have"), F.transform(have, normal_tag).alias("known"), rest), put))
+
+    return let(F.split(line_ends(c), "\n\n", 2), parted)
 
 
 # Keywords and refusals

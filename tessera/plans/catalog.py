@@ -634,15 +634,40 @@ def normal_format(spark, d):
     return table(spark, d, "documents").select("doc_id", captions.normal_format(F.col("text")).alias("text")).where("text IS NOT NULL")
 
 
-@query()
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_WORDS = "len(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
+_TOLD = _STRIP.format(f"regexp_replace({{0}}, '{captions.LEADING_PREFIX}', '')")
+SPLIT = rf"""t AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+l AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS line, regexp_matches(t, '{captions.PREFIX}') AS marked,
+  list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda b: {_STRIP.format("b")}), lambda b: b <> '') AS blocks FROM t),
+h AS (SELECT *, regexp_matches(line, '{captions.CJK}') AS zh, length(regexp_extract(line, '{captions.CJK_HEAD}', 1)) AS c,
+  CASE WHEN strpos(line, '.') > 1 THEN length(regexp_extract(line, '{captions.EARLY_HEAD}', 1)) ELSE 0 END AS e, length(regexp_extract(line, '{captions.VERBAL_HEAD}', 1)) AS v FROM l),
+a AS (SELECT *, CASE WHEN zh THEN CASE WHEN c > 0 AND (length(trim(substr(line, c + 1))) >= 20 OR {_WORDS.format("substr(line, c + 1)")} >= 5) THEN c END
+  WHEN e > 0 THEN e WHEN v > 0 AND {_WORDS.format("substr(line, v + 1)")} >= 12 AND regexp_matches(substr(line, v + 1), '{captions.VERB}') THEN v END AS cut_at FROM h),
+b AS (SELECT *, trim(trim(left(line, cut_at)), ',') AS tags, trim(substr(line, cut_at + 1)) AS told FROM a),
+d AS (SELECT *, regexp_extract(tags, '{captions.LAST_TAG}', 1) AS before, trim(regexp_extract(tags, '{captions.LAST_TAG}', 2)) AS last FROM b),
+m AS (SELECT *, CASE WHEN line = '' THEN 'empty' WHEN marked THEN 'explicit_prefix' WHEN cut_at > 0 THEN 'boundary_split'
+  WHEN contains(t, chr(10) || chr(10)) AND len(blocks) > 1 AND regexp_matches(blocks[-1], '{captions.CJK}|{captions.SENTENCE}') THEN 'newline_split' ELSE 'tags_only' END AS mode,
+  {_WORDS.format("last")} >= 7 AS long FROM d),
+s AS (SELECT doc_id, mode,
+  CASE mode WHEN 'empty' THEN '' WHEN 'explicit_prefix' THEN trim({_STRIP.format(f"regexp_extract(t, '{captions.PREFIX}', 1)")}, ',')
+    WHEN 'boundary_split' THEN CASE WHEN long THEN trim(trim(before), ',') ELSE tags END WHEN 'newline_split' THEN array_to_string(blocks[:-2], ' ') ELSE line END AS tags_text,
+  CASE mode WHEN 'explicit_prefix' THEN {_TOLD.format(f"'caption:' || regexp_extract(t, '{captions.PREFIX}', 3)")}
+    WHEN 'boundary_split' THEN {_TOLD.format("CASE WHEN long THEN last || ' ' || told ELSE told END")} WHEN 'newline_split' THEN {_TOLD.format("blocks[-1]")} ELSE '' END AS caption_text,
+  CASE WHEN mode = 'newline_split' OR mode = 'boundary_split' AND NOT zh AND e = 0 THEN 'medium' WHEN mode = 'tags_only' THEN 'low' ELSE 'high' END AS confidence FROM m)"""
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, tags_text, caption_text, mode, confidence FROM s")
 def split_captions(spark, d):
-    """Tags and captions of texts that mix both (look-behind patterns, which the oracle's engine lacks)."""
     s = captions.split_caption(F.col("text"))
     rows = table(spark, d, "documents").select("doc_id", s.alias("s"))
     return rows.select("doc_id", "s.tags_text", "s.caption_text", "s.mode", "s.confidence")
 
 
-@query()
+@query(
+    f"""WITH {SPLIT} SELECT mode, confidence, count(*) AS texts, count(*) FILTER (WHERE tags_text <> '') AS with_tags, count(*) FILTER (WHERE caption_text <> '') AS with_caption
+FROM s GROUP BY mode, confidence"""
+)
 def split_report(spark, d):
     return quality.split_summary(table(spark, d, "documents"), "text")
 
