@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +17,52 @@ SHARED, SEVERAL = 0.8, 0.7
 MATCH = 0.15
 
 
+def _kept(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, most: float) -> list[int]:
+    """Positions of the boxes, best first, that no kept one before them overlaps by more than ``most``."""
+    size = (x2 - x1) * (y2 - y1)
+    left, kept = np.arange(len(size)), []
+    while len(left):
+        k, left = left[0], left[1:]
+        kept.append(int(k))
+        w = np.minimum(x2[left], x2[k]) - np.maximum(x1[left], x1[k])
+        h = np.minimum(y2[left], y2[k]) - np.maximum(y1[left], y1[k])
+        both = w.clip(min=0) * h.clip(min=0)
+        joint = size[left] + size[k] - both
+        left = left[~((joint > 0) & (both > most * joint))]
+    return kept
+
+
 def suppress(detections: DataFrame, most: float = 0.5) -> DataFrame:
     """Detections (image, label, bbox, score, ...) that no better kept one of their label overlaps by more than ``most``.
 
-    Greedy by falling score, so what a suppressed box overlaps survives. A group is one image and
-    label, which bounds it by what a detector emits; the order inside is (score, x1, y1, x2, y2).
+    Greedy by falling score, so what a suppressed box overlaps survives; the order inside an image
+    and label is (score, x1, y1, x2, y2). Images are dealt over the tasks and sorted there, and a
+    batch holds many of them; a group that goes on in the next batch waits for it.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "_1", "_2", "_3", "_4"], ascending=[False, True, True, True, True], kind="stable")
-        b = rows[["_1", "_2", "_3", "_4"]].to_numpy(float)
-        size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        kept: list[int] = []
-        for k in range(len(b)):
-            w = (b[kept, 2].clip(max=b[k, 2]) - b[kept, 0].clip(min=b[k, 0])).clip(min=0)
-            h = (b[kept, 3].clip(max=b[k, 3]) - b[kept, 1].clip(min=b[k, 1])).clip(min=0)
-            joint = size[kept] + size[k] - w * h
-            if not ((joint > 0) & (w * h > most * joint)).any():
-                kept.append(k)
-        return rows.iloc[kept]
-
-    flat = detections.select("*", *[F.col(f"bbox.{c}").alias(f"_{i}") for i, c in enumerate(("x1", "y1", "x2", "y2"), 1)])
-    names = [c for c in flat.columns if c != "bbox"]
-    flat = flat.select(*names)
-    schema = ", ".join(f"`{c}` {t}" for c, t in flat.dtypes)
-    kept = flat.groupBy("image", "label").applyInPandas(run, schema)
-    out = kept.withColumn("bbox", F.struct(*[F.col(f"_{i}").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"), 1)]))
-    return out.select(*detections.columns)
+    corners = ("x1", "y1", "x2", "y2")
+    order = [F.col("image"), F.col("label"), F.desc("score"), *[F.col(f"bbox.{c}") for c in corners]]
+    dealt = detections.repartition("image").sortWithinPartitions(*order)
+    marks = [F.xxhash64("image", "label").alias("_group"), *[F.col(f"bbox.{c}").cast("double").alias(f"_{c}") for c in corners]]
+    rows = dealt.select(*marks, *[F.col(f"`{c}`") for c in detections.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            group = rest.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(group)) + 1
+            if len(edges):
+                yield from picked(rest.slice(0, int(edges[-1])), [0, *edges.tolist()])
+                rest = rest.slice(int(edges[-1]))
+        if rest is not None and len(rest):
+            yield from picked(rest, [0, len(rest)])
+
+    def picked(rows: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        boxes = [rows.column(k).to_numpy() for k in range(1, 5)]
+        at = [a + k for a, b in zip(edges, edges[1:], strict=False) for k in _kept(*[c[a:b] for c in boxes], most)]
+        yield from rows.take(pa.array(at, pa.int64())).select(range(5, rows.num_columns)).to_batches()
+
+    return rows.mapInArrow(run, detections.schema)
 
 
 def persons(detections: DataFrame, images: DataFrame, least: float, k: int = 15) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .written import Written
+
 HASH_BITS = 64
+#: Probes of one hash at most: 428 for 10 bits of 64, 1006 for 16 of 63.
+MOST_PROBES = 1024
 
 
 def difference_hash(values: Column, row: int | None = None) -> Column:
@@ -27,50 +31,54 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(most: int, bits: int = HASH_BITS) -> list[tuple[int, int]]:
-    """(shift, mask) of most + 1 disjoint runs of bits: hashes within ``most`` agree on one of them."""
-    edges = [round(k * bits / (most + 1)) for k in range(most + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def bands(most: int, bits: int = HASH_BITS, probes: int = MOST_PROBES) -> list[tuple[int, int, int]]:
+    """(shift, width, flips) of disjoint runs of bits: hashes within ``most`` differ in at most ``flips`` bits of one of them.
+
+    If every run differed in more, the sum over the runs would be above ``most``. Wide runs make
+    few candidates and many probes, so they are as wide as the number of probes a hash allows.
+    """
+    for count in range(1, most + 2):
+        edges = [round(k * bits / count) for k in range(count + 1)]
+        each, more = divmod(most - count + 1, count)
+        found = [(a, b - a, each + (k < more)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        if sum(comb(w, f) for _, w, flips in found for f in range(flips + 1)) <= probes:
+            break
+    return found
+
+
+def _flipped(width: int, flips: int) -> list[int]:
+    """Masks of at most ``flips`` of ``width`` bits."""
+    return [sum(1 << i for i in at) for f in range(flips + 1) for at in combinations(range(width), f)]
 
 
 def near_pairs(hashes: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame:
     """(a, b, distance) with a < b of all (id, hash) within ``most`` bits; null hashes have none.
 
-    Equal hashes are one row for the search, so copies don't multiply candidates; their own pairs
-    are chained (first with each other copy), which keeps all connections without all pairs.
+    Each hash is indexed by its runs of bits and probes them with few bits flipped. Equal hashes
+    are one row for the search, so copies don't multiply candidates; their own pairs are chained
+    (first with each other copy), which keeps all connections without all pairs.
     """
     rows = hashes.where("hash IS NOT NULL").select("id", "hash")
     lead = rows.groupBy("hash").agg(F.min("id").alias("id"))
     copies = rows.join(lead.withColumnRenamed("id", "first"), "hash").where("id <> first")
     chained = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    keyed = lead.select(
-        "id",
-        "hash",
-        F.posexplode(F.array(*[F.shiftright(F.col("hash"), s).bitwiseAND(F.lit(m)) for s, m in bands(most, bits)])).alias("band", "value"),
-    )
-    x, y = keyed.alias("x"), keyed.alias("y")
+    runs = bands(most, bits)
+    run = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1))
+    keyed = lead.select("id", "hash", F.posexplode(F.array(*[run(F.col("hash"), s, w) for s, w, _ in runs])).alias("band", "value"))
+    masks = F.get(F.array(*[F.lit(_flipped(w, f)) for _, w, f in runs]), F.col("band"))
+    probes = keyed.select("id", "hash", "band", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    x, y = probes.alias("x"), keyed.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id"))
     distance = hamming(F.col("x.hash"), F.col("y.hash")).cast("int")
-    # A pair is found in the first band it agrees on, so no distinct has to follow.
+    # A pair is found in the first run that is near enough, so no distinct has to follow.
     differ = F.col("x.hash").bitwiseXOR(F.col("y.hash"))
     earlier = F.lit(True)
-    for k, (s, m) in enumerate(bands(most, bits)):
-        earlier = earlier & ((F.lit(k) >= F.col("x.band")) | (F.shiftright(differ, s).bitwiseAND(F.lit(m)) != 0))
+    for k, (s, w, flips) in enumerate(runs):
+        earlier = earlier & ((F.lit(k) >= F.col("x.band")) | (F.bit_count(run(differ, s, w)) > flips))
     found = x.join(y, same & (distance <= most) & earlier)
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance")).unionByName(chained)
 
 
-def _folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (conf.get("spark.master", "") or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) of every node in pairs (a, b): the smallest id it is connected with.
 
@@ -78,13 +86,8 @@ def components(pairs: DataFrame) -> DataFrame:
     logarithm of the longest chain. Each round is a written table that all executors share.
     """
     spark = pairs.sparkSession
-    root = _folder(spark)
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-
+    written = Written(spark, "components")
+    save, drop = written.save, written.drop
     edges = save(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     labels = save(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component")).withColumnRenamed("u", "id"), "labels-0")
     k = 0
@@ -96,8 +99,10 @@ def components(pairs: DataFrame) -> DataFrame:
         jump = lower.alias("x").join(lower.alias("y"), F.col("x.component") == F.col("y.id"), "left")
         after = save(jump.select(F.col("x.id").alias("id"), F.least("x.component", "y.component").alias("component")), f"labels-{k}")
         moved = after.alias("x").join(labels.alias("y"), "id").where("x.component <> y.component").limit(1).count()
+        drop(f"labels-{k - 1}", f"fall-{k}")
         labels = after
         if not moved:
+            drop("edges")
             return labels
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text
+from .written import Written
 
 
 def with_names(files: DataFrame, extensions: Sequence[str] | None = None) -> DataFrame:
@@ -98,7 +99,8 @@ def numbered(files: DataFrame, prefix: str, start: int = 1, pad: int = 0) -> Dat
     """Plan of new names: prefix and running number in natural order; longer numbers are not cut.
 
     The order is total over all files, so the numbers come from a range sort: counts of the
-    sorted partitions, then positions within each.
+    sorted partitions, then positions within each. The sorted rows are written first, since a
+    range exchange that is run again need not cut alike.
     """
     spark = files.sparkSession
     keyed = files.select("file", text.natural_key(F.col("file")).alias("_key"))
@@ -106,6 +108,7 @@ def numbered(files: DataFrame, prefix: str, start: int = 1, pad: int = 0) -> Dat
     ranged = keyed.repartitionByRange(parts, "_key", "file").sortWithinPartitions("_key", "file")
     ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_id")))
+    within = Written(spark, "numbered").save(within.select("file", "_part", "_n"), "ranged")
     before = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = before.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = (F.col("_n") + F.col("_before") + (start - 1)).cast("string")

@@ -334,7 +334,11 @@ def health_score(spark, d):
     return quality.health(_checks(spark, d))
 
 
-@query()
+@query(
+    r"""WITH f AS (SELECT coalesce(url, '') || '#' || page_id AS file FROM pages),
+k AS (SELECT file, list_transform(regexp_extract_all(file, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN '0' || lpad(p, 40, '0') ELSE '1' || lower(p) END) AS key FROM f)
+SELECT file, (row_number() OVER (ORDER BY key, file))::VARCHAR || regexp_extract(file, '^.*?[^./\\][^/\\]*?(\.[^./\\]*)$', 1) AS new_file FROM k"""
+)
 def natural_order(spark, d):
     """Pages in natural order of their urls, with their place."""
     return pairing.numbered(table(spark, d, "pages").select(F.concat_ws("", "url", F.lit("#"), "page_id").alias("file")), "", 1)
@@ -498,9 +502,19 @@ def box_shrink(spark, d):
     return b.select("part", "s.*")
 
 
-@query()
+_C = "(greatest(0, least(c.x2, r.b.x2) - greatest(c.x1, r.b.x1)) * greatest(0, least(c.y2, r.b.y2) - greatest(c.y1, r.b.y1)))"
+
+
+@query(
+    f"""WITH RECURSIVE {BOXES}, r AS (SELECT image, label, b, row_number() OVER (PARTITION BY image, label ORDER BY b.score DESC, b.x1, b.y1, b.x2, b.y2) AS place FROM b),
+k AS (SELECT image, label, 1::BIGINT AS n, [b] AS kept FROM r WHERE place = 1
+  UNION ALL SELECT k.image, k.label, k.n + 1, CASE WHEN len(list_filter(k.kept, lambda c: {_C} > 0.3 * ((c.x2 - c.x1) * (c.y2 - c.y1) + (r.b.x2 - r.b.x1) * (r.b.y2 - r.b.y1) - {_C}))) > 0
+    THEN k.kept ELSE list_append(k.kept, r.b) END FROM k JOIN r ON r.image = k.image AND r.label = k.label AND r.place = k.n + 1),
+u AS (SELECT image, label, unnest(arg_max(kept, n)) AS b FROM k GROUP BY image, label)
+SELECT image, b.part AS part, label, b.score AS score FROM u"""
+)
 def box_nms(spark, d):
-    """Boxes that survive greedy suppression within image and label (no plain join expresses it)."""
+    """Boxes that survive greedy suppression within image and label."""
     return boxes.suppress(_part_boxes(spark, d), 0.3).select("image", "part", "label", "score")
 
 
