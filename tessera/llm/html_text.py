@@ -4,8 +4,11 @@ A page is cut into blocks of text; blocks under the same path of block-level tag
 statistics: text length, punctuation and number of blocks. Length and punctuation a block are
 fused, smoothed over the blocks' order, and paths below a share of the score that half of the
 text reaches are dropped, as are blocks of links. Headings stay with what follows them and inside
-the element that holds most of the content. Dropped are blocks under elements whose name, role, class or id marks them as not the article. Being
-inside an element that marks an article only adds a part of the threshold to a block's score.
+the element that holds most of the content. Dropped before are blocks under elements whose name,
+role, class or id marks them as not the article; a class or id that only begins like such a mark
+does not count where it holds more than half of the page's text, and none counts on the elements
+that hold the page or the article. Being inside an element that marks an article only adds a part
+of the threshold to a block's score.
 """
 
 from __future__ import annotations
@@ -70,63 +73,110 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟،]")
 _HEADING = re.compile(r"h[1-6]\Z")
 
 
+#: Elements that hold a page or its article, whatever their class or id.
+HOLDERS = frozenset("html body main article".split())
+
+
 class Block:
-    __slots__ = ("path", "text", "linked", "outside", "inside", "elements")
+    """A run of text: its tag path's number, the tag it is in, and that element's number."""
+
+    __slots__ = ("path", "tag", "text", "linked", "outside", "doubt", "inside", "element")
+
+    def __init__(self, path: int, tag: str, text: str, linked: int, outside: bool, doubt: int, inside: int, element: int):
+        self.path, self.tag, self.text, self.linked = path, tag, text, linked
+        self.outside, self.doubt, self.inside, self.element = outside, doubt, inside, element
+
+
+class Page:
+    """Blocks in order; elements by number in the order they open, with their parent and last descendant; doubted elements."""
 
-    def __init__(self, path: str, text: str, linked: int, outside: bool, inside: int, elements: tuple[int, ...]):
-        self.path, self.text, self.linked, self.outside, self.inside, self.elements = path, text, linked, outside, inside, elements
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parents, self.ends = [0], [0]
+        self.doubts = [0]  # the doubted element around each doubted one
 
+    def within(self, element: int, around: int) -> bool:
+        return around <= element <= self.ends[around]
 
-def _outside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is not part of the article; a header inside one is."""
+    def open_blocks(self) -> list[Block]:
+        """The blocks that no mark takes out; a doubted mark is overruled by more than half of the text."""
+        found = [b for b in self.blocks if not b.outside]
+        size, total = [0] * len(self.doubts), 0
+        for b in found:
+            own = max(0, len(b.text) - b.linked)
+            size[b.doubt], total = size[b.doubt] + own, total + own
+        out = [False] * len(size)
+        for k in range(len(size) - 1, 0, -1):
+            size[self.doubts[k]] += size[k]
+        for k in range(1, len(size)):
+            out[k] = out[self.doubts[k]] or 2 * size[k] <= total
+        return [b for b in found if not out[b.doubt]]
+
+
+def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is not part of the article, and whether that is in doubt; a header inside one is part of it."""
     if name in OUTSIDE and not (in_article and name == "header"):
-        return True
-    for key, a, b, c in _MARKS.findall(attributes) if "=" in attributes else ():
+        return True, False
+    doubt = False
+    for key, a, b, c in _MARKS.findall(attributes) if "=" in attributes and name not in HOLDERS else ():
         value = (a or b or c).lower()
         if key.lower() == "role":
             if value.strip() in OUTSIDE_ROLES:
-                return True
-        elif any(word in OUTSIDE_NAMES or word.split("-")[0].split("_")[0] in OUTSIDE_NAMES for word in value.split()):
-            return not (in_article and value in ("header",))
-    return False
+                return True, False
+            continue
+        words = [w for w in value.split() if not (in_article and w == "header")]
+        if any(w in OUTSIDE_NAMES for w in words):
+            return True, False
+        doubt |= any(w.split("-")[0].split("_")[0] in OUTSIDE_NAMES for w in words)
+    return False, doubt
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The page's blocks of text in order, with their tag paths; unclosed and misnested tags are borne."""
-    stack: list[tuple[str, bool, int, int]] = []  # name, outside, id of the article element around or 0, own id
-    names: list[str] = []
+def parse(page: str) -> Page:
+    """The page's blocks; unclosed and misnested tags are borne. Time grows with the page, not with its depth."""
+    found = Page()
+    paths: dict[tuple[int, str], int] = {}
+    # Open elements: name, path, outside, doubted element, article element around or 0, own number.
+    stack: list[tuple[str, int, bool, int, int, int]] = [("", 0, False, 0, 0, 0)]
+    opened: dict[str, int] = defaultdict(int)
     pieces: list[str] = []
-    linked, in_link, count, at, n = 0, 0, 0, 0, len(page)
+    linked, in_link, at, n = 0, 0, 0, len(page)
 
-    def flush() -> Iterator[Block]:
+    def flush() -> None:
         nonlocal linked
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                top = stack[-1] if stack else ("", False, 0, 0)
-                yield Block("/".join(names), text, linked, top[1], top[2], tuple(e[3] for e in stack))
+                tag, path, outside, doubt, inside, own = stack[-1]
+                found.blocks.append(Block(path, tag, text, linked, outside, doubt, inside, own))
         linked = 0
 
-    def shut(k: int) -> None:
-        del stack[k:]
-        del names[k:]
+    def shut(names) -> None:
+        """Closes elements down to the last open one of these names."""
+        while stack[-1][0] not in names:
+            drop()
+        drop()
+
+    def drop() -> None:
+        name, *_, own = stack.pop()
+        opened[name] -= 1
+        found.ends[own] = len(found.parents) - 1
 
     while at < n:
-        found = _TOKEN.search(page, at)
-        if not found:
+        token = _TOKEN.search(page, at)
+        if not token:
             pieces.append(page[at:])
             break
-        if found.start() > at:
-            raw = page[at : found.start()]
+        if token.start() > at:
+            raw = page[at : token.start()]
             pieces.append(raw)
             if in_link:
                 linked += len(raw.strip())
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
+        at = token.end()
+        name = (token[2] or token[5] or "").lower()
         if not name:
             continue
-        closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
+        closing, attributes = bool(token[1] or token[4]), token[3] or token[6] or ""
         if name in RAW:
             if not closing:
                 end = re.compile(rf"</{re.escape(name)}\s*+[^>]*+>", re.I).search(page, at)
@@ -141,35 +191,44 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if name in VOID and name != "hr":
             continue
-        yield from flush()
+        flush()
         in_link = 0
         if closing:
-            if name in names:
-                shut(len(names) - 1 - names[::-1].index(name))
+            if opened[name]:
+                shut((name,))
             continue
-        if name in CLOSES_P and "p" in names:
-            shut(len(names) - 1 - names[::-1].index("p"))
-        if name in SIBLINGS:
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in SIBLINGS[name]:
-                    shut(k)
-                elif names[k] in SCOPES:
-                    break
-        if name == "body" and "head" in names:
-            shut(names.index("head"))
+        if name in CLOSES_P and opened["p"]:
+            shut(("p",))
+        if any(opened[x] for x in SIBLINGS.get(name, ())):
+            near = next(e[0] for e in reversed(stack) if e[0] in SIBLINGS[name] or e[0] in SCOPES)
+            while near in SIBLINGS[name]:
+                shut((near,))
+                near = next((e[0] for e in reversed(stack) if e[0] in SIBLINGS[name] or e[0] in SCOPES), "")
+        if name == "body" and opened["head"]:
+            shut(("head",))
         if name == "hr" or attributes.rstrip().endswith("/") and name not in CLOSES_P:
             continue
-        count += 1
-        above = stack[-1] if stack else ("", False, 0, 0)
-        inside = above[2] or (count if name in ARTICLE else 0)
-        stack.append((name, above[1] or _outside(name, attributes, bool(above[2])), inside, count))
-        names.append(name)
-    yield from flush()
+        _, path, outside, doubt, inside, parent = stack[-1]
+        own = len(found.parents)
+        found.parents.append(parent)
+        found.ends.append(own)
+        is_outside, is_doubted = _marked(name, attributes, bool(inside))
+        if is_doubted and not outside and not is_outside:
+            found.doubts.append(doubt)
+            doubt = len(found.doubts) - 1
+        path = paths.setdefault((path, name), len(paths) + 1)
+        stack.append((name, path, outside or is_outside, doubt, inside or (own if name in ARTICLE else 0), own))
+        opened[name] += 1
+    flush()
+    while len(stack) > 1:
+        drop()
+    found.ends[0] = len(found.parents) - 1
+    return found
 
 
-def _typical(open_blocks: list[Block], score: dict[str, float]) -> float:
+def _typical(open_blocks: list[Block], score: dict[int, float]) -> float:
     """The score that blocks with half of the text outside links reach, which one long block cannot raise alone."""
-    size: dict[str, int] = defaultdict(int)
+    size: dict[int, int] = defaultdict(int)
     for b in open_blocks:
         size[b.path] += max(0, len(b.text) - b.linked) if b.linked <= LINKED * len(b.text) else 0
     left = sum(size.values()) / 2
@@ -180,22 +239,26 @@ def _typical(open_blocks: list[Block], score: dict[str, float]) -> float:
     return max(score.values())
 
 
-def _container(content: list[Block]) -> int:
-    """The innermost element with more than half of the content's text; headings in it are content. 0 if there is none."""
-    size: dict[int, int] = defaultdict(int)
+def _container(page: Page, content: list[Block]) -> int:
+    """The innermost element around others with more than half of the content's text; headings in it are content. 0 if there is none."""
+    size = [0] * len(page.parents)
     for b in content:
-        for e in b.elements[:-1]:
-            size[e] += len(b.text)
+        size[page.parents[b.element]] += len(b.text)
     half = sum(len(b.text) for b in content) / 2
-    return max((e for e, n in size.items() if n > half), default=0)
+    for e in range(len(size) - 1, 0, -1):
+        if size[e] > half:
+            return e
+        size[page.parents[e]] += size[e]
+    return 0
 
 
 def extract(page: str) -> str:
     """Text of the page's content blocks, joined by line ends; empty if there are none."""
-    open_blocks = [b for b in blocks(page) if not b.outside]
+    parsed = parse(page)
+    open_blocks = parsed.open_blocks()
     if not open_blocks:
         return ""
-    total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    total: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
     for b in open_blocks:
         t = total[b.path]
         t[0] += len(b.text) - min(b.linked, len(b.text))
@@ -203,7 +266,7 @@ def extract(page: str) -> str:
         t[2] += 1
     fused = {p: t[0] / t[2] * (1 + t[1] / t[2]) for p, t in total.items()}
     own = [fused[b.path] for b in open_blocks]
-    smooth: dict[str, list[float]] = defaultdict(list)
+    smooth: dict[int, list[float]] = defaultdict(list)
     for k, b in enumerate(open_blocks):
         s, w = own[k], 1.0
         for d, weight in enumerate(SMOOTHING, 1):
@@ -219,14 +282,14 @@ def extract(page: str) -> str:
         if b.inside:
             ratio += MARKED * least
         enough.append(ratio >= least and b.linked <= LINKED * len(b.text))
-    around = _container([b for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough])
+    around = _container(parsed, [b for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough])
     follows = False
     for k in range(len(open_blocks) - 1, -1, -1):
         b = open_blocks[k]
-        if not _HEADING.search(b.path.rpartition("/")[2]):
+        if not _HEADING.match(b.tag):
             follows = enough[k]
         elif b.linked <= LINKED * len(b.text):
-            enough[k] |= follows or around in b.elements
+            enough[k] |= follows or around > 0 and parsed.within(b.element, around)
     return "\n".join(b.text for b, is_enough in zip(open_blocks, enough, strict=True) if is_enough)
 
 

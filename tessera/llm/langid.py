@@ -8,13 +8,13 @@ byte trigrams of the lower-cased text, as shares of the text's trigrams.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ RIDGE, STEPS = 1e-4, 200
 #: Bytes of a text that are hashed at once.
 WINDOW = 1 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEPT = np.where([chr(b).isalpha() or b >= 128 for b in range(256)], np.arange(256), 32).astype(np.uint8)
 
 
@@ -52,19 +52,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The documents to learn from, the first by hash: FIT_ROWS evenly from the languages, but FIT_EACH of each."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.where(F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").count().collect()
+    """(lang, text) to learn from, the first documents by hash: FIT_ROWS evenly from the languages, but FIT_EACH of each.
+
+    A document is an id with a text, so neither repeated rows nor repeated ids add to the bound.
+    """
+    usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    usable = usable.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("size")).collect()
     if not sizes:
         return usable.limit(0).select("lang", "text")
     each = max(FIT_EACH, FIT_ROWS // len(sizes))
-    # A share of the ids a little above the need, then the first of them: a language's ids never meet in one task.
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (2.0 * each + 50) / r["count"])))])
-    ids = usable.where(_spread(F.col("doc_id")) < share[F.col("lang")]).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(_spread(F.col("doc_id")), "doc_id")
-    ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("doc_id").distinct()
-    return usable.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    # A share of the documents a little above the need, then the first of them: a language's never meet in one task.
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (2.0 * each + 50) / max(r["size"], 1))))])
+    some = usable.where(_spread(F.col("key")) < share[F.col("lang")]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(_spread(F.col("key")), "key")
+    return some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("lang", "text")
 
 
 @dataclass

@@ -3,10 +3,11 @@
 Every document of a source is to be copied target / source size times. The whole part is
 certain; the fractional parts are rounded in pairs: words of expected mass move at random
 between two documents until one of them is integral. The moves keep each document's
-expected copies and the source's sum of words. Documents are dealt into chunks by a hash of
-the id; a chunk leaves at most one fractional document, and these residuals meet in ever
-fewer chunks (a reduction tree of FAN_IN branches) until one a source is left, which is
-rounded alone. A source misses its target by less than the size of one document.
+expected copies and the source's sum of words. A source's longest documents come first, each
+against the pool of all shorter ones, which have one fraction in common. The others are dealt
+into chunks by a hash of the id; a chunk leaves at most one fractional document, and these
+residuals meet in ever fewer chunks (a reduction tree of FAN_IN branches) until one a source
+is left, which is rounded alone.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, read_table, word_count
+from .shared import Scratch, join_folded, read_table, word_count
 
 #: Documents that one task rounds at once, and branches of the reduction tree.
 FAN_IN = 4096
+#: A document of more than its source's words by this is long; a source has no more long ones than this.
+LONG_SHARE = 256
 #: A document is copied, and so a source can grow, this many times at most.
 MOST_COPIES = 3
 
@@ -73,40 +76,73 @@ def _round_chunk(level: int, seed: int, last: bool):
     return run
 
 
-def source_targets(sizes: DataFrame) -> DataFrame:
-    """Words that each source shall give, from (source, size) of documents.
+def _settle_long(seed: int):
+    """Rounds a source's long documents, longest first, against the pool of all that come after them.
+
+    A document is taken with the probability of its fraction, and the pool gives or gets the
+    difference. Where the pool could even out only one outcome, it is that one, and where none,
+    the one that misses the source's words by less: the sum goes before that document's chance.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "doc_id", "order"], ascending=False, kind="stable", ignore_index=True)
+        name = hashlib.sha256(f"{seed}|long|{key[0]}".encode()).digest()[:16]
+        draws = np.random.Generator(np.random.Philox(key=int.from_bytes(name, "little"))).random(len(rows))
+        rest, p, settled = float(rows["source_size"].iloc[0]), float(rows["fraction"].iloc[0]), []
+        for a, draw in zip(rows["size"].to_numpy(float), draws, strict=True):
+            rest -= a
+            words = p * (a + rest)
+            take, leave = a <= words, words <= rest  # whether the pool evens it out
+            if rest <= 0 or p in (0.0, 1.0) or take and leave:
+                q = draw < p
+            else:
+                q = take if take or leave else a - words < words - rest
+            if rest > 0:
+                p = min(max((words - q * a) / rest, 0.0), 1.0)
+                p = 0.0 if p < 1e-12 else 1.0 if p > 1 - 1e-12 else p
+            settled.append(float(q))
+        rows["fraction"], rows["pool"] = settled, p
+        return rows
+
+    return run
+
+
+def source_targets(spark: SparkSession, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Words that each source shall give, from (source, size) of documents: source, source_size, source_docs, target.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. The targets share all words by
     weight but stop at MOST_COPIES times the source's size; the excess goes to the others by
-    weight until none is above. That fixed point is min(cap, level * weight) for one level,
-    found by running sums over the sources in the order in which they reach their caps.
-    One row a source is all that is sorted here.
+    weight until none is above. The sources are numbered in a range sort, written, and each
+    round of sharing the excess is one sum over them.
     """
     sources = sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs")
     )
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sources.withColumn("weight", (((F.row_number().over(by_name) - 1) % 3) + 1).cast("double"))
-    capped = weighed.withColumn("cap", F.col("source_size") * F.lit(float(MOST_COPIES)))
-    reach = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    so_far, all_rows = reach.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    running = capped.withColumns(
-        {
-            "cap_before": F.coalesce(F.sum("cap").over(so_far), F.lit(0.0)),
-            "weight_before": F.coalesce(F.sum("weight").over(so_far), F.lit(0.0)),
-            "total": F.sum("source_size").over(all_rows),
-            "weights": F.sum("weight").over(all_rows),
-        }
-    )
-    # The level if all sources before this one are at their caps; the first that stays below its cap fixes it.
-    here = running.withColumn("level_here", (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
-    level = F.min(F.when(F.col("level_here") * F.col("weight") <= F.col("cap"), F.struct("cap_before", "level_here"))).over(all_rows)
-    return here.withColumn("level", level["level_here"]).select(
-        "source",
-        "source_size",
-        "source_docs",
-        F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"),
+    parts, by_name = int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").asc_nulls_last()
+    ranged = sources.repartitionByRange(parts, by_name).sortWithinPartitions(by_name)
+    ranged = ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    ranged = scratch.save(ranged, "sources")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"))
+    before = before.select("part", "first", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("before"))
+    # Ids rise by one within a partition.
+    place = F.col("id") - F.col("first") + F.col("before")
+    weighed = ranged.join(F.broadcast(before), "part").select(
+        "source", "source_size", "source_docs", (place % 3 + 1).cast("double").alias("weight"), (F.col("source_size") * float(MOST_COPIES)).alias("cap")
     )
+    weighed = scratch.save(weighed, "weights")
+    level, seen = 0.0, None
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        now = weighed.agg(
+            F.sum("source_size").alias("words"),
+            F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("full"),
+            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("open"),
+        ).first()
+        if not now["words"] or not now["open"] or (now["full"], now["open"]) == seen:
+            break
+        level, seen = (now["words"] - now["full"]) / now["open"], (now["full"], now["open"])
+    return weighed.select("source", "source_size", "source_docs", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
@@ -118,42 +154,52 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 0, fan_in: int = FAN_I
     one; a text without words takes 0 words; an empty table gives no rows.
     """
     scratch = Scratch(spark, "mix")
+    source = F.col("source").cast("string")
     sized = scratch.save(
         docs.select(
             F.col("doc_id"),
-            F.col("source").cast("string").alias("source"),
+            source.alias("source"),
+            F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit(""))).alias("key"),
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("order"),
         ),
         "sized",
     )
-    targets = scratch.save(source_targets(sized), "targets")
-    most = targets.agg(F.max("source_docs")).first()[0] or 0
-    # A source's rows in the broadcast side are one; the sources themselves decide its size, so Spark chooses the join.
+    targets = source_targets(spark, sized, scratch)
     rate = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
-    whole = F.least(F.floor(F.col("rate") + F.lit(1e-12)), F.lit(MOST_COPIES)).cast("long")
-    open_rows = (
-        sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
-        .drop(targets["source"])
-        .withColumn("rate", rate)
-        .withColumn("whole", whole)
-        .withColumn("fraction", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).otherwise(0.0))
-        .withColumn("chunk", F.pmod("order", F.ceil(F.col("source_docs") / fan_in).cast("long")))
-        .select("doc_id", "source", "size", "order", "source_size", "target", "whole", "fraction", "chunk")
-    )
-    schema = ", ".join(f"{c} {t}" for c, t in open_rows.dtypes) + ", open boolean"
-    done, level, chunks = [], 0, -(-most // fan_in)
+    whole = F.least(F.floor(rate + F.lit(1e-12)), F.lit(MOST_COPIES)).cast("long")
+    key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
+    targets = targets.select(key.alias("key"), "source_size", "source_docs", "target", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("rest"))
+    targets = scratch.save(targets, "targets")
+    sums = targets.agg(F.max("source_docs"), F.sum("source_docs")).first()
+    most, total = sums[0] or 0, sums[1] or 0
+    columns = ["doc_id", "source", "key", "size", "order", "source_size", "target", "whole", "fraction"]
+
+    def with_rates(rows: DataFrame, targets: DataFrame) -> DataFrame:
+        found = join_folded(rows, targets, "key", "source_docs", total)
+        fraction = F.when(F.col("size") > 0, F.col("rest")).otherwise(0.0)
+        chunk = F.pmod("order", F.ceil(F.col("source_docs") / fan_in).cast("long"))
+        return found.withColumn("fraction", fraction).withColumn("long", F.col("size") * LONG_SHARE > F.col("source_size")).select(*columns, "long", chunk.alias("chunk"))
+
+    schema = ", ".join(f"{c} {t}" for c, t in with_rates(sized, targets).select(*columns).dtypes)
+    long = with_rates(sized, targets).where("long").select(*columns)
+    long = scratch.save(long.groupBy("key").applyInPandas(_settle_long(seed), f"{schema}, pool double"), "long")
+    pools = long.groupBy("key").agg(F.min("pool").alias("pool"))
+    targets = targets.join(pools, "key", "left").withColumn("rest", F.coalesce("pool", "rest")).drop("pool")
+    open_rows = with_rates(sized, scratch.save(targets, "rates")).where("NOT long").select(*columns, "chunk")
+    schema += ", chunk bigint, open boolean"
+    done, level, chunks = [long.select(*columns)], 0, -(-most // fan_in)
     while True:
         last = chunks <= 1
         rounded = scratch.save(
-            open_rows.groupBy("source", "chunk").applyInPandas(_round_chunk(level, seed, last), schema), f"level{level}"
+            open_rows.groupBy("key", "chunk").applyInPandas(_round_chunk(level, seed, last), schema), f"level{level}"
         )
-        done.append(rounded.where("NOT open"))
+        done.append(rounded.where("NOT open").select(*columns))
         if last:
             break
         open_rows = rounded.where("open").drop("open").withColumn("chunk", F.floor(F.col("chunk") / fan_in).cast("long"))
         level, chunks = level + 1, -(-chunks // fan_in)
-    scratch.drop("sized", "targets")
+    scratch.drop("sized", "sources", "weights", "targets", "rates")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

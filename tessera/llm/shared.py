@@ -79,7 +79,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def join_folded(rows: DataFrame, folded: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_folded(rows: DataFrame, folded: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of many rows a key with one of ``folded``, whose ``size`` of ``total`` rows the key has.
 
     At most HOT_SHARE keys have a HOT_SHARE-th of the rows each; these are broadcast, so no key
@@ -87,7 +87,7 @@ def join_folded(rows: DataFrame, folded: DataFrame, key: str, size: str, total:
     """
     hot = F.broadcast(folded.where(F.col(size) * HOT_SHARE >= total))
     cold = folded.where(F.col(size) * HOT_SHARE < total)
-    rest = rows.join(hot.select(key), key, "left_anti")
+    rest = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(cold.hint("merge"), key))
 
 

@@ -10,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table
-
-#: Entries up to which their measured list is broadcast; above, both sides are sorted and merged.
-BROADCAST_ENTRIES = 100_000
-
+from .shared import join_folded, read_table
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL without user and port; null if there is none."""
@@ -46,22 +42,25 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row for each row of ``captures`` (page_id, url, fetched): host, listed, entry and since.
 
     Captures are folded to distinct (host, fetched) before the join, so that a host of a third of
-    all captures is a few rows; no interval of a value meets another, so a scope gives one match
-    at most. URLs without a host and captures without a date are not listed.
+    all captures is a few rows; values and days that many ask for are hot keys of both joins. No
+    interval of a value meets another, so a scope gives one match at most. URLs without a host
+    and captures without a date are not listed.
     """
     named = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
-    asked = named.where("host IS NOT NULL AND fetched IS NOT NULL").select("host", "fetched").distinct()
-    asked = asked.select("host", "fetched", F.posexplode(scopes(F.col("host"))).alias("depth", "value"))
-    spans = intervals(entries)
-    small = spans.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-    spans = (F.broadcast(spans) if small else spans.hint("merge")).alias("s")
-    active = (F.col("q.fetched") >= F.col("s.since")) & (F.col("s.until").isNull() | (F.col("q.fetched") < F.col("s.until")))
-    met = asked.alias("q").join(spans, (F.col("q.value") == F.col("s.value")) & active)
-    best = met.groupBy("q.host", "q.fetched").agg(F.min(F.struct("q.depth", "q.value", "s.since")).alias("b"))
-    best = best.select("host", "fetched", F.col("b.value").alias("entry"), F.col("b.since").alias("since"))
-    return named.join(best, ["host", "fetched"], "left").select(
-        "page_id", "url", "host", "fetched", F.col("entry").isNotNull().alias("listed"), "entry", "since"
-    )
+    whole = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    asked = named.where(whole).groupBy("host", "fetched").agg(F.count(F.lit(1)).alias("captures"))
+    probes = asked.select("host", "fetched", F.posexplode(scopes(F.col("host"))).alias("depth", "value"))
+    asks = probes.groupBy("value").agg(F.count(F.lit(1)).alias("asks"))
+    # At most one interval a day: a value's list is as long as its history.
+    lists = intervals(entries).groupBy("value").agg(F.collect_list(F.struct("since", "until")).alias("spans")).join(asks, "value")
+    met = join_folded(probes, lists, "value", "asks", probes.count())
+    active = F.filter("spans", lambda s: (F.col("fetched") >= s["since"]) & (s["until"].isNull() | (F.col("fetched") < s["until"])))
+    met = met.withColumn("since", F.get(active, F.lit(0))["since"]).where("since IS NOT NULL")
+    best = met.groupBy("host", "fetched").agg(F.min(F.struct("depth", "value", "since")).alias("b"))
+    best = asked.join(best, ["host", "fetched"], "left").select("host", "fetched", "captures", F.col("b.value").alias("entry"), F.col("b.since").alias("since"))
+    found = join_folded(named.where(whole), best, ["host", "fetched"], "captures", named.count()).drop("captures")
+    none = named.where(~whole).select("*", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("date").alias("since"))
+    return found.unionByName(none).select("page_id", "url", "host", "fetched", F.col("entry").isNotNull().alias("listed"), "entry", "since")
 
 
 #: The given pages have no fetch dates and come without lists, so the query makes both from what
