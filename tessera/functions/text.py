@@ -1,10 +1,12 @@
-"""Text, tag and caption expressions (Column -> Column), all inside Catalyst."""
+"""Text, tag and caption expressions (Column -> Column), all inside Catalyst but ``xml_root``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,6 +173,27 @@ def fence_body(c: Column) -> Column:
     return F.struct(body.alias("body"), opened.alias("has_open"), closed.alias("has_close"))
 
 
+#: Characters of a preview.
+PREVIEW = 500
+
+
+def preview(c: Column, characters: int = PREVIEW) -> Column:
+    """The beginning of a text, to show."""
+    return F.left(c, F.lit(characters))
+
+
+@F.pandas_udf("string")
+def xml_root(texts: pd.Series) -> pd.Series:
+    """The tag of the root of well-formed XML, else null. Spark's own XPath functions fail on what is not well-formed."""
+    found: list[str | None] = []
+    for xml in texts:
+        try:
+            found.append(ElementTree.fromstring(xml).tag if xml else None)
+        except ElementTree.ParseError:
+            found.append(None)
+    return pd.Series(found, dtype=object)
+
+
 # Captions
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -166,6 +166,68 @@ def statistics(parts: DataFrame, enabled: int) -> DataFrame:
     )
 
 
+def gender_counts(people: DataFrame) -> DataFrame:
+    """(image, gender, persons) from one row a person; genders as named, trimmed and in lower case."""
+    named = F.coalesce(F.lower(F.trim("gender")), F.lit("unknown"))
+    return people.groupBy("image", named.alias("gender")).agg(F.count(F.lit(1)).alias("persons"))
+
+
+def folded_parts(detections: DataFrame) -> DataFrame:
+    """(image, part, count, confidence, pixels) from one row a detection: the mean confidence and the union of the masks.
+
+    ``pixels`` are arrays of struct(y, x); a union has each once, in order.
+    """
+    return detections.groupBy("image", "part").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("confidence"), _union("pixels").alias("pixels")
+    )
+
+
+def _union(pixels: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(pixels))))
+
+
+def joined_models(detections: DataFrame) -> DataFrame:
+    """(image, part, count, confidence, pixels) of a part that several models or scales detect, one row a detection.
+
+    The masks are joined, the models' mean confidences averaged, and the largest count stands.
+    """
+    by_model = detections.groupBy("image", "part", "model").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("confidence"), _union("pixels").alias("pixels")
+    )
+    return by_model.groupBy("image", "part").agg(
+        F.max("count").alias("count"), F.avg("confidence").alias("confidence"), _union("pixels").alias("pixels")
+    )
+
+
+def of_classes(detections: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Detections of the classes named, or all if none is."""
+    return detections.where(F.col("label").isin(*wanted)) if wanted else detections
+
+
+def with_text(regions: DataFrame, least: int = 1) -> DataFrame:
+    """Regions in whose ``text`` something was read; null says that reading failed, and keeps the region."""
+    return regions.where(F.col("text").isNull() | (F.char_length(F.trim("text")) >= least))
+
+
+def mask_matches(pixels: DataFrame, people: DataFrame) -> DataFrame:
+    """(image, part, person_id, score) of part masks (image, part, y, x, v) with the persons' boxes of their image.
+
+    As ``box_matches``, but overlap, area and centre are those of the mask's pixels. One row a
+    pixel meets a row a person, folded before anything is shuffled again.
+    """
+    q = F.col("q")
+    rows = pixels.where("v > 0").join(people.select("image", "person_id", F.col("bbox").alias("q")), "image")
+    inside = (F.col("x") >= q["x1"]) & (F.col("x") < q["x2"]) & (F.col("y") >= q["y1"]) & (F.col("y") < q["y2"])
+    sums = rows.groupBy("image", "part", "person_id", "q").agg(
+        F.count_if(inside).alias("shared"), F.count(F.lit(1)).alias("size"), F.avg("x").alias("cx"), F.avg("y").alias("cy")
+    )
+    gap = F.sqrt(F.pow(F.col("cx") - (q["x1"] + q["x2"]) / 2, 2) + F.pow(F.col("cy") - (q["y1"] + q["y2"]) / 2, 2))
+    across = F.sqrt(F.pow(q["x2"] - q["x1"], 2) + F.pow(q["y2"] - q["y1"], 2))
+    distance = F.when(across > 0, gap / across).otherwise(F.lit(float("inf")))
+    score = geometry.match_score(F.col("shared"), F.col("size"), geometry.area(q), distance)
+    return sums.select("image", "part", "person_id", score.alias("score"))
+
+
 def with_model(images: DataFrame, model, schema: str) -> DataFrame:
     """Runs a detector over (image, content): ``model()`` is built once a worker and maps a list of contents to rows.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -95,24 +95,28 @@ def looked_up(items: DataFrame, by_hash: DataFrame, by_id: DataFrame) -> DataFra
     return found.withColumn("tags", F.coalesce("_a", "_b")).drop("_a", "_b")
 
 
-def numbered(files: DataFrame, prefix: str, start: int = 1, pad: int = 0) -> DataFrame:
-    """Plan of new names: prefix and running number in natural order; longer numbers are not cut.
+def placed(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Adds ``place``, from 1, in a total order over all rows.
 
-    The order is total over all files, so the numbers come from a range sort: counts of the
-    sorted partitions, then positions within each. The sorted rows are written first, since a
-    range exchange that is run again need not cut alike.
+    A range sort: the sorted rows are written, partitions are counted, and ids that rise by one
+    within each give the rest. No task holds more than a range, and no range is cut twice.
     """
-    spark = files.sparkSession
-    keyed = files.select("file", text.natural_key(F.col("file")).alias("_key"))
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(parts, "_key", "file").sortWithinPartitions("_key", "file")
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_id")))
-    within = Written(spark, "numbered").save(within.select("file", "_part", "_n"), "ranged")
-    before = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = (F.col("_n") + F.col("_before") + (start - 1)).cast("string")
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    ranged = Written(spark, "placed").save(ranged, "ranged")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
+    counts = counts.select("_part", "_first", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    place = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    return ranged.join(F.broadcast(counts), "_part").select(*rows.columns, place.alias("place"))
+
+
+def numbered(files: DataFrame, prefix: str, start: int = 1, pad: int = 0) -> DataFrame:
+    """Plan of new names: prefix and running number in natural order; longer numbers are not cut."""
+    keyed = files.select("file", text.natural_key(F.col("file")).alias("_key"))
+    rows = placed(keyed, [F.col("_key"), F.col("file")])
+    number = (F.col("place") + (start - 1)).cast("string")
     padded = F.when(F.length(number) < pad, F.lpad(number, pad, "0")).otherwise(number)
-    return within.join(F.broadcast(before.select("_part", "_before")), "_part").select(
-        "file", F.concat(F.lit(prefix), padded, text.extension(F.col("file"))).alias("new_file")
-    )
+    return rows.select("file", F.concat(F.lit(prefix), padded, text.extension(F.col("file"))).alias("new_file"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import captions as caption_rules
 from ..functions import text
-from . import tags
+from . import neighbors, tags
 
 SHORT = 20
 LEAST_SIDE = 768
 NARROW, WIDE = 0.4, 2.5
 SEVERITY = {
+    "image_integrity": "critical",
     "caption_quality": "critical",
     "duplicates": "high",
     "multiple_views": "high",
@@ -160,3 +161,77 @@ def split_summary(texts: DataFrame, body: str) -> DataFrame:
     return s.groupBy("s.mode", "s.confidence").agg(
         F.count(F.lit(1)).alias("texts"), F.count_if(F.col("s.tags_text") != "").alias("with_tags"), F.count_if(F.col("s.caption_text") != "").alias("with_caption")
     )
+
+
+def split_counters(captions: DataFrame, images: DataFrame) -> DataFrame:
+    """One row: what a split export of (stem, text) with images (stem, ext, file) writes.
+
+    Texts split, with tags or a caption only, empty or else; originals rewritten to their tags;
+    images that go into the tag and the caption dataset.
+    """
+    split = captions.select("stem", caption_rules.split_caption(F.col("text")).alias("s"))
+    split = split.join(images.select("stem").distinct().withColumn("has_image", F.lit(True)), "stem", "left")
+    tags_, told = F.col("s.tags_text") != "", F.col("s.caption_text") != ""
+    empty, image = F.col("s.mode") == "empty", F.coalesce("has_image", F.lit(False))
+    counters = {
+        "split_success_count": tags_ & told,
+        "tags_only_count": tags_ & ~told,
+        "caption_only_count": told & ~tags_,
+        "empty_count": ~tags_ & ~told & empty,
+        "unclassified_count": ~tags_ & ~told & ~empty,
+        "original_rewritten_count": tags_,
+        "tag_dataset_written_count": tags_ & image,
+        "caption_dataset_written_count": told & image,
+    }
+    return split.agg(F.count(F.lit(1)).alias("processed_txt_count"), *[F.count_if(c).alias(n) for n, c in counters.items()])
+
+
+#: The checks of a full check and the toggle that each goes with.
+CHECKS = {
+    "image_integrity": "image_integrity",
+    "duplicates": "duplicates",
+    "low_resolution": "resolution",
+    "extreme_ar": "aspect_ratio",
+    "caption_quality": "caption_integrity",
+    "multiple_views": "dangerous_tags",
+    "multi_person": "dangerous_tags",
+    "watermark_tags": "watermark_tags",
+    "composition": "composition",
+    "nsfw_ratio": "nsfw_ratio",
+    "similar_images": "similar_images",
+}
+
+
+def full_check(
+    images: DataFrame, captions: DataFrame, nsfw: Sequence[str], checks: Mapping[str, bool] | None = None, most: int = 10, keep: float = 0.3, least_kept: int = 2, bits: int = neighbors.HASH_BITS
+) -> DataFrame:
+    """check, severity, total_checked, count and pct of every check that is switched on.
+
+    ``images`` (image, width, height, error, digest, hash) and ``captions`` (key, body); the hits
+    of the four caption checks come from one pass over the captions, those of the image headers
+    from one over the images. Duplicates count groups, similar images those that thinning takes.
+    ``health`` folds the rows; nsfw_ratio and composition are for information and cost nothing.
+    """
+    on = [c for c, toggle in CHECKS.items() if (checks or {}).get(toggle, True)]
+    side = F.least("width", "height")
+    ratio = F.bround(F.col("width") / F.nullif(F.col("height"), F.lit(0)), 3)
+    good = F.col("error").isNull()
+    found = {"image_integrity": ~good, "low_resolution": good & (side < LEAST_SIDE), "extreme_ar": good & ((ratio < NARROW) | (ratio > WIDE))}
+    named = lambda rows, check: rows.select(F.lit(check).alias("check"))
+    hit = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))
+    hits = [images.select(F.explode(hit).alias("check")), caption_hits(captions, "key", "body").select("check")]
+    if "duplicates" in on:
+        groups = images.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+        hits.append(named(groups, "duplicates"))
+    if "nsfw_ratio" in on:
+        hits.append(named(tag_hits(captions, "key", "body", nsfw), "nsfw_ratio"))
+    if "similar_images" in on:
+        pairs = neighbors.near_pairs(images.select(F.col("image").alias("id"), "hash"), most, bits)
+        hits.append(named(neighbors.thin(neighbors.components(pairs), keep, least_kept).where("NOT keep"), "similar_images"))
+    n = F.count(F.lit(1)).alias("n")
+    of_images = ["image_integrity", "duplicates", "low_resolution", "extreme_ar", "similar_images"]
+    listed = lambda names: F.explode(text.literals([c for c in names if c in on])).alias("check")
+    totals = images.agg(n).select(listed(of_images), F.col("n").alias("total_checked")).unionByName(
+        captions.agg(n).select(listed([c for c in CHECKS if c not in of_images]), F.col("n").alias("total_checked"))
+    )
+    return summary(union(hits), totals)

@@ -7,14 +7,14 @@ integers of parts. All run over whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import captions, geometry, text
 from ..operators import boxes, masks, neighbors, pairing, quality, scores, tags
 from ..sources.tables import table
+from . import files, rasters, texts  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES, literals_sql, query  # noqa: F401
 
 #: Terms that occur in the given tables, in place of vocabularies that do not.
 KEYWORDS = ("license", "idiot", "The", "CC BY")
@@ -22,24 +22,6 @@ HIGH, MEDIUM, LOW = ("idiot", "scum"), ("licensed under", "loser"), ("of the", "
 FIXED = ("the", "Extra Tag")
 PART_WORDS = {"brass": "metal", "promo": "offer", "plated": "surface", "steel": "metal"}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _in(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
 TAG_ROWS = """
 tag_rows AS (
   SELECT doc_id, o AS ord, trim(p[o]) AS tag, replace(lower(trim(p[o])), ' ', '_') AS tag_normalized
@@ -63,8 +45,8 @@ def tag_index(spark, d):
 
 
 @query(
-    f"""SELECT doc_id, list_filter([{_in(KEYWORDS)}], lambda k: contains(lower(text), lower(k))) AS hits FROM documents
-WHERE len(list_filter([{_in(KEYWORDS)}], lambda k: contains(lower(text), lower(k)))) > 0"""
+    f"""SELECT doc_id, list_filter([{literals_sql(KEYWORDS)}], lambda k: contains(lower(text), lower(k))) AS hits FROM documents
+WHERE len(list_filter([{literals_sql(KEYWORDS)}], lambda k: contains(lower(text), lower(k)))) > 0"""
 )
 def keyword_hits(spark, d):
     hits = text.keyword_hits(F.col("text"), KEYWORDS)
@@ -72,8 +54,8 @@ def keyword_hits(spark, d):
 
 
 def _refusal_sql(source: str, keys: str) -> str:
-    has = lambda words: f"len(list_filter([{_in(words)}], lambda k: contains(lower(text), k)))"
-    pick = lambda words: f"list_filter([{_in(words)}], lambda k: contains(lower(text), k))"
+    has = lambda words: f"len(list_filter([{literals_sql(words)}], lambda k: contains(lower(text), k)))"
+    pick = lambda words: f"list_filter([{literals_sql(words)}], lambda k: contains(lower(text), k))"
     return f"""SELECT {keys},
   CASE WHEN {has(HIGH)} > 0 THEN '高' WHEN {has(MEDIUM)} > 0 THEN '中' ELSE '低' END AS level,
   CASE WHEN {has(HIGH)} > 0 THEN {pick(HIGH)} WHEN {has(MEDIUM)} > 0 THEN {pick(MEDIUM)} ELSE {pick(LOW)} END AS patterns
@@ -117,7 +99,7 @@ def keyword_trim(spark, d):
     f"""WITH p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS s, text FROM documents),
 h AS (SELECT doc_id, list_filter(list_transform(string_split(s[1], ','), lambda t: trim(t)), lambda t: t <> '') AS have,
         CASE WHEN len(s) > 1 THEN substr(text, length(s[1]) + 3) ELSE '' END AS rest FROM p),
-m AS (SELECT *, list_filter([{_in(FIXED)}], lambda t: NOT list_contains(list_transform(have, lambda x: replace(lower(x), ' ', '_')), replace(lower(t), ' ', '_'))) AS missing FROM h)
+m AS (SELECT *, list_filter([{literals_sql(FIXED)}], lambda t: NOT list_contains(list_transform(have, lambda x: replace(lower(x), ' ', '_')), replace(lower(t), ' ', '_'))) AS missing FROM h)
 SELECT doc_id, array_to_string(list_concat(missing, have), ', ') || CASE WHEN rest <> '' THEN chr(10) || chr(10) || rest ELSE '' END AS text
 FROM m WHERE len(missing) > 0"""
 )
@@ -686,6 +668,64 @@ def split_report(spark, d):
     return quality.split_summary(table(spark, d, "documents"), "text")
 
 
+@query(
+    f"""WITH {SPLIT}, k AS (SELECT mode, tags_text <> '' AS t, caption_text <> '' AS c, doc_id IN (SELECT doc_id FROM labels) AS i FROM s)
+SELECT count(*) AS processed_txt_count, count(*) FILTER (WHERE t AND c) AS split_success_count, count(*) FILTER (WHERE t AND NOT c) AS tags_only_count,
+  count(*) FILTER (WHERE c AND NOT t) AS caption_only_count, count(*) FILTER (WHERE NOT t AND NOT c AND mode = 'empty') AS empty_count,
+  count(*) FILTER (WHERE NOT t AND NOT c AND mode <> 'empty') AS unclassified_count, count(*) FILTER (WHERE t) AS original_rewritten_count,
+  count(*) FILTER (WHERE t AND i) AS tag_dataset_written_count, count(*) FILTER (WHERE c AND i) AS caption_dataset_written_count FROM k"""
+)
+def split_counters(spark, d):
+    return quality.split_counters(_captions(spark, d), _images(spark, d))
+
+
+def _full(spark, d, checks=None):
+    """Embeddings as images with sizes, digests and hashes; parts as captions."""
+    k = F.col("vec_id")
+    images = table(spark, d, "embeddings").select(
+        k.alias("image"),
+        F.when(k % 10 > 0, (k * 37) % 3000 + 100).alias("width"),
+        F.when(k % 10 > 0, (k * 53) % 2500 + 100).alias("height"),
+        F.when(k % 10 == 0, "broken").alias("error"),
+        F.md5((k % 400).cast("string")).alias("digest"),
+        neighbors.difference_hash(F.col("embedding")).alias("hash"),
+    )
+    return quality.full_check(images, _tagged(spark, d).withColumnRenamed("p_partkey", "key"), ["solo", "comic"], checks, 16, bits=63)
+
+
+FULL = f"""WITH RECURSIVE {COMPONENTS},
+i AS (SELECT vec_id AS k, CASE WHEN vec_id % 10 > 0 THEN (vec_id * 37) % 3000 + 100 END AS w, CASE WHEN vec_id % 10 > 0 THEN (vec_id * 53) % 2500 + 100 END AS h, vec_id % 400 AS digest FROM embeddings),
+g AS (SELECT count(*) AS n FROM c GROUP BY component),
+t AS (SELECT {PERSONS}[p_partkey % 7 + 1] AS b FROM part),
+n AS (SELECT (SELECT count(*) FROM i) AS images, (SELECT count(*) FROM part) AS captions),
+checks AS (
+  SELECT 'image_integrity' AS "check", 'critical' AS severity, images AS total_checked, (SELECT count(*) FROM i WHERE w IS NULL) AS count FROM n
+  UNION ALL SELECT 'duplicates', 'high', images, (SELECT count(*) FROM (SELECT 1 FROM i GROUP BY digest HAVING count(*) > 1)) FROM n
+  UNION ALL SELECT 'low_resolution', 'medium', images, (SELECT count(*) FROM i WHERE least(w, h) < 768) FROM n
+  UNION ALL SELECT 'extreme_ar', 'low', images, (SELECT count(*) FROM i WHERE round_even(w / h, 3) < 0.4 OR round_even(w / h, 3) > 2.5) FROM n
+  UNION ALL SELECT 'caption_quality', 'critical', captions, (SELECT count(*) FROM t WHERE length(b) < 20) FROM n
+  UNION ALL SELECT 'multiple_views', 'high', captions, (SELECT count(*) FROM t WHERE b = 'comic,text') FROM n
+  UNION ALL SELECT 'multi_person', 'high', captions, (SELECT count(*) FROM t WHERE b IN ('2girls', '1girl,1boy', '3boys,multiple girls', '2boys,2girls')) FROM n
+  UNION ALL SELECT 'watermark_tags', 'medium', captions, (SELECT count(*) FROM t WHERE b IN ('watermark,logo', 'comic,text')) FROM n
+  UNION ALL SELECT 'composition', 'info', captions, 0 FROM n
+  UNION ALL SELECT 'nsfw_ratio', 'info', captions, (SELECT count(*) FROM t WHERE b IN ('solo', 'comic,text')) FROM n
+  UNION ALL SELECT 'similar_images', 'medium', images, (SELECT coalesce(sum(n - least(greatest(2, round_even(n * 0.3, 0)::INT), n)), 0)::BIGINT FROM g) FROM n)"""
+
+
+@query(f"""{FULL} SELECT "check", severity, total_checked, count, round_even(count * 100 / greatest(total_checked, 1), 1) AS pct FROM checks""")
+def full_check(spark, d):
+    return _full(spark, d)
+
+
+@query(
+    f"""{FULL} SELECT greatest(0, round_even(100 - sum(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 30 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 ELSE 0 END * least(count / total_checked, 1)), 0))::INT AS health_score,
+  sum(CASE WHEN severity IN ('high', 'critical') THEN count ELSE 0 END)::BIGINT AS total_issues FROM checks WHERE "check" NOT IN ('duplicates', 'extreme_ar')"""
+)
+def full_check_toggled(spark, d):
+    """The health of a full check with two checks switched off."""
+    return quality.health(_full(spark, d, {"duplicates": False, "aspect_ratio": False}))
+
+
 @query(
     """SELECT count(*) AS total_txt, count(*) FILTER (WHERE starts_with(trim(text), '```xml') AND ends_with(trim(text), '```')) AS ok,
   count(*) FILTER (WHERE NOT (starts_with(trim(text), '```xml') AND ends_with(trim(text), '```'))) AS failed,
