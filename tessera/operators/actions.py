@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,24 +63,31 @@ def mask_name(prefix: str, person: Column, gender: Column, part: Column) -> Colu
     return F.concat(F.concat_ws("_", F.lit(prefix), person.cast("string"), gender, part), F.lit(".png"))
 
 
-def export_texts(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
-    """Writes (stem, text) as one file a row into a folder that all executors share.
+def export_files(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Writes (file, content) as one file a row into a folder of any file system that Arrow knows.
 
-    A folder that has files is refused unless ``overwrite``; parquet is the sink for anything large.
+    A folder that has files is refused unless ``overwrite``. Each file is written under another
+    name first, so a task that runs again leaves whole files; parquet is the sink for anything large.
     """
-    if not overwrite and os.path.isdir(folder) and os.listdir(folder):
+    system, path = fs.FileSystem.from_uri(folder)
+    if not overwrite and system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         raise FileExistsError(folder)
-    os.makedirs(folder, exist_ok=True)
+    system.create_dir(path, recursive=True)
 
     def write(part: Iterator) -> None:
+        system, path = fs.FileSystem.from_uri(folder)
         for r in part:
-            done = os.path.join(folder, f"{r['stem']}.txt")
-            temporary = f"{done}.part"
-            with open(temporary, "w", encoding="utf-8", newline="") as f:
-                f.write(r["text"])
-            os.replace(temporary, done)  # a task that runs again leaves whole files
+            done = f"{path}/{r['file']}"
+            with system.open_output_stream(f"{done}.part") as out:
+                out.write(bytes(r["content"]))
+            system.move(f"{done}.part", done)
+
+    rows.select("file", F.coalesce("content", F.unhex(F.lit(""))).alias("content")).foreachPartition(write)
 
-    rows.select("stem", "text").foreachPartition(write)
+
+def export_texts(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Writes (stem, text) as one .txt file a row; null text makes an empty file."""
+    export_files(rows.select(F.concat("stem", F.lit(".txt")).alias("file"), F.encode("text", "UTF-8").alias("content")), folder, overwrite)
 
 
 def annotation_json(shapes: DataFrame) -> DataFrame:

@@ -296,6 +296,93 @@ def per_mask(rasters: DataFrame, change: Callable[[np.ndarray], np.ndarray]) ->
     return rows.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes))
 
 
+def rasterized(pixels: DataFrame, key: str, width: Column, height: Column) -> DataFrame:
+    """(mask_id, width, height, raster) of pixel rows (key, y, x, v); pixels outside the size are left out, others not listed are 0."""
+    inside = pixels.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
+    spot = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), F.col("v").cast("int").alias("v"))
+    rows = inside.groupBy(F.col(key).alias("mask_id"), width.cast("int").alias("width"), height.cast("int").alias("height")).agg(F.collect_list(spot).alias("spots"))
+
+    def run(batches):
+        for b in batches:
+            rasters = []
+            for w, h, spots in zip(b["width"], b["height"], b["spots"], strict=True):
+                raster = np.zeros(w * h, np.uint8)
+                np.maximum.at(raster, [s["at"] for s in spots], np.array([s["v"] for s in spots], np.uint8))
+                rasters.append(raster.tobytes())
+            yield b[["mask_id", "width", "height"]].assign(raster=rasters)
+
+    kind = dict(rows.dtypes)["mask_id"]
+    return rows.mapInPandas(run, f"mask_id {kind}, width int, height int, raster binary")
+
+
+def pixels_of(rasters: DataFrame) -> DataFrame:
+    """(mask_id, y, x, v) of a raster's pixels above 0; a null raster has none."""
+    spots = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("raster")), lambda i: F.conv(F.hex(F.substring("raster", i, F.lit(1))), 16, 10).cast("int")))
+    rows = rasters.where("raster IS NOT NULL").select("mask_id", "width", spots.alias("at", "v")).where("v > 0")
+    return rows.select("mask_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "v")
+
+
+def inverted(rasters: DataFrame) -> DataFrame:
+    """Every pixel of the whole grid inverted, those that a pixel table would not list too."""
+    return per_mask(rasters, lambda m: 255 - m)
+
+
+def merged_files(rasters: DataFrame, invert_: bool = False) -> DataFrame:
+    """(mask_id, width, height, raster): masks (image, place, width, height, raster) of an image joined, brought to the size of the first.
+
+    A group is one image's masks. ``invert_`` inverts the result.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["raster"].notna()].sort_values("place", kind="stable")
+        if rows.empty:
+            return pd.DataFrame(columns=["mask_id", "width", "height", "raster"])
+        w, h = int(rows["width"].iloc[0]), int(rows["height"].iloc[0])
+        parts = [resize(to_array(r, int(a), int(b)), w, h, nearest=True) for r, a, b in zip(rows["raster"], rows["width"], rows["height"], strict=True)]
+        whole = np.maximum.reduce(parts)
+        whole = 255 - whole if invert_ else whole
+        return pd.DataFrame({"mask_id": [rows["image"].iloc[0]], "width": [w], "height": [h], "raster": [whole.astype(np.uint8).tobytes()]})
+
+    kind = dict(rasters.dtypes)["image"]
+    return rasters.groupBy("image").applyInPandas(run, f"mask_id {kind}, width int, height int, raster binary")
+
+
+def rendered(reports: DataFrame, rasters: DataFrame) -> DataFrame:
+    """One mask an image: the masks (mask_id, width, height, raster) that a report's parts (image, part, mask_file) name, joined."""
+    named = reports.select("image", F.col("part").alias("place"), F.col("mask_file").alias("mask_id"))
+    return merged_files(named.join(rasters, "mask_id").select("image", "place", "width", "height", "raster"))
+
+
+def outlines(rasters: DataFrame, label: str = "mask", min_area: int = 50, tolerance: float = 0.005) -> DataFrame:
+    """(image, width, height, label, points) of the regions of masks, ready for an annotation file."""
+
+    def run(batches):
+        for b in batches:
+            rows = [
+                (m, w, h, label, points)
+                for m, w, h, r in zip(b["mask_id"], b["width"], b["height"], b["raster"], strict=True)
+                if r is not None
+                for points in outline(to_array(r, w, h), min_area, tolerance)
+            ]
+            yield pd.DataFrame(rows, columns=["image", "width", "height", "label", "points"])
+
+    kind = dict(rasters.dtypes)["mask_id"]
+    return rasters.select("mask_id", "width", "height", "raster").mapInPandas(run, f"image {kind}, width int, height int, label string, points array<array<double>>")
+
+
+def filled(shapes: DataFrame) -> DataFrame:
+    """(mask_id, width, height, raster): the polygons (image, width, height, points) of an image drawn on one mask."""
+    rows = shapes.groupBy(F.col("image").alias("mask_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).agg(F.collect_list("points").alias("all"))
+
+    def run(batches):
+        for b in batches:
+            drawn = [np.maximum.reduce([fill_polygon(p, w, h) for p in polygons]).tobytes() for w, h, polygons in zip(b["width"], b["height"], b["all"], strict=True)]
+            yield b[["mask_id", "width", "height"]].assign(raster=drawn)
+
+    kind = dict(rows.dtypes)["mask_id"]
+    return rows.mapInPandas(run, f"mask_id {kind}, width int, height int, raster binary")
+
+
 def regions(rasters: DataFrame, least: int = 3) -> DataFrame:
     """(mask_id, region, x1, y1, x2, y2, area) of each mask's regions."""
 

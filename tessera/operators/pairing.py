@@ -87,6 +87,12 @@ def first_candidate(bases: DataFrame, files: DataFrame, suffixes: Sequence[str])
     return bases.join(named.groupBy("base").agg(F.min_by("file", "rank").alias("file")), "base", "left")
 
 
+def image_of_mask(masks: DataFrame, images: DataFrame) -> DataFrame:
+    """(stem, mask) with ``image``: the image of that stem, or the mask itself if there is none."""
+    found = masks.join(one_image(images), "stem", "left")
+    return found.withColumn("image", F.coalesce("image", "mask"))
+
+
 def looked_up(items: DataFrame, by_hash: DataFrame, by_id: DataFrame) -> DataFrame:
     """(key, md5, post_id) with tags found by hash, else by id; both tables are keyed uniquely."""
     a = by_hash.select("md5", F.col("tags").alias("_a"))

@@ -297,9 +297,8 @@ def _checks(spark, d):
         ]
     )
     n = F.count(F.lit(1)).alias("total_checked")
-    totals = quality.union(
-        [docs.agg(n).select(F.lit("caption_quality").alias("check"), "total_checked"), docs.agg(n).select(F.lit("duplicates").alias("check"), "total_checked"), labels.agg(n).select(F.lit("watermark_tags").alias("check"), "total_checked")]
-    )
+    of = lambda *names: F.explode(text.literals(names)).alias("check")
+    totals = docs.agg(n).select(of("caption_quality", "duplicates"), "total_checked").unionByName(labels.agg(n).select(of("watermark_tags"), "total_checked"))
     return quality.summary(hits, totals)
 
 
@@ -597,11 +596,11 @@ def post_ids(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, list_distinct(list(role)) AS a, list_distinct(list(substr(text, 1, 5))) AS b FROM conversations GROUP BY conv_id)
+    """WITH t AS (SELECT conv_id, list_distinct(list(role)) AS a, list_distinct(list(text)) AS b FROM conversations GROUP BY conv_id)
 SELECT conv_id, list_sort(list_distinct(list_concat(a, b))) AS tags FROM t"""
 )
 def merge_tags(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("a"), F.collect_set(F.left("text", F.lit(5))).alias("b"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("a"), F.collect_set("text").alias("b"))
     return rows.select("conv_id", tags.merged(F.col("a"), F.col("b")).alias("tags"))
 
 

@@ -1 +1,203 @@
-"""Queries over rasters and files."""
+"""Queries of the mask operators on rasters: pixels made from the parts' keys on grids of 24 x 16."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry
+from ..operators import actions, boxes, masks
+from ..sources import files as sources
+from ..sources import png
+from ..sources.tables import table
+from .registry import query
+
+W, H = 24, 16
+
+
+def _boxes(spark, d):
+    """One box a part, 20 parts an image."""
+    k = F.col("p_partkey")
+    x, y = F.pmod(k * 7, F.lit(17)).cast("int"), F.pmod(k * 5, F.lit(11)).cast("int")
+    corners = [x.alias("x1"), y.alias("y1"), (x + 2 + F.pmod(k, F.lit(6))).cast("int").alias("x2"), (y + 2 + F.pmod(k, F.lit(4))).cast("int").alias("y2")]
+    return table(spark, d, "part").where("p_partkey % 4 = 0").select(F.floor(k / 20).alias("image"), k.alias("part"), *corners)
+
+
+PIXELS = """b AS (SELECT p_partkey // 20 AS image, p_partkey AS part, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
+  (p_partkey * 5) % 11 + 2 + p_partkey % 4 AS y2 FROM part WHERE p_partkey % 4 = 0),
+p AS (SELECT DISTINCT image AS mask_id, y::INT AS y, x::INT AS x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)),
+i AS (SELECT DISTINCT mask_id FROM p),
+g AS (SELECT mask_id, y::INT AS y, x::INT AS x FROM i, LATERAL (SELECT unnest(range(0, 16)) AS y), LATERAL (SELECT unnest(range(0, 24)) AS x))"""
+
+
+def _rasters(spark, d):
+    pixels = masks.box_pixels(_boxes(spark, d).select(F.col("image").alias("mask_id"), "x1", "y1", "x2", "y2"))
+    return masks.rasterized(pixels, "mask_id", F.lit(W), F.lit(H))
+
+
+@query(f"WITH {PIXELS} SELECT mask_id, y, x, 255 AS v FROM p")
+def mask_png(spark, d):
+    """Masks written as PNG files, in base64 and back, read and listed again."""
+    files = png.written_masks(_rasters(spark, d)).withColumn("content", actions.from_data_url(F.concat(F.lit("data:image/png;base64,"), actions.png_base64(F.col("content")))))
+    return masks.pixels_of(png.read_masks(files.withColumnRenamed("mask_id", "file")))
+
+
+@query(f"WITH {PIXELS} SELECT mask_id, y, x, 255 AS v FROM g ANTI JOIN p USING (mask_id, y, x)")
+def mask_inverted(spark, d):
+    return masks.pixels_of(masks.inverted(_rasters(spark, d)))
+
+
+@query(
+    f"""WITH {PIXELS}, s AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) t(dy, dx))
+SELECT DISTINCT g.mask_id, g.y, g.x, 255 AS v FROM g JOIN s ON true JOIN p ON p.mask_id = g.mask_id AND p.y = g.y + dy AND p.x = g.x + dx"""
+)
+def mask_dilated(spark, d):
+    return masks.pixels_of(masks.per_mask(_rasters(spark, d), lambda m: masks.dilate(m, 3)))
+
+
+@query(
+    f"""WITH {PIXELS}, s AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) t(dy, dx)),
+h AS (SELECT p.mask_id, p.y, p.x, count(*) FILTER (WHERE q.y IS NOT NULL OR p.y + dy NOT BETWEEN 0 AND 15 OR p.x + dx NOT BETWEEN 0 AND 23) AS n
+  FROM p JOIN s ON true LEFT JOIN p q ON q.mask_id = p.mask_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)
+SELECT mask_id, y, x, 255 AS v FROM h WHERE n = 5"""
+)
+def mask_eroded(spark, d):
+    return masks.pixels_of(masks.per_mask(_rasters(spark, d), lambda m: masks.erode(m, 3)))
+
+
+REGIONS = f"""WITH RECURSIVE {PIXELS}, n AS (SELECT mask_id, y, x, y * 24 + x AS id FROM p),
+r AS (SELECT mask_id, id, y, x, id AS seen FROM n UNION SELECT r.mask_id, r.id, m.y, m.x, m.id FROM r JOIN n m ON m.mask_id = r.mask_id AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1),
+l AS (SELECT mask_id, id, min(seen) AS label FROM r GROUP BY 1, 2),
+k AS (SELECT mask_id, label, min(n.x) AS x1, min(n.y) AS y1, max(n.x) + 1 AS x2, max(n.y) + 1 AS y2, count(*) AS area FROM l JOIN n USING (mask_id, id) GROUP BY 1, 2)"""
+
+
+@query(f"{REGIONS} SELECT mask_id, x1, y1, x2, y2, area FROM k WHERE x2 - x1 >= 3 AND y2 - y1 >= 3")
+def mask_regions(spark, d):
+    return masks.regions(_rasters(spark, d)).drop("region")
+
+
+@query(
+    f"""{REGIONS}, o AS (SELECT mask_id, label FROM k WHERE area >= 8 AND area <= 60 AND x2 - x1 >= 2 AND y2 - y1 >= 3
+  AND greatest(x2 - x1, y2 - y1) <= 3 * least(x2 - x1, y2 - y1))
+SELECT mask_id, n.y AS y, n.x AS x, 255 AS v FROM o JOIN l USING (mask_id, label) JOIN n USING (mask_id, id)"""
+)
+def mask_kept_regions(spark, d):
+    """Masks without regions of a wrong area, width, height or shape."""
+    return masks.pixels_of(masks.per_mask(_rasters(spark, d), lambda m: masks.keep_regions(m, 8, 60, 2, 3, 3)))
+
+
+@query(f"WITH {PIXELS} SELECT mask_id, y, x, 255 AS v FROM g WHERE (y * 24 + x) * 7 % 256 > 127")
+def mask_from_probabilities(spark, d):
+    """Masks of where a segmentation of the image's size exceeds a half."""
+    import numpy as np
+
+    ramp = lambda m: masks.from_probabilities((np.arange(m.size).reshape(m.shape) * 7 % 256) / 255.0, m.shape[1], m.shape[0])
+    return masks.pixels_of(masks.per_mask(_rasters(spark, d), ramp))
+
+
+#: Boxes far enough apart to be regions of their own, large enough to have an outline.
+APART = """b AS (SELECT p_partkey AS image, (p_partkey * 7) % 5 + k * 40 AS x1, (p_partkey * 5) % 9 AS y1, (p_partkey * 7) % 5 + k * 40 + 10 + p_partkey % 20 AS x2, (p_partkey * 5) % 9 + 9 + p_size % 20 AS y2
+  FROM part, LATERAL (SELECT unnest([0, 1]) AS k) WHERE p_partkey % 10 = 0)"""
+
+
+def _apart(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", "p_size", F.explode(F.array(F.lit(0), F.lit(40))).alias("k"))
+    x, y = (F.pmod(k * 7, F.lit(5)) + F.col("k")).cast("int"), F.pmod(k * 5, F.lit(9)).cast("int")
+    boxed = rows.select(k.alias("mask_id"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 20).cast("int").alias("x2"), (y + 9 + F.col("p_size") % 20).cast("int").alias("y2"))
+    return masks.rasterized(masks.box_pixels(boxed), "mask_id", F.lit(80), F.lit(40))
+
+
+@query(
+    f"""WITH {APART} SELECT image, 'mask' AS label, x1, y1, x2 - 1 AS x2, y2 - 1 AS y2, 4 AS corners FROM b"""
+)
+def mask_annotations(spark, d):
+    """Masks to annotations: the outlines of their regions, as JSON, with the corners that it names."""
+    made = actions.annotation_json(masks.outlines(_apart(spark, d)))
+    shapes = made.select("image", F.explode(F.from_json("json", sources.ANNOTATION)["shapes"]).alias("s"))
+    of = lambda pick, i: pick(F.transform("s.points", lambda p: p[i])).cast("int")
+    return shapes.select(
+        "image", "s.label", of(F.array_min, 0).alias("x1"), of(F.array_min, 1).alias("y1"), of(F.array_max, 0).alias("x2"), of(F.array_max, 1).alias("y2"), F.size("s.points").alias("corners")
+    )
+
+
+@query(f"""WITH {APART} SELECT image AS mask_id, sum((x2 - x1) * (y2 - y1))::BIGINT AS pixels FROM b GROUP BY 1""")
+def annotation_masks(spark, d):
+    """Annotations to masks: polygons drawn, one mask an image."""
+    drawn = masks.filled(masks.outlines(_apart(spark, d)))
+    return masks.area_ratio(masks.pixels_of(drawn), "mask_id", F.lit(1)).select("mask_id", "pixels")
+
+
+def _part_rasters(spark, d):
+    """A mask a part, every other one at half the size."""
+    k = F.col("part")
+    b = _boxes(spark, d)
+    pixels = masks.box_pixels(b.select(k.alias("mask_id"), "x1", "y1", "x2", "y2"))
+    size = F.when(F.col("mask_id") % 8 == 0, 2).otherwise(1)
+    small = pixels.select("mask_id", F.floor(F.col("y") / size).cast("int").alias("y"), F.floor(F.col("x") / size).cast("int").alias("x"), "v")
+    return masks.rasterized(small, "mask_id", (F.lit(W) / size).cast("int"), (F.lit(H) / size).cast("int"))
+
+
+MERGED = f"""{PIXELS}, q AS (SELECT image, part, part % 8 = 0 AS small, x, y FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE y < 16 AND x < 24),
+f AS (SELECT image, min(part) AS first FROM q WHERE {{0}} GROUP BY image),
+h AS (SELECT DISTINCT image, CASE WHEN small THEN 2 ELSE 1 END AS s, part, y // CASE WHEN small THEN 2 ELSE 1 END AS y, x // CASE WHEN small THEN 2 ELSE 1 END AS x FROM q WHERE {{0}}),
+t AS (SELECT image, CASE WHEN first % 8 = 0 THEN 2 ELSE 1 END AS s FROM f),
+z AS (SELECT image, t.s, y::INT AS y, x::INT AS x FROM t, LATERAL (SELECT unnest(range(0, 16 // t.s)) AS y), LATERAL (SELECT unnest(range(0, 24 // t.s)) AS x)),
+u AS (SELECT DISTINCT z.image AS mask_id, z.y, z.x FROM z JOIN h ON h.image = z.image AND h.y = z.y * z.s // h.s AND h.x = z.x * z.s // h.s)"""
+
+
+@query(f"WITH {MERGED.format('true')} SELECT image AS mask_id, z.y, z.x, 255 AS v FROM z ANTI JOIN u ON u.mask_id = z.image AND u.y = z.y AND u.x = z.x")
+def merge_files(spark, d):
+    """The mask files of an image joined at the size of the first, and inverted."""
+    of = _boxes(spark, d).select("image", F.col("part").alias("mask_id"))
+    rows = _part_rasters(spark, d).join(of, "mask_id").select("image", F.col("mask_id").alias("place"), "width", "height", "raster")
+    return masks.pixels_of(masks.merged_files(rows, invert_=True))
+
+
+@query(f"WITH {MERGED.format('part % 12 = 0')} SELECT mask_id, y, x, 255 AS v FROM u")
+def render_report(spark, d):
+    """One mask an image from the parts of its report that were asked for."""
+    rows = _boxes(spark, d).select("image", "part", (F.col("part") % 12 == 0).alias("has_detection"), F.col("part").alias("mask_file"))
+    return masks.pixels_of(masks.rendered(sources.render_parts(rows), _part_rasters(spark, d)))
+
+
+@query(
+    f"""WITH {PIXELS}, a AS (SELECT part, count(*) AS n FROM b GROUP BY 1),
+q AS (SELECT image, x1 - 3 AS x1, y1 - 2 AS y1, x2 + 5 AS x2, y2 + 1 AS y2, part % 5 AS person_id FROM b WHERE part % 8 = 0),
+m AS (SELECT b.image, b.part, q.person_id, (b.x2 - b.x1) * (b.y2 - b.y1) AS n, greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS i,
+  (q.x2 - q.x1) * (q.y2 - q.y1) AS w, sqrt(((b.x1 + b.x2 - 1) / 2 - (q.x1 + q.x2) / 2) ** 2 + ((b.y1 + b.y2 - 1) / 2 - (q.y1 + q.y2) / 2) ** 2) / sqrt((q.x2 - q.x1) ** 2 + (q.y2 - q.y1) ** 2) AS far
+  FROM b JOIN q ON q.image = b.image)
+SELECT image, part, person_id, round(0.4::DOUBLE * i / (n + w - i) + 0.3::DOUBLE * greatest(0, 1 - far) + 0.3::DOUBLE * i / n, 6) AS score FROM m"""
+)
+def mask_scores(spark, d):
+    """How well the masks of parts fit the boxes of persons."""
+    b = _boxes(spark, d)
+    pixels = masks.box_pixels(b.select(F.struct("image", "part").alias("mask_id"), "x1", "y1", "x2", "y2")).select("mask_id.image", "mask_id.part", "y", "x", "v")
+    wide = geometry.box(F.col("x1") - 3, F.col("y1") - 2, F.col("x2") + 5, F.col("y2") + 1)
+    people = b.where("part % 8 = 0").select("image", (F.col("part") % 5).alias("person_id"), wide.alias("bbox"))
+    return boxes.mask_matches(pixels, people).select("image", "part", "person_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT vec_id, (i - 1)::INT AS i, round(least(1, greatest(0, embedding[i]::DOUBLE + embedding[i + 1]::DOUBLE - embedding[i + 2]::DOUBLE)), 6) AS v,
+  round(least(1, greatest(0, embedding[i]::DOUBLE - embedding[i + 1]::DOUBLE + embedding[i + 2]::DOUBLE)), 6) AS w
+FROM embeddings, LATERAL (SELECT unnest(range(1, 63)) AS i)"""
+)
+def soft_layers(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(61))).alias("i"))
+    a, m, i = (F.get("embedding", F.col("i") + k).cast("double") for k in range(3))
+    return rows.select("vec_id", "i", F.round(masks.soft_merge(a, m, i), 6).alias("v"), F.round(masks.soft_merge(a, m, i, True), 6).alias("w"))
+
+
+@query(
+    f"""WITH {PIXELS}, e AS (SELECT mask_id, y, x FROM p WHERE (x + y) % 3 > 0)
+SELECT mask_id AS image, y, x, 'intersection' AS operation FROM e UNION ALL SELECT mask_id, y, x, 'union' FROM p UNION ALL SELECT mask_id, y, x, 'mask_only' FROM e"""
+)
+def mask_combinations(spark, d):
+    """A drawn mask with an existing one: what both have, what either has, the existing one."""
+    drawn = masks.box_pixels(_boxes(spark, d).select("image", "x1", "y1", "x2", "y2"), "image")
+    existing = drawn.where("(x + y) % 3 > 0")
+    out = None
+    for operation in ("intersection", "union", "mask_only"):
+        one = masks.combine(drawn, existing, operation).select("image", "y", "x", F.lit(operation).alias("operation"))
+        out = one if out is None else out.unionByName(one)
+    return out
