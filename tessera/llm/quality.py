@@ -1,6 +1,6 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio (DataFrame operations only).
 
-Two multinomials over BUCKETS hashed n-grams are counted, one over all documents and one over
+Two multinomials over hashed n-grams are counted, one over all documents and one over
 trusted ones. A document's score is the mean over its n-grams of the log ratio of trusted to
 raw probability, so that length does not count. Below THRESHOLD it is rejected.
 """
@@ -12,10 +12,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, read_table
+from .shared import WORD, Scratch, read_table, text_bytes
 
-#: Buckets of hashed n-grams; the model is this many doubles, whatever the corpus.
-BUCKETS = 1 << 16
+#: Buckets of hashed n-grams as powers of two: the least, for LEAST_BYTES of text, and the most (64 MB of
+#: weights). Between, they grow as the root of the bytes does, as the number of different n-grams of a
+#: language does, so that buckets are about as full in a large corpus as in a small one.
+LEAST_BITS, MOST_BITS = 16, 24
+LEAST_BYTES = 1 << 26
+#: Buckets whose weights are gathered in one row.
+SLICE = 1 << 12
 #: Trusted documents that the target multinomial is fitted on at most, the first by a hash of the id.
 TRUSTED_ROWS = 16384
 #: Mean log ratio below which a document is rejected.
@@ -85,15 +90,21 @@ def _hashes(text: Column) -> Column:
     return F.transform(pieces, lambda x: F.xxhash64(x))
 
 
-def _grams(h: Column) -> Column:
+def bucket_bits(docs: DataFrame) -> int:
+    """Buckets for all texts of a table, as a power of two."""
+    return min(MOST_BITS, LEAST_BITS + (text_bytes(docs) // LEAST_BYTES).bit_length() // 2)
+
+
+def _grams(h: Column, bits: int) -> Column:
     """Buckets of the unigrams and bigrams of hashed pieces."""
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(BUCKETS)).cast("int"))
+    buckets = F.lit(1 << bits)
+    one = F.transform(h, lambda x: F.pmod(x, buckets).cast("int"))
+    two = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), buckets).cast("int"))
     return F.concat(one, two)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row ``weights array<double>``: log of trusted by raw probability of each bucket.
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, bits: int) -> DataFrame:
+    """One row ``weights array<float>``: log of trusted by raw probability of each bucket.
 
     The raw counts cover all rows of ``docs``. Trusted are those labelled quality 1, TRUSTED_ROWS
     at most; their counts are scaled to the raw total before both are smoothed alike. Without
@@ -111,41 +122,47 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
         docs.select("doc_id", "text")
         .join(F.broadcast(trusted), "doc_id", "left")
         .select("_trusted", _hashes(F.col("text")).alias("_h"))
-        .select("_trusted", F.explode(_grams(F.col("_h"))).alias("bucket"))
+        .select("_trusted", F.explode(_grams(F.col("_h"), bits)).alias("bucket"))
     )
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("good"))
-    table = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    table = table.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
-    packed = table.agg(
-        F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("rows")
-    )
-    scale = F.col("all_raw") / F.nullif(F.col("all_good"), F.lit(0))
-    weight = F.transform("rows", lambda x: F.log((x["good"] * scale + F.lit(SMOOTHING)) / (x["raw"] + F.lit(SMOOTHING))))
-    nothing = F.array_repeat(F.lit(0.0), BUCKETS)
-    return packed.select(F.when(F.col("all_good") > 0, weight).otherwise(nothing).alias("weights"))
-
-
-def score(spark: SparkSession, docs: DataFrame, model: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    counts = Scratch(spark, "quality").save(counts, "counts")
+    raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
+    weight = F.log((F.col("good") * F.lit(raw / good if good else 0.0) + F.lit(SMOOTHING)) / (F.col("raw") + F.lit(SMOOTHING)))
+    weight = (F.coalesce(weight, F.lit(0.0)) if good else F.lit(0.0)).cast("float")
+    # A bucket without a count weighs 0. Slices are gathered by many tasks, then joined in order.
+    table = spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    table = table.select("bucket", weight.alias("w"))
+    slices = table.groupBy(F.floor(F.col("bucket") / SLICE).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("all"))
+    slices = slices.select("slice", F.transform("all", lambda x: x["w"]).alias("w"))
+    joined = F.sort_array(F.collect_list(F.struct("slice", "w")))
+    return slices.agg(F.flatten(F.transform(joined, lambda x: x["w"])).alias("weights"))
+
+
+def score(spark: SparkSession, docs: DataFrame, model: DataFrame, bits: int, threshold: float = THRESHOLD) -> DataFrame:
     """Adds llr (0.0 without n-grams) and kept: not base_failed and llr at least ``threshold``.
 
     A session variable makes the weights one constant of the plan: no join, and no copy a row.
+    The plan holds its value, so the variable itself is dropped again.
     """
     name = f"weights_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} ARRAY<DOUBLE>")
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<FLOAT>")
     spark.sql(f"SET VAR {name} = (SELECT weights FROM {{model}})", model=model)
     weights = F.expr(name)
     a = docs.withColumn("_h", _hashes(F.col("text")))
-    a = a.withColumn("_b", _grams(F.col("_h")))
+    a = a.withColumn("_b", _grams(F.col("_h"), bits))
     total = F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.get(weights, b))
     llr = F.when(F.size("_b") > 0, total / F.size("_b")).otherwise(F.lit(0.0))
-    return a.withColumn("llr", llr).drop("_h", "_b").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    a = a.withColumn("llr", llr)
+    spark.sql(f"DROP TEMPORARY VARIABLE {name}")
+    return a.drop("_h", "_b").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each row of ``docs`` as the struct ``_row``, doc_id, the base counts, base_failed, llr and kept."""
     packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    model = Scratch(spark, "quality").save(fit(spark, packed, labels), "model")
-    return score(spark, base_counts(packed), model)
+    bits = bucket_bits(docs)
+    model = Scratch(spark, "quality").save(fit(spark, packed, labels, bits), "model")
+    return score(spark, base_counts(packed), model, bits)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

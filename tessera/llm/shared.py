@@ -106,3 +106,8 @@ def join_spread(rows: DataFrame, wide: DataFrame, key: str, by: str, keys: DataF
     all_ways = F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)
     right = wide.join(hot, key, "left").withColumn("_way", F.explode(all_ways)).drop("_ways")
     return left.join(right, [key, "_way"]).drop("_way")
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts in UTF-8, by one pass over them."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import BLOCK, mixed, span_hashes
+from .shared import text_bytes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,9 +100,8 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def sketch_bits(docs: DataFrame) -> int:
-    """Counters for a table by Spark's estimate of its bytes, as a power of two."""
-    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES_EACH).bit_length()))
+    """Counters for all texts of a table, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, (text_bytes(docs) // BYTES_EACH).bit_length()))
 
 
 def frequency_sketch(spark: SparkSession, docs: DataFrame, width: int, bits: int | None = None) -> np.ndarray:
