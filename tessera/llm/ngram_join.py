@@ -41,16 +41,26 @@ def _ceil_share(n: int | Column, num: int, den: int):
     return (n * num + den - 1) // den
 
 
+def _class_of(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _document() -> Column:
+    """64 bits that stand for a document: its id and its text, since ids may repeat."""
+    return F.xxhash64("doc_id", "text")
+
+
 def signatures(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int | None = None) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), alike (of prefix and size) and prefix of each text."""
+    """doc_id, document (its id with its text), n (set size), class_id (hash of the set), alike (of prefix and size) and prefix."""
     counted = frequency_sketch(spark, docs, width, bits)
     sketch, mask = spark.sparkContext.broadcast(counted), np.uint64(len(counted) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            n, digest, alike, prefixes, at = [], [], [], [], [0]
-            for words in word_hashes(batch.column(1)):
+            n, class_id, alike, prefixes, at = [], [], [], [], [0]
+            for words in word_hashes(batch.column(2)):
                 s = shingle_set(words, width)
                 size = len(s)
                 first = s
@@ -58,39 +68,38 @@ def signatures(spark: SparkSession, docs: DataFrame, width: int, num: int, den:
                     order = np.lexsort((s, counts[(s & mask).astype(np.int64)]))
                     first = s[order[: size - _ceil_share(size, num, den) + 1]]
                 n.append(size)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                class_id.append(_class_of(s))
                 alike.append(hashlib.blake2b(first.tobytes(), digest_size=16, person=b"%d" % size).digest())
                 prefixes.append(first)
                 at.append(at[-1] + len(first))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(alike), lists],
-                ["doc_id", "n", "digest", "alike", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(class_id, pa.int64()), pa.array(alike), lists],
+                ["doc_id", "document", "n", "class_id", "alike", "prefix"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n bigint, digest binary, alike binary, prefix array<bigint>"
+    return docs.select("doc_id", _document().alias("document"), "text").mapInArrow(
+        run, f"doc_id {kind}, document bigint, n bigint, class_id bigint, alike binary, prefix array<bigint>"
     )
 
 
 def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """class_id and the whole set of the classes named, from the texts that stand for them."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """class_id and the whole set of the classes (class_id, lead_id) named, from texts of the ids that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(w, width) for w in word_hashes(batch.column(1))]
-            keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column(2).to_pylist(), strict=True)]
+            keep = [_class_of(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)]
             own = [s for s, k in zip(sets, keep, strict=True) if k]
             at = np.cumsum([0, *map(len, own)])
             flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), lists], ["class_id", "items"])
 
-    found = docs.select("doc_id", "text").join(classes, F.col("doc_id") == F.col("class_id")).select("doc_id", "text", "digest")
-    return found.mapInArrow(run, f"class_id {kind}, items array<bigint>")
+    found = docs.select("doc_id", "text").join(classes, F.col("doc_id") == F.col("lead_id")).select("class_id", "text")
+    return found.mapInArrow(run, "class_id bigint, items array<bigint>")
 
 
 class _Join:
@@ -100,8 +109,8 @@ class _Join:
         save = self.scratch.save
         self.texts = save(signatures(spark, docs, width, num, den, bits), "texts")
         best = F.min(F.struct("doc_id", "n", "alike", "prefix")).alias("best")
-        classes = self.texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(best)
-        classes = save(classes.select("digest", F.col("best.doc_id").alias("class_id"), "best.n", "best.alike", "best.prefix"), "sets")
+        classes = self.texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("class_id").agg(best)
+        classes = save(classes.select("class_id", F.col("best.doc_id").alias("lead_id"), "best.n", "best.alike", "best.prefix"), "sets")
         groups = classes.groupBy("alike").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("size"))
         found = join_folded(classes, save(groups, "groups"), "alike", "size", classes.count()).drop("alike")
         leads = F.col("class_id") == F.col("group_id")
@@ -164,7 +173,7 @@ class _Join:
             return pairs
         few = count <= BROADCAST_ROWS
         needed = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-        of = self.classes.select("class_id", "digest")
+        of = self.classes.select("class_id", "lead_id")
         needed = self.scratch.save(of.join(F.broadcast(needed) if few else needed, "class_id"), f"{name}-needed")
         sets = self.scratch.save(_sets(self.docs, F.broadcast(needed) if few else needed, self.width), f"{name}-sets")
         sets = sets.groupBy("class_id").agg(F.first("items").alias("items"))
@@ -257,32 +266,47 @@ class _Join:
         return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _labelled(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int | None = None) -> DataFrame:
+    """``components`` with the column document."""
+    join = _Join(spark, docs, width, num, den, bits)
+    save = join.scratch.save
+    labels = join.run().select(F.col("node").alias("class_id"), "component")
+    of_class = join.classes.select("class_id", "lead_id").join(labels, "class_id", "left")
+    of_class = save(of_class.withColumn("component", F.coalesce("component", "class_id")), "components")
+    # Inside, the smallest class names a component; outside, its smallest doc_id does.
+    names = of_class.groupBy("component").agg(F.min("lead_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    named = join_folded(of_class, save(names, "names"), "component", "classes", of_class.count())
+    linked = join.texts.where("n > 0 AND doc_id IS NOT NULL")
+    copies = linked.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    named = save(named.select("class_id", "component_id").join(copies, "class_id"), "of-class")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "document"]
+    found = join_folded(linked, named, "class_id", "copies", linked.count()).select(*columns)
+    alone = join.texts.where("NOT (n > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))
+    return found.unionByName(alone.select(*columns))
+
+
 def components(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``.
 
     Texts link when den * |intersection| >= num * |union| of their sets of ``width``-word
     shingles; the component's id is its smallest doc_id. A text without words has the empty set
     and links with nothing; one of fewer than ``width`` words is one shingle. A row without a
-    doc_id links with nothing and has no component_id. Repeated rows are in one component.
+    doc_id links with nothing and has no component_id. Repeated rows are in one component; rows
+    of one id with different texts are documents of their own. Other columns are ignored.
     """
-    join = _Join(spark, docs, width, num, den, bits)
-    labels = join.run()
-    named = labels.select(F.col("node").alias("class_id"), "component")
-    rows = join.texts.select("doc_id", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest"))
-    linked = rows.where("digest IS NOT NULL")
-    copies = linked.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    of_class = join.classes.select("digest", "class_id").join(named, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
-    of_class = join.scratch.save(of_class.join(copies, "digest"), "of-class")
-    linked = join_folded(linked, of_class, "digest", "copies", linked.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("digest IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return _labelled(spark, docs, width, num, den, bits).drop("document")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. All columns stay."""
-    found = components(spark, docs, width, num, den)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component: the one whose id names it. All columns stay.
+
+    Rows without words or without a doc_id stay, and so do repeated rows of the document that
+    stays; rows of one id go by their own texts.
+    """
+    found = _labelled(spark, docs, width, num, den)
+    gone = found.where("component_id <> doc_id").select(F.col("document").alias("_document")).distinct()
+    marked = docs.select(F.struct("*").alias("_row"), _document().alias("_document"))
+    return marked.join(gone, "_document", "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,10 @@ def test_one_of_each(spark):
     want = {c for _, c in brute(rows, 5, 80, 100).values()}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     assert ngram_join.one_of_each(spark, docs.limit(0)).count() == 0
+    # Two texts under one id: the one that is a near copy goes, the other stays.
+    a, b = [" ".join(f"{x}{k}" for k in range(40)) for x in "ab"]
+    got = ngram_join.one_of_each(spark, frame(spark, [(1, a), (5, a + " end"), (5, b), (5, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (5, b), (5, b)]
     assert ngram_join.one_of_each(spark, frame(spark, [(None, "a b c d e f"), (1, "a b c d e f")])).count() == 2
 
 
