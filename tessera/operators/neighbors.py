@@ -63,7 +63,7 @@ def near_pairs(hashes: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame
     copies = rows.join(lead.withColumnRenamed("id", "first"), "hash").where("id <> first")
     chained = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     runs = bands(most, bits)
-    run = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1))
+    run = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1)) if w < HASH_BITS else c
     keyed = lead.select("id", "hash", F.posexplode(F.array(*[run(F.col("hash"), s, w) for s, w, _ in runs])).alias("band", "value"))
     masks = F.get(F.array(*[F.lit(_flipped(w, f)) for _, w, f in runs]), F.col("band"))
     probes = keyed.select("id", "hash", "band", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
