@@ -166,6 +166,21 @@ def statistics(parts: DataFrame, enabled: int) -> DataFrame:
     )
 
 
+def person_chain(people: DataFrame, parts: DataFrame, strategies: Mapping[str, tuple[str, Sequence[str]]], least: float = MATCH) -> DataFrame:
+    """(image, person_id, gender, part, bbox) to cover: what each person's gender says of the parts that are theirs.
+
+    ``people`` (image, person_id, bbox, gender), ``parts`` (image, part, kind, bbox) of a detector
+    that sees the whole image. Parts go to their best person, a strategy picks kinds, and the
+    boxes of these come back; a person without any is covered whole (kind ``person_bbox``).
+    """
+    owned = assign(box_matches(parts, people), least).select("image", "part", "person_id")
+    owned = owned.join(parts, ["image", "part"]).select("image", "person_id", F.col("kind").alias("part"), "bbox")
+    chosen = apply_strategy(people, owned.select("image", "person_id", "part"), strategies)
+    whole = people.select("image", "person_id", F.lit("person_bbox").alias("part"), "bbox")
+    covered = chosen.join(owned.unionByName(whole), ["image", "person_id", "part"])
+    return covered.join(people.select("image", "person_id", "gender"), ["image", "person_id"]).select("image", "person_id", "gender", "part", "bbox")
+
+
 def gender_counts(people: DataFrame) -> DataFrame:
     """(image, gender, persons) from one row a person; genders as named, trimmed and in lower case."""
     named = F.coalesce(F.lower(F.trim("gender")), F.lit("unknown"))

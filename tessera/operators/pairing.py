@@ -119,10 +119,14 @@ def placed(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return ranged.join(F.broadcast(counts), "_part").select(*rows.columns, place.alias("place"))
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1, in natural order of the file names."""
+    return placed(files.withColumn("_key", text.natural_key(F.col("file"))), [F.col("_key"), F.col("file")]).drop("_key")
+
+
 def numbered(files: DataFrame, prefix: str, start: int = 1, pad: int = 0) -> DataFrame:
     """Plan of new names: prefix and running number in natural order; longer numbers are not cut."""
-    keyed = files.select("file", text.natural_key(F.col("file")).alias("_key"))
-    rows = placed(keyed, [F.col("_key"), F.col("file")])
+    rows = in_order(files.select("file"))
     number = (F.col("place") + (start - 1)).cast("string")
     padded = F.when(F.length(number) < pad, F.lpad(number, pad, "0")).otherwise(number)
     return rows.select("file", F.concat(F.lit(prefix), padded, text.extension(F.col("file"))).alias("new_file"))

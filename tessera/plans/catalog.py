@@ -472,6 +472,27 @@ def box_assign(spark, d):
     return boxes.assign(boxes.box_matches(_part_boxes(spark, d), _people(spark, d))).withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"""WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY image, part ORDER BY score DESC, person_id) AS place,
+  0.15 * CASE WHEN min(person_id) OVER (PARTITION BY image) <> max(person_id) OVER (PARTITION BY image) THEN 0.7 ELSE 1 END AS least_ FROM m),
+o AS (SELECT r.image, r.person_id, 'k' || r.part % 3 AS kind, b.x1, b.y1, b.x2, b.y2 FROM r JOIN b ON b.part = r.part WHERE r.place = 1 AND r.score >= r.least_),
+g AS (SELECT image, person_id, CASE WHEN part % 4 = 0 THEN 'male' ELSE 'female' END AS gender, x1, y1, x2, y2 FROM c),
+h AS (SELECT g.image, g.person_id, any_value(gender) AS gender, list_distinct(list(kind) FILTER (WHERE kind IS NOT NULL)) AS have FROM g LEFT JOIN o ON o.image = g.image AND o.person_id = g.person_id GROUP BY 1, 2),
+s AS (SELECT *, unnest(CASE WHEN coalesce(len(have), 0) = 0 THEN ['person_bbox'] WHEN gender = 'male' THEN have WHEN list_contains(have, 'k1') THEN ['k1'] ELSE have END) AS part FROM h),
+w AS (SELECT image, person_id, kind, x1, y1, x2, y2 FROM o UNION ALL SELECT image, person_id, 'person_bbox', x1, y1, x2, y2 FROM g),
+f AS (SELECT s.image, s.person_id, s.gender, s.part, w.x1 // 4 AS x1, w.y1 // 4 AS y1, w.x2 // 4 AS x2, w.y2 // 4 AS y2 FROM s JOIN w ON w.image = s.image AND w.person_id = s.person_id AND w.kind = s.part)
+SELECT image, count(*) AS pixels FROM (SELECT DISTINCT image, y, x FROM f, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)) GROUP BY image"""
+)
+def person_chain(spark, d):
+    """From persons and parts to one mask an image: owners, genders, strategies, boxes joined (on a grid of 4 pixels)."""
+    gender = F.when(F.col("part") % 4 == 0, "male").otherwise("female")
+    people = _part_boxes(spark, d).where("part % 5 = 0").select("image", F.pmod("part", F.lit(10)).cast("int").alias("person_id"), "bbox", gender.alias("gender"))
+    parts = _part_boxes(spark, d).select("image", "part", F.concat(F.lit("k"), F.col("part") % 3).alias("kind"), "bbox")
+    covered = boxes.person_chain(people, parts, {"male": ("full_body", []), "female": ("custom", ["k1"])})
+    corners = [F.floor(F.col(f"bbox.{c}") / 4).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return masks.box_pixels(covered.select(F.col("image").alias("mask_id"), *corners)).groupBy(F.col("mask_id").alias("image")).agg(F.count(F.lit(1)).alias("pixels"))
+
+
 @query(
     f"""WITH {BOXES}
 SELECT part, round_even((x1 + x2) / 2 - (x2 - x1) * 0.65 / 2, 0)::INT AS x1, round_even((y1 + y2) / 2 - (y2 - y1) * 0.65 / 2, 0)::INT AS y1,

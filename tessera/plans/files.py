@@ -49,6 +49,15 @@ def _pictures(spark, d):
     return _folder(spark, made.unionByName(odd))
 
 
+@query(
+    f"""WITH i AS ({IMAGES} UNION ALL SELECT 'broken.png', 0, 0), k AS (SELECT image, regexp_extract(image, '^(.*)[.]', 1) AS stem, CASE WHEN image = 'broken.png' THEN -1 ELSE regexp_extract(image, '[0-9]+')::INT END AS n FROM i)
+SELECT image AS file, row_number() OVER (ORDER BY n) AS place FROM k"""
+)
+def files_in_order(spark, d):
+    """A folder's images in natural order."""
+    return pairing.in_order(sources.images(spark, _pictures(spark, d))).select("file", "place")
+
+
 @query(f"""{IMAGES} UNION ALL SELECT 'broken.png', NULL, NULL""")
 def files_images(spark, d):
     """A folder's images with the sizes in their headers."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import actions, boxes, masks
+from ..operators import actions, boxes, masks, neighbors, scores
 from ..sources import files as sources
 from ..sources import png
 from ..sources.tables import table
@@ -201,3 +201,44 @@ def mask_combinations(spark, d):
         one = masks.combine(drawn, existing, operation).select("image", "y", "x", F.lit(operation).alias("operation"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    """WITH v AS (SELECT p_partkey, list_transform(range(0, 72), lambda i: (p_partkey * (i + 3) * 7 + i * i) % 256) AS v FROM part),
+b AS (SELECT p_partkey, list_transform(list_filter(range(0, 72), lambda i: i % 9 <> 8), lambda i: CASE WHEN v[i + 1] > v[i + 2] THEN 1 ELSE 0 END) AS b FROM v),
+h AS (SELECT p_partkey, list_reduce(list_prepend(0::HUGEINT, list_transform(b, lambda x: x::HUGEINT)), lambda a, x: a * 2 + x) AS h FROM b)
+SELECT p_partkey AS file, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM h"""
+)
+def image_hashes(spark, d):
+    """Difference hashes of pictures of 9 x 8 pixels, from their PNG files."""
+    k = F.col("p_partkey")
+    value = lambda i: F.lpad(F.hex((k * (i + 3) * 7 + i * i) % 256), 2, "0")
+    raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(71)), value), ""))
+    rows = table(spark, d, "part").select(k.alias("mask_id"), F.lit(9).alias("width"), F.lit(8).alias("height"), raster.alias("raster"))
+    files = png.written_masks(rows).withColumnRenamed("mask_id", "file")
+    return png.grey_values(files).select("file", neighbors.difference_hash(F.col("values"), row=9).alias("hash"))
+
+
+def _tagger():
+    """Stands for a model: one logit an index from the bytes of a file, which name its key."""
+    import pandas as pd
+
+    def tag(batch):
+        rows = [(i, j, ((int(c) * (j + 3) * 31) % 97 - 48) / 8.0) for i, c in zip(batch["image"], batch["content"], strict=True) for j in range(6)]
+        return pd.DataFrame(rows, columns=["image", "idx", "logit"])
+
+    return tag
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS image, j::INT AS idx, 'tag' || j AS tag, CASE WHEN j < 4 THEN 'general' ELSE 'character' END AS category,
+  1 / (1 + exp(-((p_partkey * (j + 3) * 31) % 97 - 48) / 8.0::DOUBLE)) AS p FROM part, LATERAL (SELECT unnest(range(0, 6)) AS j))
+SELECT image, idx, tag, category, round(p, 6) AS probability FROM s WHERE p >= CASE WHEN category = 'character' THEN 0.85 ELSE 0.35 END"""
+)
+def model_tags(spark, d):
+    """Tags of a stub model behind the inference boundary, with a vocabulary and thresholds by category."""
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("image"), F.col("p_partkey").cast("string").cast("binary").alias("content"))
+    logits = boxes.with_model(files, _tagger, "image bigint, idx int, logit double")
+    idx = F.col("id").cast("int")
+    words = spark.range(6).select(idx.alias("idx"), F.concat(F.lit("tag"), idx).alias("tag"), F.when(idx < 4, "general").otherwise("character").alias("category"))
+    return scores.above(scores.named(logits, words), 0.35, 0.85).select("image", "idx", "tag", "category", F.round("probability", 6).alias("probability"))

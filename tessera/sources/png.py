@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..operators.masks import resize
+
 #: Fixed values of the format: its signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -147,3 +149,25 @@ def written_masks(rasters: DataFrame) -> DataFrame:
     return rasters.select("mask_id", "width", "height", "raster").mapInArrow(run, f"mask_id {kind}, content binary")
 
 
+
+
+def grey_values(files: DataFrame, width: int = 9, height: int = 8) -> DataFrame:
+    """(file, values) of PNG files (file, content): grey values at another size by rows; null for what is no such file.
+
+    With 9 x 8 values, ``difference_hash(values, row=9)`` is the hash of the image.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content in batch.column(1).to_pylist():
+                try:
+                    v = grey(decode(content or b""))
+                    v = v if v.shape == (height, width) else np.rint(resize(v, width, height))
+                    rows.append(v.astype(np.int32).ravel().tolist())
+                except ValueError:
+                    rows.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["file", "values"])
+
+    kind = dict(files.dtypes)["file"]
+    return files.select("file", "content").mapInArrow(run, f"file {kind}, values array<int>")
