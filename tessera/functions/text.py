@@ -37,7 +37,7 @@ def line_ends(c: Column) -> Column:
 
 def one_line(c: Column) -> Column:
     """White space collapsed to single spaces."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def words(c: Column) -> Column:
@@ -46,7 +46,12 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(r"(?U)\S+"))
+
+
+def present(c: Column) -> Column:
+    """A row for each value that is not null. A filter would compute the value a second time."""
+    return F.explode(F.array_compact(F.array(c)))
 
 
 def literals(values: Sequence[str]) -> Column:

@@ -104,8 +104,7 @@ SELECT doc_id, array_to_string(list_concat(missing, have), ', ') || CASE WHEN re
 FROM m WHERE len(missing) > 0"""
 )
 def insert_tags(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", text.insert_tags(F.col("text"), FIXED).alias("text"))
-    return rows.where("text IS NOT NULL")
+    return table(spark, d, "documents").select("doc_id", text.present(text.insert_tags(F.col("text"), FIXED)).alias("text"))
 
 
 @query(
@@ -647,7 +646,7 @@ f AS (SELECT doc_id, text AS old, CASE WHEN tags <> '' AND told <> '' THEN tags
 SELECT doc_id, text FROM f WHERE text <> old"""
 )
 def normal_format(spark, d):
-    return table(spark, d, "documents").select("doc_id", captions.normal_format(F.col("text")).alias("text")).where("text IS NOT NULL")
+    return table(spark, d, "documents").select("doc_id", text.present(captions.normal_format(F.col("text"))).alias("text"))
 
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
