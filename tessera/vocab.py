@@ -24,7 +24,8 @@ REFUSAL_FLAT = (
 )
 LEVEL_HIGH, LEVEL_MEDIUM, LEVEL_LOW = "高", "中", "低"
 
-#: Words that open a sentence of a caption after tags, and verbs of one.
+#: Words that open a sentence of a caption after tags, and verbs of one, each form spelled out. These are fixed
+#: values: which texts are split, and where, follows from them.
 CAPTION_STARTERS = (
     "Shot", "Seen", "Framed", "Depicted", "Viewed", "Rendered", "A", "An", "The", "She", "He", "It", "This", "That",
     "Her", "His", "In", "From", "Against", "Atop", "Beneath", "Under", "Above", "Standing", "Sitting", "Kneeling",
