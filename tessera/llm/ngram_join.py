@@ -30,6 +30,8 @@ from .shingles import frequency_sketch, shingle_set, word_hashes
 
 #: Rows up to which a side that a count has measured is broadcast (16 bytes a row).
 BROADCAST_ROWS = 200_000
+#: Rounds at most in which one pair of any two components is tried before all that are left.
+ROUNDS = 4
 #: Groups of one shingle, and classes of one group, that are paired in one task.
 PAIRED = 512
 
@@ -202,16 +204,21 @@ class _Join:
         within = self.classes.where("class_id <> group_id").select(F.col("class_id").alias("a"), F.col("group_id").alias("b"))
         links = self.verify(first.unionByName(within), "first")
         labels = connected(self.spark, links, self.scratch, "first")
-        for name in ("second", "rest"):
+        name, k = "near-0", 0
+        while True:
             pairs, members = self.apart(postings, tokens, labels, name)
-            if not pairs.head(1):
-                break
-            more = self.verify(self.expanded(pairs, members, name), name)
-            if more.head(1):
+            more = self.verify(self.expanded(pairs, members, name), name) if name != "rest" or pairs.head(1) else pairs
+            found = bool(more.head(1))
+            if found:
                 links = save(links.unionByName(more), f"{name}-all")
                 labels = connected(self.spark, links, self.scratch, name)
             self.scratch.drop(f"{name}-members")
-        self.scratch.drop("postings", "tokens", "hubs", "first-links", "second-links", "rest-links")
+            if name == "rest":
+                break
+            # Pairs between components are tried one at a time while that joins some, then all that are left.
+            k += 1
+            name = f"near-{k}" if found and k < ROUNDS else "rest"
+        self.scratch.drop("postings", "tokens", "hubs", "first-links", "rest-links")
         return labels
 
     def apart(self, postings: DataFrame, tokens: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -242,25 +249,33 @@ class _Join:
             & ~one
             & self.alike(F.col("x.place"), F.col("y.place"), F.col("x.n"), F.col("y.n")),
         )
-        pairs = self.plausible(meet.select(F.col("x.group_id").alias("a"), F.col("y.group_id").alias("b")), name)
+        met = meet.select(F.col("x.group_id").alias("a"), F.col("y.group_id").alias("b"), F.col("x.lo").alias("ca"), F.col("y.lo").alias("cb"))
+        if name != "rest":
+            # One pair of groups of any two components, the one that shares most; those within one come last.
+            met = met.where("ca <> cb").groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
+            best = F.max(F.struct("shared", "a", "b")).alias("p")
+            met = met.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(best).select("p.a", "p.b")
+        pairs = self.plausible(met.select("a", "b"), name)
         self.scratch.drop(f"{name}-rows", f"{name}-tokens")
         return pairs, members
 
     def expanded(self, pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) of classes of different components whose groups are paired: one of any two components, at last all."""
-        if name == "second":
+        if name != "rest":
             members = members.groupBy("group_id", "component").agg(F.min("class_id").alias("class_id"), F.first("size").alias("size"))
         blocks = F.ceil(F.col("size") / PAIRED).cast("int")
         side = members.withColumn("block", F.pmod(F.xxhash64("class_id"), blocks).cast("int"))
-        every = self.classes.where("class_id = group_id").select("group_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        large = self.classes.where(F.col("size") > PAIRED).select("group_id", "size").distinct()
         rows = pairs
         for end, c in (("a", "x"), ("b", "y")):
-            # Pairs of a large group are copied once a block, so its classes meet them in as many tasks.
-            rows = rows.join(every.select(F.col("group_id").alias(end), F.col("block").alias(f"{c}_block")), end)
+            # Pairs of a large group are copied once a block, so its classes meet them in as many tasks. There are few
+            # such groups, at most one for PAIRED classes.
+            of = large.select(F.col("group_id").alias(end), blocks.alias("blocks"))
+            rows = rows.join(of, end, "left").withColumn(f"{c}_block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
             own = side.select(F.col("group_id").alias(end), F.col("block").alias(f"{c}_block"), F.col("class_id").alias(c), F.col("component").alias(f"{c}_of"))
             rows = rows.join(own, [end, f"{c}_block"])
         rows = rows.where("x_of <> y_of AND (a <> b OR x < y)")
-        if name == "second":
+        if name != "rest":
             one = F.min(F.struct("x", "y")).alias("p")
             rows = rows.groupBy(F.least("x_of", "y_of").alias("lo"), F.greatest("x_of", "y_of").alias("hi")).agg(one).select("p.x", "p.y")
         return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
