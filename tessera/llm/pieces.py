@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import regex
+import xxhash
 from tokenizers import Tokenizer
 
 #: Characters that are cut at once.
@@ -18,6 +19,8 @@ SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 #: Below this code point Unicode's classes have long been settled; above, the library itself is asked.
 SETTLED = 0x250
 _BREAK = regex.compile(r"(?<=\S)\s")
+#: Spans of more bytes are hashed one by one: sums of powers modulo 2^64 have fixed collisions in long words.
+SUMMED = 16
 
 
 def segments(text: str, limit: int = BLOCK) -> Iterator[str]:
@@ -122,14 +125,23 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans' bytes: one running sum over all bytes, two look-ups a span."""
+    """64-bit hashes of the spans' bytes: one running sum over all bytes, two look-ups a span.
+
+    Spans over SUMMED bytes go through xxh3 each.
+    """
     power, inverse = _grow(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed(h)
+    h = mixed(h)
+    long = np.flatnonzero(ends - starts > SUMMED)
+    if len(long):
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        h[long] = np.fromiter((digest(view[a:b]) for a, b in spans), np.uint64, len(long))
+    return h
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

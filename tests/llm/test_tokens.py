@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bpe, pieces, token_counts
+from tessera.llm import bpe, pieces, shingles, substrings, token_counts
 
 ODD = ["", " ", "a", "it's we'll 's''s '", "x" * 9000, "ab" * 3000, "1a" * 4000, " " * 3000 + "a\n\n b", "ÉTÉ Σας ΟΔΟΣ İ ﬁ ²", "中文 文字，🙂👩‍👩‍👧", "<|endoftext|>a<|startoftext|> b<|endoftext|>", "\x00\x1c  ́é�", "٣ก็ " * 50]
 TEXT = st.text(st.characters(codec="utf-8"), max_size=60)
@@ -48,6 +50,29 @@ def test_any_text(tools, text):
     assert counter.count([text])[0] == len(word_library.encode(text, add_special_tokens=False).ids)
 
 
+def twins(size):
+    """Two words of a and b whose sums of powers modulo 2^64 agree for every odd base."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+def test_long_words_that_sums_of_powers_confuse(tools):
+    codec, counter, byte_library, word_library = tools
+    for size in (16, 1024, 4096):
+        pair = twins(size)
+        texts = [*pair, " ".join(pair), f"{pair[1]} {pair[0]}"]
+        want = [e.ids for e in byte_library.encode_batch(texts, add_special_tokens=False)]
+        assert encode_all(codec, texts) == want and [codec.decode(i) for i in want] == texts
+        assert counter.count(texts).tolist() == [len(e.ids) for e in word_library.encode_batch(texts, add_special_tokens=False)]
+        column = pa.array(pair)
+        one, two = shingles.word_hashes(column)
+        assert one[0] != two[0]
+        data = [np.frombuffer(f"{w} {'x y z ' * 20}".encode(), np.uint8) for w in pair]
+        assert {d for c in substrings.chunks(data[0], 24) for d in c[-1][:1]}.isdisjoint(d for c in substrings.chunks(data[1], 24) for d in c[-1][:1])
+
+
 def test_small_blocks_and_small_memo_change_nothing(tools, monkeypatch):
     codec, counter, *_ = tools
     want, counts = encode_all(codec, ODD), counter.count(ODD).tolist()
