@@ -12,27 +12,40 @@ from pyspark.sql import functions as F
 
 from .shared import join_folded, read_table
 
+#: An address in four numbers or in brackets, which has no parent domains.
+ADDRESS = r"^(?:\[.*|[0-9]{1,3}(?:\.[0-9]{1,3}){3})$"
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL without user and port; null if there is none."""
-    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-case host of a URL without user, port and dots at its end; null if there is none.
+
+    An address in brackets stays in them.
+    """
+    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)", 1)
     return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
 
 
+def entry_host(value: Column) -> Column:
+    """The host that a list's entry names, written alone or as a URL; null if there is none."""
+    return host_of(F.when(value.contains("://"), value).otherwise(F.concat(F.lit("any://"), value)))
+
+
 def scopes(host: Column) -> Column:
-    """The host and its parent domains of two labels or more, most specific first."""
+    """The host and its parent domains of two labels or more, most specific first; an address is its only scope."""
     labels = F.split(host, r"\.")
-    count = F.greatest(F.size(labels) - 1, F.lit(1))
+    count = F.when(host.rlike(ADDRESS), F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
     return F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(value, since, until) of active spans, until excluded and null if open.
 
-    Entries of one value and day: a removal wins. Repeats change nothing; entries without a
-    value or day, or of another action than add and remove, count for nothing.
+    Entries go by the hosts they name. Of one host and day a removal wins. Repeats change nothing;
+    entries without a host or day, or of another action than add and remove, count for nothing.
     """
-    clean = entries.where("value IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')")
-    clean = clean.groupBy(F.lower("value").alias("value"), "day").agg(F.max("action").alias("action"))
+    clean = entries.select(entry_host(F.col("value")).alias("value"), "action", "day")
+    clean = clean.where("value IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')")
+    clean = clean.groupBy("value", "day").agg(F.max("action").alias("action"))
     order = Window.partitionBy("value").orderBy("day")
     spans = clean.withColumn("until", F.lead("day").over(order))
     return spans.where("action = 'add'").select("value", F.col("day").alias("since"), "until")
@@ -98,11 +111,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + (page_id % 90)::INT AS fetched,
-    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)', 1), '\.+$', ''), '') AS host
   FROM pages
 ),
 h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL),
-s AS (SELECT host, i AS depth, array_to_string(l[i:], '.') AS value FROM h, LATERAL (SELECT unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i)),
+s AS (SELECT host, i AS depth, array_to_string(l[i:], '.') AS value FROM h, LATERAL (SELECT unnest(range(1, CASE WHEN regexp_matches(host, '^(?:\[.*|[0-9]{1,3}(?:\.[0-9]{1,3}){3})$') THEN 2 ELSE greatest(len(l) - 1, 1) + 1 END)) AS i)),
 d AS (
   SELECT value, ('0x' || substr(md5(value), 3, 2))::INT % 60 AS added, 1 + ('0x' || substr(md5(value), 5, 2))::INT % 30 AS kept,
     ('0x' || substr(md5(value), 7, 2))::INT % 4 AS r, ('0x' || substr(md5(value), 9, 2))::INT % 3 AS again

@@ -159,3 +159,14 @@ def test_temporal_lists(spark):
     assert {r.host for r in got} == {"a.com", "x.a.com", "y.b.org", "com", "c.net", None}
     assert url_lists.judge(captures.limit(0), lists).count() == 0
     assert not any(r.listed for r in url_lists.judge(captures, lists.limit(0)).collect())
+
+
+def test_addresses_and_odd_hosts(spark):
+    urls = ["http://1.2.3.4/", "http://[::1]:80/x", "http://u@[2001:DB8::1]/", "http://a.b.c.:8080/", "http://[::1", "http://3.4.c/"]
+    captures = spark.createDataFrame([(k, u, date(2024, 1, 5)) for k, u in enumerate(urls)], "page_id bigint, url string, fetched date")
+    entries = ["3.4", "4", "1.2.3.4:80", "[::1]", "https://B.C.:443/x?y", "[2001:db8::1]:8080", "::1", ":80", ""]
+    for value, want in zip(entries, [[], [], [0], [1], [3], [2], [], [], []], strict=True):
+        lists = spark.createDataFrame([(value, "add", date(2024, 1, 1))], "value string, action string, day date")
+        got = url_lists.judge(captures, lists).collect()
+        assert sorted(r.page_id for r in got if r.listed) == want, value
+    assert [r.host for r in sorted(got, key=lambda r: r.page_id)] == ["1.2.3.4", "[::1]", "[2001:db8::1]", "a.b.c", None, "3.4.c"]
