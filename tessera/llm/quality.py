@@ -12,13 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, read_table, text_bytes
+from .shared import WORD, Scratch, read_table
 
-#: Buckets of hashed n-grams as powers of two: the least, for LEAST_BYTES of text, and the most (64 MB of
-#: weights). Between, they grow as the root of the bytes does, as the number of different n-grams of a
-#: language does, so that buckets are about as full in a large corpus as in a small one.
-LEAST_BITS, MOST_BITS = 16, 24
-LEAST_BYTES = 1 << 26
+#: Buckets of hashed n-grams as a power of two, the same for every table (1 MB of weights).
+BITS = 18
 #: Buckets whose weights are gathered in one row.
 SLICE = 1 << 12
 #: Trusted documents that the target multinomial is fitted on at most, the first by a hash of the id.
@@ -90,11 +87,6 @@ def _hashes(text: Column) -> Column:
     return F.transform(pieces, lambda x: F.xxhash64(x))
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """Buckets for all texts of a table, as a power of two."""
-    return min(MOST_BITS, LEAST_BITS + (text_bytes(docs) // LEAST_BYTES).bit_length() // 2)
-
-
 def _grams(h: Column, bits: int) -> Column:
     """Buckets of the unigrams and bigrams of hashed pieces."""
     buckets = F.lit(1 << bits)
@@ -103,7 +95,7 @@ def _grams(h: Column, bits: int) -> Column:
     return F.concat(one, two)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, bits: int) -> DataFrame:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """One row ``weights array<float>``: log of trusted by raw probability of each bucket.
 
     The raw counts cover all rows of ``docs``. Trusted are those labelled quality 1, TRUSTED_ROWS
@@ -138,7 +130,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, bits: int) -> D
     return slices.agg(F.flatten(F.transform(joined, lambda x: x["w"])).alias("weights"))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: DataFrame, bits: int, threshold: float = THRESHOLD) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: DataFrame, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """Adds llr (0.0 without n-grams) and kept: not base_failed and llr at least ``threshold``.
 
     A session variable makes the weights one constant of the plan: no join, and no copy a row.
@@ -160,9 +152,8 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, bits: int, thr
 def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each row of ``docs`` as the struct ``_row``, doc_id, the base counts, base_failed, llr and kept."""
     packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    bits = bucket_bits(docs)
-    model = Scratch(spark, "quality").save(fit(spark, packed, labels, bits), "model")
-    return score(spark, base_counts(packed), model, bits)
+    model = Scratch(spark, "quality").save(fit(spark, packed, labels), "model")
+    return score(spark, base_counts(packed), model)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def grams(text):
     h = [h64(p.encode()) for p in PIECE.findall(text or "")]
     two = [h64(b.to_bytes(8, "little"), h64(a.to_bytes(8, "little"))) for a, b in zip(h, h[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(x) % (1 << quality.LEAST_BITS) for x in h + two]
+    return [signed(x) % (1 << quality.BITS) for x in h + two]
 
 
 def test_quality_against_plain_version(spark):
@@ -51,7 +51,7 @@ def test_quality_against_plain_version(spark):
     docs = docs_of(spark, rows)
     labels = spark.createDataFrame([(i, 1 if i < 20 else 0, 0) for i in range(40)] + [(None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.judge(spark, docs, labels).collect()
-    raw, good = np.zeros(1 << quality.LEAST_BITS), np.zeros(1 << quality.LEAST_BITS)
+    raw, good = np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS)
     for i, t, _ in rows:
         for b in grams(t):
             raw[b] += 1
@@ -75,17 +75,12 @@ def test_quality_against_plain_version(spark):
     assert all(r.llr == 0 for r in quality.judge(spark, docs, labels.limit(0)).collect())
 
 
-def test_buckets_grow_with_the_text(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, f"some words {k} " * 40) for k in range(400)], "doc_id bigint, text string")
-    labels = docs.limit(200).selectExpr("doc_id", "1 AS quality")
-    assert quality.bucket_bits(docs) == quality.LEAST_BITS
+def test_verdicts_do_not_change_with_the_size_of_the_table(spark):
+    docs = spark.createDataFrame([(k, f"some words {k} " * 40 if k % 3 else "zq zx zv zw " * 40 + str(k)) for k in range(300)], "doc_id bigint, text string")
+    labels = docs.where("doc_id % 3 > 0").selectExpr("doc_id", "1 AS quality")
     few = {r.doc_id: r.kept for r in quality.judge(spark, docs, labels).collect()}
-    monkeypatch.setattr(quality, "LEAST_BYTES", 64)
-    assert quality.LEAST_BITS < quality.bucket_bits(docs) < quality.MOST_BITS
-    assert {r.doc_id: r.kept for r in quality.judge(spark, docs, labels).collect()} == few
-    monkeypatch.setattr(quality, "LEAST_BYTES", 1)
-    monkeypatch.setattr(quality, "MOST_BITS", 17)
-    assert quality.bucket_bits(docs) == 17
+    many = docs.unionByName(docs.selectExpr("doc_id + 1000 AS doc_id", "text")).unionByName(docs.selectExpr("doc_id + 2000 AS doc_id", "text"))
+    assert {r.doc_id: r.kept for r in quality.judge(spark, many, labels).collect() if r.doc_id < 1000} == few
 
 
 # Mixing
