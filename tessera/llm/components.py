@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, join_folded
 
 
 def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str
 
     Alternating stars: each node hands its larger neighbours, then its smaller ones, to the
     smallest of them, until nothing changes. A round moves no more rows than there are links,
-    a node of many links is spread by the joins, and every round is a written table.
+    a node of a thousandth of all links meets its broadcast row, and every round is a written table.
     """
     both = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.save(both, f"{name}-edges-0")
@@ -21,11 +21,11 @@ def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str
     while seen[0]:
         k += 1
         ends = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = scratch.save(ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), f"{name}-low-{k}")
-        large = ends.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        low = scratch.save(ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-low-{k}")
+        large = join_folded(ends, low, "x", "n", 2 * seen[0]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = scratch.save(large.distinct(), f"{name}-large-{k}")
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low2-{k}")
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-low2-{k}")
+        small = join_folded(large, low2, "u", "n", seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low2.select("u", F.col("m").alias("v")))
         after = scratch.save(small.distinct(), f"{name}-edges-{k}")
         scratch.drop(f"{name}-edges-{k - 1}", f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-low2-{k}")
