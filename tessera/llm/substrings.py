@@ -109,7 +109,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _document(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """64 bits that stand for a document: its id and its text, since ids may repeat."""
+    """64 bits that stand for a document: its id and its text, since ids may repeat; equal texts without an id are one."""
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
