@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, quality, substrings, token_counts, url_lists
+from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, periodic, quality, substrings, token_counts, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.query,
     "op9_html_text": html_text.query,
     "op10_bpe_round_trip": bpe.query,
+    "op13_periodic_runs": periodic.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_url_lists": url_lists.SQL,
