@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, periodic, quality, spelling, substrings, token_counts, url_lists
+from . import bpe, exact_dedup, html_text, langid, mixing, ngram_join, periodic, quality, resharding, spelling, substrings, token_counts, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.query,
     "op10_bpe_round_trip": bpe.query,
     "op11_spelling_variants": spelling.query,
+    "op12_reshard": resharding.query,
     "op13_periodic_runs": periodic.query,
 }
 ORACLE_SQL: dict[str, str] = {
