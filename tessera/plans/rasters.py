@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import actions, boxes, masks, neighbors, scores
+from ..operators.written import Written
 from ..sources import files as sources
-from ..sources import png
+from ..sources import jpeg, pictures, png
 from ..sources.tables import table
 from .registry import query
 
@@ -219,6 +220,29 @@ def image_hashes(spark, d):
     return png.grey_values(files).select("file", neighbors.difference_hash(F.col("values"), row=9).alias("hash"))
 
 
+@query(
+    """WITH v AS (SELECT s_suppkey, list_transform(range(0, 72), lambda i: (s_suppkey * (i + 3) * 7 + i * i) % 13 * 18 + i % 2 * 9) AS v FROM supplier),
+b AS (SELECT s_suppkey, list_transform(list_filter(range(0, 72), lambda i: i % 9 <> 8), lambda i: CASE WHEN v[i + 1] > v[i + 2] THEN 1 ELSE 0 END) AS b FROM v),
+h AS (SELECT s_suppkey, list_reduce(list_prepend(0::HUGEINT, list_transform(b, lambda x: x::HUGEINT)), lambda a, x: a * 2 + x) AS h FROM b)
+SELECT s_suppkey || '.jpg' AS file, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::VARCHAR AS hash, NULL::VARCHAR AS error FROM h
+UNION ALL SELECT s_suppkey || 'b.jpeg', NULL, 'not a picture' FROM supplier WHERE s_nationkey % 5 = 0"""
+)
+def jpeg_hashes(spark, d):
+    """Difference hashes of JPEG files of many sizes, from cells of equal pixels; some files are broken."""
+    k = F.col("s_suppkey")
+    value = lambda i: F.lpad(F.hex((k * (i + 3) * 7 + i * i) % 13 * 18 + i % 2 * 9), 2, "0")
+    wide, high = (3 + k % 6).cast("int"), (3 + k % 4).cast("int")
+    line = lambda y: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda x: F.repeat(value(9 * y + x), wide)), "")
+    raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(line(y), high)), ""))
+    rows = table(spark, d, "supplier").select(k.alias("mask_id"), (9 * wide).alias("width"), (8 * high).alias("height"), raster.alias("raster"), "s_nationkey")
+    made = jpeg.written_jpegs(rows).select(F.concat("mask_id", F.lit(".jpg")).alias("file"), "content")
+    broken = rows.where("s_nationkey % 5 = 0").select(F.concat("mask_id", F.lit("b.jpeg")).alias("file"), F.unhex(F.lit("FFD8FF00")).alias("content"))
+    folder = Written(spark, "pictures").root
+    actions.export_files(made.unionByName(broken), folder)
+    values = pictures.grey_values(pictures.pictures(spark, folder))
+    return values.select("file", neighbors.difference_hash(F.col("values"), row=9).cast("string").alias("hash"), "error")
+
+
 def _tagger():
     """Stands for a model: one logit an index from the bytes of a file, which name its key."""
     import pandas as pd

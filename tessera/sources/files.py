@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,22 @@ from .. import vocab
 from ..functions import text
 
 
+def empty_files(rows: DataFrame, folder: str) -> DataFrame:
+    """(path, file) of the files without a byte, which Spark's readers pass over, from a folder's ``binaryFile`` rows.
+
+    The names come from the reader's own index of the folder, which the driver holds anyway.
+    """
+    names = [(f"{folder.rstrip('/')}/{name}", name) for name in (unquote(path).rsplit("/", 1)[1] for path in rows.inputFiles())]
+    listed = rows.sparkSession.createDataFrame(names, "path string, file string")
+    return listed.join(rows.select(F.element_at(F.split("path", "/"), -1).alias("file")), "file", "left_anti").select("path", "file")
+
+
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Files directly in a folder: (path, file, length, content)."""
+    """Files directly in a folder, empty ones too: (path, file, length, content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    return files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    found = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content")
+    none = empty_files(files, folder).select("path", "file", F.lit(0).cast("long").alias("length"), F.unhex(F.lit("")).alias("content"))
+    return found.unionByName(none)
 
 
 def listing(spark: SparkSession, folder: str, extensions: Sequence[str]) -> DataFrame:

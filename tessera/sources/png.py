@@ -150,7 +150,6 @@ def written_masks(rasters: DataFrame) -> DataFrame:
 
 
 
-
 def grey_values(files: DataFrame, width: int = 9, height: int = 8) -> DataFrame:
     """(file, values) of PNG files (file, content): grey values at another size by rows; null for what is no such file.
 

@@ -117,3 +117,14 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    for name, body in (("a b+c%20é.txt", b"x"), ("e f+%20é.txt", b""), ("g.TXT", b""), ("h.png", b"")):
+        (tmp_path / name).write_bytes(body)
+    folder = f"file://{tmp_path}"
+    assert {r.file: (r.stem, r.text, r.error) for r in files.captions(spark, folder).collect()} == {
+        "a b+c%20é.txt": ("a b+c%20é", "x", None), "e f+%20é.txt": ("e f+%20é", "", None), "g.TXT": ("g", "", None),
+    }
+    assert [(r.file, r.length) for r in files.images(spark, folder).collect()] == [("h.png", 0)]
+    assert [r.error is None for r in files.with_size(files.image_contents(spark, folder)).collect()] == [False]
