@@ -224,25 +224,6 @@ def with_text(regions: DataFrame, least: int = 1) -> DataFrame:
     return regions.where(F.col("text").isNull() | (F.char_length(F.trim("text")) >= least))
 
 
-def mask_matches(pixels: DataFrame, people: DataFrame) -> DataFrame:
-    """(image, part, person_id, score) of part masks (image, part, y, x, v) with the persons' boxes of their image.
-
-    As ``box_matches``, but overlap, area and centre are those of the mask's pixels. One row a
-    pixel meets a row a person, folded before anything is shuffled again.
-    """
-    q = F.col("q")
-    rows = pixels.where("v > 0").join(people.select("image", "person_id", F.col("bbox").alias("q")), "image")
-    inside = (F.col("x") >= q["x1"]) & (F.col("x") < q["x2"]) & (F.col("y") >= q["y1"]) & (F.col("y") < q["y2"])
-    sums = rows.groupBy("image", "part", "person_id", "q").agg(
-        F.count_if(inside).alias("shared"), F.count(F.lit(1)).alias("size"), F.avg("x").alias("cx"), F.avg("y").alias("cy")
-    )
-    gap = F.sqrt(F.pow(F.col("cx") - (q["x1"] + q["x2"]) / 2, 2) + F.pow(F.col("cy") - (q["y1"] + q["y2"]) / 2, 2))
-    across = F.sqrt(F.pow(q["x2"] - q["x1"], 2) + F.pow(q["y2"] - q["y1"], 2))
-    distance = F.when(across > 0, gap / across).otherwise(F.lit(float("inf")))
-    score = geometry.match_score(F.col("shared"), F.col("size"), geometry.area(q), distance)
-    return sums.select("image", "part", "person_id", score.alias("score"))
-
-
 def with_model(images: DataFrame, model, schema: str) -> DataFrame:
     """Runs a detector over (image, content): ``model()`` is built once a worker and maps a list of contents to rows.
 

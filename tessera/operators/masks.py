@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -317,9 +318,19 @@ def rasterized(pixels: DataFrame, key: str, width: Column, height: Column) -> Da
 
 def pixels_of(rasters: DataFrame) -> DataFrame:
     """(mask_id, y, x, v) of a raster's pixels above 0; a null raster has none."""
-    spots = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("raster")), lambda i: F.conv(F.hex(F.substring("raster", i, F.lit(1))), 16, 10).cast("int")))
-    rows = rasters.where("raster IS NOT NULL").select("mask_id", "width", spots.alias("at", "v")).where("v > 0")
-    return rows.select("mask_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (width, raster) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if not raster.is_valid:
+                    continue
+                values = np.frombuffer(raster.as_buffer(), np.uint8)
+                at = np.flatnonzero(values)
+                owner = batch.column(0).take(pa.array(np.full(len(at), k)))
+                yield pa.RecordBatch.from_arrays([owner, *(pa.array(c.astype(np.int32)) for c in (at // width, at % width, values[at]))], ["mask_id", "y", "x", "v"])
+
+    kind = dict(rasters.dtypes)["mask_id"]
+    return rasters.select("mask_id", "width", "raster").mapInArrow(run, f"mask_id {kind}, y int, x int, v int")
 
 
 def inverted(rasters: DataFrame) -> DataFrame:
@@ -327,11 +338,14 @@ def inverted(rasters: DataFrame) -> DataFrame:
     return per_mask(rasters, lambda m: 255 - m)
 
 
-def merged_files(rasters: DataFrame, invert_: bool = False) -> DataFrame:
+def merged_files(rasters: DataFrame, invert_: bool = False, operation: str = "union") -> DataFrame:
     """(mask_id, width, height, raster): masks (image, place, width, height, raster) of an image joined, brought to the size of the first.
 
-    A group is one image's masks. ``invert_`` inverts the result.
+    Union or intersection of grey values, ``invert_`` inverts the result. Null rasters are passed over. A
+    group is one image's masks.
     """
+    if operation not in ("union", "intersection"):
+        raise ValueError(f"unknown operation {operation}")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["raster"].notna()].sort_values("place", kind="stable")
@@ -339,7 +353,7 @@ def merged_files(rasters: DataFrame, invert_: bool = False) -> DataFrame:
             return pd.DataFrame(columns=["mask_id", "width", "height", "raster"])
         w, h = int(rows["width"].iloc[0]), int(rows["height"].iloc[0])
         parts = [resize(to_array(r, int(a), int(b)), w, h, nearest=True) for r, a, b in zip(rows["raster"], rows["width"], rows["height"], strict=True)]
-        whole = np.maximum.reduce(parts)
+        whole = (np.maximum if operation == "union" else np.minimum).reduce(parts)
         whole = 255 - whole if invert_ else whole
         return pd.DataFrame({"mask_id": [rows["image"].iloc[0]], "width": [w], "height": [h], "raster": [whole.astype(np.uint8).tobytes()]})
 
@@ -347,6 +361,21 @@ def merged_files(rasters: DataFrame, invert_: bool = False) -> DataFrame:
     return rasters.groupBy("image").applyInPandas(run, f"mask_id {kind}, width int, height int, raster binary")
 
 
+def covered_share(rasters: DataFrame) -> DataFrame:
+    """(mask_id, mask_pixels, mask_ratio_percent) of rasters: pixels above 0 and their share, to four places; null for null rasters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.count_nonzero(np.frombuffer(r.as_buffer(), np.uint8)) if r.is_valid else None for r in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["mask_id", "size", "mask_pixels"])
+
+    kind = dict(rasters.dtypes)["mask_id"]
+    rows = rasters.select("mask_id", (F.col("width").cast("long") * F.col("height")).alias("size"), "raster")
+    found = rows.mapInArrow(run, f"mask_id {kind}, size bigint, mask_pixels bigint")
+    ratio = F.when(F.col("size") > 0, F.bround(F.col("mask_pixels") * 100 / F.col("size"), 4)).otherwise(F.lit(0.0))
+    return found.select("mask_id", "mask_pixels", F.when(F.col("mask_pixels").isNotNull(), ratio).alias("mask_ratio_percent"))
+
+
 def rendered(reports: DataFrame, rasters: DataFrame) -> DataFrame:
     """One mask an image: the masks (mask_id, width, height, raster) that a report's parts (image, part, mask_file) name, joined."""
     named = reports.select("image", F.col("part").alias("place"), F.col("mask_file").alias("mask_id"))
@@ -402,19 +431,6 @@ def regions(rasters: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
-def combine(drawn: DataFrame, existing: DataFrame, operation: str = "union") -> DataFrame:
-    """A mask from an annotation with an existing one, both (image, y, x, v).
-
-    ``json_only`` and ``mask_only`` take one side; any other word but ``intersection`` is a union.
-    """
-    if operation in ("json_only", "mask_only"):
-        return (drawn if operation == "json_only" else existing).select("image", "y", "x", "v")
-    both = drawn.select("image", "y", "x", "v", F.lit("drawn").alias("mask_id")).unionByName(
-        existing.select("image", "y", "x", "v", F.lit("existing").alias("mask_id"))
-    )
-    return merge(both, "image", 2, "intersection" if operation == "intersection" else "union")
-
-
 def resize(values: np.ndarray, width: int, height: int, nearest: bool = False) -> np.ndarray:
     """An array at another size, by pixel centres; bilinear unless ``nearest``."""
     h, w = values.shape

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import actions, boxes, masks, neighbors, scores
+from ..operators import actions, boxes, masks, neighbors, runs, scores
 from ..operators.written import Written
 from ..sources import files as sources
 from ..sources import jpeg, pictures, png
@@ -23,6 +23,14 @@ def _boxes(spark, d):
     return table(spark, d, "part").where("p_partkey % 4 = 0").select(F.floor(k / 20).alias("image"), k.alias("part"), *corners)
 
 
+def _every_box(spark, d):
+    """One box for every part, 20 an image."""
+    k = F.col("p_partkey")
+    x, y = F.pmod(k * 7, F.lit(17)).cast("int"), F.pmod(k * 5, F.lit(11)).cast("int")
+    corners = [x.alias("x1"), y.alias("y1"), (x + 2 + F.pmod(k, F.lit(6))).cast("int").alias("x2"), (y + 2 + F.pmod(k, F.lit(4))).cast("int").alias("y2")]
+    return table(spark, d, "part").select(F.floor(k / 20).alias("image"), k.alias("part"), *corners)
+
+
 PIXELS = """b AS (SELECT p_partkey // 20 AS image, p_partkey AS part, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
   (p_partkey * 5) % 11 + 2 + p_partkey % 4 AS y2 FROM part WHERE p_partkey % 4 = 0),
 p AS (SELECT DISTINCT image AS mask_id, y::INT AS y, x::INT AS x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)),
@@ -154,6 +162,17 @@ def merge_files(spark, d):
     return masks.pixels_of(masks.merged_files(rows, invert_=True))
 
 
+@query(
+    f"""WITH {MERGED.format('true')}, e AS (SELECT image, count(*) AS n FROM z ANTI JOIN u ON u.mask_id = z.image AND u.y = z.y AND u.x = z.x GROUP BY 1)
+SELECT t.image AS mask_id, coalesce(e.n, 0) AS mask_pixels, round_even(coalesce(e.n, 0) * 100 / ((16 // t.s) * (24 // t.s)), 4) AS mask_ratio_percent FROM t LEFT JOIN e USING (image)"""
+)
+def merge_common(spark, d):
+    """What all mask files of an image, here of all but a part, have in common, with its share."""
+    of = _boxes(spark, d).select("image", F.col("part").alias("mask_id"))
+    rows = masks.inverted(_part_rasters(spark, d)).join(of, "mask_id").select("image", F.col("mask_id").alias("place"), "width", "height", "raster")
+    return masks.covered_share(masks.merged_files(rows, operation="intersection"))
+
+
 @query(f"WITH {MERGED.format('part % 12 = 0')} SELECT mask_id, y, x, 255 AS v FROM u")
 def render_report(spark, d):
     """One mask an image from the parts of its report that were asked for."""
@@ -172,10 +191,9 @@ SELECT image, part, person_id, round(0.4::DOUBLE * i / (n + w - i) + 0.3::DOUBLE
 def mask_scores(spark, d):
     """How well the masks of parts fit the boxes of persons."""
     b = _boxes(spark, d)
-    pixels = masks.box_pixels(b.select(F.struct("image", "part").alias("mask_id"), "x1", "y1", "x2", "y2")).select("mask_id.image", "mask_id.part", "y", "x", "v")
     wide = geometry.box(F.col("x1") - 3, F.col("y1") - 2, F.col("x2") + 5, F.col("y2") + 1)
     people = b.where("part % 8 = 0").select("image", (F.col("part") % 5).alias("person_id"), wide.alias("bbox"))
-    return boxes.mask_matches(pixels, people).select("image", "part", "person_id", F.round("score", 6).alias("score"))
+    return runs.matches(runs.of_boxes(b, ["image", "part"]), people).select("image", "part", "person_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -195,15 +213,48 @@ SELECT mask_id AS image, y, x, 'intersection' AS operation FROM e UNION ALL SELE
 )
 def mask_combinations(spark, d):
     """A drawn mask with an existing one: what both have, what either has, the existing one."""
-    drawn = masks.box_pixels(_boxes(spark, d).select("image", "x1", "y1", "x2", "y2"), "image")
-    existing = drawn.where("(x + y) % 3 > 0")
+    drawn = runs.of_boxes(_boxes(spark, d), ["image"])
+    existing = runs.pixels(drawn, ["image"]).where("(x + y) % 3 > 0").select("image", "y", F.col("x").alias("x1"), (F.col("x") + 1).alias("x2"))
     out = None
     for operation in ("intersection", "union", "mask_only"):
-        one = masks.combine(drawn, existing, operation).select("image", "y", "x", F.lit(operation).alias("operation"))
+        found = runs.pixels(runs.combine(drawn, existing, operation), ["image"])
+        one = found.select("image", "y", "x", F.lit(operation).alias("operation"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+PROMPTS = """b AS (SELECT p_partkey // 20 AS image, p_partkey AS part, p_partkey % 3 = 0 AS negative, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
+  (p_partkey * 5) % 11 + 2 + p_partkey % 4 AS y2 FROM part),
+p AS (SELECT DISTINCT image, negative, y::INT AS y, x::INT AS x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x))"""
+
+
+@query(
+    f"""WITH {PROMPTS}, n AS (SELECT image, y, x FROM p WHERE negative), a AS (SELECT image, y, x FROM p WHERE NOT negative)
+SELECT 'both' AS mode, image, y, x FROM a ANTI JOIN n USING (image, y, x) UNION ALL SELECT 'positive', image, y, x FROM a UNION ALL SELECT 'negative', image, y, x FROM n"""
+)
+def run_prompts(spark, d):
+    """Masks of positive prompts without the negative ones, and of either side, as runs."""
+    b = _every_box(spark, d)
+    sides = [runs.of_boxes(b.where(w), ["image"]) for w in ("part % 3 > 0", "part % 3 = 0")]
+    out = None
+    for mode in ("both", "positive", "negative"):
+        one = runs.pixels(runs.prompted(*sides, mode), ["image"]).select(F.lit(mode).alias("mode"), "image", "y", "x")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""WITH {PROMPTS}, g AS (SELECT image, i.y::INT AS y, j.x::INT AS x FROM (SELECT DISTINCT image FROM p) k, LATERAL (SELECT unnest(range(0, 16)) AS y) i, LATERAL (SELECT unnest(range(0, 24)) AS x) j)
+SELECT image, count(*) AS pixels FROM (SELECT image, y, x FROM g ANTI JOIN p USING (image, y, x)) GROUP BY 1"""
+)
+def run_inverted(spark, d):
+    """Pixels of each image that its masks leave free, from rasters by way of runs."""
+    b = _every_box(spark, d)
+    found = runs.of_rasters(runs.rasterized(runs.of_boxes(b, ["image"]), "image", F.lit(W), F.lit(H))).withColumnRenamed("mask_id", "image")
+    sizes = b.select("image").distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"))
+    return runs.areas(runs.inverted(found, sizes, ["image"]), ["image"])
+
+
 @query(
     """WITH v AS (SELECT p_partkey, list_transform(range(0, 72), lambda i: (p_partkey * (i + 3) * 7 + i * i) % 256) AS v FROM part),
 b AS (SELECT p_partkey, list_transform(list_filter(range(0, 72), lambda i: i % 9 <> 8), lambda i: CASE WHEN v[i + 1] > v[i + 2] THEN 1 ELSE 0 END) AS b FROM v),

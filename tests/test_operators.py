@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry
-from tessera.operators import actions, boxes, masks, neighbors, pairing, quality, scores, skeleton, tags
+from tessera.operators import actions, boxes, masks, neighbors, pairing, quality, runs, scores, skeleton, tags
 
 
 def rows(df):
@@ -244,9 +244,9 @@ def test_plans(spark):
 
 
 def test_combining_resizing_and_painting(spark):
-    kind = "image string, y int, x int, v int"
-    a, b_ = spark.createDataFrame([("i", 0, 0, 255), ("i", 0, 1, 255)], kind), spark.createDataFrame([("i", 0, 1, 255), ("i", 2, 2, 255)], kind)
-    count = lambda op: masks.combine(a, b_, op).count()
+    kind = "image string, y int, x1 int, x2 int"
+    a, b_ = spark.createDataFrame([("i", 0, 0, 2)], kind), spark.createDataFrame([("i", 0, 1, 2), ("i", 2, 2, 3)], kind)
+    count = lambda op: runs.pixels(runs.combine(a, b_, op), ["image"]).count()
     assert [count(op) for op in ("union", "intersection", "json_only", "mask_only", "whatever")] == [3, 1, 2, 2, 3]
     small = np.array([[0, 255], [255, 0]], np.uint8)
     assert np.array_equal(masks.resize(small, 4, 4, nearest=True), np.kron(small, np.ones((2, 2), np.uint8)))
