@@ -45,8 +45,8 @@ def draw(part: str, points: dict[int, tuple[int, int, float]], width: int, heigh
     return mask, pieces
 
 
-def skeleton_masks(keypoints: DataFrame, part: str, sure: float = 0.3) -> DataFrame:
-    """(image, width, height, raster, pieces) of a part over all persons of each image.
+def skeleton_masks(keypoints: DataFrame, part: str, sure: float = 0.3, soft: bool = True) -> DataFrame:
+    """(image, width, height, raster, pieces) of a part over all persons of each image, its edges smoothed if ``soft``.
 
     ``keypoints``: (image, width, height, person, idx, x, y, conf); an image's keypoints are a
     few hundred rows at most, which bounds a group.
@@ -59,7 +59,7 @@ def skeleton_masks(keypoints: DataFrame, part: str, sure: float = 0.3) -> DataFr
             points = {int(i): (int(x), int(y), float(c)) for i, x, y, c in zip(own["idx"], own["x"], own["y"], own["conf"], strict=True)}
             one, n = draw(part, points, width, height, sure)
             mask, pieces = np.maximum(mask, one), pieces + n
-        if pieces:
+        if pieces and soft:
             thick = max(LEAST_THICKNESS, int(THICKNESS * max(width, height) / 1000))
             mask = smooth(mask, max(3, thick // 2) | 1)
         return pd.DataFrame({"image": rows["image"].iloc[:1], "width": [width], "height": [height], "raster": [mask.tobytes()], "pieces": [pieces]})

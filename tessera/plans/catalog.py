@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import captions, geometry, text
 from ..operators import boxes, masks, neighbors, pairing, quality, scores, tags
 from ..sources.tables import table
-from . import files, rasters, texts  # noqa: F401  (they register their queries)
+from . import files, models, rasters, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES, literals_sql, query  # noqa: F401
 
 #: Terms that occur in the given tables, in place of vocabularies that do not.
