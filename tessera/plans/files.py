@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, pairing
+from ..operators import actions, exports, pairing, settings
 from ..operators.written import Written
 from ..sources import files as sources
-from ..sources import options, png
+from ..sources import options, pictures, png
 from ..sources.tables import table
 from .registry import query
 
@@ -142,11 +142,90 @@ def files_reports(spark, d):
     return sources.mask_reports(spark, _folder(spark, made)).select("image", "width", "height", "part", "count", "has_detection", "mask_pixels")
 
 
-@query("""SELECT * FROM (VALUES ('model.name', 'tagger'), ('model.threshold', '0.35'), ('parts.0', 'face'), ('parts.1', 'hand: left'), ('empty', NULL), ('note', 'a # b')) t(name, value)""")
+def _options(spark, d, line):
+    """An options file of one line a nation."""
+    n = table(spark, d, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("all"))
+    return n.select(F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
+
+
+@query(
+    """SELECT 'parts.n' || n_nationkey || '.name' AS name, n_name AS value FROM nation UNION ALL SELECT 'parts.n' || n_nationkey || '.note', CASE WHEN n_nationkey % 3 > 0 THEN n_name || ': # ' || n_regionkey END FROM nation
+UNION ALL SELECT 'parts.n' || n_nationkey || '.list.' || i, (n_nationkey + i)::VARCHAR FROM nation, LATERAL (SELECT unnest(range(0, 1 + n_regionkey)) AS i)"""
+)
 def files_options(spark, d):
-    body = "# settings\nmodel:\n  name: tagger # the first\n  threshold: 0.35\nparts:\n- face\n- 'hand: left'\nempty:\nnote: 'a # b'\n".replace("'a # b'", '"a # b"')
-    made = spark.createDataFrame([(body,)], "body string")
-    return options.options(spark, _text_file(spark, "options.yaml", made))
+    """Nested options with comments, quotes, lists and names without a value."""
+    k = F.col("n_nationkey")
+    items = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_regionkey").cast("int")), lambda i: F.concat(F.lit("\n  - "), (k + i).cast("string"))), "")
+    note = F.when(k % 3 > 0, F.concat(F.lit('"'), "n_name", F.lit(": # "), "n_regionkey", F.lit('" # said'))).otherwise("")
+    line = F.concat(F.lit(" n"), k, F.lit(":\n  name: "), "n_name", F.lit(" # the name\n  note: "), note, F.lit("\n  list:"), items)
+    return options.options(spark, _text_file(spark, "options.yaml", _options(spark, d, line).select(F.concat(F.lit("# settings\nparts:\n"), "body"))))
+
+
+@query(
+    """WITH f AS (SELECT n_name AS part, 'kind' || n_regionkey AS type, n_nationkey % 2 = 0 AS enabled, (n_nationkey + 1) / 100::DOUBLE AS conf, CASE WHEN n_nationkey % 4 = 1 THEN true WHEN n_nationkey % 4 = 2 THEN false END AS fe,
+  CASE WHEN n_nationkey % 5 = 0 THEN 0.5::DOUBLE END AS fc FROM nation),
+q AS (SELECT c_custkey AS request, c_custkey % 3 AS m, c_nationkey AS a, (c_custkey % 25) AS b FROM customer),
+r AS (SELECT q.*, (SELECT n_name FROM nation WHERE n_nationkey = q.a) AS one, (SELECT n_name FROM nation WHERE n_nationkey = q.b) AS two FROM q)
+SELECT request, part, type, CASE WHEN m > 0 THEN part = one OR part = two ELSE coalesce(fe, enabled) END AS enabled, CASE WHEN m < 2 AND part = two THEN 0.9::DOUBLE ELSE coalesce(fc, conf) END AS conf,
+  CASE WHEN m > 0 THEN 'request' WHEN fe IS NOT NULL THEN 'file' ELSE 'default' END AS enabled_by, CASE WHEN m < 2 AND part = two THEN 'request' WHEN fc IS NOT NULL THEN 'file' ELSE 'default' END AS conf_by
+FROM r, f"""
+)
+def part_settings(spark, d):
+    """Every part as every customer's request, an options file and the registry say."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    registry = n.select(F.col("n_name").alias("part"), F.concat(F.lit("kind"), "n_regionkey").alias("type"), (k % 2 == 0).alias("enabled"), ((k + 1) / 100).alias("conf"))
+    switch = F.when(k % 4 == 1, "yes").when(k % 4 == 2, "no").otherwise("")
+    lines = lambda name, value: F.concat(F.lit(" "), F.lit('"'), "n_name", F.lit('": '), value)
+    body = _options(spark, d, lines("s", switch)).select(F.concat(F.lit("enabled_parts:\n"), "body").alias("a"))
+    sure = _options(spark, d, lines("c", F.when(k % 5 == 0, "0.5").when(k % 5 == 1, "high").otherwise("~"))).select(F.concat(F.lit("\nconfidence:\n"), "body").alias("b"))
+    said = options.options(spark, _text_file(spark, "parts.yaml", body.crossJoin(sure).select(F.concat("a", "b"))))  # one row each
+    c = table(spark, d, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("one")), "c_nationkey")
+    c = c.join(n.select(F.col("n_nationkey").alias("_b"), F.col("n_name").alias("two")), F.col("c_custkey") % 25 == F.col("_b"))
+    asked = c.select(
+        F.col("c_custkey").alias("request"),
+        F.when(F.col("c_custkey") % 3 > 0, F.array("one", F.concat(F.lit("old "), "two"), F.lit("unknown"))).alias("parts"),
+        F.when(F.col("c_custkey") % 3 < 2, F.create_map("two", F.lit(0.9))).alias("confidence"),
+    )
+    names = [r["n_name"] for r in n.select("n_name").collect()]  # 25, a fixed table
+    return settings.part_settings(asked, said, registry, {f"old {name}": name for name in names})
+
+
+def _captioned(spark, d):
+    """A folder of a caption and a picture a supplier, some without a picture: both sides, tags, a sentence, nothing."""
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier")
+    text = F.when(k % 4 == 0, F.concat(F.lit("tag "), k, F.lit(", long hair, A cat is sitting here on the mat."))).when(k % 4 == 1, F.concat(F.lit("tag "), k, F.lit(", long hair"))).when(k % 4 == 2, "caption: A cat is sitting here on the mat.").otherwise("")
+    texts = s.select(F.concat(k.cast("string"), F.lit(".txt")).alias("file"), F.encode(text, "UTF-8").alias("content"))
+    blank = s.where("s_suppkey % 5 > 0").select(k.alias("mask_id"), F.lit(3).alias("width"), F.lit(2).alias("height"), F.unhex(F.repeat(F.lpad(F.hex(k % 256), 2, "0"), 6)).alias("raster"))
+    pictures = png.written_masks(blank).select(F.concat(F.col("mask_id").cast("string"), F.lit(".png")).alias("file"), "content")
+    return _folder(spark, texts.unionByName(pictures))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m, s_suppkey % 5 > 0 AS seen FROM supplier), t AS (SELECT k, 'tag ' || k || ', long hair' AS tags FROM s),
+e AS (SELECT 'tag' AS target, k, seen, tags AS body FROM s JOIN t USING (k) WHERE m < 2 UNION ALL SELECT 'caption', k, seen, 'A cat is sitting here on the mat.' FROM s WHERE m IN (0, 2))
+SELECT target, k || '.txt' AS file, body, 'kept' AS again FROM e UNION ALL SELECT target, k || '.png', (k % 256)::VARCHAR, 'kept' FROM e WHERE seen
+UNION ALL SELECT 'source', k || '.txt', CASE m WHEN 0 THEN tags WHEN 1 THEN tags WHEN 2 THEN 'caption: A cat is sitting here on the mat.' ELSE '' END, CASE WHEN m = 0 THEN 'kept' END FROM s JOIN t USING (k)"""
+)
+def split_folders(spark, d):
+    """A folder split into two, its captions rewritten to their tags, and all done once more; files as they are then."""
+    source = _captioned(spark, d)
+    folders = {"tag": f"{source}-tag", "caption": f"{source}-caption"}
+    written = Written(spark, "split")
+    plan = written.save(exports.split_plan(spark, source), "plan")
+    exports.carry_out(spark, plan, folders, f"{written.root}/first")
+    again = exports.carry_out(spark, plan, folders, f"{written.root}/again").select("target", "file", F.col("state").alias("again"))
+    review = written.save(exports.rewrites(spark, source), "review")
+    written.save(exports.rewrite(review, source), "rewritten")
+    twice = written.save(exports.rewrite(review, source), "rewritten-again").select(F.lit("source").alias("target"), "file", F.col("state").alias("again"))
+    out = None
+    for target, folder in {**folders, "source": source}.items():
+        texts = sources.captions(spark, folder).select(F.lit(target).alias("target"), "file", F.col("text").alias("body"))
+        out = texts if out is None else out.unionByName(texts)
+        if target != "source":
+            seen = pictures.pictures(spark, folder).select(F.lit(target).alias("target"), "file", F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).alias("body"))
+            out = out.unionByName(seen)
+    return out.join(again.unionByName(twice), ["target", "file"], "left")
 
 
 def _named(spark, d):
