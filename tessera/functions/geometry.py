@@ -34,11 +34,14 @@ def clamp(b: Column, width: Column, height: Column) -> Column:
     return box(x1, y1, F.greatest(x1 + 1, F.least(b["x2"], width)), F.greatest(y1 + 1, F.least(b["y2"], height)))
 
 
-def shrink(b: Column, ratio: float) -> Column:
-    """Towards the centre, rounded half to even, at least one pixel; ratios from 1 change nothing."""
-    if ratio >= 1:
-        return b
+def shrink(b: Column, ratio: float | Column) -> Column:
+    """Towards the centre, rounded half to even, at least one pixel; ratios from 1 change nothing, nor does a null one."""
+    if isinstance(ratio, Column):
+        return F.when(ratio < 1, _shrunk(b, ratio)).otherwise(b)
+    return b if ratio >= 1 else _shrunk(b, F.lit(float(ratio)))
 
+
+def _shrunk(b: Column, ratio: Column) -> Column:
     def ends(low: Column, high: Column) -> tuple[Column, Column]:
         middle, half = (low + high) / 2, (high - low) * ratio / 2
         a, z = (F.bround(middle + s * half).cast("int") for s in (-1, 1))

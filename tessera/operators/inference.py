@@ -56,17 +56,17 @@ def _asked(model: Callable | None, *of) -> list[np.ndarray] | None:
         return None
 
 
-def refined(images: DataFrame, prompts: DataFrame, build: Callable[[str], Callable], name: str = "refiner", shrink: float | None = None, fallback: bool = True) -> DataFrame:
+def refined(images: DataFrame, prompts: DataFrame, build: Callable[[str], Callable], name: str = "refiner", shrink: float | Column | None = None, fallback: bool = True) -> DataFrame:
     """(mask_id, width, height, raster, source): one mask an image from its prompts (image, box, point, positive).
 
     ``box`` (x1, y1, x2, y2) or ``point`` (x, y) is null; points without ``positive`` are. The model is asked
     model(pixels, boxes, [], []) and model(pixels, [], points, labels) and answers with masks of any size;
     all are joined. Where boxes got no pixel or the model failed, the boxes themselves stand, shrunk
-    towards their centres by ``shrink``, unless ``fallback`` is off. ``source`` says model, boxes or
+    towards their centres by ``shrink`` (a number or a column of ``prompts``), unless ``fallback`` is off. ``source`` says model, boxes or
     none. Empty boxes ask for nothing; images without prompts and prompts without an image have no row.
     """
     box, point = F.col("box"), F.col("point")
-    small = geometry.shrink(box, shrink) if shrink else box
+    small = box if shrink is None else geometry.shrink(box, shrink)
     edges = [b[c].cast("int").alias(f"{n}_{c}") for b, n in ((box, "b"), (small, "s")) for c in ("x1", "y1", "x2", "y2")]
     spots = [point["x"].cast("double").alias("x"), point["y"].cast("double").alias("y"), F.coalesce("positive", F.lit(True)).cast("int").alias("label")]
     asked = prompts.select("image", *edges, *spots)

@@ -453,12 +453,37 @@ def from_probabilities(values: np.ndarray, width: int, height: int) -> np.ndarra
     return np.where(resize(values, width, height) > 0.5, 255, 0).astype(np.uint8)
 
 
-def postprocess(mask: np.ndarray, close: int = 0, open_: int = 0, grow: int = 0, blur: int = 0, min_share: float = 0.0, max_share: float | None = None, min_side: int = 0, max_aspect: float | None = None) -> np.ndarray:
+#: What a part's chain takes, by name; a part without a row, or a null, has none of it.
+STEPS = {"close": "int", "open": "int", "grow": "int", "blur": "int", "min_share": "double", "max_share": "double", "min_side": "int", "max_aspect": "double"}
+
+
+def postprocess(mask: np.ndarray, close: int = 0, open: int = 0, grow: int = 0, blur: int = 0, min_share: float = 0.0, max_share: float | None = None, min_side: int = 0, max_aspect: float | None = None) -> np.ndarray:  # noqa: A002
     """A part's chain: regions by shares of the image, closing and opening, growth, smoothing."""
     size = mask.size
     most = None if max_share is None else max_share * size
     mask = keep_regions(mask, min_share * size, most, min_side, min_side, max_aspect)
-    return smooth(dilate(close_open(mask, close, open_), grow), blur)
+    return smooth(dilate(close_open(mask, close, open), grow), blur)
+
+
+def chained(rasters: DataFrame, table: DataFrame) -> DataFrame:
+    """(mask_id, part, width, height, raster): each mask of ``rasters`` through the chain that ``table`` (part and STEPS) names for its part.
+
+    The table has a row a part, some tens, and travels to all tasks. Parts that it does not name stay as they are; null
+    rasters stay null.
+    """
+    named = [F.col(c).cast(t).alias(c) for c, t in STEPS.items()]
+    rows = rasters.select("mask_id", "part", "width", "height", "raster").join(F.broadcast(table.select("part", F.struct(*named).alias("steps"))), "part", "left")
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for w, h, raster, steps in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4, 5)], strict=True):
+                of = {k: v for k, v in (steps or {}).items() if v is not None}
+                made.append(raster if raster is None or not of else postprocess(to_array(raster, w, h).copy(), **of).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], ["mask_id", "part", "width", "height", "raster"])
+
+    return rows.select("mask_id", "part", "width", "height", "raster", "steps").mapInArrow(run, f"mask_id {kinds['mask_id']}, part {kinds['part']}, width int, height int, raster binary")
 
 
 def paint(image: np.ndarray, mask: np.ndarray, colour: Sequence[int] = (0, 0, 0)) -> np.ndarray:
@@ -466,3 +491,25 @@ def paint(image: np.ndarray, mask: np.ndarray, colour: Sequence[int] = (0, 0, 0)
     out = image.copy()
     out[mask > COVERED] = colour
     return out
+
+
+def painted(images: DataFrame, rasters: DataFrame, colour: Sequence[int] = (0, 0, 0)) -> DataFrame:
+    """``images`` (image, width, height, raster of three bytes a pixel) with what their masks (mask_id = image) cover in one colour.
+
+    A mask of another size is brought to the image's by its nearest pixels. Images without a mask stay as they are.
+    """
+    own = rasters.where("raster IS NOT NULL").select(F.col("mask_id").alias("image"), F.struct("width", "height", "raster").alias("m"))
+    rows = images.select("image", "width", "height", "raster").join(own, "image", "left")
+    kind = dict(images.dtypes)["image"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for w, h, raster, m in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4)], strict=True):
+                if raster is not None and m is not None:
+                    mask = resize(to_array(m["raster"], m["width"], m["height"]), w, h, nearest=True)
+                    raster = paint(np.frombuffer(raster, np.uint8).reshape(h, w, 3), mask, colour).tobytes()
+                made.append(raster)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["image", "width", "height", "raster"])
+
+    return rows.mapInArrow(run, f"image {kind}, width int, height int, raster binary")

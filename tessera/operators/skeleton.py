@@ -12,9 +12,10 @@ from .masks import draw_line, fill_polygon, smooth
 
 #: Places of keypoints, and the parts drawn from them.
 KEYPOINTS = (
-    "nose left_eye right_eye left_ear right_ear left_shoulder right_shoulder left_elbow right_elbow left_wrist right_wrist "
-    "left_hip right_hip left_knee right_knee left_ankle right_ankle"
-).split()
+    "nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow",
+    "right_elbow", "left_wrist", "right_wrist", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle",
+    "right_ankle",
+)
 AT = {name: k for k, name in enumerate(KEYPOINTS)}
 LIMBS = {
     "arms": (("left_shoulder", "left_elbow"), ("left_elbow", "left_wrist"), ("right_shoulder", "right_elbow"), ("right_elbow", "right_wrist")),

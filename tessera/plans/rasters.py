@@ -94,6 +94,60 @@ def mask_kept_regions(spark, d):
     return masks.pixels_of(masks.per_mask(_rasters(spark, d), lambda m: masks.keep_regions(m, 8, 60, 2, 3, 3)))
 
 
+CROSS = "(SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) t(dy, dx))"
+
+
+def _grown(name, kind):
+    """SQL for the pixels of ``name`` grown by a cross, in masks of some kinds."""
+    return f"SELECT DISTINCT g.mask_id, g.y, g.x FROM g JOIN {CROSS} s ON g.mask_id % 4 IN ({kind}) JOIN {name} q ON q.mask_id = g.mask_id AND q.y = g.y + dy AND q.x = g.x + dx"
+
+
+def _worn(name, kind):
+    """SQL for the pixels of ``name`` whose cross is covered or beyond the edge."""
+    return f"""SELECT a.mask_id, a.y, a.x FROM {name} a JOIN {CROSS} s ON a.mask_id % 4 IN ({kind}) LEFT JOIN {name} q ON q.mask_id = a.mask_id AND q.y = a.y + dy AND q.x = a.x + dx
+  GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE q.y IS NOT NULL OR a.y + dy NOT BETWEEN 0 AND 15 OR a.x + dx NOT BETWEEN 0 AND 23) = 5"""
+
+
+@query(
+    f"""{REGIONS}, d AS ({_grown("p", "0, 2")}), c AS ({_worn("d", "0")}), e AS ({_worn("p", "1")}), o AS ({_grown("e", "1")}),
+f AS (SELECT mask_id, n.y AS y, n.x AS x FROM k JOIN l USING (mask_id, label) JOIN n USING (mask_id, id) WHERE mask_id % 4 = 3 AND area >= 0.02 * 384 AND area <= 0.15 * 384 AND x2 - x1 >= 3 AND y2 - y1 >= 3
+  AND greatest(x2 - x1, y2 - y1) <= 2 * least(x2 - x1, y2 - y1))
+SELECT mask_id, y, x, 255 AS v FROM c UNION ALL SELECT mask_id, y, x, 255 FROM o UNION ALL SELECT mask_id, y, x, 255 FROM d WHERE mask_id % 4 = 2 UNION ALL SELECT mask_id, y, x, 255 FROM f"""
+)
+def part_chains(spark, d):
+    """Masks of four kinds of parts, each through its own chain: closed, opened, grown, or without regions of a wrong size and shape."""
+    n = F.col("n_nationkey")
+    at = lambda k, v: F.when(n == k, v)
+    steps = table(spark, d, "nation").where("n_nationkey < 4").select(
+        n.cast("long").alias("part"), at(0, 3).alias("close"), at(1, 3).alias("open"), at(2, 3).alias("grow"), F.lit(None).alias("blur"),
+        at(3, 0.02).alias("min_share"), at(3, 0.15).alias("max_share"), at(3, 3).alias("min_side"), at(3, 2.0).alias("max_aspect"),
+    )
+    return masks.pixels_of(masks.chained(_rasters(spark, d).withColumn("part", F.col("mask_id") % 4), steps))
+
+
+@query(
+    f"""WITH {PIXELS}, f AS (SELECT DISTINCT p_partkey // 20 AS image FROM part),
+a AS (SELECT image, y::INT AS y, x::INT AS x FROM f, LATERAL (SELECT unnest(range(0, 16)) AS y) j, LATERAL (SELECT unnest(range(0, 24)) AS x) k),
+m AS (SELECT a.*, p.y IS NOT NULL AS covered FROM a LEFT JOIN p ON p.mask_id = a.image AND p.mask_id % 3 < 2 AND p.y = a.y AND p.x = a.x)
+SELECT image, y, x, CASE WHEN covered THEN 1 ELSE ((y * 24 + x) * 3 * 5 + image) % 256 END AS r, CASE WHEN covered THEN 2 ELSE (((y * 24 + x) * 3 + 1) * 5 + image) % 256 END AS g,
+  CASE WHEN covered THEN 3 ELSE (((y * 24 + x) * 3 + 2) * 5 + image) % 256 END AS b FROM m"""
+)
+def painted_pictures(spark, d):
+    """Colour pictures with what their masks cover painted over, by way of PNG files; one in three has no mask."""
+    k = F.col("image")
+    byte = lambda i: F.lpad(F.hex((i * 5 + k) % 256), 2, "0")
+    raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(W * H * 3 - 1)), byte), ""))
+    images = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("image")).distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), raster.alias("raster"))
+    found = masks.painted(images, _rasters(spark, d).where("mask_id % 3 < 2"), (1, 2, 3))
+    files = png.written_masks(found.withColumnRenamed("image", "mask_id")).select(F.concat(F.col("mask_id").cast("string"), F.lit(".png")).alias("file"), "content")
+    folder = Written(spark, "painted").root
+    actions.export_files(files, folder)
+    seen = pictures.rasters(pictures.pictures(spark, folder)).withColumn("image", F.regexp_extract("image", "[0-9]+", 0).cast("long"))
+    spots = seen.select("image", "raster", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("at"))
+    value = lambda c: F.conv(F.hex(F.substring(F.col("raster"), F.col("at") * 3 + c, F.lit(1))), 16, 10).cast("int")
+    return spots.select("image", F.floor(F.col("at") / W).cast("int").alias("y"), (F.col("at") % W).cast("int").alias("x"), value(1).alias("r"), value(2).alias("g"), value(3).alias("b"))
+
+
 @query(f"WITH {PIXELS} SELECT mask_id, y, x, 255 AS v FROM g WHERE (y * 24 + x) * 7 % 256 > 127")
 def mask_from_probabilities(spark, d):
     """Masks of where a segmentation of the image's size exceeds a half."""

@@ -137,12 +137,15 @@ def read_masks(files: DataFrame) -> DataFrame:
 
 
 def written_masks(rasters: DataFrame) -> DataFrame:
-    """(mask_id, content) of rasters (mask_id, width, height, raster) as grey PNG files; null rasters stay null."""
+    """(mask_id, content) of rasters (mask_id, width, height, raster) as PNG files: grey, or RGB(A) of three or four bytes a pixel; null rasters stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, width, height, raster = [c.to_pylist() for c in batch.columns]
-            made = [encode(np.frombuffer(r, np.uint8).reshape(h, w)) if r is not None else None for w, h, r in zip(width, height, raster, strict=True)]
+            made = []
+            for w, h, r in zip(width, height, raster, strict=True):
+                shape = (h, w) if r is None or len(r) == w * h else (h, w, len(r) // (w * h))
+                made.append(None if r is None else encode(np.frombuffer(r, np.uint8).reshape(shape)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["mask_id", "content"])
 
     kind = dict(rasters.dtypes)["mask_id"]

@@ -128,3 +128,29 @@ def test_suppression_across_batches(spark):
     # Equal boxes with equal scores may stand for each other.
     same = {r[-1]: r[:7] for r in rows}
     assert sorted(same[r.k] for r in got) == sorted(same[k] for k in want)
+
+
+def test_chains_by_part(spark):
+    rng = np.random.default_rng(7)
+    made = {f"m{k}": np.where(rng.random((20, 30)) < 0.6, 255, 0).astype(np.uint8) for k in range(4)}
+    rows = [(k, f"p{i % 3}", 30, 20, bytearray(v.tobytes())) for i, (k, v) in enumerate(made.items())] + [("none", "p0", None, None, None)]
+    rasters = spark.createDataFrame(rows, "mask_id string, part string, width int, height int, raster binary")
+    steps = spark.createDataFrame([("p0", 3, None, 2, 3, 0.01, None, None, 4.0), ("p1", None, None, None, None, None, None, None, None)], "part string, close int, open int, grow int, blur int, min_share double, max_share double, min_side int, max_aspect double")
+    got = {r.mask_id: r.raster for r in masks.chained(rasters, steps).collect()}
+    assert got["none"] is None and got["m1"] == made["m1"].tobytes() and got["m2"] == made["m2"].tobytes()
+    for k in ("m0", "m3"):
+        assert got[k] == masks.postprocess(made[k], close=3, grow=2, blur=3, min_share=0.01, max_aspect=4.0).tobytes()
+
+
+def test_painted_pictures(spark):
+    rng = np.random.default_rng(8)
+    view = rng.integers(0, 256, (4, 6, 3)).astype(np.uint8)
+    images = spark.createDataFrame([(k, 6, 4, bytearray(view.tobytes())) for k in "abc"] + [("n", None, None, None)], "image string, width int, height int, raster binary")
+    small = bytearray([255, 0, 127, 128, 0, 0])
+    rasters = spark.createDataFrame([("a", 3, 2, small), ("b", None, None, None), ("n", 3, 2, small)], "mask_id string, width int, height int, raster binary")
+    got = {r.image: r.raster for r in masks.painted(images, rasters, (9, 8, 7)).collect()}
+    want = view.copy()
+    want[:2, :2], want[2:, :2] = (9, 8, 7), (9, 8, 7)
+    assert got["a"] == want.tobytes() and got["b"] == got["c"] == view.tobytes() and got["n"] is None
+    files = png.written_masks(spark.createDataFrame([("x", 6, 4, bytearray(view.tobytes())), ("y", 1, 2, bytearray(range(8)))], "mask_id string, width int, height int, raster binary")).collect()
+    assert np.array_equal(png.decode(files[0].content), view) and png.decode(files[1].content).shape == (2, 1, 4)
