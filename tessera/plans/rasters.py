@@ -16,23 +16,15 @@ W, H = 24, 16
 
 
 def _boxes(spark, d):
-    """One box a part, 20 parts an image."""
+    """One box a part, five parts an image."""
     k = F.col("p_partkey")
     x, y = F.pmod(k * 7, F.lit(17)).cast("int"), F.pmod(k * 5, F.lit(11)).cast("int")
     corners = [x.alias("x1"), y.alias("y1"), (x + 2 + F.pmod(k, F.lit(6))).cast("int").alias("x2"), (y + 2 + F.pmod(k, F.lit(4))).cast("int").alias("y2")]
-    return table(spark, d, "part").where("p_partkey % 4 = 0").select(F.floor(k / 20).alias("image"), k.alias("part"), *corners)
+    return table(spark, d, "part").select(F.floor(k / 5).alias("image"), k.alias("part"), *corners)
 
 
-def _every_box(spark, d):
-    """One box for every part, 20 an image."""
-    k = F.col("p_partkey")
-    x, y = F.pmod(k * 7, F.lit(17)).cast("int"), F.pmod(k * 5, F.lit(11)).cast("int")
-    corners = [x.alias("x1"), y.alias("y1"), (x + 2 + F.pmod(k, F.lit(6))).cast("int").alias("x2"), (y + 2 + F.pmod(k, F.lit(4))).cast("int").alias("y2")]
-    return table(spark, d, "part").select(F.floor(k / 20).alias("image"), k.alias("part"), *corners)
-
-
-PIXELS = """b AS (SELECT p_partkey // 20 AS image, p_partkey AS part, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
-  (p_partkey * 5) % 11 + 2 + p_partkey % 4 AS y2 FROM part WHERE p_partkey % 4 = 0),
+PIXELS = """b AS (SELECT p_partkey // 5 AS image, p_partkey AS part, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
+  (p_partkey * 5) % 11 + 2 + p_partkey % 4 AS y2 FROM part),
 p AS (SELECT DISTINCT image AS mask_id, y::INT AS y, x::INT AS x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)),
 i AS (SELECT DISTINCT mask_id FROM p),
 g AS (SELECT mask_id, y::INT AS y, x::INT AS x FROM i, LATERAL (SELECT unnest(range(0, 16)) AS y), LATERAL (SELECT unnest(range(0, 24)) AS x))"""
@@ -126,7 +118,7 @@ def part_chains(spark, d):
 
 
 @query(
-    f"""WITH {PIXELS}, f AS (SELECT DISTINCT p_partkey // 20 AS image FROM part),
+    f"""WITH {PIXELS}, f AS (SELECT DISTINCT p_partkey // 5 AS image FROM part),
 a AS (SELECT image, y::INT AS y, x::INT AS x FROM f, LATERAL (SELECT unnest(range(0, 16)) AS y) j, LATERAL (SELECT unnest(range(0, 24)) AS x) k),
 m AS (SELECT a.*, p.y IS NOT NULL AS covered FROM a LEFT JOIN p ON p.mask_id = a.image AND p.mask_id % 3 < 2 AND p.y = a.y AND p.x = a.x)
 SELECT image, y, x, CASE WHEN covered THEN 1 ELSE ((y * 24 + x) * 3 * 5 + image) % 256 END AS r, CASE WHEN covered THEN 2 ELSE (((y * 24 + x) * 3 + 1) * 5 + image) % 256 END AS g,
@@ -137,7 +129,7 @@ def painted_pictures(spark, d):
     k = F.col("image")
     byte = lambda i: F.lpad(F.hex((i * 5 + k) % 256), 2, "0")
     raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(W * H * 3 - 1)), byte), ""))
-    images = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("image")).distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), raster.alias("raster"))
+    images = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 5).alias("image")).distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), raster.alias("raster"))
     found = masks.painted(images, _rasters(spark, d).where("mask_id % 3 < 2"), (1, 2, 3))
     files = png.written_masks(found.withColumnRenamed("image", "mask_id")).select(F.concat(F.col("mask_id").cast("string"), F.lit(".png")).alias("file"), "content")
     folder = Written(spark, "painted").root
@@ -158,15 +150,15 @@ def mask_from_probabilities(spark, d):
 
 
 #: Boxes far enough apart to be regions of their own, large enough to have an outline.
-APART = """b AS (SELECT p_partkey AS image, (p_partkey * 7) % 5 + k * 40 AS x1, (p_partkey * 5) % 9 AS y1, (p_partkey * 7) % 5 + k * 40 + 10 + p_partkey % 20 AS x2, (p_partkey * 5) % 9 + 9 + p_size % 20 AS y2
-  FROM part, LATERAL (SELECT unnest([0, 1]) AS k) WHERE p_partkey % 10 = 0)"""
+APART = """b AS (SELECT s_suppkey AS image, (s_suppkey * 7) % 5 + k * 40 AS x1, (s_suppkey * 5) % 9 AS y1, (s_suppkey * 7) % 5 + k * 40 + 10 + s_suppkey % 20 AS x2, (s_suppkey * 5) % 9 + 9 + s_nationkey % 20 AS y2
+  FROM supplier, LATERAL (SELECT unnest([0, 1]) AS k))"""
 
 
 def _apart(spark, d):
-    k = F.col("p_partkey")
-    rows = table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", "p_size", F.explode(F.array(F.lit(0), F.lit(40))).alias("k"))
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(F.lit(0), F.lit(40))).alias("k"))
     x, y = (F.pmod(k * 7, F.lit(5)) + F.col("k")).cast("int"), F.pmod(k * 5, F.lit(9)).cast("int")
-    boxed = rows.select(k.alias("mask_id"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 20).cast("int").alias("x2"), (y + 9 + F.col("p_size") % 20).cast("int").alias("y2"))
+    boxed = rows.select(k.alias("mask_id"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 20).cast("int").alias("x2"), (y + 9 + F.col("s_nationkey") % 20).cast("int").alias("y2"))
     return masks.rasterized(masks.box_pixels(boxed), "mask_id", F.lit(80), F.lit(40))
 
 
@@ -195,15 +187,15 @@ def _part_rasters(spark, d):
     k = F.col("part")
     b = _boxes(spark, d)
     pixels = masks.box_pixels(b.select(k.alias("mask_id"), "x1", "y1", "x2", "y2"))
-    size = F.when(F.col("mask_id") % 8 == 0, 2).otherwise(1)
+    size = F.when(F.col("mask_id") % 2 == 0, 2).otherwise(1)
     small = pixels.select("mask_id", F.floor(F.col("y") / size).cast("int").alias("y"), F.floor(F.col("x") / size).cast("int").alias("x"), "v")
     return masks.rasterized(small, "mask_id", (F.lit(W) / size).cast("int"), (F.lit(H) / size).cast("int"))
 
 
-MERGED = f"""{PIXELS}, q AS (SELECT image, part, part % 8 = 0 AS small, x, y FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE y < 16 AND x < 24),
+MERGED = f"""{PIXELS}, q AS (SELECT image, part, part % 2 = 0 AS small, x, y FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE y < 16 AND x < 24),
 f AS (SELECT image, min(part) AS first FROM q WHERE {{0}} GROUP BY image),
 h AS (SELECT DISTINCT image, CASE WHEN small THEN 2 ELSE 1 END AS s, part, y // CASE WHEN small THEN 2 ELSE 1 END AS y, x // CASE WHEN small THEN 2 ELSE 1 END AS x FROM q WHERE {{0}}),
-t AS (SELECT image, CASE WHEN first % 8 = 0 THEN 2 ELSE 1 END AS s FROM f),
+t AS (SELECT image, CASE WHEN first % 2 = 0 THEN 2 ELSE 1 END AS s FROM f),
 z AS (SELECT image, t.s, y::INT AS y, x::INT AS x FROM t, LATERAL (SELECT unnest(range(0, 16 // t.s)) AS y), LATERAL (SELECT unnest(range(0, 24 // t.s)) AS x)),
 u AS (SELECT DISTINCT z.image AS mask_id, z.y, z.x FROM z JOIN h ON h.image = z.image AND h.y = z.y * z.s // h.s AND h.x = z.x * z.s // h.s)"""
 
@@ -227,16 +219,16 @@ def merge_common(spark, d):
     return masks.covered_share(masks.merged_files(rows, operation="intersection"))
 
 
-@query(f"WITH {MERGED.format('part % 12 = 0')} SELECT mask_id, y, x, 255 AS v FROM u")
+@query(f"WITH {MERGED.format('part % 3 = 0')} SELECT mask_id, y, x, 255 AS v FROM u")
 def render_report(spark, d):
     """One mask an image from the parts of its report that were asked for."""
-    rows = _boxes(spark, d).select("image", "part", (F.col("part") % 12 == 0).alias("has_detection"), F.col("part").alias("mask_file"))
+    rows = _boxes(spark, d).select("image", "part", (F.col("part") % 3 == 0).alias("has_detection"), F.col("part").alias("mask_file"))
     return masks.pixels_of(masks.rendered(sources.render_parts(rows), _part_rasters(spark, d)))
 
 
 @query(
     f"""WITH {PIXELS}, a AS (SELECT part, count(*) AS n FROM b GROUP BY 1),
-q AS (SELECT image, x1 - 3 AS x1, y1 - 2 AS y1, x2 + 5 AS x2, y2 + 1 AS y2, part % 5 AS person_id FROM b WHERE part % 8 = 0),
+q AS (SELECT image, x1 - 3 AS x1, y1 - 2 AS y1, x2 + 5 AS x2, y2 + 1 AS y2, part % 5 AS person_id FROM b WHERE part % 2 = 0),
 m AS (SELECT b.image, b.part, q.person_id, (b.x2 - b.x1) * (b.y2 - b.y1) AS n, greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS i,
   (q.x2 - q.x1) * (q.y2 - q.y1) AS w, sqrt(((b.x1 + b.x2 - 1) / 2 - (q.x1 + q.x2) / 2) ** 2 + ((b.y1 + b.y2 - 1) / 2 - (q.y1 + q.y2) / 2) ** 2) / sqrt((q.x2 - q.x1) ** 2 + (q.y2 - q.y1) ** 2) AS far
   FROM b JOIN q ON q.image = b.image)
@@ -246,7 +238,7 @@ def mask_scores(spark, d):
     """How well the masks of parts fit the boxes of persons."""
     b = _boxes(spark, d)
     wide = geometry.box(F.col("x1") - 3, F.col("y1") - 2, F.col("x2") + 5, F.col("y2") + 1)
-    people = b.where("part % 8 = 0").select("image", (F.col("part") % 5).alias("person_id"), wide.alias("bbox"))
+    people = b.where("part % 2 = 0").select("image", (F.col("part") % 5).alias("person_id"), wide.alias("bbox"))
     return runs.matches(runs.of_boxes(b, ["image", "part"]), people).select("image", "part", "person_id", F.round("score", 6).alias("score"))
 
 
@@ -277,7 +269,7 @@ def mask_combinations(spark, d):
     return out
 
 
-PROMPTS = """b AS (SELECT p_partkey // 20 AS image, p_partkey AS part, p_partkey % 3 = 0 AS negative, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
+PROMPTS = """b AS (SELECT p_partkey // 5 AS image, p_partkey AS part, p_partkey % 3 = 0 AS negative, (p_partkey * 7) % 17 AS x1, (p_partkey * 5) % 11 AS y1, (p_partkey * 7) % 17 + 2 + p_partkey % 6 AS x2,
   (p_partkey * 5) % 11 + 2 + p_partkey % 4 AS y2 FROM part),
 p AS (SELECT DISTINCT image, negative, y::INT AS y, x::INT AS x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x))"""
 
@@ -288,7 +280,7 @@ SELECT 'both' AS mode, image, y, x FROM a ANTI JOIN n USING (image, y, x) UNION
 )
 def run_prompts(spark, d):
     """Masks of positive prompts without the negative ones, and of either side, as runs."""
-    b = _every_box(spark, d)
+    b = _boxes(spark, d)
     sides = [runs.of_boxes(b.where(w), ["image"]) for w in ("part % 3 > 0", "part % 3 = 0")]
     out = None
     for mode in ("both", "positive", "negative"):
@@ -303,7 +295,7 @@ SELECT image, count(*) AS pixels FROM (SELECT image, y, x FROM g ANTI JOIN p USI
 )
 def run_inverted(spark, d):
     """Pixels of each image that its masks leave free, from rasters by way of runs."""
-    b = _every_box(spark, d)
+    b = _boxes(spark, d)
     found = runs.of_rasters(runs.rasterized(runs.of_boxes(b, ["image"]), "image", F.lit(W), F.lit(H))).withColumnRenamed("mask_id", "image")
     sizes = b.select("image").distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"))
     return runs.areas(runs.inverted(found, sizes, ["image"]), ["image"])
