@@ -5,10 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .written import Written
+from .pairing import placed
+from .written import Written, join_folded
 
 HASH_BITS = 64
 #: Probes of one hash at most: 428 for 10 bits of 64, 1006 for 16 of 63.
@@ -51,17 +52,18 @@ def _flipped(width: int, flips: int) -> list[int]:
     return [sum(1 << i for i in at) for f in range(flips + 1) for at in combinations(range(width), f)]
 
 
-def near_pairs(hashes: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame:
-    """(a, b, distance) with a < b of all (id, hash) within ``most`` bits; null hashes have none.
+def _leads(hashes: DataFrame, written: Written) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, hash) that have a hash, the first id and number of each hash, and the number of rows."""
+    rows = hashes.where("hash IS NOT NULL").select("id", "hash")
+    lead = written.save(rows.groupBy("hash").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("copies")), "leads")
+    return rows, lead, lead.agg(F.sum("copies")).first()[0] or 0
+
+
+def near_leads(lead: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame:
+    """(a, b, distance) with a < b of all (id, hash) of different hashes within ``most`` bits.
 
-    Each hash is indexed by its runs of bits and probes them with few bits flipped. Equal hashes
-    are one row for the search, so copies don't multiply candidates; their own pairs are chained
-    (first with each other copy), which keeps all connections without all pairs.
+    Each hash is indexed by its runs of bits and probes them with few bits flipped.
     """
-    rows = hashes.where("hash IS NOT NULL").select("id", "hash")
-    lead = rows.groupBy("hash").agg(F.min("id").alias("id"))
-    copies = rows.join(lead.withColumnRenamed("id", "first"), "hash").where("id <> first")
-    chained = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     runs = bands(most, bits)
     run = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1)) if w < HASH_BITS else c
     keyed = lead.select("id", "hash", F.posexplode(F.array(*[run(F.col("hash"), s, w) for s, w, _ in runs])).alias("band", "value"))
@@ -76,45 +78,78 @@ def near_pairs(hashes: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame
     for k, (s, w, flips) in enumerate(runs):
         earlier = earlier & ((F.lit(k) >= F.col("x.band")) | (F.bit_count(run(differ, s, w)) > flips))
     found = x.join(y, same & (distance <= most) & earlier)
-    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance")).unionByName(chained)
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance"))
+
+
+def near_pairs(hashes: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame:
+    """(a, b, distance) with a < b: pairs of near hashes, each by its first id, and each other id with its hash's first at distance 0.
+
+    So all links between different hashes are there, and copies do not multiply them; null hashes have none. The
+    copies of a hash that many rows have meet a broadcast of its first id.
+    """
+    rows, lead, total = _leads(hashes, Written(hashes.sparkSession, "near"))
+    copies = join_folded(rows, lead, "hash", "copies", total).where("id <> lead")
+    chained = copies.select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return near_leads(lead.select(F.col("lead").alias("id"), "hash"), most, bits).unionByName(chained)
+
+
+def similar(hashes: DataFrame, most: int, bits: int = HASH_BITS) -> DataFrame:
+    """(id, component) of every (id, hash) that another one is near to, through others too: the smallest id of its group.
+
+    Only first ids of hashes go through ``components``; copies follow theirs.
+    """
+    written = Written(hashes.sparkSession, "similar")
+    rows, lead, total = _leads(hashes, written)
+    linked = components(near_leads(lead.select(F.col("lead").alias("id"), "hash"), most, bits))
+    named = lead.join(linked.withColumnRenamed("id", "lead"), "lead", "left")
+    named = named.where("component IS NOT NULL OR copies > 1").select("hash", "copies", F.coalesce("component", "lead").alias("component"))
+    return join_folded(rows, written.save(named, "named"), "hash", "copies", total).select("id", "component")
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) of every node in pairs (a, b): the smallest id it is connected with.
 
     Labels fall along edges and then jump to their label's label, so rounds grow with the
-    logarithm of the longest chain. Each round is a written table that all executors share.
+    logarithm of the longest chain. Each round is a written table that all executors share. A node of many
+    edges, and a label that many nodes have, are broadcast to where these are.
     """
     spark = pairs.sparkSession
     written = Written(spark, "components")
     save, drop = written.save, written.drop
     edges = save(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = save(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component")).withColumnRenamed("u", "id"), "labels-0")
+    total = edges.count()
+    found = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component"), F.count(F.lit(1)).alias("edges"))
+    labels = save(found.withColumnRenamed("u", "id"), "labels-0")
     k = 0
     while True:
         k += 1
-        offered = edges.join(labels, edges["v"] == labels["id"]).groupBy("u").agg(F.min("component").alias("offer"))
-        lower = labels.join(offered, labels["id"] == offered["u"], "left").select("id", F.least("component", "offer").alias("component"))
+        heads = labels.select(F.col("id").alias("v"), "component", F.col("edges").alias("size"))
+        offered = join_folded(edges, heads, "v", "size", total).groupBy("u").agg(F.min("component").alias("offer"))
+        lower = labels.join(offered, labels["id"] == offered["u"], "left").select("id", F.least("component", "offer").alias("component"), "edges")
         lower = save(lower, f"fall-{k}")
-        jump = lower.alias("x").join(lower.alias("y"), F.col("x.component") == F.col("y.id"), "left")
-        after = save(jump.select(F.col("x.id").alias("id"), F.least("x.component", "y.component").alias("component")), f"labels-{k}")
+        sizes = lower.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        heads = sizes.join(lower.select(F.col("id").alias("component"), F.col("component").alias("next")), "component")
+        jump = join_folded(lower, save(heads, f"heads-{k}"), "component", "size", total)
+        after = save(jump.select("id", F.least("component", "next").alias("component"), "edges"), f"labels-{k}")
         moved = after.alias("x").join(labels.alias("y"), "id").where("x.component <> y.component").limit(1).count()
-        drop(f"labels-{k - 1}", f"fall-{k}")
+        drop(f"labels-{k - 1}", f"fall-{k}", f"heads-{k}")
         labels = after
         if not moved:
             drop("edges")
-            return labels
+            return labels.select("id", "component")
 
 
 def thin(grouped: DataFrame, keep: float = 0.3, least: int = 2, seed: str = "0") -> DataFrame:
     """Adds group_size, keep_count and keep to (id, component): a seeded sample of each group stays.
 
     Kept are the share rounded half to even, ``least`` at least and the group's size at most,
-    chosen in the order of md5(seed || id).
+    chosen in the order of md5(seed || id). The order is one range sort of all rows, so a group of any
+    size is spread over tasks.
     """
-    order = F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))
-    place = F.row_number().over(Window.partitionBy("component").orderBy(order, "id"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("component"))
-    rows = grouped.withColumns({"group_size": size, "place": place})
+    order = [F.col("component"), F.col("_order"), F.col("id")]
+    rows = placed(grouped.withColumn("_order", F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))), order)
+    rows = Written(grouped.sparkSession, "thin").save(rows, "placed")
+    groups = rows.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"), F.min("place").alias("_first"))
+    rows = join_folded(rows, groups, "component", "group_size", rows.count())
     count = F.least(F.greatest(F.lit(least), F.bround(F.col("group_size") * keep).cast("int")), F.col("group_size")).cast("int")
-    return rows.withColumn("keep_count", count).withColumn("keep", F.col("place") <= F.col("keep_count")).drop("place")
+    return rows.withColumn("keep_count", count).withColumn("keep", F.col("place") - F.col("_first") < F.col("keep_count")).select(*grouped.columns, "group_size", "keep_count", "keep")

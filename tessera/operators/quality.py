@@ -226,8 +226,8 @@ def full_check(
     if "nsfw_ratio" in on:
         hits.append(named(tag_hits(captions, "key", "body", nsfw), "nsfw_ratio"))
     if "similar_images" in on:
-        pairs = neighbors.near_pairs(images.select(F.col("image").alias("id"), "hash"), most, bits)
-        hits.append(named(neighbors.thin(neighbors.components(pairs), keep, least_kept).where("NOT keep"), "similar_images"))
+        groups = neighbors.similar(images.select(F.col("image").alias("id"), "hash"), most, bits)
+        hits.append(named(neighbors.thin(groups, keep, least_kept).where("NOT keep"), "similar_images"))
     n = F.count(F.lit(1)).alias("n")
     of_images = ["image_integrity", "duplicates", "low_resolution", "extreme_ar", "similar_images"]
     listed = lambda names: F.explode(text.literals([c for c in names if c in on])).alias("check")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Written:
@@ -35,3 +36,19 @@ class Written:
         for name in names:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(hadoop).delete(path, True)
+
+
+#: A key that a thousandth of all rows have is hot; there can be no more than a thousand of them.
+HOT_SHARE = 1000
+
+
+def join_folded(rows: DataFrame, folded: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of many rows a key with the one row of ``folded`` that says in ``size`` how many of ``total`` those are.
+
+    The rows of hot keys stay where they are and meet a broadcast of their few folded rows; no task gathers a
+    key of more than a HOT_SHARE-th of all rows.
+    """
+    hot = F.broadcast(folded.where(F.col(size) * HOT_SHARE >= total))
+    cold = folded.where(F.col(size) * HOT_SHARE < total)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))

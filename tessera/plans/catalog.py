@@ -132,7 +132,13 @@ def _hashes(spark, d):
 
 HASHES = """h AS (SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: (embedding[i] > embedding[i + 1])::BIGINT)),
   lambda a, b: a * 2 + b) AS hash FROM embeddings)"""
-PAIRS = f"""{HASHES}, p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.hash, y.hash))::INT AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 16)"""
+#: The hashes, copies of some of them, and some with a few other bits, so that there are groups to find.
+MORE = f"""{HASHES}, q AS (SELECT id, hash FROM h UNION ALL SELECT id + 10000000, hash FROM h WHERE id % 4 = 0 UNION ALL SELECT id + 20000000, hash FROM h WHERE id % 8 = 0
+  UNION ALL SELECT id + 30000000, xor(hash, (1::BIGINT << (id % 60)::INT) | (1::BIGINT << (id * 7 % 61)::INT)) FROM h WHERE id % 3 = 0
+  UNION ALL SELECT id + 40000000, xor(hash, 1023::BIGINT << (id % 40)::INT) FROM h WHERE id % 5 = 0)"""
+PAIRS = f"""{MORE}, l AS (SELECT min(id) AS id, hash FROM q GROUP BY hash),
+p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.hash, y.hash))::INT AS distance FROM l x JOIN l y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 10
+  UNION ALL SELECT l.id, q.id, 0 FROM l JOIN q USING (hash) WHERE l.id <> q.id)"""
 
 
 @query(f"""WITH {HASHES} SELECT id, hash FROM h""")
@@ -140,9 +146,20 @@ def diff_hash(spark, d):
     return _hashes(spark, d)
 
 
+def _more_hashes(spark, d):
+    h, i = _hashes(spark, d), F.col("id")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    some = lambda n, more, change: h.where(i % n == 0).select((i + more).alias("id"), change.alias("hash"))
+    few = F.col("hash").bitwiseXOR(bit(i % 60).bitwiseOR(bit(i * 7 % 61)))
+    ten = F.col("hash").bitwiseXOR(F.call_function("shiftleft", F.lit(1023).cast("long"), (i % 40).cast("int")))
+    same = F.col("hash")
+    return h.unionByName(some(4, 10_000_000, same)).unionByName(some(8, 20_000_000, same)).unionByName(some(3, 30_000_000, few)).unionByName(some(5, 40_000_000, ten))
+
+
 @query(f"""WITH {PAIRS} SELECT a, b, distance FROM p""")
 def near_dups(spark, d):
-    return neighbors.near_pairs(_hashes(spark, d), 16, 63)
+    """Pairs of near hashes by their first ids, and each copy with the first of its hash."""
+    return neighbors.near_pairs(_more_hashes(spark, d), 10)
 
 
 COMPONENTS = f"""{PAIRS},
@@ -153,7 +170,7 @@ c AS (SELECT id, min(seen) AS component FROM r GROUP BY id)"""
 
 @query(f"""WITH RECURSIVE {COMPONENTS} SELECT id, component FROM c""")
 def dup_components(spark, d):
-    return neighbors.components(neighbors.near_pairs(_hashes(spark, d), 16, 63))
+    return neighbors.similar(_more_hashes(spark, d), 10)
 
 
 @query(
@@ -699,21 +716,21 @@ def split_counters(spark, d):
 
 
 def _full(spark, d, checks=None):
-    """Embeddings as images with sizes, digests and hashes; parts as captions."""
-    k = F.col("vec_id")
-    images = table(spark, d, "embeddings").select(
+    """Hashes as images with sizes and digests; parts as captions."""
+    k = F.col("id")
+    images = _more_hashes(spark, d).select(
         k.alias("image"),
         F.when(k % 10 > 0, (k * 37) % 3000 + 100).alias("width"),
         F.when(k % 10 > 0, (k * 53) % 2500 + 100).alias("height"),
         F.when(k % 10 == 0, "broken").alias("error"),
         F.md5((k % 400).cast("string")).alias("digest"),
-        neighbors.difference_hash(F.col("embedding")).alias("hash"),
+        "hash",
     )
-    return quality.full_check(images, _tagged(spark, d).withColumnRenamed("p_partkey", "key"), ["solo", "comic"], checks, 16, bits=63)
+    return quality.full_check(images, _tagged(spark, d).withColumnRenamed("p_partkey", "key"), ["solo", "comic"], checks, 10)
 
 
 FULL = f"""WITH RECURSIVE {COMPONENTS},
-i AS (SELECT vec_id AS k, CASE WHEN vec_id % 10 > 0 THEN (vec_id * 37) % 3000 + 100 END AS w, CASE WHEN vec_id % 10 > 0 THEN (vec_id * 53) % 2500 + 100 END AS h, vec_id % 400 AS digest FROM embeddings),
+i AS (SELECT id AS k, CASE WHEN id % 10 > 0 THEN (id * 37) % 3000 + 100 END AS w, CASE WHEN id % 10 > 0 THEN (id * 53) % 2500 + 100 END AS h, id % 400 AS digest FROM q),
 g AS (SELECT count(*) AS n FROM c GROUP BY component),
 t AS (SELECT {PERSONS}[p_partkey % 7 + 1] AS b FROM part),
 n AS (SELECT (SELECT count(*) FROM i) AS images, (SELECT count(*) FROM part) AS captions),

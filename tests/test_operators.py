@@ -93,9 +93,16 @@ def test_hamming_join_and_thinning(spark):
         x, y = sorted((root(a), root(b)))
         label[y] = x
     assert {r.id: r.component for r in neighbors.components(got).collect()} == {i: root(i) for i in label}
+    assert {r.id: r.component for r in neighbors.similar(df, 10).collect()} == {i: root(i) for i in label}
     for size, keep in ((2, 2), (7, 2), (8, 2), (10, 3)):
         thin = neighbors.thin(spark.range(size).select(F.col("id"), F.lit(0).alias("component")))
         assert thin.where("keep").count() == keep
+    half = spark.range(4000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 5 WHEN id % 100 = 1 THEN 4 ELSE id * 7919 * 65537 END AS hash")
+    got = {r.id: r.component for r in neighbors.similar(half, 2).collect()}
+    assert sum(c == 0 for c in got.values()) >= 2040 and got[3998] == got[101] == 0
+    assert sum(r.b != 1 and r.a == 0 for r in neighbors.near_pairs(half, 2).collect()) >= 1999
+    kept = neighbors.thin(spark.range(3000).selectExpr("id", "CASE WHEN id < 2900 THEN 0 ELSE id END AS component"))
+    assert kept.where("component = 0 AND keep").count() == 870 and kept.where("component > 0 AND keep").count() == 100
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int")
     assert {r.component for r in neighbors.components(chain).collect()} == {0}
     assert neighbors.components(chain.limit(0)).count() == 0
