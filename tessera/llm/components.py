@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, join_folded
 
+#: Rows whose folded rows are broadcast whole; of more, those of hot nodes only.
+BROADCAST_ROWS = 200_000
+
+
+def _met(rows: DataFrame, folded: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows, ``total`` at most, with the folded row of their key, which counts them in ``n``."""
+    return rows.join(F.broadcast(folded), key) if total <= BROADCAST_ROWS else join_folded(rows, folded, key, "n", total)
+
 
 def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node in links (a, b); the component is its smallest node.
@@ -22,10 +30,10 @@ def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str
         k += 1
         ends = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = scratch.save(ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-low-{k}")
-        large = join_folded(ends, low, "x", "n", 2 * seen[0]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        large = _met(ends, low, "x", 2 * seen[0]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = scratch.save(large.distinct(), f"{name}-large-{k}")
         low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-low2-{k}")
-        small = join_folded(large, low2, "u", "n", seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = _met(large, low2, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low2.select("u", F.col("m").alias("v")))
         after = scratch.save(small.distinct(), f"{name}-edges-{k}")
         scratch.drop(f"{name}-edges-{k - 1}", f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-low2-{k}")
