@@ -69,14 +69,16 @@ def unescaped(spark, d):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, doc_id % 3 AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents WHERE NOT contains(text, '`') AND NOT contains(text, chr(13)))
-SELECT doc_id, CASE k WHEN 1 THEN '```XML' || chr(10) || s ELSE s END AS body, k < 2 AS has_open, k = 0 AS has_close FROM t"""
+    r"""WITH t AS (SELECT doc_id, doc_id % 3 AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents),
+f AS (SELECT doc_id, CASE k WHEN 0 THEN '```XML' || chr(10) || s || chr(10) || '```' WHEN 1 THEN '```XML' || chr(10) || s ELSE s END AS z FROM t),
+l AS (SELECT doc_id, regexp_replace(z, '^\s+|\s+$', '', 'g') AS z, string_split(replace(replace(regexp_replace(z, '^\s+|\s+$', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM f),
+o AS (SELECT doc_id, z, l, starts_with(lower(regexp_replace(l[1], '^\s+|\s+$', '', 'g')), '```xml') AS has_open, regexp_replace(l[-1], '^\s+|\s+$', '', 'g') = '```' AS has_close FROM l)
+SELECT doc_id, CASE WHEN has_open AND has_close AND len(l) >= 2 THEN regexp_replace(array_to_string(l[2:len(l) - 1], chr(10)), '^\s+|\s+$', '', 'g') ELSE z END AS body, has_open, has_close FROM o"""
 )
 def fence_bodies(spark, d):
     """The text inside an XML fence, with and without its closing line, and texts without one."""
     fenced = F.concat(F.lit("```XML\n"), "s", F.when(F.col("doc_id") % 3 == 0, "\n``` ").otherwise(""))
-    plain = ~F.contains("text", F.lit("`")) & ~F.contains("text", F.lit("\r"))
-    rows = table(spark, d, "documents").where(plain).select("doc_id", text.strip(F.col("text")).alias("s"))
+    rows = table(spark, d, "documents").select("doc_id", text.strip(F.col("text")).alias("s"))
     found = rows.select("doc_id", text.fence_body(F.when(F.col("doc_id") % 3 == 2, F.col("s")).otherwise(fenced)).alias("f"))
     return found.select("doc_id", "f.*")
 

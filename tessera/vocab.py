@@ -24,19 +24,18 @@ REFUSAL_FLAT = (
 )
 LEVEL_HIGH, LEVEL_MEDIUM, LEVEL_LOW = "高", "中", "低"
 
-#: Words that open a sentence of a caption after tags, and verbs of one, each form spelled out. These are fixed
-#: values: which texts are split, and where, follows from them.
+#: Words that open a sentence of a caption after tags, and patterns of verbs of one. These are fixed values, stated as
+#: they are: which texts are split, and where, follows from them.
 CAPTION_STARTERS = (
     "Shot", "Seen", "Framed", "Depicted", "Viewed", "Rendered", "A", "An", "The", "She", "He", "It", "This", "That",
     "Her", "His", "In", "From", "Against", "Atop", "Beneath", "Under", "Above", "Standing", "Sitting", "Kneeling",
     "Wearing", "Holding", "Gripping", "Looking", "Gazing", "Staring",
 )
 CAPTION_VERBS = (
-    "depict", "depicts", "show", "shows", "feature", "features", "portray", "portrays", "stand", "stands", "standing",
-    "sit", "sits", "sitting", "kneel", "kneels", "kneeling", "look", "looks", "looking", "wear", "wears", "wearing",
-    "hold", "holds", "holding", "grip", "grips", "gripping", "smile", "smiles", "smiling", "glow", "glows", "glowing",
-    "gaze", "gazes", "gazing", "stare", "stares", "staring", "billow", "billows", "billowing", "float", "floats",
-    "floating", "is", "are", "was", "were",
+    "depicts?", "shows?", "features?", "portrays?", "stands?", "standing", "sits?", "sitting", "kneels?", "kneeling",
+    "looks?", "looking", "wears?", "wearing", "holds?", "holding", "grips?", "gripping", "smiles?", "smiling", "glows?",
+    "glowing", "gazes?", "gazing", "stares?", "staring", "billows?", "billowing", "floats?", "floating", "is", "are", "was",
+    "were",
 )
 
 #: Tags of layouts that harm training.
