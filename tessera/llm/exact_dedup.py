@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, ascii_lower, join_folded, read_table
+from .shared import Scratch, ascii_lower, join_folded, listed, read_table, remove, shared_dir
 
 #: Batches in which a table is handed to its index, from the largest ids down.
 BATCHES = 2
@@ -25,16 +25,30 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, each with the id of the row that was kept for it and its batch."""
+    """Digests seen so far, each with the id of the row that was kept for it and its batch.
 
-    def __init__(self, spark: SparkSession, table: str, id_type: str = "bigint", buckets: int | None = None):
+    The table's files lie in ``folder``, by default in the shared folder, and outlive the session: one that
+    does not know the table registers it from them. Their folder's name says the number of buckets.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, id_type: str = "bigint", buckets: int | None = None, folder: str | None = None):
         self.spark, self.table = spark, table
+        self.folder = (folder or f"{shared_dir(spark)}/digest-index").rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(table):
-            self._write(spark.createDataFrame([], f"digest binary, keep_id {id_type}, batch string"), table)
-        else:
+        if spark.catalog.tableExists(table):
             found = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
             self.buckets = int(found["data_type"]) if found else self.buckets
+            return
+        there = [name.rsplit("-", 1)[1] for name in listed(spark, self.folder) if name.rsplit("-", 1)[0] == table]
+        if there:
+            self.buckets = int(there[0])
+            columns = f"digest binary, keep_id {id_type}, batch string"
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._at(table)}'")
+        else:
+            self._write(spark.createDataFrame([], f"digest binary, keep_id {id_type}, batch string"), table)
+
+    def _at(self, table: str) -> str:
+        return f"{self.folder}/{table}-{self.buckets}"
 
     def _write(self, df: DataFrame, table: str) -> None:
         (
@@ -43,9 +57,14 @@ class DigestIndex:
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .format("parquet")
+            .option("path", self._at(table))
             .saveAsTable(table)
         )
 
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(self.spark, self._at(table))
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -59,9 +78,14 @@ class DigestIndex:
         groups = staged.groupBy("digest").agg(
             F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
         )
-        # Written before the join, which the optimizer would else push below the fold.
-        self._write(groups, folded)
-        groups = self.spark.table(folded)
+        try:
+            # Written before the join, which the optimizer would else push below the fold.
+            self._write(groups, folded)
+            return self._settled(self.spark.table(folded), batch, scratch)
+        finally:
+            self._drop(folded)
+
+    def _settled(self, groups: DataFrame, batch: str, scratch: Scratch) -> DataFrame:
         seen = self.rows().select("digest", F.col("keep_id").alias("seen_id"), F.col("batch").alias("seen_batch"))
         earlier = seen.where(F.col("seen_batch") != batch)
         fresh = groups.join(earlier.hint("merge"), "digest", "left_anti")
@@ -72,7 +96,6 @@ class DigestIndex:
         both = scratch.save(both, "groups")
         new = fresh.join(seen.hint("merge"), "digest", "left_anti")
         self._write(new.select("digest", F.col("best.doc_id").alias("keep_id"), F.lit(batch).alias("batch")), self.table)
-        self.spark.sql(f"DROP TABLE {folded}")
         return both
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
@@ -88,15 +111,23 @@ class DigestIndex:
         return _spread(staged, self.fold(staged, batch or uuid.uuid4().hex))
 
     def compact(self) -> None:
-        """Rewrites the index with one sorted file a bucket, after many batches."""
-        whole = f"{self.table}_{uuid.uuid4().hex}"
-        self._write(self.rows(), whole)
-        self.spark.sql(f"ALTER TABLE {self.table} RENAME TO {whole}_old")
-        self.spark.sql(f"ALTER TABLE {whole} RENAME TO {self.table}")
-        self.spark.sql(f"DROP TABLE {whole}_old")
+        """Rewrites the index with one sorted file a bucket, after many batches.
+
+        Its rows are written to ``<table>_whole`` first. What a stopped call left there comes back before
+        anything else is done.
+        """
+        rest = DigestIndex(self.spark, f"{self.table}_whole", dict(self.rows().dtypes)["keep_id"], self.buckets, self.folder)
+        lost = rest.rows().join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        if not lost.isEmpty():
+            self._write(Scratch(self.spark, "dedup").save(lost, "lost"), self.table)
+        rest.drop()
+        rest._write(self.rows(), rest.table)
+        self.drop()
+        self._write(rest.rows(), self.table)
+        rest.drop()
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self._drop(self.table)
 
 
 def _staged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,12 +160,14 @@ def _indexed(spark: SparkSession, docs: DataFrame) -> DataFrame:
         cuts = sorted(set(found or []), reverse=True)
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", kind)
     rest, groups = staged, None
-    for k, cut in enumerate([*cuts, None]):
-        part = rest if cut is None else rest.where(F.col("doc_id") >= cut)
-        rest = rest if cut is None else rest.where(F.col("doc_id").isNull() | (F.col("doc_id") < cut))
-        found = index.fold(part, f"batch-{k}")
-        groups = found if groups is None else groups.unionByName(found)
-    index.drop()
+    try:
+        for k, cut in enumerate([*cuts, None]):
+            part = rest if cut is None else rest.where(F.col("doc_id") >= cut)
+            rest = rest if cut is None else rest.where(F.col("doc_id").isNull() | (F.col("doc_id") < cut))
+            found = index.fold(part, f"batch-{k}")
+            groups = found if groups is None else groups.unionByName(found)
+    finally:
+        index.drop()
     if cuts:
         groups = groups.groupBy("digest").agg(
             F.max("keep_id").alias("keep_id"), F.max("keep_row").alias("keep_row"), F.sum("group_size").alias("group_size")

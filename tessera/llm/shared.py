@@ -39,6 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder with all that is in it, if it is there."""
+    system, path = _file_system(spark, folder)
+    system.delete(path, True)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    system, path = _file_system(spark, folder)
+    return [status.getPath().getName() for status in system.listStatus(path)] if system.exists(path) else []
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
@@ -57,11 +74,8 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(hadoop).delete(path, True)
+            remove(self.spark, f"{self.root}/{name}")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import components, exact_dedup, ngram_join, shingles
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, listed, shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, _row string, digest string, class_id string"
@@ -47,6 +47,36 @@ def test_index_persists_over_batches(spark):
     assert index.rows().count() == 3 and index.add(frame(spark, [(9, "C")])).first().keep_id == 5
 
 
+def test_an_index_is_found_by_its_files(spark):
+    name = f"t_{uuid.uuid4().hex}"
+    index = exact_dedup.DigestIndex(spark, name, buckets=3)
+    index.add(frame(spark, [(1, "a"), (2, "b")]))
+    assert index.folder.startswith(shared_dir(spark))
+    spark.sql(f"DROP TABLE {name}")  # as in a new session, which knows no table
+    again = exact_dedup.DigestIndex(spark, name)
+    assert again.buckets == 3 and {r.doc_id: r.kept for r in again.add(frame(spark, [(3, "A"), (4, "c")])).collect()} == {3: False, 4: True}
+    again.compact()
+    # As if a call had been stopped after it emptied the index, and another batch had come.
+    whole = exact_dedup.DigestIndex(spark, f"{name}_whole", buckets=3)
+    whole._write(again.rows(), whole.table)
+    again.drop()
+    again = exact_dedup.DigestIndex(spark, name, buckets=3)
+    again.add(frame(spark, [(5, "d")]))
+    again.compact()
+    assert again.rows().count() == 4 and again.add(frame(spark, [(9, "C")])).first().keep_id == 4
+    again.drop()
+    assert not [n for n in listed(spark, index.folder) if n.startswith(name)]
+
+
+def test_a_fold_that_fails_leaves_no_table(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
+    before = listed(spark, index.folder)
+    monkeypatch.setattr(index, "_settled", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.add(frame(spark, [(1, "a")]))
+    assert listed(spark, index.folder) == before
+
+
 def test_a_batch_handed_in_again_gets_the_same_answer(spark):
     index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
     index.add(frame(spark, [(1, "a")]), batch="one")
