@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import inference, runs, skeleton
+from ..operators import detectors, inference, masks, runs, scores, skeleton
 from ..sources.tables import table
 from .registry import query
 
@@ -206,3 +206,162 @@ def model_inputs(spark, d):
     rows = made.select("image", F.posexplode("input").alias("at", "v"))
     value = F.round((F.col("v").cast("double") * 0.5 + 0.5) * 255).cast("long")
     return rows.groupBy("image", F.floor(F.col("at") / (24 * 24)).cast("int").alias("channel")).agg(F.count(F.lit(1)).alias("pixels"), F.sum(value).alias("total"))
+
+
+@query(
+    """WITH o AS (SELECT vec_id AS image, CASE WHEN vec_id % 2 = 0 THEN embedding[9:16] ELSE embedding[1:8] END AS l FROM embeddings),
+p AS (SELECT image, i::INT AS idx, 1 / (1 + exp(-l[i + 1]::DOUBLE)) AS p FROM o, LATERAL (SELECT unnest(range(0, 8)) AS i))
+SELECT image, idx, 'tag' || idx AS tag, CASE WHEN idx % 3 = 0 THEN 'character' ELSE 'general' END AS category, round(p, 6) AS probability FROM p WHERE p >= CASE WHEN idx % 3 = 0 THEN 0.52 ELSE 0.48 END"""
+)
+def second_outputs(spark, d):
+    """Tags by the second of a model's outputs, or by its only one."""
+    cut = lambda a: F.slice("embedding", a, 8)
+    outputs = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.when(F.col("vec_id") % 2 == 0, F.array(cut(1), cut(9))).otherwise(F.array(cut(1))).alias("outputs"))
+    idx = F.col("id").cast("int")
+    words = spark.range(8).select(idx.alias("idx"), F.concat(F.lit("tag"), idx).alias("tag"), F.when(idx % 3 == 0, "character").otherwise("general").alias("category"))
+    rows = detectors.second_output(outputs).withColumn("logit", F.col("logit").cast("double"))
+    return scores.above(scores.named(rows, words), 0.48, 0.52).select("image", "idx", "tag", "category", F.round("probability", 6).alias("probability"))
+
+
+def _engine(name):
+    return lambda views: [{f"tag{j}": (int(v[0, 0]) * (j + 1) % 10) / 10 for j in range(5)} for v in views]
+
+
+@query(
+    """WITH t AS (SELECT s_suppkey AS image, j, s_suppkey % 256 * (j + 1) % 10 AS p FROM supplier, LATERAL (SELECT unnest(range(0, 5)) AS j)),
+m AS (SELECT s_suppkey AS image, list_sort(CASE WHEN s_nationkey % 2 = 0 THEN ['found', 'tag1'] ELSE [] END) AS l FROM supplier),
+k AS (SELECT image, list('tag' || j) FILTER (WHERE p >= 4) AS l FROM t GROUP BY 1)
+SELECT image, list_sort(list_distinct(list_concat(m.l, coalesce(k.l, [])))) AS tags, CASE WHEN len(m.l) > 0 AND k.l IS NOT NULL THEN 'both' WHEN len(m.l) > 0 THEN 'lookup' WHEN k.l IS NOT NULL THEN 'tagger' ELSE 'none' END AS found_by FROM m JOIN k USING (image)"""
+)
+def combined_tags(spark, d):
+    """Tags that were looked up, joined with those that an engine names."""
+    images = _images(spark, d, 2, 2)
+    named = detectors.engine_tags(images, _engine).groupBy("image").agg(F.collect_set("tag").alias("tags"))
+    known = table(spark, d, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("image"), F.array(F.lit("found"), F.lit("tag1")).alias("tags"))
+    return detectors.combined_tags(images, known, named)
+
+
+@query("""SELECT s_suppkey AS image, 'tag' || j AS tag, (s_suppkey % 256 * (j + 1) % 10) / 10::DOUBLE AS probability FROM supplier, LATERAL (SELECT unnest(range(0, 5)) AS j)""")
+def engine_tags(spark, d):
+    """All tags that an engine names."""
+    return detectors.engine_tags(_images(spark, d, 2, 2), _engine, least=None)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey % 500 AS image, p_brand AS tag, CASE WHEN p_size % 2 = 0 THEN 'character' ELSE 'general' END AS category, p_size / 50 AS probability FROM part),
+k AS (SELECT image, category, tag FROM p WHERE probability > CASE WHEN category = 'character' THEN 0.6 ELSE 0.3 END)
+SELECT image, category, tag, 1.0::DOUBLE AS score FROM k
+UNION ALL SELECT DISTINCT image, 'ip', 'series ' || right(tag, 1), 1.0::DOUBLE FROM k WHERE category = 'character'"""
+)
+def handler_tags(spark, d):
+    """Tags over strict thresholds, each as certain, with the sources of the characters."""
+    p = table(spark, d, "part")
+    rows = p.select((F.col("p_partkey") % 500).alias("image"), F.col("p_brand").alias("tag"), F.when(F.col("p_size") % 2 == 0, "character").otherwise("general").alias("category"), (F.col("p_size") / 50).alias("probability"))
+    return detectors.handler_tags(rows, 0.3, 0.6, p.select(F.col("p_brand").alias("character"), F.concat(F.lit("series "), F.right("p_brand", F.lit(1))).alias("ip")).distinct())
+
+
+SMALL = """b AS (SELECT s_suppkey AS image, i, (s_suppkey * 7 + i * 5) % 17 AS x1, (s_suppkey * 5 + i * 3) % 11 AS y1, (s_suppkey * 7 + i * 5) % 17 + 2 + s_suppkey % 6 AS x2, (s_suppkey * 5 + i * 3) % 11 + 2 + s_suppkey % 4 AS y2
+  FROM supplier, LATERAL (SELECT unnest(range(0, 4)) AS i))"""
+
+
+def _small_boxes(spark, d):
+    """Four boxes a supplier on images of 24 x 16."""
+    k, i = F.col("s_suppkey"), F.col("i")
+    x, y = ((k * 7 + i * 5) % 17).cast("int"), ((k * 5 + i * 3) % 11).cast("int")
+    rows = table(spark, d, "supplier").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return rows.select(k.alias("image"), "i", x.alias("x1"), y.alias("y1"), (x + 2 + k % 6).cast("int").alias("x2"), (y + 2 + k % 4).cast("int").alias("y2"))
+
+
+@query(
+    f"""WITH {SMALL}, p AS (SELECT DISTINCT image, y, x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE image % 3 > 0 AND (i < 2 OR image % 3 = 1))
+SELECT s_suppkey AS image, CASE WHEN count(p.y) > 0 THEN 1 ELSE 0 END AS count, CASE WHEN count(p.y) > 0 THEN 0.3::DOUBLE ELSE 0 END AS confidence, count(p.y) AS pixels FROM supplier LEFT JOIN p ON p.image = s_suppkey GROUP BY 1"""
+)
+def segments_and_boxes(spark, d):
+    """Segments joined with boxes: found or not, with the threshold as confidence."""
+    b = _small_boxes(spark, d).where("image % 3 > 0")
+    segments = runs.of_boxes(b.where("i < 2"), ["image"])
+    images = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image"))
+    return detectors.segments_and_boxes(images, segments, b.where("i >= 2 AND image % 3 = 1"), 0.3)[1]
+
+
+def _finder(name):
+    """Boxes whose labels and scores follow from an image's first pixel; fails for some."""
+
+    def find(view):
+        key = int(view[0, 0])
+        if key % 6 == 0:
+            raise RuntimeError("no answer")
+        return [(("cat", "dog")[(key + j) % 2], (key * (j + 3) % 10) / 10, j, j, j + 4, j + 3) for j in range(4)]
+
+    return find
+
+
+@query(
+    """SELECT s_suppkey AS image, CASE WHEN (s_suppkey % 256 + j) % 2 = 0 THEN 'cat' ELSE 'dog' END AS label, (s_suppkey % 256 * (j + 3) % 10) / 10::DOUBLE AS score, j::INT AS x1, (j + 3)::INT AS y2
+FROM supplier, LATERAL (SELECT unnest(range(0, 4)) AS j) WHERE s_suppkey % 256 % 6 > 0 AND (s_suppkey % 256 + j) % 2 = 1 AND s_suppkey % 256 * (j + 3) % 10 >= 4"""
+)
+def custom_detections(spark, d):
+    """Detections of one label of a custom model over its threshold."""
+    found = detectors.custom(_images(spark, d, 2, 2), _finder, "models/own.pt", 0.4, ["dog"])
+    return found.select("image", "label", "score", F.col("bbox.x1").alias("x1"), F.col("bbox.y2").alias("y2"))
+
+
+@query(
+    f"""WITH {SMALL}, w AS (SELECT image, i, x1, y1, x2, y2, (image * (i + 3) % 97) / 97::DOUBLE AS score FROM b WHERE i <> 3),
+n AS (SELECT a.image, a.i FROM w a JOIN w c ON c.image = a.image AND c.i <> a.i AND (c.score > a.score) WHERE a.i < 2 AND c.i < 2
+  AND (least(a.x2, c.x2) - greatest(a.x1, c.x1)) > 0 AND (least(a.y2, c.y2) - greatest(a.y1, c.y1)) > 0
+  AND 2 * (least(a.x2, c.x2) - greatest(a.x1, c.x1)) * (least(a.y2, c.y2) - greatest(a.y1, c.y1)) > (a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) - (least(a.x2, c.x2) - greatest(a.x1, c.x1)) * (least(a.y2, c.y2) - greatest(a.y1, c.y1))),
+k AS (SELECT * FROM w ANTI JOIN n USING (image, i)),
+e AS (SELECT image, count(*) AS count, avg(score) AS confidence FROM k GROUP BY 1),
+m AS (SELECT DISTINCT k.image, y, x FROM k, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE (image % 256 % 7 = 0 OR image % 256 % 5 = 0 OR (x + y) % 2 = 0))
+SELECT image, CASE WHEN image % 256 % 7 = 0 OR image % 256 % 5 = 0 THEN 'boxes' ELSE 'model' END AS source, count, round(confidence, 6) AS confidence, count(*) AS pixels FROM m JOIN e USING (image) GROUP BY ALL"""
+)
+def refined_detections(spark, d):
+    """Detections of two labels, suppressed within each, refined to masks with their boxes as the fallback."""
+    i = F.col("i")
+    score = (F.col("image") * (i + 3) % 97) / 97
+    b = _small_boxes(spark, d).select("image", F.when(i < 2, "a").when(i == 2, "b").otherwise("c").alias("label"), geometry.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), score.alias("score"))
+    found, seen = detectors.refined_boxes(_images(spark, d, 24, 16), b, _refiner, ["a", "b"], overlap=0.5)
+    area = runs.areas(runs.of_rasters(found), ["mask_id"])
+    rows = found.select("mask_id", "source").join(area, "mask_id").withColumnRenamed("mask_id", "image").join(seen, "image")
+    return rows.select("image", "source", "count", F.round("confidence", 6).alias("confidence"), "pixels")
+
+
+@query(
+    f"""WITH {SMALL}, m AS (SELECT image, i, x1, y1, x2, y2, CASE WHEN i = 0 THEN 'one' ELSE 'two' END AS part, (i + 1) / 10::DOUBLE AS confidence FROM b WHERE i < 3),
+c AS (SELECT image, part, count(*) AS n, avg(confidence) AS confidence FROM m GROUP BY 1, 2),
+p AS (SELECT DISTINCT image, part, y, x FROM m, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)),
+s AS (SELECT image, part, count(*) AS pixels FROM p GROUP BY 1, 2)
+SELECT image, part, n AS count, round(confidence, 6) AS confidence, pixels FROM s JOIN c USING (image, part) WHERE part = 'two' OR pixels >= 0.03 * 384"""
+)
+def sensitive_parts(spark, d):
+    """Masks of labels joined to parts, a part without those of a small share, counted by regions and detections."""
+    b = _small_boxes(spark, d).where("i < 4").withColumn("key", F.struct("image", "i"))
+    rasters = runs.rasterized(runs.of_boxes(b, ["key"]), "key", F.lit(24), F.lit(16))
+    i = F.col("mask_id.i")
+    found = rasters.select("mask_id.image", F.concat(F.lit("l"), i).alias("label"), ((i + 1) / 10).alias("confidence"), "width", "height", "raster")
+    steps = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("one").alias("part"), *[F.lit(None if c != "min_share" else 0.03).alias(c) for c in masks.STEPS])
+    parts = detectors.sensitive_parts(found, {"one": ["l0"], "two": ["l1", "l2"]}, steps)
+    size = masks.covered_share(parts.withColumn("mask_id", F.struct("image", "part"))).select("mask_id.image", "mask_id.part", F.col("mask_pixels").alias("pixels"))
+    return parts.join(size, ["image", "part"]).select("image", "part", "count", F.round("confidence", 6).alias("confidence"), "pixels")
+
+
+@query(
+    f"""WITH {SMALL}, g AS (SELECT image, i // 2 AS person, CASE WHEN (image + i // 2) % 2 = 0 THEN 'male' ELSE 'female' END AS gender, 'part' || i AS part, y, x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)),
+f AS (SELECT 'default' AS option, image, 'mask_' || person || '_' || gender || '_merged.png' AS file, y, x FROM g UNION SELECT 'default', image, 'mask_all_merged.png', y, x FROM g
+  UNION SELECT 'all', image, 'm_' || person || '_' || gender || '_' || part || '.png', y, x FROM g UNION SELECT 'all', image, 'm_mask.png', y, x FROM g)
+SELECT option, image, file, CASE WHEN option = 'all' THEN 384 - count(*) ELSE count(*) END AS pixels FROM f GROUP BY 1, 2, 3"""
+)
+def saved_masks(spark, d):
+    """Masks by person and part under the names of each option; the second lot inverted."""
+    b, i = _small_boxes(spark, d), F.col("i")
+    person = F.floor(i / 2)
+    gender = F.when((F.col("image") + person) % 2 == 0, "male").otherwise("female")
+    keys = ["image", "person_id", "gender", "part", "width", "height"]
+    parts = runs.of_boxes(b.select("image", person.alias("person_id"), gender.alias("gender"), F.concat(F.lit("part"), i).alias("part"), F.lit(24).alias("width"), F.lit(16).alias("height"), "x1", "y1", "x2", "y2"), keys)
+    out = None
+    for option, found in (("default", detectors.saved_masks(parts)), ("all", detectors.saved_masks(parts, "m", True, True, True))):
+        named = masks.covered_share(found.withColumn("mask_id", F.struct("image", "file")))
+        one = named.select(F.lit(option).alias("option"), "mask_id.image", "mask_id.file", F.col("mask_pixels").alias("pixels"))
+        out = one if out is None else out.unionByName(one)
+    return out
