@@ -182,6 +182,54 @@ def annotation_masks(spark, d):
     return masks.area_ratio(masks.pixels_of(drawn), "mask_id", F.lit(1)).select("mask_id", "pixels")
 
 
+#: SQL for the pixels of polygons ``e`` (image, i, xa, ya, xb, yb: an edge each) on a grid of 40 x 32: between each
+#: odd crossing of a line and the next, or within half a pixel of an edge.
+FILLED = """k AS (SELECT image, y, xa + (y - ya) * (xb - xa)::DOUBLE / (yb - ya) AS c FROM e, LATERAL (SELECT unnest(range(0, 32)) AS y) WHERE ya <= y AND y < yb OR yb <= y AND y < ya),
+o AS (SELECT image, y, c, lead(c) OVER (PARTITION BY image, y ORDER BY c) AS z, row_number() OVER (PARTITION BY image, y ORDER BY c) AS n FROM k),
+t AS (SELECT e.image, y, x, CASE WHEN xa = xb AND ya = yb THEN 0 ELSE least(1, greatest(0, ((x - xa) * (xb - xa) + (y - ya) * (yb - ya))::DOUBLE / ((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya)))) END AS t, xa, ya, xb, yb
+  FROM e, LATERAL (SELECT unnest(range(0, 32)) AS y), LATERAL (SELECT unnest(range(0, 40)) AS x)),
+f AS (SELECT image, y::INT AS y, x::INT AS x FROM o, LATERAL (SELECT unnest(range(greatest(0, ceil(c)::INT), least(40, floor(z)::INT + 1))) AS x) WHERE n % 2 = 1
+  UNION SELECT image, y, x FROM t WHERE (x - xa - t * (xb - xa)) * (x - xa - t * (xb - xa)) + (y - ya - t * (yb - ya)) * (y - ya - t * (yb - ya)) <= 0.25)"""
+CORNERS = """c AS (SELECT s_suppkey AS image, list_value(list_value(s_suppkey * 7 % 40, s_suppkey * 5 % 30), list_value((s_suppkey * 11 + 13) % 40, (s_suppkey * 3 + 7) % 30), list_value((s_suppkey * 17 + 5) % 40, (s_suppkey * 13 + 11) % 30),
+  list_value((s_suppkey * 19 + 23) % 40, (s_suppkey * 29 + 3) % 30)) AS p FROM supplier),
+e AS (SELECT image, p[i][1] AS xa, p[i][2] AS ya, p[i % 4 + 1][1] AS xb, p[i % 4 + 1][2] AS yb FROM c, LATERAL (SELECT unnest(range(1, 5)) AS i))"""
+TRIANGLES = """c AS (SELECT s_suppkey AS image, list_value(list_value(s_suppkey % 10, s_suppkey % 7), list_value(25 + s_suppkey % 13, s_suppkey * 3 % 9), list_value(s_suppkey * 7 % 30, 15 + s_suppkey % 14)) AS p FROM supplier),
+e AS (SELECT image, p[i][1] AS xa, p[i][2] AS ya, p[i % 3 + 1][1] AS xb, p[i % 3 + 1][2] AS yb FROM c, LATERAL (SELECT unnest(range(1, 4)) AS i))"""
+
+
+def _polygons(spark, d, corners):
+    """One polygon a supplier on a grid of 40 x 32."""
+    k = F.col("s_suppkey")
+    points = F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in corners(k)])
+    return table(spark, d, "supplier").select(k.alias("image"), F.lit(40).alias("width"), F.lit(32).alias("height"), points.alias("points"))
+
+
+@query(f"WITH {CORNERS}, {FILLED} SELECT image AS mask_id, y, x, 255 AS v FROM f")
+def polygon_fills(spark, d):
+    """Polygons of four corners anywhere, many of them crossing themselves, as masks."""
+    corners = lambda k: [(k * 7 % 40, k * 5 % 30), ((k * 11 + 13) % 40, (k * 3 + 7) % 30), ((k * 17 + 5) % 40, (k * 13 + 11) % 30), ((k * 19 + 23) % 40, (k * 29 + 3) % 30)]
+    return masks.pixels_of(masks.filled(_polygons(spark, d, corners)))
+
+
+@query(f"WITH {TRIANGLES}, {FILLED} SELECT image AS mask_id, y, x, 255 AS v FROM f")
+def polygon_outlines(spark, d):
+    """Triangles as masks, their whole outlines, and the masks that these make again."""
+    corners = lambda k: [(k % 10, k % 7), (25 + k % 13, k * 3 % 9), (k * 7 % 30, 15 + k % 14)]
+    drawn = masks.filled(_polygons(spark, d, corners))
+    return masks.pixels_of(masks.filled(masks.outlines(drawn, min_area=0, tolerance=0.0)))
+
+
+@query(
+    f"""WITH {PIXELS}, w AS (SELECT d, exp(-d * d / 1.28) / (1 + 2 * exp(-1 / 1.28)) AS w FROM (VALUES (-1), (0), (1)) t(d)),
+n AS (SELECT g.mask_id, g.y, g.x, sum(a.w * b.w * CASE WHEN p.y IS NULL THEN 0 ELSE 255 END) AS v FROM g JOIN w a ON true JOIN w b ON true
+  LEFT JOIN p ON p.mask_id = g.mask_id AND p.y = CASE WHEN g.y + a.d < 0 THEN 1 WHEN g.y + a.d > 15 THEN 14 ELSE g.y + a.d END AND p.x = CASE WHEN g.x + b.d < 0 THEN 1 WHEN g.x + b.d > 23 THEN 22 ELSE g.x + b.d END GROUP BY 1, 2, 3)
+SELECT mask_id, y, x, 255 AS v FROM n WHERE v > 127"""
+)
+def mask_smoothed(spark, d):
+    """Masks blurred by three pixels and cut at half."""
+    return masks.pixels_of(masks.per_mask(_rasters(spark, d), lambda m: masks.smooth(m, 3)))
+
+
 def _part_rasters(spark, d):
     """A mask a part, every other one at half the size."""
     k = F.col("part")
