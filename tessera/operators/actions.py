@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import captions as caption_rules
 from ..functions import text
 from . import pairing
+from .written import has_files
 
 
 def _plan(rows: DataFrame, src: Column, dst: Column, action: str) -> DataFrame:
@@ -70,7 +71,7 @@ def export_files(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
     name first, so a task that runs again leaves whole files; parquet is the sink for anything large.
     """
     system, path = fs.FileSystem.from_uri(folder)
-    if not overwrite and system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+    if not overwrite and has_files(rows.sparkSession, folder):
         raise FileExistsError(folder)
     system.create_dir(path, recursive=True)
 

@@ -38,6 +38,13 @@ class Written:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there and not empty; its first entry is all that is asked for."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(path) and system.listStatusIterator(path).hasNext()
+
+
 #: A key that a thousandth of all rows have is hot; there can be no more than a thousand of them.
 HOT_SHARE = 1000
 

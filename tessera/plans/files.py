@@ -228,6 +228,33 @@ def split_folders(spark, d):
     return out.join(again.unionByName(twice), ["target", "file"], "left")
 
 
+@query("""SELECT 'c' || s_suppkey || '.txt' AS file, CASE WHEN s_suppkey % 2 = 0 THEN 'new ' || s_name ELSE 'old ' || s_name END AS text FROM supplier""")
+def files_overwritten(spark, d):
+    """Captions exported to a folder, and every other one written over in place."""
+    s = table(spark, d, "supplier")
+    text = lambda word: s.select("s_suppkey", F.concat(F.lit("c"), "s_suppkey").alias("stem"), F.concat(F.lit(word), "s_name").alias("text"))
+    folder = Written(spark, "files").root
+    actions.export_texts(text("old "), folder)
+    actions.export_texts(text("new ").where("s_suppkey % 2 = 0"), folder, overwrite=True)
+    return sources.captions(spark, folder).select("file", "text")
+
+
+@query("""SELECT kind, 'page ' || s_suppkey || ' of ' || s_nationkey || CASE kind WHEN 'masks' THEN '_mask.png' ELSE '.json' END AS file, row_number() OVER (PARTITION BY kind ORDER BY s_suppkey) AS place
+FROM supplier, LATERAL (SELECT unnest(['masks', 'annotations']) AS kind) WHERE kind = 'masks' OR s_suppkey % 3 > 0""")
+def files_by_kind(spark, d):
+    """The masks and the annotations of a folder, each kind in natural order."""
+    s = table(spark, d, "supplier")
+    stem = F.concat(F.lit("page "), "s_suppkey", F.lit(" of "), "s_nationkey")
+    made = s.select(F.concat(stem, F.lit("_mask.png")).alias("file"), F.lit(b"m").alias("content"))
+    made = made.unionByName(s.where("s_suppkey % 3 > 0").select(F.concat(stem, F.lit(".json")).alias("file"), F.unhex(F.lit("")).alias("content")))
+    folder = _folder(spark, made)
+    out = None
+    for kind, ends in (("masks", (".png",)), ("annotations", (".json",))):
+        one = pairing.in_order(sources.listing(spark, folder, ends)).select(F.lit(kind).alias("kind"), "file", "place")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _named(spark, d):
     n = table(spark, d, "nation")
     images = pairing.with_names(n.select(F.concat("n_name", F.lit(".png")).alias("file")))
