@@ -56,16 +56,26 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(path)] if system.exists(path) else []
 
 
+_ROOTS: set[str] = set()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all operator calls of this driver, once their results have been read or written."""
+    while _ROOTS:
+        remove(spark, _ROOTS.pop())
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
     A written table cuts the lineage and outlives the executors that wrote it. ``drop``
-    removes tables that no returned DataFrame reads any more.
+    removes tables that no returned DataFrame reads any more, ``clear_scratch`` all that are left.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.add(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import components, exact_dedup, ngram_join, shingles
+from tessera.llm import components, exact_dedup, ngram_join, shared, shingles
 from tessera.llm.shared import Scratch, listed, shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,6 +68,15 @@ def test_an_index_is_found_by_its_files(spark):
     assert not [n for n in listed(spark, index.folder) if n.startswith(name)]
 
 
+def test_scratch_tables_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_ROOTS", set())
+    before = set(listed(spark, shared_dir(spark)))
+    exact_dedup.dedup_report(spark, frame(spark, [(1, "a"), (2, "A")])).collect()
+    assert set(listed(spark, shared_dir(spark))) - before - {"digest-index"}
+    shared.clear_scratch(spark)
+    assert set(listed(spark, shared_dir(spark))) - {"digest-index"} == before - {"digest-index"}
+
+
 def test_a_fold_that_fails_leaves_no_table(spark, monkeypatch):
     index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
     before = listed(spark, index.folder)
