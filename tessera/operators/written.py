@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOTS: set[str] = set()
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes the tables of all operator calls of this driver, once their results have been read or written."""
+    while _ROOTS:
+        _remove(spark, _ROOTS.pop())
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Written:
     """Tables of one operator call, as Parquet under the session's ``spark.checkpoint.dir``.
 
@@ -24,6 +38,7 @@ class Written:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.add(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
@@ -32,10 +47,8 @@ class Written:
 
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(hadoop).delete(path, True)
+            _remove(self.spark, f"{self.root}/{name}")
 
 
 def has_files(spark: SparkSession, folder: str) -> bool:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import exports, settings
+from tessera.operators import exports, settings, written
 
 
 @pytest.fixture
@@ -82,3 +82,12 @@ def test_part_settings(spark):
     }
     plain = settings.part_settings(requests.where("request = 1"), options.limit(0), registry).collect()
     assert {(r.part, r.enabled, r.conf) for r in plain} == {("face", True, 0.4), ("hand", False, 0.3)}
+
+
+def test_written_tables_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(written, "_ROOTS", set())
+    table = written.Written(spark, "clear")
+    assert table.save(spark.range(3), "rows").count() == 3
+    assert written.has_files(spark, table.root)
+    written.clear_written(spark)
+    assert not written.has_files(spark, table.root)
