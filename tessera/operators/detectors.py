@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from . import boxes, inference, masks, runs, scores, tags
 
 #: Probability from which the tag engine names a tag, unless all are asked for.
@@ -62,6 +63,41 @@ def combined_tags(images: DataFrame, looked_up: DataFrame, tagged: DataFrame) ->
     return rows.select("image", tags.merged(F.col("a"), F.col("b")).alias("tags"), by.alias("found_by"))
 
 
+def centre_boxes(outputs: DataFrame, least: float) -> DataFrame:
+    """(image, label, bbox, score) of a letterboxed model's rows (image, width, height, scale, pad_w, pad_h, row).
+
+    A ``row`` holds the centre, the size and one score, or a score a class, of which the best is the label, 0 for a
+    single one. Rows below ``least``, shorter rows and boxes with nothing on the image go.
+    """
+    several = F.size("row") > 5
+    given = F.slice("row", 5, F.size("row") - 4)
+    score = F.array_max(given)
+    rows = outputs.where(F.size("row") >= 5).withColumns({"score": score.cast("double"), "label": F.when(several, F.array_position(given, score) - 1).otherwise(0).cast("int")})
+    at = lambda i: F.get("row", F.lit(i))
+    box = geometry.from_centre(at(0), at(1), at(2), at(3), F.col("scale"), F.col("pad_w"), F.col("pad_h"), F.col("width"), F.col("height"), True)
+    found = rows.where(F.col("score") >= least).select("image", "label", box.alias("bbox"), "score")
+    return found.where("bbox.x2 > bbox.x1 AND bbox.y2 > bbox.y1")
+
+
+def boxes_only(detections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runs that all boxes cover, none suppressed, and (image, count, confidence) of the detections (image, bbox, score)."""
+    covered = runs.of_boxes(detections.select("image", "bbox.*"), ["image"])
+    return covered, detections.groupBy("image").agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("confidence"))
+
+
+def text_bubbles(images: DataFrame, candidates: DataFrame, build: Callable[[str], Callable], name: str = "reader", least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The runs of the regions of candidate masks (mask_id = image, width, height, raster) in which a model reads text, and (image, count).
+
+    A region is read in its box with a margin; one that the model fails on stays. Images without a kept region have
+    no row.
+    """
+    named = masks.regions(candidates)
+    box = F.struct(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("bbox")
+    kept = inference.text_regions(images, named.select(F.col("mask_id").alias("image"), "region", box), build, name, least).select("image", "region")
+    covered = masks.region_runs(candidates).withColumnRenamed("mask_id", "image").join(kept, ["image", "region"])
+    return runs.union(covered, ["image"]), kept.groupBy("image").agg(F.count(F.lit(1)).alias("count"))
+
+
 def refined_boxes(images: DataFrame, detections: DataFrame, build: Callable[[str], Callable], wanted: Sequence[str] = (), overlap: float | None = None, shrink: float | Column | None = None, fallback: bool = True, name: str = "refiner") -> tuple[DataFrame, DataFrame]:
     """The refined masks (mask_id, width, height, raster, source) of detections, and (image, count, confidence) of these.
 

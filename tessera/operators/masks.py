@@ -412,6 +412,28 @@ def filled(shapes: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"mask_id {kind}, width int, height int, raster binary")
 
 
+def region_runs(rasters: DataFrame, least: int = 3) -> DataFrame:
+    """(mask_id, region, y, x1, x2): the runs of each of ``regions``, numbered alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (w, h, raster) in enumerate(zip(*[batch.column(j).to_pylist() for j in (1, 2, 3)], strict=True)):
+                if raster is None:
+                    continue
+                large = [p for p in label_regions(to_array(raster, w, h)) if (np.ptp(p, axis=0) + 1 >= least).all()]
+                rows = []
+                for n, p in enumerate(large):
+                    first = np.flatnonzero(np.concatenate(([True], (np.diff(p[:, 0]) != 0) | (np.diff(p[:, 1]) != 1))))
+                    last = np.append(first[1:], len(p)) - 1
+                    rows.append(np.stack([np.full(len(first), n), p[first, 0], p[first, 1], p[last, 1] + 1]))
+                if rows:
+                    columns = np.concatenate(rows, 1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(columns.shape[1], k))), *map(pa.array, columns)], ["mask_id", "region", "y", "x1", "x2"])
+
+    kind = dict(rasters.dtypes)["mask_id"]
+    return rasters.select("mask_id", "width", "height", "raster").mapInArrow(run, f"mask_id {kind}, region int, y int, x1 int, x2 int")
+
+
 def regions(rasters: DataFrame, least: int = 3) -> DataFrame:
     """(mask_id, region, x1, y1, x2, y2, area) of each mask's regions."""
 

@@ -365,3 +365,53 @@ def saved_masks(spark, d):
         one = named.select(F.lit(option).alias("option"), "mask_id.image", "mask_id.file", F.col("mask_pixels").alias("pixels"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    """WITH r AS (SELECT vec_id AS image, vec_id % 3 AS m, 300 + vec_id % 200 AS w, 200 + vec_id % 300 AS h, (i * 23 + vec_id * 7) % 600 + 0.5::DOUBLE AS cx, (i * 41 + vec_id * 3) % 600 + 0.25::DOUBLE AS cy, 20 + (i * 13 + vec_id) % 150 AS bw, 10 + (i * 17 + vec_id) % 90 AS bh,
+  list_transform(embedding[i * 4 + 1:i * 4 + 1 + CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 0 END], lambda x: x::DOUBLE) AS s FROM embeddings, LATERAL (SELECT unnest(range(0, 6)) AS i)),
+k AS (SELECT *, list_max(s) AS score, 640::DOUBLE / greatest(w, h) AS scale, (640 - w * 640::DOUBLE / greatest(w, h)) / 2 AS pw, (640 - h * 640::DOUBLE / greatest(w, h)) / 2 AS ph FROM r),
+b AS (SELECT image, list_position(s, score) - 1 AS label, score, greatest(0, trunc((cx - bw / 2 - pw) / scale))::INT AS x1, greatest(0, trunc((cy - bh / 2 - ph) / scale))::INT AS y1, least(w, trunc((cx + bw / 2 - pw) / scale))::INT AS x2,
+  least(h, trunc((cy + bh / 2 - ph) / scale))::INT AS y2 FROM k WHERE score >= 0.05)
+SELECT image, label::INT AS label, x1, y1, x2, y2, round(score, 6) AS score FROM b WHERE x2 > x1 AND y2 > y1"""
+)
+def centre_boxes(spark, d):
+    """Boxes of a letterboxed model's rows, some with one score and some with three."""
+    v, i = F.col("vec_id"), F.col("i")
+    w, h = (300 + v % 200).cast("int"), (200 + v % 300).cast("int")
+    scale = 640.0 / F.greatest(w, h)
+    values = [(i * 23 + v * 7) % 600 + 0.5, (i * 41 + v * 3) % 600 + 0.25, (20 + (i * 13 + v) % 150).cast("double"), (10 + (i * 17 + v) % 90).cast("double")]
+    some = F.transform(F.slice("embedding", i * 4 + 1, F.when(v % 2 == 0, 3).otherwise(1)), lambda x: x.cast("double"))
+    rows = table(spark, d, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    outputs = rows.select(
+        v.alias("image"), w.alias("width"), h.alias("height"), scale.alias("scale"), ((640 - w * scale) / 2).alias("pad_w"), ((640 - h * scale) / 2).alias("pad_h"), F.concat(F.array(*values), some).alias("row")
+    )
+    found = detectors.centre_boxes(outputs, 0.05)
+    return found.select("image", "label", "bbox.*", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {SMALL}, p AS (SELECT DISTINCT image, y, x FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x)), s AS (SELECT image, count(*) AS pixels FROM p GROUP BY 1)
+SELECT image, 4::BIGINT AS count, 0.25::DOUBLE AS confidence, pixels FROM s"""
+)
+def boxes_only(spark, d):
+    """All boxes as one mask, with their number and mean score."""
+    b = _small_boxes(spark, d)
+    covered, seen = detectors.boxes_only(b.select("image", geometry.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), ((F.col("i") + 1) / 10).alias("score")))
+    return runs.areas(covered, ["image"]).join(seen, "image").select("image", "count", F.round("confidence", 6).alias("confidence"), "pixels")
+
+
+@query(
+    f"""WITH RECURSIVE {SMALL}, p AS (SELECT DISTINCT image, y, x, y * 24 + x AS id FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE i < 3),
+r AS (SELECT image, id, y, x, id AS seen FROM p UNION SELECT r.image, r.id, m.y, m.x, m.id FROM r JOIN p m ON m.image = r.image AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1),
+l AS (SELECT image, id, min(seen) AS label FROM r GROUP BY 1, 2),
+k AS (SELECT image, label, min(p.x) AS x1, min(p.y) AS y1, max(p.x) + 1 AS x2, max(p.y) + 1 AS y2, count(*) AS area FROM l JOIN p USING (image, id) GROUP BY 1, 2),
+m AS (SELECT *, greatest(2, floor(least(x2 - x1, y2 - y1) * 0.05))::INT AS e FROM k WHERE x2 - x1 >= 3 AND y2 - y1 >= 3),
+c AS (SELECT image, area, (least(24, x2 + e) - greatest(0, x1 - e)) * (least(16, y2 + e) - greatest(0, y1 - e)) AS n FROM m)
+SELECT image, count(*) AS count, sum(area)::BIGINT AS pixels FROM c WHERE n % 5 = 0 OR n % 3 > 0 GROUP BY 1"""
+)
+def text_bubbles(spark, d):
+    """Regions of masks in whose crops a model reads text, joined again."""
+    rasters = runs.rasterized(runs.of_boxes(_small_boxes(spark, d).where("i < 3"), ["image"]), "image", F.lit(24), F.lit(16))
+    covered, seen = detectors.text_bubbles(_images(spark, d, 24, 16), rasters, _reader, "bubbles")
+    return runs.areas(covered, ["image"]).join(seen, "image").select("image", "count", "pixels")
