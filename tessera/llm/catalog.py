@@ -26,4 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_url_lists": url_lists.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_reshard": resharding.SQL,
+    "op13_periodic_runs": periodic.SQL,
 }

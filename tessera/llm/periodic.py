@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import mixed
-from .shared import WORD, read_table
+from .shared import CRC_TABLE, WORD, crc32_sql, read_table
 
 #: Words and periods that a run has at least.
 LEAST_LENGTH, LEAST_EXPONENT = 6, 4
@@ -194,3 +194,26 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+#: Equal 5-grams a period apart, in unbroken stretches, are runs of four words more and a period. 232792560, which the
+#: numbers to 20 divide, keeps exponents apart that differ little.
+SQL = rf"""
+WITH {CRC_TABLE},
+x AS (SELECT doc_id, hex(encode(doc_id::VARCHAR)) AS s, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS o FROM documents),
+y AS (SELECT row_number() OVER () AS r, doc_id, o, len(o) AS n, {crc32_sql('s')} AS h FROM x, t),
+a AS (SELECT r, doc_id, o, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) ELSE 1 END AS p FROM y),
+w AS (SELECT r, doc_id, n, list_transform(range(0, n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) AS w FROM a),
+u AS (SELECT r, n, i, w[i + 1] AS word, array_to_string(w[i + 1:i + 5], chr(10)) AS gram FROM w, LATERAL (SELECT unnest(range(0, n)) AS i)),
+g AS (SELECT * FROM u WHERE i + 5 <= n),
+m AS (SELECT b.r, b.i, c.i - b.i AS q FROM g b JOIN g c ON c.r = b.r AND c.gram = b.gram AND c.i > b.i AND 4 * (c.i - b.i) <= b.n),
+l AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+s AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM l GROUP BY r, q, island),
+f AS (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+t1 AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS shown FROM f GROUP BY 1),
+t2 AS (SELECT r, start, length, period FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY length * 232792560 // period DESC, (length * 232792560 % period)::DOUBLE / period DESC, start, period) = 1),
+t3 AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM f),
+t4 AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN t3 USING (r, i) GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN t1 USING (r) LEFT JOIN t2 USING (r) LEFT JOIN t4 USING (r)
+"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, read_table
+from .shared import CRC_TABLE, Scratch, crc32_sql, read_table
 
 #: Shards of the query before and after.
 OLD_SHARDS, NEW_SHARDS = 12, 16
@@ -254,18 +254,42 @@ def shard_documents(spark: SparkSession, docs: DataFrame, old: int = OLD_SHARDS,
     """doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null) and old_shard of each row.
 
     The old shards go by a hash of the text, so a text that many rows share makes its shard large.
-    The longest texts of a shard stay, and cuts fall among its short ones; equal texts lie side by
-    side. Null text has no bytes and counts as empty. Repeated rows have a slot each; an empty
+    The longest texts of a shard stay, and cuts fall among its short ones; equal texts, which their sizes and
+    hashes stand for, lie side by side. Null text has no bytes and counts as empty. Repeated rows have a slot each; an empty
     table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    rows = rows.withColumn("shard", F.pmod("text_hash", F.lit(old)).cast("int")).withColumn("row", F.monotonically_increasing_id())
-    rows = Scratch(spark, "shards").save(rows, "sized")
-    order = [F.col("size").desc(), F.col("text_hash"), F.col("text_crc32"), F.col("doc_id"), F.col("row")]
-    found = assign(spark, rows, order, new, group="text_hash")
+    rows = docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = rows.withColumn("shard", F.pmod("text_crc32", F.lit(old)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    rows = Scratch(spark, "shards").save(rows.withColumn("same", F.struct("size", "text_crc32")), "sized")
+    order = [F.col("size").desc(), F.col("text_crc32"), F.col("doc_id"), F.col("row")]
+    found = assign(spark, rows, order, new, group="same")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("new_shard").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("shard").alias("old_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: With costs of 0 for bytes that stay and 1 for others, surpluses in order fill free room in order.
+SQL = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS s FROM documents),
+c AS (SELECT doc_id, size, {crc32_sql("s")} AS crc FROM d, t),
+o AS (SELECT row_number() OVER () AS id, doc_id, size, crc, crc % {OLD_SHARDS} AS old FROM c),
+l AS (SELECT *, row_number() OVER w - 1 AS rank, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o WINDOW w AS (PARTITION BY old ORDER BY size DESC, crc, doc_id NULLS FIRST, id)),
+n AS (SELECT sum(size) AS total FROM o),
+r AS (SELECT j, total // {NEW_SHARDS} + CASE WHEN j < total % {NEW_SHARDS} THEN 1 ELSE 0 END AS room FROM n, range({NEW_SHARDS}) k(j)),
+b AS (SELECT old, sum(size) AS bytes FROM o GROUP BY 1),
+k AS (SELECT j, room, coalesce(bytes, 0) AS bytes, least(room, coalesce(bytes, 0)) AS stay FROM r LEFT JOIN b ON old = j),
+u AS (SELECT j AS i, stay, bytes - stay AS more, sum(bytes - stay) OVER (ORDER BY j) AS upto FROM k),
+v AS (SELECT j, room - stay AS free, sum(room - stay) OVER (ORDER BY j) AS upto FROM k),
+f AS (SELECT i, j, least(u.upto, v.upto) - greatest(u.upto - more, v.upto - free) AS bytes FROM u, v WHERE least(u.upto, v.upto) > greatest(u.upto - more, v.upto - free) UNION ALL SELECT i, i, stay FROM u WHERE stay > 0),
+e AS (SELECT i, j, row_number() OVER w AS k, sum(bytes) OVER w AS high, sum(bytes) OVER (PARTITION BY i) AS whole FROM f WINDOW w AS (PARTITION BY i ORDER BY i <> j, j)),
+g AS (SELECT old, size, crc, min(pos) AS low, max(pos + size) AS high FROM l GROUP BY 1, 2, 3),
+m AS (SELECT e.i, e.j, e.k, CASE WHEN e.high < whole AND g.high - g.low <= (SELECT max(room) FROM r) // {WHOLE_SHARE} THEN CASE WHEN e.high - g.low <= g.high - e.high THEN g.low ELSE g.high END ELSE e.high END AS high
+  FROM e LEFT JOIN g ON g.old = e.i AND g.low <= e.high AND e.high < g.high),
+h AS (SELECT i, j, coalesce(max(high) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, max(high) OVER (PARTITION BY i ORDER BY k) AS high FROM m),
+p AS (SELECT l.*, j FROM l JOIN h ON h.i = l.old AND h.low <= l.pos AND l.pos < h.high)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, j::INT AS shard, row_number() OVER (PARTITION BY j ORDER BY old, rank) - 1 AS slot, NULL::INT AS grown_shard, old::INT AS old_shard FROM p
+"""

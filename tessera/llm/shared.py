@@ -135,3 +135,13 @@ def join_spread(rows: DataFrame, wide: DataFrame, key: str, by: str, keys: DataF
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts in UTF-8, by one pass over them."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+#: SQL for the table ``t`` (t) of CRC-32: what each byte adds, by the format's fixed polynomial.
+CRC_TABLE = """t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i)))"""
+
+
+def crc32_sql(digits: str) -> str:
+    """SQL for the CRC-32 of bytes in hexadecimal, where ``t`` is at hand."""
+    byte = f"list_transform(regexp_extract_all({digits}, '..'), lambda d: ('0x' || d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, Scratch, read_table
+from .shared import CRC_TABLE, LOWER, UPPER, Scratch, crc32_sql, read_table
 
 #: Letters of a run: ASCII and Latin-1.
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -147,3 +147,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = variants(spark, word_counts(with_planted_slips(text_words(docs))))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, w, count(*) AS n FROM r GROUP BY 1, 2),
+x AS (SELECT w, n, hex(encode(d || ':' || w)) AS s FROM g),
+h AS (SELECT w, n, {crc32_sql('s')} AS h FROM x, t),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+o AS (SELECT word, count(*) AS n_near, max(m) AS best FROM p GROUP BY 1),
+f AS (SELECT p.word, min(near) AS near, any_value(n_near) AS n_near, any_value(best) AS best FROM p JOIN o ON o.word = p.word AND p.m = o.best GROUP BY 1),
+k AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10 * v.n THEN near END AS form, CASE WHEN best >= 10 * v.n THEN best END AS form_n FROM v LEFT JOIN f USING (word)),
+z AS (SELECT word, word AS root, 0 AS depth FROM k UNION ALL SELECT z.word, k.form, depth + 1 FROM z JOIN k ON k.word = z.root WHERE k.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, depth) AS root FROM z GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM k JOIN e USING (word)
+"""
