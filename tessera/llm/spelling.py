@@ -78,7 +78,9 @@ def near_pairs(spark: SparkSession, words: DataFrame, scratch: Scratch) -> DataF
     # Equal lengths: one order of the two. The key of an offered word as the longer one has the length before it.
     gap = F.col("b.length") - F.col("a.length")
     met = met.where((gap == 1) | (gap == 0) & (F.col("a.word") < F.col("b.word")))
-    same = [F.get("a.mask", F.lit(k)) == F.get("b.mask", F.lit(k)) for k in bands]
+    flips = [F.bit_count(F.get("a.mask", F.lit(k)).bitwiseXOR(F.get("b.mask", F.lit(k)))) for k in bands]
+    met = met.where(sum(flips[1:], flips[0]) < BANDS)
+    same = [f == 0 for f in flips]
     first = _half(F.col("a.word"), F.col("a.length"), 0) == _half(F.col("b.word"), F.col("a.length"), 0)
     for k in bands:  # equal keys of other bands or halves are collisions of hashes
         met = met.where((F.col("a.band") > k) & ~same[k] | (F.col("a.band") == k) & same[k] | (F.col("a.band") < k))
