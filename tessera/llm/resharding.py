@@ -153,7 +153,7 @@ def assign(spark: SparkSession, rows: DataFrame, order: Sequence[Column], capaci
     """Adds ``new_shard`` and ``slot`` (place in it, gapless from 0) to each row of (shard, size, ...).
 
     ``capacities``: bytes of each new shard, or a number of shards of equal ones. Each new shard gets its
-    part of the cheapest flow, up to the row at each cut; with ``group``, rows of one value that
+    part of the cheapest flow, up to half of the row at each cut, which goes where its middle lies; with ``group``, rows of one value that
     ``order`` puts side by side are cut only if they hold a WHOLE_SHARE-th of a shard. Sizes and
     shards are not null and sizes are not negative. Repeated rows count each; an empty table
     gives no rows. Reruns agree but for rows that ``order`` cannot tell apart.
@@ -172,7 +172,7 @@ def assign(spark: SparkSession, rows: DataFrame, order: Sequence[Column], capaci
     last = {i: max(b[3] for b in blocks if b[0] == i) for i in {b[0] for b in blocks}}
     blocks = [(i, j, low, high if high < last[i] else high + 1) for i, j, low, high in blocks] + [(i, i % len(room), 0, 1) for i in sizes if i not in last]
     table = F.broadcast(spark.createDataFrame(blocks, "shard int, new_shard int, low long, high long"))
-    found = placed.join(table, "shard").where("low <= offset AND offset < high").drop("low", "high")
+    found = placed.join(table, "shard").where("2 * low <= 2 * offset + size AND 2 * offset + size < 2 * high").drop("low", "high")
     counts = {(r["shard"], r["new_shard"]): (r["first"], r["rows"]) for r in found.groupBy("shard", "new_shard").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("rows")).collect()}
     shifts, filled = [], {}
     for (i, j), (first, number) in sorted(counts.items()):
@@ -290,6 +290,6 @@ g AS (SELECT old, size, crc, min(pos) AS low, max(pos + size) AS high FROM l GRO
 m AS (SELECT e.i, e.j, e.k, CASE WHEN e.high < whole AND g.high - g.low <= (SELECT max(room) FROM r) // {WHOLE_SHARE} THEN CASE WHEN e.high - g.low <= g.high - e.high THEN g.low ELSE g.high END ELSE e.high END AS high
   FROM e LEFT JOIN g ON g.old = e.i AND g.low <= e.high AND e.high < g.high),
 h AS (SELECT i, j, coalesce(max(high) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, max(high) OVER (PARTITION BY i ORDER BY k) AS high FROM m),
-p AS (SELECT l.*, j FROM l JOIN h ON h.i = l.old AND h.low <= l.pos AND l.pos < h.high)
+p AS (SELECT l.*, j FROM l JOIN h ON h.i = l.old AND 2 * h.low <= 2 * l.pos + l.size AND 2 * l.pos + l.size < 2 * h.high)
 SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, j::INT AS shard, row_number() OVER (PARTITION BY j ORDER BY old, rank) - 1 AS slot, NULL::INT AS grown_shard, old::INT AS old_shard FROM p
 """
