@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, join_folded
 
-#: Rows whose folded rows are broadcast whole; of more, those of hot nodes only.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a key may have all of them in one task.
+PLAIN_ROWS = 200_000
 
 
 def _met(rows: DataFrame, folded: DataFrame, key: str, total: int) -> DataFrame:
     """Rows, ``total`` at most, with the folded row of their key, which counts them in ``n``."""
-    return rows.join(F.broadcast(folded), key) if total <= BROADCAST_ROWS else join_folded(rows, folded, key, "n", total)
+    return rows.join(folded, key) if total <= PLAIN_ROWS else join_folded(rows, folded, key, "n", total)
 
 
 def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def connected(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str
 
     Alternating stars: each node hands its larger neighbours, then its smaller ones, to the
     smallest of them, until nothing changes. A round moves no more rows than there are links,
-    a node of a thousandth of all links meets its broadcast row, and every round is a written table.
+    a node of a thousandth of many links meets its broadcast row, and every round is a written table.
     """
     both = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.save(both, f"{name}-edges-0")

@@ -208,7 +208,7 @@ def test_word_hashes_follow_words(monkeypatch):
 
 @pytest.mark.parametrize("few", [0, 200_000])
 def test_components_of_chains_and_stars(spark, monkeypatch, few):
-    monkeypatch.setattr(components, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(components, "PLAIN_ROWS", few)
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     links += [(rng.randint(300, 360), rng.randint(300, 360)) for _ in range(45)]
