@@ -21,10 +21,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .pieces import MEMO, Memo, apart, cut, distinct, load, packed, span_hashes
+from .pieces import Memo, apart, cut, distinct, load, packed, span_hashes
 from .shared import read_table
 
 
+#: Pre-tokens whose ids a worker remembers before it starts anew, some 200 bytes each.
+MEMO = 1 << 18
+
+
 @functools.cache
 def byte_chars() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in byte-level vocabularies."""
@@ -169,7 +173,7 @@ class ByteCodec:
         for text, i in self.special.items():
             self.table[i] = text.encode()
         self.shown = [b"%d," % i for i in range(size)]
-        self.memo = Memo()
+        self.memo = Memo(MEMO)
         self._forget()
 
     def _forget(self) -> None:
