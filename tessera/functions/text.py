@@ -26,6 +26,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def strip_spaces(c: Column) -> Column:
+    """Without the space characters, of all of Unicode, at both ends; tabs and line ends stay."""
+    return F.regexp_replace(c, r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
+def lower_each(c: Column) -> Column:
+    """Each letter in lower case by itself, whatever stands beside it."""
+    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+
+
 def strip_commas(c: Column) -> Column:
     return F.regexp_replace(c, r"^,+|,+$", "")
 
@@ -61,9 +71,9 @@ def literals(values: Sequence[str]) -> Column:
 # Lists of tags and keywords
 
 
-def comma_list(c: Column) -> Column:
-    """Trimmed, non-blank parts between commas, in order."""
-    return F.filter(F.transform(F.split(c, ","), strip), lambda t: t != "")
+def comma_list(c: Column, plain: bool = False) -> Column:
+    """Trimmed, non-blank parts between commas, in order; ``plain`` trims spaces only."""
+    return F.filter(F.transform(F.split(c, ","), strip_spaces if plain else strip), lambda t: t != "")
 
 
 def tokens(c: Column) -> Column:
@@ -71,9 +81,9 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(comma_list(F.lower(c)))
 
 
-def normal_tag(c: Column) -> Column:
-    """Trimmed, lower case, spaces as underscores."""
-    return F.replace(F.lower(strip(c)), F.lit(" "), F.lit("_"))
+def normal_tag(c: Column, plain: bool = False) -> Column:
+    """Trimmed, lower case, spaces as underscores; ``plain`` trims spaces only and lower-cases letter by letter, as SQL does."""
+    return F.replace(lower_each(strip_spaces(c)) if plain else F.lower(strip(c)), F.lit(" "), F.lit("_"))
 
 
 def first_distinct(items: Column, key) -> Column:
@@ -97,22 +107,23 @@ def append_missing(tags: Column, extra: Column) -> Column:
     return F.concat(tags, F.array_except(extra, tags))
 
 
-def insert_tags(c: Column, new: Sequence[str], prepend: bool = True) -> Column:
+def insert_tags(c: Column, new: Sequence[str], prepend: bool = True, plain: bool = False) -> Column:
     """The caption text with tags put into its first paragraph; null if all are there already.
 
-    Spellings that differ in case, or in space and underscore, are the same tag.
+    Spellings that differ in case, or in space and underscore, are the same tag. ``plain`` takes line
+    ends as they are and tags as ``normal_tag`` does.
     """
 
     def put(p: Column) -> Column:
-        missing = F.filter(literals(new), lambda t: ~F.array_contains(p["known"], normal_tag(t)))
+        missing = F.filter(literals(new), lambda t: ~F.array_contains(p["known"], normal_tag(t, plain)))
         return let(missing, lambda m: F.when(F.size(m) > 0, F.concat(F.array_join(F.concat(m, p["have"]) if prepend else F.concat(p["have"], m), ", "), p["rest"])))
 
     def parted(parts: Column) -> Column:
         rest = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
         rest = F.when(rest != "", F.concat(F.lit("\n\n"), rest)).otherwise("").alias("rest")
-        return let(comma_list(F.element_at(parts, 1)), lambda have: let(F.struct(have.alias("have"), F.transform(have, normal_tag).alias("known"), rest), put))
+        return let(comma_list(F.element_at(parts, 1), plain), lambda have: let(F.struct(have.alias("have"), F.transform(have, lambda t: normal_tag(t, plain)).alias("known"), rest), put))
 
-    return let(F.split(line_ends(c), "\n\n", 2), parted)
+    return let(F.split(c if plain else line_ends(c), "\n\n", 2), parted)
 
 
 # Keywords and refusals

@@ -11,28 +11,28 @@ from .. import vocab
 from ..functions import text
 
 
-def tag_rows(captions: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, ord, tag, tag_normalized) of the first paragraph's tags, in order."""
+def tag_rows(captions: DataFrame, key: str, body: str, plain: bool = False) -> DataFrame:
+    """(key, ord, tag, tag_normalized) of the first paragraph's tags, in order; ``plain`` as in ``text.normal_tag``."""
     first = F.element_at(F.split(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), "\n\n", 2), 1)
-    rows = captions.select(F.col(key).alias("key"), F.posexplode(text.comma_list(first)).alias("ord", "tag"))
-    return rows.withColumn("tag_normalized", text.normal_tag(F.col("tag")))
+    rows = captions.select(F.col(key).alias("key"), F.posexplode(text.comma_list(first, plain)).alias("ord", "tag"))
+    return rows.withColumn("tag_normalized", text.normal_tag(F.col("tag"), plain))
 
 
-def inventory(captions: DataFrame, key: str, body: str, order: Column | None = None) -> DataFrame:
+def inventory(captions: DataFrame, key: str, body: str, order: Column | None = None, plain: bool = False) -> DataFrame:
     """tag_normalized, tag (its first spelling by ``order`` of the keys) and count of distinct keys.
 
     Repeats within a caption fold before the shuffle by tag; a tag of a third of all captions
     is one partial row a task.
     """
-    rows = tag_rows(captions, key, body)
+    rows = tag_rows(captions, key, body, plain)
     first = F.struct((order if order is not None else F.col("key")).alias("order"), F.col("ord"))
     once = rows.groupBy("key", "tag_normalized").agg(F.min(F.struct(first.alias("at"), "tag")).alias("seen"))
     return once.groupBy("tag_normalized").agg(F.min("seen")["tag"].alias("tag"), F.count(F.lit(1)).alias("count"))
 
 
-def inventory_keys(captions: DataFrame, key: str, body: str) -> DataFrame:
+def inventory_keys(captions: DataFrame, key: str, body: str, plain: bool = False) -> DataFrame:
     """(tag_normalized, key) once each: the inverted index in long form."""
-    return tag_rows(captions, key, body).select("tag_normalized", "key").distinct()
+    return tag_rows(captions, key, body, plain).select("tag_normalized", "key").distinct()
 
 
 def translate(tags: DataFrame, dictionary: DataFrame, column: str = "tag_normalized") -> DataFrame:

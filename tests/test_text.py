@@ -133,3 +133,26 @@ def test_any_text_splits(value):
     got = value(captions.split_caption, *texts)
     assert all(r.mode and r.confidence and r.tags_text is not None and r.caption_text is not None for r in got)
     assert len(value(captions.normal_format, *texts)) == 400
+
+
+def test_plain_tags_trim_spaces_only(value, spark):
+    parts = lambda c: text.comma_list(c, plain=True)
+    assert value(parts, " a ,\nb\t,  , 　c ,d \n") == [["a", "\nb\t", "c", "d \n"]]
+    assert value(lambda c: text.normal_tag(c, plain=True), " Long Hair", "ΑΣ", "İx", "\n A") == ["long_hair", "ασ", "ix", "\n_a"]
+    put = lambda c: text.insert_tags(c, ["x", "A b"], plain=True)
+    assert value(put, "a,\nb", "X,\na_b", "a_b\r\n\r\nc", "x , a B\n\nc", None) == ["x, A b, a, \nb", "A b, X, \na_b", "x, A b, a_b\r\n\r\nc", None, None]
+
+
+@pytest.mark.parametrize("query", ["insert_tags", "tag_index", "tag_inventory"])
+def test_tag_queries_agree_with_sql_on_odd_texts(spark, tmp_path, query):
+    import duckdb
+
+    from tessera.plans import catalog
+
+    texts = ["a,\nb, The", "\tA ,b ,the", "Extra Tag,\r\nthe\n\nrest, of", "ΑΣ, İx", "the, extra_tag", "a\rb, c \n", "", None, " ,\n,"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(catalog.ORACLE_SQL[query]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
