@@ -31,8 +31,7 @@ g AS (SELECT mask_id, y::INT AS y, x::INT AS x FROM i, LATERAL (SELECT unnest(ra
 
 
 def _rasters(spark, d):
-    pixels = masks.box_pixels(_boxes(spark, d).select(F.col("image").alias("mask_id"), "x1", "y1", "x2", "y2"))
-    return masks.rasterized(pixels, "mask_id", F.lit(W), F.lit(H))
+    return masks.drawn(_boxes(spark, d), "image", F.lit(W), F.lit(H))
 
 
 @query(f"WITH {PIXELS} SELECT mask_id, y, x, 255 AS v FROM p")
@@ -159,7 +158,7 @@ def _apart(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(F.lit(0), F.lit(40))).alias("k"))
     x, y = (F.pmod(k * 7, F.lit(5)) + F.col("k")).cast("int"), F.pmod(k * 5, F.lit(9)).cast("int")
     boxed = rows.select(k.alias("mask_id"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 20).cast("int").alias("x2"), (y + 9 + F.col("s_nationkey") % 20).cast("int").alias("y2"))
-    return masks.rasterized(masks.box_pixels(boxed), "mask_id", F.lit(80), F.lit(40))
+    return masks.drawn(boxed, "mask_id", F.lit(80), F.lit(40))
 
 
 @query(
@@ -232,12 +231,10 @@ def mask_smoothed(spark, d):
 
 def _part_rasters(spark, d):
     """A mask a part, every other one at half the size."""
-    k = F.col("part")
-    b = _boxes(spark, d)
-    pixels = masks.box_pixels(b.select(k.alias("mask_id"), "x1", "y1", "x2", "y2"))
-    size = F.when(F.col("mask_id") % 2 == 0, 2).otherwise(1)
-    small = pixels.select("mask_id", F.floor(F.col("y") / size).cast("int").alias("y"), F.floor(F.col("x") / size).cast("int").alias("x"), "v")
-    return masks.rasterized(small, "mask_id", (F.lit(W) / size).cast("int"), (F.lit(H) / size).cast("int"))
+    size = F.when(F.col("part") % 2 == 0, 2).otherwise(1)
+    low, high = (lambda c: F.floor(F.col(c) / size).cast("int")), (lambda c: F.ceil(F.col(c) / size).cast("int"))
+    small = _boxes(spark, d).select("part", low("x1").alias("x1"), low("y1").alias("y1"), high("x2").alias("x2"), high("y2").alias("y2"))
+    return masks.drawn(small, "part", (F.lit(W) / size).cast("int"), (F.lit(H) / size).cast("int"))
 
 
 MERGED = f"""{PIXELS}, q AS (SELECT image, part, part % 2 = 0 AS small, x, y FROM b, LATERAL (SELECT unnest(range(y1, y2)) AS y), LATERAL (SELECT unnest(range(x1, x2)) AS x) WHERE y < 16 AND x < 24),

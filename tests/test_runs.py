@@ -87,3 +87,35 @@ def test_merged_files_by_operation(spark):
     assert [tuple(r) for r in masks.covered_share(frame(spark, {})).collect()] == [("none", None, None)]
     with pytest.raises(ValueError):
         masks.merged_files(rasters, operation="xor")
+
+
+def test_boxes_are_dealt_whole(spark):
+    made = [("a", -3, 5, 4, 2 * runs.BAND + 9), ("a", 2, runs.BAND - 1, 9, runs.BAND + 1), ("b", 0, 0, 2, 1), ("a", 4, 7, 5, 8), (None, 1, 1, 2, 2), ("b", 3, 3, 3, 9)]
+    boxes = spark.createDataFrame(made, "image string, x1 int, y1 long, x2 int, y2 long")
+    found = runs.of_boxes(boxes, ["image"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and dict(found.dtypes) == {"image": "string", "y": "bigint", "x1": "int", "x2": "int"}
+    want = {(k, y, x) for k, x1, y1, x2, y2 in made for y in range(y1, y2) for x in range(x1, x2)}
+    got = [(r.image, r.y, x) for r in found.collect() for x in range(r.x1, r.x2)]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_rasters_of_boxes(spark):
+    made = [("a", -3, 5, 4, 9), ("a", 2, 1, 9, 3), ("b", 20, 0, 22, 1), ("c", 10, 6, 40, 70)]
+    boxes = spark.createDataFrame(made, "image string, x1 int, y1 int, x2 int, y2 int")
+    found = masks.drawn(boxes, "image", F.lit(12), F.lit(7))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.mask_id: np.frombuffer(r.raster, np.uint8).reshape(7, 12) for r in found.collect()}
+    want = back(runs.of_boxes(boxes, ["image"]).where("image <> 'b'"), "image")
+    assert set(got) == {"a", "c"} and all(np.array_equal(got[k], want[k]) for k in got)
+    pixels = masks.pixels_of(found)
+    again = masks.rasterized(pixels, "mask_id", F.lit(12), F.lit(7)).collect()
+    assert pixels.count() == sum(int((v > 0).sum()) for v in got.values()) and {r.mask_id: bytes(r.raster) for r in again} == {k: v.tobytes() for k, v in got.items()}
+
+
+def test_raster_queries_make_no_pixel_rows_before_rasters(spark, tmp_path):
+    from tessera.plans import rasters
+
+    spark.range(20).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (rasters._rasters(spark, str(tmp_path)), rasters._part_rasters(spark, str(tmp_path))):
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
