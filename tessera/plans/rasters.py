@@ -149,15 +149,15 @@ def mask_from_probabilities(spark, d):
 
 
 #: Boxes far enough apart to be regions of their own, large enough to have an outline.
-APART = """b AS (SELECT s_suppkey AS image, (s_suppkey * 7) % 5 + k * 40 AS x1, (s_suppkey * 5) % 9 AS y1, (s_suppkey * 7) % 5 + k * 40 + 10 + s_suppkey % 20 AS x2, (s_suppkey * 5) % 9 + 9 + s_nationkey % 20 AS y2
-  FROM supplier, LATERAL (SELECT unnest([0, 1]) AS k))"""
+APART = """b AS (SELECT p_partkey AS image, (p_partkey * 7) % 5 + k * 40 AS x1, (p_partkey * 5) % 9 AS y1, (p_partkey * 7) % 5 + k * 40 + 10 + p_partkey % 20 AS x2, (p_partkey * 5) % 9 + 9 + p_size % 20 AS y2
+  FROM part, LATERAL (SELECT unnest([0, 1]) AS k))"""
 
 
 def _apart(spark, d):
-    k = F.col("s_suppkey")
-    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(F.lit(0), F.lit(40))).alias("k"))
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.array(F.lit(0), F.lit(40))).alias("k"))
     x, y = (F.pmod(k * 7, F.lit(5)) + F.col("k")).cast("int"), F.pmod(k * 5, F.lit(9)).cast("int")
-    boxed = rows.select(k.alias("mask_id"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 20).cast("int").alias("x2"), (y + 9 + F.col("s_nationkey") % 20).cast("int").alias("y2"))
+    boxed = rows.select(k.alias("mask_id"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 20).cast("int").alias("x2"), (y + 9 + F.col("p_size") % 20).cast("int").alias("y2"))
     return masks.drawn(boxed, "mask_id", F.lit(80), F.lit(40))
 
 
@@ -178,7 +178,7 @@ def mask_annotations(spark, d):
 def annotation_masks(spark, d):
     """Annotations to masks: polygons drawn, one mask an image."""
     drawn = masks.filled(masks.outlines(_apart(spark, d)))
-    return masks.area_ratio(masks.pixels_of(drawn), "mask_id", F.lit(1)).select("mask_id", "pixels")
+    return masks.covered_share(drawn).select("mask_id", F.col("mask_pixels").alias("pixels"))
 
 
 #: SQL for the pixels of polygons ``e`` (image, i, xa, ya, xb, yb: an edge each) on a grid of 40 x 32: between each

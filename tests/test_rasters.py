@@ -154,3 +154,13 @@ def test_painted_pictures(spark):
     assert got["a"] == want.tobytes() and got["b"] == got["c"] == view.tobytes() and got["n"] is None
     files = png.written_masks(spark.createDataFrame([("x", 6, 4, bytearray(view.tobytes())), ("y", 1, 2, bytearray(range(8)))], "mask_id string, width int, height int, raster binary")).collect()
     assert np.array_equal(png.decode(files[0].content), view) and png.decode(files[1].content).shape == (2, 1, 4)
+
+
+def test_annotation_queries_take_every_part(spark, tmp_path):
+    from tessera.plans import catalog
+
+    spark.range(1, 24).selectExpr("id AS p_partkey", "CAST(id * 3 % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    shapes = catalog.QUERIES["mask_annotations"](spark, str(tmp_path)).collect()
+    assert sorted(r.image for r in shapes) == [k for k in range(1, 24) for _ in range(2)] and {r.corners for r in shapes} == {4}
+    want = {k: 2 * (10 + k % 20) * (9 + k * 3 % 50 % 20) for k in range(1, 24)}
+    assert {r.mask_id: r.pixels for r in catalog.QUERIES["annotation_masks"](spark, str(tmp_path)).collect()} == want
