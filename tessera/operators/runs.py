@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from .masks import COVERED, to_array
+from .masks import COVERED, sliced, to_array
 
 
 #: Lines of pixels of one key that meet in a task, and lines that are swept at once.
@@ -173,7 +173,7 @@ def of_rasters(rasters: DataFrame) -> DataFrame:
     """(mask_id, y, x1, x2) of rasters (mask_id, width, height, raster): pixels above COVERED; a null raster has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             owner, rows = [], []
             for k, (w, h, raster) in enumerate(zip(*[batch.column(j).to_pylist() for j in (1, 2)], batch.column(3), strict=True)):
                 if raster.is_valid and w and h:
@@ -201,7 +201,7 @@ def rasterized(runs: DataFrame, key: str, width: Column, height: Column) -> Data
     rows = runs.groupBy(F.col(key).alias("mask_id"), width.cast("int").alias("width"), height.cast("int").alias("height")).agg(F.collect_list(one).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own, ends = batch.column(3).flatten(), np.cumsum(pc.list_value_length(batch.column(3)).to_numpy())
             ys, lows, highs = [own.field(c).to_numpy() for c in ("y", "x1", "x2")]
             made, at = [], 0

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,25 @@ def test_annotation_queries_take_every_part(spark, tmp_path):
     assert sorted(r.image for r in shapes) == [k for k in range(1, 24) for _ in range(2)] and {r.corners for r in shapes} == {4}
     want = {k: 2 * (10 + k % 20) * (9 + k * 3 % 50 % 20) for k in range(1, 24)}
     assert {r.mask_id: r.pixels for r in catalog.QUERIES["annotation_masks"](spark, str(tmp_path)).collect()} == want
+
+
+def test_steps_take_large_batches_in_pieces(spark):
+    n = 2 * masks.MASKS_AT_ONCE + 5
+    batch = pa.RecordBatch.from_pydict({"k": list(range(n))})
+    assert [b.num_rows for b in masks.sliced([batch, batch.slice(0, 0)])] == [masks.MASKS_AT_ONCE, masks.MASKS_AT_ONCE, 5]
+    rows = spark.range(0, n, 1, 1)
+    boxes_ = rows.select("id", F.lit(1).alias("x1"), F.lit(0).alias("y1"), (F.col("id") % 3 + 2).alias("x2"), F.lit(2).alias("y2"))
+    drawn = masks.drawn(boxes_, "id", F.lit(4), F.lit(3)).coalesce(1)  # more rows a batch than a piece
+    of = lambda k: np.array([[0, *[255 * (x <= k % 3 + 1) for x in (1, 2, 3)]]] * 2 + [[0] * 4], np.uint8)
+    read = png.read_masks(png.written_masks(masks.per_mask(drawn, masks.invert)).withColumnRenamed("mask_id", "file"))
+    assert {r.mask_id: bytes(r.raster) for r in read.collect()} == {k: (255 - of(k)).tobytes() for k in range(n)}
+    assert {r.mask_id: r.area for r in masks.regions(drawn, 1).collect()} == {k: 2 * (k % 3 + 1) for k in range(n)}
+    pictures_ = rows.select(F.col("id").alias("image"), F.lit(4).alias("width"), F.lit(3).alias("height"), F.unhex(F.repeat(F.lit("07"), 36)).alias("raster"))
+    painted = {r.image: np.frombuffer(r.raster, np.uint8).reshape(3, 4, 3) for r in masks.painted(pictures_, drawn, (1, 2, 3)).coalesce(1).collect()}
+    assert len(painted) == n and all((p[of(k) > 0] == (1, 2, 3)).all() and (p[of(k) == 0] == 7).all() for k, p in painted.items())
+
+
+def test_masks_beside_files_that_are_none_are_changed(spark):
+    files = spark.createDataFrame([(0, bytearray(png.encode(np.full((2, 3), 9, np.uint8)))), (1, bytearray(b"none"))], "file int, content binary").coalesce(1)
+    changed = {r.mask_id: r.raster for r in masks.per_mask(png.read_masks(files), masks.invert).collect()}
+    assert changed == {0: bytearray([246] * 6), 1: None}
