@@ -128,7 +128,7 @@ def painted_pictures(spark, d):
     k = F.col("image")
     byte = lambda i: F.lpad(F.hex((i * 5 + k) % 256), 2, "0")
     raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(W * H * 3 - 1)), byte), ""))
-    images = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 5).alias("image")).distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), raster.alias("raster"))
+    images = masks.dealt(table(spark, d, "part").select(F.floor(F.col("p_partkey") / 5).alias("image")), "image").distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), raster.alias("raster"))
     found = masks.painted(images, _rasters(spark, d).where("mask_id % 3 < 2"), (1, 2, 3))
     files = png.written_masks(found.withColumnRenamed("image", "mask_id")).select(F.concat(F.col("mask_id").cast("string"), F.lit(".png")).alias("file"), "content")
     folder = Written(spark, "painted").root

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.masks import sliced
 from .files import empty_files
 from .png import grey
 
@@ -60,7 +61,7 @@ def grey_values(found: DataFrame, width: int = 9, height: int = 8) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             _, w, h, channels, _ = [c.to_pylist() if k < 4 else None for k, c in enumerate(batch.columns[:5])]
             rows = [
                 np.rint(area_mean(grey(pixels(d.as_buffer(), a, b, c)), width, height)).astype(np.int32).ravel().tolist() if d.is_valid else None
@@ -75,7 +76,7 @@ def rasters(found: DataFrame) -> DataFrame:
     """(image, width, height, raster) of pictures in RGB, three bytes a pixel, transparent ones on white; null for broken files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             for w, h, c, d in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], batch.column(4), strict=True):
                 made.append(on_white(pixels(d.as_buffer(), w, h, c)).tobytes() if d.is_valid else None)
