@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,13 +146,13 @@ def _with_regions(done: DataFrame) -> DataFrame:
     """(image, part, width, height, raster, regions) of chained masks."""
     kinds = dict(done.select("mask_id.image", "part").dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["regions"] = [len(masks.label_regions(masks.to_array(r, w, h))) for r, w, h in zip(b["raster"], b["width"], b["height"], strict=True)]
-            yield b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in masks.sliced(batches):
+            found = [len(masks.label_regions(masks.to_array(r.as_buffer(), w, h))) for w, h, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], ["image", "part", "width", "height", "raster", "regions"])
 
     rows = done.select(F.col("mask_id.image").alias("image"), "part", "width", "height", "raster")
-    return rows.mapInPandas(run, f"image {kinds['image']}, part {kinds['part']}, width int, height int, raster binary, regions long")
+    return rows.mapInArrow(run, f"image {kinds['image']}, part {kinds['part']}, width int, height int, raster binary, regions long")
 
 
 def precise(rasters: DataFrame) -> DataFrame:

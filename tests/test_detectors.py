@@ -107,3 +107,10 @@ def test_refined_boxes(spark):
     with pytest.raises(ZeroDivisionError):
         model("x")(0, 0, 0, 0)
     assert runs.of_rasters(made).count() == 2
+
+
+def test_parts_of_large_batches(spark):
+    n = masks.MASKS_AT_ONCE + 3
+    raster = F.unhex(F.concat(F.lit("FF00"), F.when(F.col("id") % 2 == 0, "FF").otherwise("00")))
+    made = spark.range(0, n, 1, 1).select(F.struct(F.col("id").alias("image"), F.lit("p").alias("part")).alias("mask_id"), F.lit("p").alias("part"), F.lit(3).alias("width"), F.lit(1).alias("height"), raster.alias("raster"))
+    assert {r.image: r.regions for r in detectors._with_regions(made).collect()} == {k: 2 - k % 2 for k in range(n)}
