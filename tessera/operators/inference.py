@@ -118,7 +118,7 @@ def crops(images: DataFrame, regions: DataFrame) -> DataFrame:
     kinds = dict(images.dtypes) | dict(regions.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in masks.sliced(batches):
             for k, (w, h, raster, own) in enumerate(zip(*[batch.column(j).to_pylist() for j in (1, 2, 3, 4)], strict=True)):
                 view, out = pixels_of(raster, w, h), []
                 for r in own:
@@ -142,7 +142,8 @@ def answers(cut: DataFrame, build: Callable[[str], Callable], name: str, schema:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_of(name, build)
-        for b in batches:
+        pieces = (whole.iloc[at : at + masks.MASKS_AT_ONCE].reset_index(drop=True) for whole in batches for at in range(0, len(whole), masks.MASKS_AT_ONCE))
+        for b in pieces:
             views = [None if r is None else pixels_of(r, int(w), int(h)) for r, w, h in zip(b["raster"], b["width"], b["height"], strict=True)]
             at = [k for k, v in enumerate(views) if v is not None]
             found: list = [None] * len(views)

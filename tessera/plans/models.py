@@ -16,7 +16,7 @@ def _images(spark, d, width, height, channels=1):
     k = F.col("s_suppkey")
     byte = lambda i: F.lpad(F.hex((i * 7 + k) % 256), 2, "0")
     raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width * height * channels - 1)), byte), ""))
-    return table(spark, d, "supplier").select(k.alias("image"), F.lit(width).alias("width"), F.lit(height).alias("height"), raster.alias("raster"))
+    return masks.dealt(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select(k.alias("image"), F.lit(width).alias("width"), F.lit(height).alias("height"), raster.alias("raster"))
 
 
 def _refiner(name):

@@ -152,3 +152,11 @@ def test_models_are_built_once():
         no_model("x")
     assert inference.model_of("never", no_model) is None
     assert masks.from_probabilities(np.ones((1, 1)), 3, 2).all()
+
+
+def test_models_are_asked_in_pieces(spark):
+    n = masks.MASKS_AT_ONCE + 3
+    cut = spark.range(0, n, 1, 1).selectExpr("id AS image", "0 AS region", "1 AS width", "1 AS height", "CASE WHEN id % 10 > 0 THEN X'07' END AS raster")
+    rows = {r.image: (r.answer, r.state) for r in inference.answers(cut, lambda name: lambda views: [str(len(views))] * len(views), "counter", "string").collect()}
+    pieces = [sum(k % 10 > 0 for k in part) for part in (range(masks.MASKS_AT_ONCE), range(masks.MASKS_AT_ONCE, n))]
+    assert rows == {k: (str(pieces[k >= masks.MASKS_AT_ONCE]), "asked") if k % 10 else (None, "empty") for k in range(n)}
