@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ def empty_files(rows: DataFrame, folder: str) -> DataFrame:
 
     The names come from the reader's own index of the folder, which the driver holds anyway.
     """
-    names = [(f"{folder.rstrip('/')}/{name}", name) for name in (unquote(path).rsplit("/", 1)[1] for path in rows.inputFiles())]
-    listed = rows.sparkSession.createDataFrame(names, "path string, file string")
+    spark = rows.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.util.StringUtils.join("\n", rows._jdf.inputFiles())  # at once: DataFrame.inputFiles asks the JVM for each name
+    names = [unquote(path).rsplit("/", 1)[1] for path in paths.split("\n") if path]
+    table = pa.table({"path": pa.array([f"{folder.rstrip('/')}/{name}" for name in names], pa.string()), "file": pa.array(names, pa.string())})
+    listed = spark.createDataFrame(table, "path string, file string")
     return listed.join(rows.select(F.element_at(F.split("path", "/"), -1).alias("file")), "file", "left_anti").select("path", "file")
 
 

@@ -128,3 +128,13 @@ def test_empty_files_are_listed(spark, tmp_path):
     }
     assert [(r.file, r.length) for r in files.images(spark, folder).collect()] == [("h.png", 0)]
     assert [r.error is None for r in files.with_size(files.image_contents(spark, folder)).collect()] == [False]
+
+
+def test_a_folder_is_listed_without_a_call_for_each_name(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    names = ["a b.txt", "é,+%.txt", "full.txt"]
+    for name in names:
+        (tmp_path / name).write_text("x" * (name == "full.txt"), "utf-8")
+    monkeypatch.setattr(DataFrame, "inputFiles", lambda self: pytest.fail("a call for each name"))
+    assert {r.file: r.text for r in files.captions(spark, f"file://{tmp_path}").collect()} == dict(zip(names, ["", "", "x"]))
