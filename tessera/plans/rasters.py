@@ -127,16 +127,15 @@ def painted_pictures(spark, d):
     """Colour pictures with what their masks cover painted over, by way of PNG files; one in three has no mask."""
     k = F.col("image")
     byte = lambda i: F.lpad(F.hex((i * 5 + k) % 256), 2, "0")
-    raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(W * H * 3 - 1)), byte), ""))
+    cycle = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), byte), "")  # the bytes come again after 256
+    raster = F.unhex(F.substring(F.repeat(cycle, F.lit(W * H * 3 // 256 + 1)), 1, W * H * 3 * 2))
     images = masks.dealt(table(spark, d, "part").select(F.floor(F.col("p_partkey") / 5).alias("image")), "image").distinct().select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), raster.alias("raster"))
     found = masks.painted(images, _rasters(spark, d).where("mask_id % 3 < 2"), (1, 2, 3))
     files = png.written_masks(found.withColumnRenamed("image", "mask_id")).select(F.concat(F.col("mask_id").cast("string"), F.lit(".png")).alias("file"), "content")
     folder = Written(spark, "painted").root
     actions.export_files(files, folder)
     seen = pictures.rasters(pictures.pictures(spark, folder)).withColumn("image", F.regexp_extract("image", "[0-9]+", 0).cast("long"))
-    spots = seen.select("image", "raster", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("at"))
-    value = lambda c: F.conv(F.hex(F.substring(F.col("raster"), F.col("at") * 3 + c, F.lit(1))), 16, 10).cast("int")
-    return spots.select("image", F.floor(F.col("at") / W).cast("int").alias("y"), (F.col("at") % W).cast("int").alias("x"), value(1).alias("r"), value(2).alias("g"), value(3).alias("b"))
+    return pictures.colours(seen)
 
 
 @query(f"WITH {PIXELS} SELECT mask_id, y, x, 255 AS v FROM g WHERE (y * 24 + x) * 7 % 256 > 127")

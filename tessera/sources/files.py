@@ -4,41 +4,76 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text
+from ..operators.masks import dealt
 
 
-def empty_files(rows: DataFrame, folder: str) -> DataFrame:
-    """(path, file) of the files without a byte, which Spark's readers pass over, from a folder's ``binaryFile`` rows.
+#: Names, and bytes of contents at least, of which a batch is made.
+NAMES_AT_ONCE, BYTES_AT_ONCE = 10_000, 4 << 20
 
-    The names come from the reader's own index of the folder, which the driver holds anyway.
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file of this name."""
+    return (name[0] in "_." and not (name[0] == "_" and "=" in name) or name.endswith("._COPYING_")) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file, length) of the files directly in a folder, empty ones too, without those that Spark's readers hide.
+
+    A task lists the folder, whose names are then dealt over all tasks: the driver, which Spark's readers make hold
+    an index of the folder and a task of each few files, holds no name.
     """
-    spark = rows.sparkSession
-    paths = spark.sparkContext._jvm.org.apache.hadoop.util.StringUtils.join("\n", rows._jdf.inputFiles())  # at once: DataFrame.inputFiles asks the JVM for each name
-    names = [unquote(path).rsplit("/", 1)[1] for path in paths.split("\n") if path]
-    table = pa.table({"path": pa.array([f"{folder.rstrip('/')}/{name}" for name in names], pa.string()), "file": pa.array(names, pa.string())})
-    listed = spark.createDataFrame(table, "path string, file string")
-    return listed.join(rows.select(F.element_at(F.split("path", "/"), -1).alias("file")), "file", "left_anti").select("path", "file")
+    root = folder.rstrip("/")
+    system, path = fs.FileSystem.from_uri(root)
+    if system.get_file_info(path).type != fs.FileType.Directory:
+        raise FileNotFoundError(folder)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            system, path = fs.FileSystem.from_uri(root)
+            infos = system.get_file_info(fs.FileSelector(path)) if batch.num_rows else []
+            for at in range(0, len(infos), NAMES_AT_ONCE):
+                own = [(f.base_name, f.size) for f in infos[at : at + NAMES_AT_ONCE] if f.type == fs.FileType.File and not _hidden(f.base_name)]
+                yield pa.RecordBatch.from_pydict({"file": pa.array([n for n, _ in own], pa.string()), "length": pa.array([s for _, s in own], pa.int64())})
+
+    found = dealt(spark.range(0, 1, 1, 1).mapInArrow(run, "file string, length long"), "file")
+    return found.select(F.concat(F.lit(f"{root}/"), "file").alias("path"), "file", "length")
 
-def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Files directly in a folder, empty ones too: (path, file, length, content)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    found = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content")
-    none = empty_files(files, folder).select("path", "file", F.lit(0).cast("long").alias("length"), F.unhex(F.lit("")).alias("content"))
-    return found.unionByName(none)
+
+def contents(listed: DataFrame, folder: str) -> DataFrame:
+    """(file, length, content) of a folder's ``names``, read by the tasks that hold them."""
+    root = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            held, size, at = [], 0, 0
+            for k, (name, length) in enumerate(zip(*[c.to_pylist() for c in batch.columns], strict=True), 1):
+                held.append(read_file(system, f"{path}/{name}") if length else b"")
+                size += len(held[-1])
+                if size >= BYTES_AT_ONCE or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, k - at).columns, pa.array(held, pa.binary())], ["file", "length", "content"])
+                    held, size, at = [], 0, k
+
+    return listed.select("file", "length").mapInArrow(run, "file string, length long, content binary")
+
+
+def read_file(system: fs.FileSystem, path: str) -> bytes:
+    with system.open_input_stream(path, compression=None) as file:
+        return file.read()
 
 
 def listing(spark: SparkSession, folder: str, extensions: Sequence[str]) -> DataFrame:
     """(path, file, stem, ext, length) of files with one of the extensions, whatever their case; contents stay unread."""
-    files = _listed(spark, folder).select("path", "file", "length")
+    files = names(spark, folder)
     named = files.withColumns({"stem": text.stem(F.col("file")), "ext": F.lower(text.extension(F.col("file")))})
     return named.where(F.col("ext").isin(*extensions)).select("path", "file", "stem", "ext", "length")
 
@@ -49,9 +84,7 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 def captions(spark: SparkSession, folder: str, lenient: bool = True) -> DataFrame:
     """(file, stem, text, error) of the .txt files. Text that is not UTF-8 is '' if lenient, else null with an error."""
-    files = _listed(spark, folder)
-    named = files.withColumns({"stem": text.stem(F.col("file")), "ext": F.lower(text.extension(F.col("file")))})
-    named = named.where(F.col("ext") == ".txt")
+    named = contents(listing(spark, folder, [".txt"]), folder).withColumn("stem", text.stem(F.col("file")))
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
     body = F.coalesce(decoded, F.lit("")) if lenient else decoded
     return named.select("file", "stem", body.alias("text"), F.when(decoded.isNull(), "not UTF-8").alias("error"))
@@ -124,8 +157,7 @@ def with_size(files: DataFrame) -> DataFrame:
 
 def image_contents(spark: SparkSession, folder: str) -> DataFrame:
     """(file, content) of a folder's images."""
-    files = _listed(spark, folder)
-    return files.where(F.lower(text.extension(F.col("file"))).isin(*vocab.IMAGE_EXTENSIONS)).select("file", "content")
+    return contents(images(spark, folder), folder).select("file", "content")
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Pixels of a folder's JPEG, PNG, GIF and BMP files, decoded by Spark's own image reader in the JVM."""
+"""Pixels of a folder's JPEG, PNG, GIF and BMP files: plain PNG files decoded by tasks of ours, others by Spark's own image reader in the JVM."""
 
 from __future__ import annotations
 
@@ -6,32 +6,74 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.masks import sliced
-from .files import empty_files
-from .png import grey
+from ..operators.written import Written
+from . import files, png
 
-#: Endings of the files that the reader decodes.
+#: Endings of the files that are decoded.
 DECODED = (".jpg", ".jpeg", ".png", ".gif", ".bmp")
+PNG = ".png"
+
+
+#: Pixels, at least, of which a batch is made.
+PIXELS_AT_ONCE = 1 << 16
+_PICTURE = "file string, width int, height int, channels int, data binary, error string"
 
 
 def pictures(spark: SparkSession, folder: str, extensions: Sequence[str] = DECODED) -> DataFrame:
     """(file, width, height, channels, data, error): one row a file; a broken or empty one has an error and no pixels.
 
-    ``data`` holds blue, green and red (and alpha) of each pixel by rows, or one grey byte.
+    ``data`` holds blue, green and red (and alpha) of each pixel by rows, or one grey byte. Plain PNG files are decoded
+    by the tasks that hold their names. Only if there are others, Spark's image reader, of whose index the driver
+    holds the folder, reads those of their endings.
     """
-    ends = "{" + ",".join(f"*{e},*{e.upper()}" for e in extensions) + "}"
-    read = lambda kind: spark.read.format(kind).option("pathGlobFilter", ends).load(folder)
-    rows = read("image").select("image.*")
+    ends = list(dict.fromkeys(e for x in extensions for e in (x, x.upper())))
+    ending = F.coalesce(*[F.when(F.endswith("file", F.lit(e)), F.lit(e)) for e in ends])
+    listed = files.names(spark, folder).withColumn("ending", ending).where("ending IS NOT NULL")
+    seen = Written(spark, "pictures").save(_decoded(listed, folder), "seen")
+    rest = seen.where("ending IS NOT NULL")
+    left = [r.ending for r in rest.select("ending").distinct().collect()]  # of the endings asked for
+    done = seen.where("ending IS NULL").drop("ending")
+    if not left:
+        return done
+    rows = spark.read.format("image").option("pathGlobFilter", "{" + ",".join(f"*{e}" for e in left) + "}").load(folder).select("image.*")
     good = F.col("height") > 0
     name = F.url_decode(F.replace(F.element_at(F.split("origin", "/"), -1), F.lit("+"), F.lit("%2B")))
     kept = lambda c, new: F.when(good, F.col(c)).alias(new)
-    error = F.lit("not a picture").alias("error")
-    found = rows.select(name.alias("file"), kept("width", "width"), kept("height", "height"), kept("nChannels", "channels"), kept("data", "data"), F.when(~good, error).alias("error"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:5]]
-    return found.unionByName(empty_files(read("binaryFile"), folder).select("file", *none, error))
+    found = rows.select(name.alias("file"), kept("width", "width"), kept("height", "height"), kept("nChannels", "channels"), kept("data", "data"), F.when(~good, "not a picture").alias("error"))
+    if any(e.lower().endswith(PNG) for e in left):
+        found = found.join(rest.select("file"), "file", "left_semi")
+    return found.unionByName(done)
+
+
+def _decoded(listed: DataFrame, folder: str) -> DataFrame:
+    """Pictures (file, length, ending) that are plain PNG files or empty, without an ending; a row with nothing but its ending for each other."""
+    root = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            rows, size = [], 0
+            for k, (name, length, end) in enumerate(zip(*[c.to_pylist() for c in batch.columns], strict=True), 1):
+                v = png.plain(files.read_file(system, f"{path}/{name}")) if length and name.lower().endswith(PNG) else None
+                if v is not None:
+                    own = v if v.ndim == 2 else v[..., [2, 1, 0, *range(3, v.shape[2])]]
+                    rows.append((name, v.shape[1], v.shape[0], v.size // (v.shape[0] * v.shape[1]), own.tobytes(), None, None))
+                    size += v.size
+                else:
+                    rows.append((name, None, None, None, None, None, end) if length else (name, None, None, None, None, "not a picture", None))
+                if size >= files.BYTES_AT_ONCE or k == batch.num_rows:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema)
+                    rows, size = [], 0
+
+    kinds = [pa.string(), *[pa.int32()] * 3, pa.binary(), pa.string(), pa.string()]
+    schema = ["file", "width", "height", "channels", "data", "error", "ending"]
+    return listed.select("file", "length", "ending").mapInArrow(run, f"{_PICTURE}, ending string")
 
 
 def pixels(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -64,7 +106,7 @@ def grey_values(found: DataFrame, width: int = 9, height: int = 8) -> DataFrame:
         for batch in sliced(batches):
             _, w, h, channels, _ = [c.to_pylist() if k < 4 else None for k, c in enumerate(batch.columns[:5])]
             rows = [
-                np.rint(area_mean(grey(pixels(d.as_buffer(), a, b, c)), width, height)).astype(np.int32).ravel().tolist() if d.is_valid else None
+                np.rint(area_mean(png.grey(pixels(d.as_buffer(), a, b, c)), width, height)).astype(np.int32).ravel().tolist() if d.is_valid else None
                 for a, b, c, d in zip(w, h, channels, batch.column(4), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), batch.column(5)], ["file", "values", "error"])
@@ -85,6 +127,27 @@ def rasters(found: DataFrame) -> DataFrame:
     return found.select("file", "width", "height", "channels", "data").mapInArrow(run, "image string, width int, height int, raster binary")
 
 
+def colours(rasters_: DataFrame) -> DataFrame:
+    """(image, y, x, r, g, b) of every pixel of pictures (image, width, raster of three bytes a pixel); a null raster has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            held, size = [], 0
+            for k, (width, raster) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if raster.is_valid:
+                    values = np.frombuffer(raster.as_buffer(), np.uint8).reshape(-1, 3).astype(np.int32)
+                    at = np.arange(len(values), dtype=np.int32)
+                    held.append([np.full(len(at), k, np.int32), at // np.int32(width), at % np.int32(width), *values.T])
+                    size += len(at)
+                if held and (size >= PIXELS_AT_ONCE or k == batch.num_rows - 1):
+                    owner, *columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *columns], ["image", "y", "x", "r", "g", "b"])
+                    held, size = [], 0
+
+    kind = dict(rasters_.dtypes)["image"]
+    return rasters_.select("image", "width", "raster").mapInArrow(run, f"image {kind}, y int, x int, r int, g int, b int")
+
+
 def on_white(values: np.ndarray) -> np.ndarray:
     """The RGB array of a picture of any channels."""
     if values.ndim == 2:

@@ -1,6 +1,11 @@
 """JPEG files against the JVM's own reader and writer, and reductions against plain sums."""
 
+import struct
+import zlib
+from urllib.parse import unquote
+
 import numpy as np
+import pytest
 
 from tessera.operators import actions, neighbors
 from tessera.sources import jpeg, pictures, png
@@ -58,3 +63,45 @@ def test_written_jpegs(spark, tmp_path):
     actions.export_files(made.where("content IS NOT NULL").selectExpr("mask_id || '.jpg' AS file", "content"), f"file://{tmp_path}/out")
     got = {r.file: (r.width, r.height, r.channels) for r in pictures.pictures(spark, f"file://{tmp_path}/out").collect()}
     assert got == {"a.jpg": (3, 2, 1), "b.jpg": (2, 2, 3)}
+
+
+def test_only_files_that_are_no_plain_png_are_left_to_the_image_reader(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    rng = np.random.default_rng(4)
+    colour, alpha = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8), rng.integers(0, 256, (3, 2, 4)).astype(np.uint8)
+    whole = png.encode(colour)
+    made = {f"{k} +%é.png": png.encode(colour[:, :, 0] + np.uint8(k)) for k in range(50)} | {"c.PNG": whole, "a.png": png.encode(alpha), "_hidden.png": whole, "empty.png": b"", "notes.md": b"x"}
+    (tmp_path / "plain").mkdir()
+    for name, body in made.items():
+        (tmp_path / "plain" / name).write_bytes(body)
+    (tmp_path / "plain" / "sub.png").mkdir()
+    with monkeypatch.context() as m:  # of these readers' index and tasks the driver would hold every name
+        m.setattr(DataFrameReader, "format", lambda self, kind: pytest.fail(kind))
+        got = {r.file: r for r in pictures.pictures(spark, f"file://{tmp_path}/plain").collect()}
+    assert set(got) == set(made) - {"_hidden.png", "notes.md"} and {k for k, r in got.items() if r.error} == {"empty.png"}
+    for name, want in [("c.PNG", colour), ("a.png", alpha), *[(f"{k} +%é.png", colour[:, :, 0] + np.uint8(k)) for k in range(50)]]:
+        assert np.array_equal(pictures.pixels(got[name].data, got[name].width, got[name].height, got[name].channels), want), name
+    # What Spark's reader says of the same files, and of others beside them, is said still.
+    lines = np.concatenate([np.full((5, 1), 4, np.uint8), rng.integers(0, 256, (5, 21)).astype(np.uint8)], 1)
+    pack = lambda head, *chunks: png.SIGNATURE + png._chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + b"".join(png._chunk(*c) for c in chunks) + png._chunk(b"IEND", b"")
+    one = lambda data: (b"IDAT", zlib.compress(data))
+    odd = {
+        "paeth.png": pack((7, 5, 8, 2, 0, 0, 0), one(lines.tobytes())), "deep.png": pack((1, 1, 16, 0, 0, 0, 0), one(b"\0\7\1")),
+        "palette.png": pack((2, 1, 8, 3, 0, 0, 0), (b"PLTE", bytes(range(6))), one(b"\0\1\0")), "clear.png": pack((2, 1, 8, 2, 0, 0, 0), (b"tRNS", bytes([0, 1, 0, 2, 0, 3])), one(bytes([0, 1, 2, 3, 4, 5, 6]))),
+        "jpeg.png": jpeg.encode(colour), "cut.png": whole[:-20], "sum.png": whole[:-1] + b"x", "more.png": whole + b"x", "j.jpg": jpeg.encode(colour), "no.gif": b"no", "none.jpg": b"",
+    }
+    for name, body in odd.items():
+        (tmp_path / "plain" / name).write_bytes(body)
+    there = {unquote(r.origin).rsplit("/", 1)[1]: r for r in spark.read.format("image").option("pathGlobFilter", "*.{png,PNG,jpg,gif}").load(f"file://{tmp_path}/plain").select("image.*").collect()}
+    got = {r.file: r for r in pictures.pictures(spark, f"file://{tmp_path}/plain").collect()}
+    assert set(got) == set(made) - {"_hidden.png", "notes.md"} | set(odd) and len(there) == len(got) - 2
+    for name, r in got.items():
+        seen = there.get(name)
+        want = (seen.width, seen.height, seen.nChannels, seen.data, None) if seen and seen.height > 0 else (None, None, None, None, "not a picture")
+        assert (r.width, r.height, r.channels, r.data, r.error) == want, name
+
+
+def test_every_pixel_of_colour_pictures(spark):
+    rows = spark.createDataFrame([("a", 2, 2, bytearray(range(250, 256)) + bytearray(range(6))), ("b", None, None, None), ("c", 1, 1, bytearray([9, 8, 7]))], "image string, width int, height int, raster binary").coalesce(1)
+    assert sorted(map(tuple, pictures.colours(rows).collect())) == [("a", 0, 0, 250, 251, 252), ("a", 0, 1, 253, 254, 255), ("a", 1, 0, 0, 1, 2), ("a", 1, 1, 3, 4, 5), ("c", 0, 0, 9, 8, 7)]
