@@ -138,3 +138,26 @@ def test_a_folder_is_listed_without_a_call_for_each_name(spark, tmp_path, monkey
         (tmp_path / name).write_text("x" * (name == "full.txt"), "utf-8")
     monkeypatch.setattr(DataFrame, "inputFiles", lambda self: pytest.fail("a call for each name"))
     assert {r.file: r.text for r in files.captions(spark, f"file://{tmp_path}").collect()} == dict(zip(names, ["", "", "x"]))
+
+
+def test_the_driver_holds_no_index_of_a_folder(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from tessera.operators import exports
+
+    made = {f"{k} é+%.txt": b"x" * k for k in range(40)} | {"a.txt": b"one tag, A cat is sitting here on the mat.", "a.png": b"p", "b.JPG": b"", "_x.txt": b"h", ".y.txt": b"h", "_k=v.txt": b"", "z.txt._COPYING_": b"h", "n.md": b"m"}
+    for name, body in made.items():
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "sub.txt").mkdir()
+    folder = f"file://{tmp_path}/"
+    texts = {k: v.decode() for k, v in made.items() if k.endswith(".txt") and k not in ("_x.txt", ".y.txt")}
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, kind: pytest.fail(kind))  # such a reader's index holds every name
+    monkeypatch.setattr(files, "NAMES_AT_ONCE", 7)
+    monkeypatch.setattr(files, "BYTES_AT_ONCE", 50)
+    assert {r.file: r.text for r in files.captions(spark, folder).collect()} == texts
+    assert {(r.path, r.file, r.length) for r in files.images(spark, folder).collect()} == {(f"{folder}a.png", "a.png", 1), (f"{folder}b.JPG", "b.JPG", 0)}
+    assert {(r.file, bytes(r.content)) for r in files.image_contents(spark, folder).collect()} == {("a.png", b"p"), ("b.JPG", b"")}
+    plan = {(r.target, r.file, r.source) for r in exports.split_plan(spark, folder).where("file LIKE 'a.%'").collect()}
+    assert plan == {(t, f, s) for t in ("tag", "caption") for f, s in (("a.txt", None), ("a.png", f"{folder}a.png"))}
+    with pytest.raises(FileNotFoundError):
+        files.captions(spark, f"{folder}none")
